@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import base
 from . import integration  # noqa: F401
 from . import descriptive  # noqa: F401
+from . import survival  # noqa: F401
 
 
 def queries():
