@@ -6,6 +6,7 @@ from . import base
 from . import integration  # noqa: F401
 from . import descriptive  # noqa: F401
 from . import survival  # noqa: F401
+from . import episodes  # noqa: F401
 
 
 def queries():
