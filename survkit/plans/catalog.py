@@ -7,6 +7,7 @@ from . import integration  # noqa: F401
 from . import descriptive  # noqa: F401
 from . import survival  # noqa: F401
 from . import episodes  # noqa: F401
+from . import evaluation  # noqa: F401
 
 
 def queries():

@@ -90,6 +90,10 @@ TARGET_SQL = f"""obs AS (SELECT region, min(failure_year) AS obs_start, max(fail
                WHERE rn1 = 1)"""
 
 
+# the target CTEs without the shared observation-window CTE (to combine with PREP_SQL)
+TARGET_BODY = TARGET_SQL[TARGET_SQL.index("trows AS"):]
+
+
 def prep(d: Data, variant: str = "reg", repairs: bool = False):
     return EP.episodes(d.all_c, d.events_c, A, INIT, variant=variant, with_repairs=repairs)
 
