@@ -8,6 +8,7 @@ from . import descriptive  # noqa: F401
 from . import survival  # noqa: F401
 from . import episodes  # noqa: F401
 from . import evaluation  # noqa: F401
+from . import models  # noqa: F401
 
 
 def queries():
