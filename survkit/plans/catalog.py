@@ -9,6 +9,7 @@ from . import survival  # noqa: F401
 from . import episodes  # noqa: F401
 from . import evaluation  # noqa: F401
 from . import models  # noqa: F401
+from . import io  # noqa: F401
 
 
 def queries():
