@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
+
 _B = "_range_id"
 
 
@@ -83,6 +85,11 @@ def running_sums(
     group_cols = list(group_cols or [])
     spark = df.sparkSession
     n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The input (an aggregate per distinct key) is read three times: range
+    # bounds, totals, rows.  A reliable checkpoint in the shared folder
+    # computes the upstream once and cuts the lineage for retries.
+    ensure_checkpoint_dir(spark)
+    df = df.checkpoint(eager=True)
     key = F.col(order_col).cast("double")
     if not ascending:
         key = -key

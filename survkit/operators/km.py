@@ -94,8 +94,8 @@ def curve_from_counts(counts: DataFrame, strata: list[str], with_ci: bool = Fals
         ln_s = F.log(s)
         ok = (s > 0) & (s < 1) & (bad == 0)
         out = out.withColumn(
-            "ci_lower", F.when(ok, F.pow(s, F.exp(F.lit(Z_975) * F.sqrt("_v") / ln_s)))
-        ).withColumn("ci_upper", F.when(ok, F.pow(s, F.exp(-F.lit(Z_975) * F.sqrt("_v") / ln_s))))
+            "ci_upper", F.when(ok, F.pow(s, F.exp(F.lit(Z_975) * F.sqrt("_v") / ln_s)))
+        ).withColumn("ci_lower", F.when(ok, F.pow(s, F.exp(-F.lit(Z_975) * F.sqrt("_v") / ln_s))))
         cols += ["ci_lower", "ci_upper"]
     return out.select(*cols)
 

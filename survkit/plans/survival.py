@@ -50,8 +50,8 @@ def _km_sql(dur: str, strata: list[str], with_ci: bool = False) -> str:
               max(CASE WHEN n_at_risk <= n_events THEN 1 ELSE 0 END) OVER {run} AS bad FROM ({inner})"""
     ok = "survival > 0 AND survival < 1 AND bad = 0"
     return f"""SELECT {cols}, survival,
-        CASE WHEN {ok} THEN pow(survival, exp({KM.Z_975} * sqrt(v) / ln(survival))) END AS ci_lower,
-        CASE WHEN {ok} THEN pow(survival, exp(-{KM.Z_975} * sqrt(v) / ln(survival))) END AS ci_upper
+        CASE WHEN {ok} THEN pow(survival, exp({KM.Z_975} * sqrt(v) / ln(survival))) END AS ci_upper,
+        CASE WHEN {ok} THEN pow(survival, exp(-{KM.Z_975} * sqrt(v) / ln(survival))) END AS ci_lower
         FROM ({mid})"""
 
 
