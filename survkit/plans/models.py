@@ -16,6 +16,7 @@ from .. import schema as S
 from ..operators import evaluate as EV
 from ..operators import features as FE
 from ..operators import models as M
+from ..session import ensure_checkpoint_dir
 from .base import Data, query, sql
 from .episodes import A, P, PREP_SQL, TEST_COND_SQL, prep, test_rows, truth_first
 
@@ -201,7 +202,10 @@ def _rff_frames(d: Data, shift_duration: bool):
     for name, g in gam.items():
         learn = M.add_rff(learn, "features", f"rff_{name}", dim, RFF_DIM, g)
         test = M.add_rff(test, "features", f"rff_{name}", dim, RFF_DIM, g)
-    return learn, test
+    # iterative learners and cross-validation re-read the features many times:
+    # compute them once into the shared checkpoint folder
+    ensure_checkpoint_dir(learn.sparkSession)
+    return learn.checkpoint(eager=True), test.checkpoint(eager=True)
 
 
 @query("model_rank_svm")
