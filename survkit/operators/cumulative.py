@@ -7,8 +7,8 @@ ROC need running sums over *all* scores, so they use this operator instead:
    reach the driver, a bounded amount) -> a deterministic range id per row;
 2. totals per (range, group) -- a tiny table (<= n x groups rows) -- and
    their exclusive running sum over ranges -> an offset per (range, group);
-3. hash-partition the rows by range id, sort inside partitions and take the
-   running sums per range in Arrow batches (carried across batches);
+3. running sums inside each (range, group) by a window partitioned on the
+   range id (a range holds ~1/n of the rows);
 4. add the offset.
 
 Every step is linear and partitioned; no step puts a whole group in one task.
@@ -20,7 +20,6 @@ groups are many and small.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,29 +42,6 @@ def _range_id(key: Column, bounds: list[float]) -> Column:
     return build(0, len(bounds))
 
 
-def _local_running(value_cols: list[str], keycols: list[str], out_cols: list[str]):
-    def fn(batches):
-        carry_key = None
-        carry = None
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(**{o: pdf[v] for v, o in zip(value_cols, out_cols)})
-                continue
-            cs = pdf.groupby(keycols, sort=False)[value_cols].cumsum()
-            first_key = tuple(pdf[keycols].iloc[0])
-            if carry is not None and first_key == carry_key:
-                same = (pdf[keycols] == pd.Series(first_key, index=keycols)).all(axis=1)
-                cs.loc[same, value_cols] = cs.loc[same, value_cols].values + carry
-            carry_key = tuple(pdf[keycols].iloc[-1])
-            carry = cs[value_cols].iloc[-1].values.copy()
-            out = pdf.copy()
-            for v, o in zip(value_cols, out_cols):
-                out[o] = cs[v].values
-            yield out
-
-    return fn
-
-
 def running_sums(
     df: DataFrame,
     order_col: str,
@@ -103,12 +79,13 @@ def running_sums(
         _B, *group_cols, *[F.coalesce(F.sum("_tot_" + v).over(w), F.lit(0)).alias("_off_" + v) for v in value_cols]
     )
 
+    # in-range running sums: a window per (range, group) -- a range holds about
+    # 1/n of the rows, so no task ever holds a whole group; JVM-side, codegen'd
     keycols = [_B] + group_cols
     types = {f.name: f.dataType for f in df.schema.fields}
+    wr = Window.partitionBy(*keycols).orderBy("_okey").rowsBetween(Window.unboundedPreceding, 0)
+    local = with_id.select("*", *[F.sum(v).over(wr).alias("_loc_" + v) for v in value_cols])
     local_cols = ["_loc_" + v for v in value_cols]
-    ordered = with_id.repartition(n, _B).sortWithinPartitions(*keycols, "_okey")
-    out_schema = T.StructType(list(ordered.schema.fields) + [T.StructField(c, types[v]) for v, c in zip(value_cols, local_cols)])
-    local = ordered.mapInPandas(_local_running(value_cols, keycols, local_cols), schema=out_schema)
     joined = local.join(offsets, keycols, "left")
     for v in value_cols:
         joined = joined.withColumn(

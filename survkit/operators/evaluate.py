@@ -62,7 +62,7 @@ def roc_curve(df: DataFrame, score: str = SCORE, label: str = LABEL) -> DataFram
     """(threshold, fpr, tpr) at every distinct score, plus the origin (threshold null)."""
     c = score_counts(df, score, label)
     cum = running_sums(c, score, ["pos", "neg"], ascending=False)
-    t = _totals(c, [])
+    t = _totals(cum, [])  # from the materialised counts, not from the upstream again
     cur = _with_totals(cum, t, []).select(
         F.col(score).cast("double").alias("threshold"),
         (F.col("cum_neg") / F.col("tot_neg")).alias("fpr"),
@@ -76,7 +76,7 @@ def lift_curve(df: DataFrame, score: str = SCORE, label: str = LABEL) -> DataFra
     """Per distinct score (descending): average rank, x = rank / max rank, y = cumulative failures share."""
     c = score_counts(df, score, label).withColumn("_one", F.lit(1).cast("long"))
     cum = running_sums(c, score, ["n", "pos", "_one"], ascending=False)
-    t = _totals(c, [])
+    t = _totals(cum, [])
     # average rank of a tie group = rows strictly above + (n + 1) / 2
     cum = cum.withColumn("avg_rank", (F.col("cum_n") - F.col("n")) + (F.col("n") + F.lit(1)) / F.lit(2.0))
     max_rank = cum.agg(F.max("avg_rank").alias("_max_rank"))  # one row

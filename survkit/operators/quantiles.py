@@ -55,7 +55,7 @@ def column_quantiles(df: DataFrame, value_col: str, probs: list[float]) -> DataF
     v = F.col(value_col)
     counts = df.filter(v.isNotNull()).groupBy(value_col).agg(F.count(F.lit(1)).alias("_c"))
     cum = running_sums(counts, value_col, ["_c"], prefix="_cum")
-    n = counts.agg(F.sum("_c").alias("_n"))  # one row
+    n = cum.agg(F.max("_cum_c").alias("_n"))  # one row, from the materialised counts
     spark = df.sparkSession
     targets = spark.createDataFrame([(float(p),) for p in probs], "p double").crossJoin(n)
     targets = targets.withColumn("pos", F.col("p") * (F.col("_n") - 1))

@@ -58,10 +58,21 @@ class Data:
 
     @property
     def events(self) -> DataFrame:
-        return I.master_events(self.failures(), self.assets)
+        """Master events (fixture derivation in one join; see fixtures.master_tables)."""
+        return FX.master_tables(self.spark, self.sf_dir)[0]
 
     @property
     def all(self) -> DataFrame:
+        """Master all: failures plus never-failed assets."""
+        return FX.master_tables(self.spark, self.sf_dir)[1]
+
+    @property
+    def events_integrated(self) -> DataFrame:
+        """Master events by the integration operator (failure file x asset file on region + key)."""
+        return I.master_events(self.failures(), self.assets)
+
+    @property
+    def all_integrated(self) -> DataFrame:
         return I.master_all(self.failures(), self.assets)
 
     @property

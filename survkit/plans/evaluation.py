@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..operators import evaluate as EV
 from ..operators import episodes as EP
+from ..session import ensure_checkpoint_dir
 from .base import Data, query, sql
 from .episodes import A, PREP_SQL, TARGET_BODY, TEST_COND_SQL, prep, test_rows, truth_first
 
@@ -30,7 +31,9 @@ def scored(d: Data):
     t = test_rows(prep(d)).select(S.ID, S.REGION, S.START, S.SIZE)
     t = t.withColumn("proba", baseline_score(t)).drop(S.SIZE)
     tr = truth_first(d).select(S.ID, S.START, S.EVENT, S.DURATION)
-    return t.join(tr, [S.ID, S.START], "inner")
+    # the scored table feeds several metrics: write it once to the shared folder
+    ensure_checkpoint_dir(d.spark)
+    return t.join(tr, [S.ID, S.START], "inner").checkpoint(eager=True)
 
 
 SCORED_SQL = (

@@ -15,12 +15,12 @@ MC = ", ".join(I.MASTER_COLUMNS)
 
 @query("master_events", sql(f"SELECT {MC} FROM master_events"))
 def master_events(spark, sf_dir):
-    return Data(spark, sf_dir).events
+    return Data(spark, sf_dir).events_integrated
 
 
 @query("master_all", sql(f"SELECT {MC} FROM master_all"))
 def master_all(spark, sf_dir):
-    return Data(spark, sf_dir).all
+    return Data(spark, sf_dir).all_integrated
 
 
 # FURNITURE plays the unknown material in this query only (FIXTURES.md).

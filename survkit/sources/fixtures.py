@@ -74,3 +74,34 @@ def failures(spark: SparkSession, sf_dir: str, clean: bool = True) -> DataFrame:
     if clean:
         out = out.filter(F.col(S.FAILED_AT) >= F.col(S.INSTALLED_AT))
     return out.select(S.REGION, S.ASSET_ID, S.FAILED_AT)
+
+
+def _failure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        table(spark, sf_dir, "lineitem")
+        .filter(F.col("l_returnflag") == FAILURE_FLAG)
+        .select(F.col("l_orderkey").alias("_fid"), F.col("l_shipdate").alias(S.FAILED_AT))
+    )
+
+
+def master_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(master events, master all) of the fixture in ONE join each.
+
+    A fixture failure belongs to the region of its asset, so the failure
+    "file" and the asset table meet on the asset key alone and the clean-date
+    rule is part of the join condition: inner join = events, left join =
+    all (every asset once without failure when none qualifies).  Same rows as
+    the two-step integration (``operators.integrate``), with one shuffle of
+    the failure rows instead of two.
+    """
+    from ..functions.scalar import composite_key
+
+    a = assets(spark, sf_dir)
+    f = _failure_rows(spark, sf_dir)
+    cond = (a[S.ASSET_ID] == f["_fid"]) & (f[S.FAILED_AT] >= a[S.INSTALLED_AT])
+    cols = [S.REGION, S.ASSET_ID, S.INSTALLED_AT, S.SIZE, S.MATERIAL, S.MATERIAL_AGE, S.FAILED_AT]
+
+    def shape(df: DataFrame) -> DataFrame:
+        return df.select(*cols).withColumn(S.ID, composite_key(S.REGION, S.ASSET_ID))
+
+    return shape(a.join(f, cond, "inner")), shape(a.join(f, cond, "left"))
