@@ -12,6 +12,7 @@ from ..streaming import incremental as ST
 from .base import Data, query, sql
 from .episodes import EPC, EP_COLS, PREP_SQL, prep
 from .integration import MC
+from .survival import _LR_MAT as LR_MATERIAL_SQL
 
 
 @query("src_discovery", sql(f"SELECT {MC} FROM master_events"))
@@ -84,3 +85,42 @@ def stream_failures_by_region_year(spark, sf_dir):
     out = SK.unique_path(spark, "stream-out")
     ST.run_to_table(counts, out, SK.unique_path(spark, "stream-ckpt"))
     return spark.read.parquet(out)
+
+
+@query("sink_masters", sql(f"SELECT {MC} FROM master_all"))
+def sink_masters(spark, sf_dir):
+    """Both master tables written region-partitioned to the shared folder; the full one scanned back."""
+    d = Data(spark, sf_dir)
+    _, all_path = SK.write_masters(d.events, d.all, SK.unique_path(spark, "masters"))
+    return spark.read.parquet(all_path).select(*I.MASTER_COLUMNS)
+
+
+@query(
+    "sink_pvalues",
+    sql(
+        "SELECT member_1, member_2, chi2, p_value, p_rounded FROM lr WHERE p_rounded > 0.05",
+        LR_MATERIAL_SQL,
+    ),
+)
+def sink_pvalues(spark, sf_dir):
+    """Similar / disparate pair lists written as CSV; the similar list read back with its schema."""
+    from ..operators import logrank as LR
+
+    pairs = LR.pairwise(Data(spark, sf_dir).all_c, S.MATERIAL)
+    sim_path, _ = SK.write_pvalue_lists(pairs, SK.unique_path(spark, "pvalues"))
+    schema = "member_1 string, member_2 string, chi2 double, p_value double, p_rounded double"
+    return spark.read.schema(schema).option("header", True).csv(sim_path)
+
+
+@query("model_persist")
+def model_persist(spark, sf_dir):
+    """Hazard model saved to the shared folder, loaded back and used to score the test episodes."""
+    from ..operators import models as M
+    from .models import KEYS, P, _learn_test, _with_truth
+
+    d = Data(spark, sf_dir)
+    learn, test = _learn_test(d)
+    model = M.fit_hazard(learn, M.boosting(max_iter=20))
+    path = SK.save_model(model, SK.unique_path(spark, "hazard-model"))
+    loaded = SK.load_pipeline_model(path)
+    return _with_truth(d, M.horizon_risk(M.survival_curves(loaded, test, P, KEYS), P, KEYS))
