@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from .joins import join_lookup
 
 ROW_COLS = [S.REGION, S.ASSET_ID, S.INSTALLED_AT, S.SIZE, S.MATERIAL, S.MATERIAL_AGE, S.FAILED_AT, S.ID,
             S.INSTALL_YEAR, S.FAILURE_YEAR]
@@ -96,8 +97,9 @@ def with_start(rows: DataFrame, variant: str, init: int = 0) -> DataFrame:
 
 
 def attach_window(rows: DataFrame, obs: DataFrame) -> DataFrame:
-    # obs has one row per region: AQE broadcasts it after measuring it
-    return rows.join(obs, S.REGION, "left")
+    # one row per region, broadcast after an exact count: never shuffle the
+    # asset rows by region (skew), keep their partitioning by asset id
+    return join_lookup(rows, obs, [S.REGION], "left")
 
 
 def episodes(
