@@ -1,10 +1,11 @@
-"""Seeded column permutations without a global row number on one task.
-
-Rows get an exact dense index with ``zipWithIndex`` (per-partition counts,
-then offsets).  For every (feature, repeat) each row draws a seeded hash
-key; one distributed sort by (feature, repeat, key, index) followed by
-``zipWithIndex`` gives every row its position inside its group, and the row
-at position p of the group lends its feature value to the row with index p.
+"""Seeded column permutations, JVM-side, without a global row number on one task.
+
+1. rows are materialised, tagged with ``monotonically_increasing_id`` (unique,
+   fixed by the materialised partitioning) and given a dense index 0..n-1 by a
+   distributed running count (``running_sums``);
+2. every (feature, repeat) draws a seeded hash key per row; a running count
+   grouped by (feature, repeat) in key order gives each row its position p;
+3. the row at position p lends its feature value to the row with index p.
 """
 
 from __future__ import annotations
@@ -13,31 +14,34 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import ensure_checkpoint_dir
+from .cumulative import running_sums
 
 _RID = "_rid"
 
 
-def with_row_index(df: DataFrame, name: str = _RID) -> DataFrame:
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(name, T.LongType(), False)])
-    rdd = df.rdd.zipWithIndex().map(lambda t: tuple(t[0]) + (t[1],))
-    return df.sparkSession.createDataFrame(rdd, schema)
+def with_dense_index(df: DataFrame, name: str = _RID) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    tagged = df.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    idx = running_sums(tagged.withColumn("_one", F.lit(1).cast("long")), "_mid", ["_one"])
+    return idx.withColumn(name, F.col("cum__one") - 1).drop("_one", "cum__one", "_mid").checkpoint(eager=True)
 
 
 def permuted_copies(df: DataFrame, features: list[str], repeats: int, keys: list[str], seed: int = 0) -> DataFrame:
     """Union of copies of ``df`` with one feature permuted: columns + feature (name) + repeat."""
-    indexed = with_row_index(df).cache()
-    n = indexed.count()
+    indexed = with_dense_index(df)
     spark = df.sparkSession
     fr = spark.createDataFrame(
         [(i, r) for i in range(len(features)) for r in range(repeats)], "f_idx int, repeat int"
     )
-    draws = indexed.select(_RID).crossJoin(F.broadcast(fr)).withColumn(
-        "_key", F.xxhash64(F.col(_RID), F.col("f_idx"), F.col("repeat"), F.lit(seed))
+    draws = indexed.select(_RID).crossJoin(F.broadcast(fr)).select(
+        "f_idx", "repeat", _RID,
+        F.xxhash64(F.col(_RID), F.col("f_idx"), F.col("repeat"), F.lit(seed)).cast("double").alias("_key"),
+        F.lit(1).cast("long").alias("_one"),
     )
-    ordered = draws.orderBy("f_idx", "repeat", "_key", _RID).select("f_idx", "repeat", _RID)
-    pos = with_row_index(ordered, "_g").select(
-        "f_idx", "repeat", (F.col("_g") % F.lit(n)).alias("_target"), F.col(_RID).alias("_src")
+    pos = running_sums(draws, "_key", ["_one"], group_cols=["f_idx", "repeat"]).select(
+        "f_idx", "repeat", (F.col("cum__one") - 1).alias("_target"), F.col(_RID).alias("_src")
     )
     parts = []
     for i, f in enumerate(features):
