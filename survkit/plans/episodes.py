@@ -290,8 +290,8 @@ def interval_gaps(spark, sf_dir):
     "life_table",
     sql(
         """SELECT e.region, e.failure_year, e.n AS n_failures,
-                  a.n_rows - coalesce(sum(e.n) OVER (PARTITION BY e.region ORDER BY e.failure_year
-                                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n_at_risk
+                  CAST(a.n_rows - coalesce(sum(e.n) OVER (PARTITION BY e.region ORDER BY e.failure_year
+                                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_at_risk
            FROM (SELECT region, failure_year, count(*) AS n FROM ev_c
                  WHERE region IS NOT NULL AND failure_year IS NOT NULL GROUP BY ALL) e
            JOIN (SELECT region, count(*) AS n_rows FROM all_c WHERE region IS NOT NULL GROUP BY ALL) a USING (region)"""
@@ -316,7 +316,7 @@ def life_table(spark, sf_dir):
 def sorted_events(spark, sf_dir):
     """Failures sorted by (id, date) nulls last, as a position per asset."""
     ev = Data(spark, sf_dir).events_c
-    return ev.select(S.ID, S.FAILED_AT, F.row_number().over(EP.asset_window()).alias("pos"))
+    return ev.select(S.ID, S.FAILED_AT, F.row_number().over(EP.asset_window()).cast("bigint").alias("pos"))
 
 
 @query(

@@ -34,7 +34,7 @@ JUNK_MATERIAL_AGE = "r"
 ASSET_SCHEMA = T.StructType(
     [
         T.StructField("IDT", T.LongType()),
-        T.StructField("DDP", T.TimestampType()),
+        T.StructField("DDP", T.TimestampNTZType()),
         T.StructField("DIAMETRE", T.DoubleType()),
         T.StructField("MATERIAU", T.StringType()),
         T.StructField("MATAGE", T.StringType()),
@@ -44,7 +44,7 @@ ASSET_SCHEMA = T.StructType(
 FAILURE_SCHEMA = T.StructType(
     [
         T.StructField("IDTC", T.LongType()),
-        T.StructField("DDCC", T.TimestampType()),
+        T.StructField("DDCC", T.TimestampNTZType()),
     ]
 )
 

@@ -28,7 +28,7 @@ def write_region_files(assets: DataFrame, failures: DataFrame, root: str, tag: s
     a = assets.select(
         F.col(S.REGION).alias("region"),
         F.col(S.ASSET_ID).alias("IDT"),
-        F.col(S.INSTALLED_AT).cast("timestamp").alias("DDP"),
+        F.col(S.INSTALLED_AT).cast("timestamp_ntz").alias("DDP"),
         F.col(S.SIZE).alias("DIAMETRE"),
         F.col(S.MATERIAL).alias("MATERIAU"),
         F.col(S.MATERIAL_AGE).alias("MATAGE"),
@@ -36,9 +36,9 @@ def write_region_files(assets: DataFrame, failures: DataFrame, root: str, tag: s
     f = failures.select(
         F.col(S.REGION).alias("region"),
         F.col(S.ASSET_ID).alias("IDTC"),
-        F.col(S.FAILED_AT).cast("timestamp").alias("DDCC"),
+        F.col(S.FAILED_AT).cast("timestamp_ntz").alias("DDCC"),
     )
-    opts = dict(sep=SEP, header=True, timestampFormat=TS_FORMAT)
+    opts = dict(sep=SEP, header=True, timestampFormat=TS_FORMAT, timestampNTZFormat=TS_FORMAT)
     a.write.mode("overwrite").partitionBy("region").options(**opts).csv(f"{base}/pipes")
     f.write.mode("overwrite").partitionBy("region").options(**opts).csv(f"{base}/events")
     return base
@@ -46,7 +46,7 @@ def write_region_files(assets: DataFrame, failures: DataFrame, root: str, tag: s
 
 def read_region_files(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     """(assets, failures) in the master column names; region comes from the folder names."""
-    opts = dict(sep=SEP, header=True, timestampFormat=TS_FORMAT)
+    opts = dict(sep=SEP, header=True, timestampFormat=TS_FORMAT, timestampNTZFormat=TS_FORMAT)
     asch = T.StructType(list(S.ASSET_SCHEMA.fields) + [T.StructField("region", T.StringType())])
     fsch = T.StructType(list(S.FAILURE_SCHEMA.fields) + [T.StructField("region", T.StringType())])
     a = spark.read.schema(asch).options(**opts).csv(f"{base}/pipes")

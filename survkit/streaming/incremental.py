@@ -21,7 +21,7 @@ def failure_stream(spark: SparkSession, folder: str) -> DataFrame:
     sch = T.StructType(list(S.FAILURE_SCHEMA.fields) + [T.StructField("region", T.StringType())])
     return (
         spark.readStream.schema(sch).option("sep", SEP).option("header", True)
-        .option("timestampFormat", TS_FORMAT).option("maxFilesPerTrigger", 64).csv(folder)
+        .option("timestampFormat", TS_FORMAT).option("timestampNTZFormat", TS_FORMAT).option("maxFilesPerTrigger", 64).csv(folder)
     )
 
 
