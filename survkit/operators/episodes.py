@@ -93,7 +93,12 @@ def with_start(rows: DataFrame, variant: str, init: int = 0) -> DataFrame:
     else:
         raise ValueError(variant)
     start = F.when(is_first, base).otherwise(F.coalesce(prev_year, F.lit(0)))
-    return rows.withColumn(S.START, start.cast("int"))
+    # Rows without an asset id (failures of unknown assets) have no history:
+    # they start at their own base value and never enter the per-asset window,
+    # so a mass of orphan rows cannot pile up in one window partition.
+    keyed = rows.filter(F.col(S.ID).isNotNull()).withColumn(S.START, start.cast("int"))
+    orphans = rows.filter(F.col(S.ID).isNull()).withColumn(S.START, base.cast("int"))
+    return keyed.unionByName(orphans)
 
 
 def attach_window(rows: DataFrame, obs: DataFrame) -> DataFrame:
