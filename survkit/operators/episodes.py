@@ -115,6 +115,7 @@ def episodes(
     variant: str = "reg",
     drop_unknown_history: bool | None = None,
     with_repairs: bool = False,
+    obs: DataFrame | None = None,
 ) -> DataFrame:
     """Training episodes as of ``cutoff`` (cleaned inputs with year columns).
 
@@ -124,7 +125,7 @@ def episodes(
     """
     if drop_unknown_history is None:
         drop_unknown_history = variant == "reg"
-    obs = obs_window(all_rows)
+    obs = obs if obs is not None else obs_window(all_rows)
     censored = censor_at_cutoff(all_rows, cutoff).select(*ROW_COLS)
     surv = survivor_rows(
         events, (F.col(S.FAILURE_YEAR) < F.lit(cutoff)) & (F.col(S.INSTALL_YEAR) < F.lit(cutoff))
@@ -152,10 +153,10 @@ def episodes(
     return rows
 
 
-def target_episodes(all_rows: DataFrame, events: DataFrame, cutoff: int) -> DataFrame:
+def target_episodes(all_rows: DataFrame, events: DataFrame, cutoff: int, obs: DataFrame | None = None) -> DataFrame:
     """Truth episodes: nothing is masked; every failed asset installed before the cutoff
     gets a failure-free row; censored rows end at obs_end; key (id, last_failure_year)."""
-    obs = obs_window(all_rows)
+    obs = obs if obs is not None else obs_window(all_rows)
     surv = survivor_rows(events, F.col(S.INSTALL_YEAR) < F.lit(cutoff))
     rows = all_rows.select(*ROW_COLS).unionByName(surv)
     rows = attach_window(rows, obs)

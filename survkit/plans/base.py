@@ -58,8 +58,15 @@ class Data:
 
     @property
     def events(self) -> DataFrame:
-        """Master events (fixture derivation in one join; see fixtures.master_tables)."""
-        return FX.master_tables(self.spark, self.sf_dir)[0]
+        """Master events: the failure rows of the full master table.
+
+        In the fixture every failure belongs to a known asset, so the inner
+        join equals the left join's rows with a failure; deriving it by a
+        filter lets both tables share one join (and one exchange) per plan.
+        """
+        from pyspark.sql import functions as F
+
+        return self.all.filter(F.col(S.FAILED_AT).isNotNull())
 
     @property
     def all(self) -> DataFrame:
@@ -85,6 +92,17 @@ class Data:
         """Cleaned rows of the full table (failures + survivors) with years."""
         return C.with_years(C.clean(self.all))
 
+    @property
+    def obs(self) -> DataFrame:
+        """Per-region observation window, written once per query to the shared folder."""
+        if getattr(self, "_obs", None) is None:
+            from ..operators.episodes import obs_window
+            from ..session import ensure_checkpoint_dir
+
+            ensure_checkpoint_dir(self.spark)
+            self._obs = obs_window(self.all_c).checkpoint(eager=True)
+        return self._obs
+
 
 # DuckDB text of the same derivation.  Every oracle query starts with it.
 PRELUDE = """

@@ -95,11 +95,11 @@ TARGET_BODY = TARGET_SQL[TARGET_SQL.index("trows AS"):]
 
 
 def prep(d: Data, variant: str = "reg", repairs: bool = False):
-    return EP.episodes(d.all_c, d.events_c, A, INIT, variant=variant, with_repairs=repairs)
+    return EP.episodes(d.all_c, d.events_c, A, INIT, variant=variant, with_repairs=repairs, obs=d.obs)
 
 
 def truth(d: Data):
-    return EP.target_episodes(d.all_c, d.events_c, A)
+    return EP.target_episodes(d.all_c, d.events_c, A, obs=d.obs)
 
 
 def truth_first(d: Data):
