@@ -92,6 +92,17 @@ class Data:
         """Cleaned rows of the full table (failures + survivors) with years."""
         return C.with_years(C.clean(self.all))
 
+    @property
+    def all_c_stored(self) -> DataFrame:
+        """``all_c`` written once to the shared folder (for queries that scan it several
+        times: bin edges, quantiles, then the main aggregate)."""
+        if getattr(self, "_all_c_stored", None) is None:
+            from ..session import ensure_checkpoint_dir
+
+            ensure_checkpoint_dir(self.spark)
+            self._all_c_stored = self.all_c.checkpoint(eager=True)
+        return self._all_c_stored
+
     @property
     def obs(self) -> DataFrame:
         """Per-region observation window, written once per query to the shared folder."""

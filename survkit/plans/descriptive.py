@@ -170,7 +170,7 @@ def bin_equal_width(spark, sf_dir):
     ),
 )
 def bin_quantile(spark, sf_dir):
-    a = Data(spark, sf_dir).all_c
+    a = Data(spark, sf_dir).all_c_stored
     out = B.qcut(a, S.SIZE, 5, "size")
     return out.select(S.REGION, S.ASSET_ID, S.FAILED_AT, S.SIZE, "size_bin", "size_range")
 
@@ -248,7 +248,7 @@ XT_COLS = ["year_bin", "size_bin", S.MATERIAL, S.MATERIAL_AGE, S.REGION]
 
 def _binned_all(d: Data):
     """all_c with clamped install-year bins (cut 5) and size quintiles (qcut 5)."""
-    a = d.all_c.withColumn("year_c", clamp_low(S.INSTALL_YEAR, CLAMP_YEAR))
+    a = d.all_c_stored.withColumn("year_c", clamp_low(S.INSTALL_YEAR, CLAMP_YEAR))
     a = B.cut(a, "year_c", 5, "year")
     return B.qcut(a, S.SIZE, 5, "size")
 
@@ -360,7 +360,7 @@ def rate_by_region_year(spark, sf_dir):
 
 def _size_lookup(d: Data, compat: bool = False):
     """(id, size_bin) of the installed table; deduplicated unless compat."""
-    b = B.qcut(d.all_c, S.SIZE, 5, "size").select(S.ID, "size_bin")
+    b = B.qcut(d.all_c_stored, S.SIZE, 5, "size").select(S.ID, "size_bin")
     return b if compat else b.dropDuplicates([S.ID])
 
 

@@ -103,7 +103,7 @@ SIZE6_SQL = (
 
 def _all6(d: Data):
     """all_c with size sextiles (qcut 6, as in the survival analyses)."""
-    return B.qcut(d.all_c, S.SIZE, 6, "size")
+    return B.qcut(d.all_c_stored, S.SIZE, 6, "size")
 
 
 # ---------------------------------------------------------------- K1 / K2
