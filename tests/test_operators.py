@@ -168,3 +168,25 @@ def test_permuted_copies_are_permutations(spark):
     out = permuted_copies(df, ["x"], 3, keys=["id"]).toPandas()
     for _, g in out.groupby("repeat"):
         assert sorted(g.x) == [float(i) for i in range(50)] and sorted(g.id) == list(range(50))
+
+
+def test_running_sums_split_a_hot_group(spark):
+    # one group holds ~90 % of the rows; it is spread over all ranges
+    rng = np.random.default_rng(9)
+    g = np.where(rng.random(4000) < 0.9, 0, rng.integers(1, 4, 4000))
+    pdf = pd.DataFrame({"g": g, "s": rng.permutation(4000).astype(float), "v": rng.integers(0, 3, 4000)})
+    out = running_sums(spark.createDataFrame(pdf), "s", ["v"], group_cols=["g"], num_ranges=8)
+    got = out.toPandas()
+    exp = pdf.sort_values(["g", "s"]).assign(cv=lambda d: d.groupby("g").v.cumsum())
+    m = exp.merge(got, on=["g", "s"])
+    assert (m.cv == m.cum_v).all()
+
+
+def test_join_lookup_falls_back_to_shuffle_join(spark):
+    from survkit.operators.joins import join_lookup
+
+    big = spark.createDataFrame([(i, f"r{i % 3}") for i in range(30)], "k long, region string")
+    small = spark.createDataFrame([("r0", 1), ("r1", 2)], "region string, w int")
+    a = sorted(join_lookup(big, small, ["region"]).collect())
+    b = sorted(join_lookup(big, small, ["region"], max_rows=0).collect())
+    assert a == b and len(a) == 30 and sum(1 for r in a if r["w"] is None) == 10
