@@ -57,8 +57,27 @@ def _asset_order() -> list[Column]:
     return [F.col(S.FAILED_AT).asc_nulls_last()] + [F.col(c).asc_nulls_last() for c in ROW_COLS if c != S.FAILED_AT]
 
 
-def asset_window() -> Window:
-    return Window.partitionBy(S.ID).orderBy(*_asset_order())
+# The per-asset windows partition on (asset_id, region) -- the same asset as
+# ``id`` -- so they reuse the hash partitioning of the master-table join on
+# asset_id instead of shuffling the rows again by the text id.
+ASSET_KEY = [S.ASSET_ID, S.REGION]
+
+
+def asset_window(key_cols: list[str] | None = None) -> Window:
+    return Window.partitionBy(*(key_cols or ASSET_KEY)).orderBy(*_asset_order())
+
+
+SALTED_KEY = "_asset_key"
+
+
+def with_salted_key(rows: DataFrame) -> DataFrame:
+    """``_asset_key`` = asset_id, or for rows of unknown assets a per-row negative hash.
+
+    Failures of unknown assets share a null key; salting spreads them over
+    the cluster instead of one window partition (each is its own history).
+    """
+    salt = F.lit(-1) - F.pmod(F.xxhash64(*[F.col(c) for c in ROW_COLS]), F.lit(1 << 62))
+    return rows.withColumn(SALTED_KEY, F.coalesce(F.col(S.ASSET_ID), salt))
 
 
 def dedup_rows(rows: DataFrame) -> DataFrame:
@@ -70,7 +89,7 @@ def dedup_rows(rows: DataFrame) -> DataFrame:
     ).drop("_prev")
 
 
-def with_start(rows: DataFrame, variant: str, init: int = 0) -> DataFrame:
+def with_start(rows: DataFrame, variant: str, init: int = 0, key_cols: list[str] | None = None) -> DataFrame:
     """Episode start ``last_failure_year``.
 
     reg : install year; previous failure year of the same asset when there is one.
@@ -79,7 +98,7 @@ def with_start(rows: DataFrame, variant: str, init: int = 0) -> DataFrame:
     obs : obs_start; then previous failure.
     A previous row without failure year gives 0 (source behaviour, trap G6).
     """
-    w = asset_window()
+    w = asset_window(key_cols)
     prev_year = F.lag(S.FAILURE_YEAR).over(w)
     is_first = F.row_number().over(w) == 1
     iy = F.col(S.INSTALL_YEAR)
@@ -92,13 +111,10 @@ def with_start(rows: DataFrame, variant: str, init: int = 0) -> DataFrame:
         base = F.col(S.OBS_START)
     else:
         raise ValueError(variant)
-    start = F.when(is_first, base).otherwise(F.coalesce(prev_year, F.lit(0)))
-    # Rows without an asset id (failures of unknown assets) have no history:
-    # they start at their own base value and never enter the per-asset window,
-    # so a mass of orphan rows cannot pile up in one window partition.
-    keyed = rows.filter(F.col(S.ID).isNotNull()).withColumn(S.START, start.cast("int"))
-    orphans = rows.filter(F.col(S.ID).isNull()).withColumn(S.START, base.cast("int"))
-    return keyed.unionByName(orphans)
+    # rows of unknown assets have no history: they start at their base value
+    unknown = F.col(S.ASSET_ID).isNull() | F.col(S.REGION).isNull()
+    start = F.when(unknown | is_first, base).otherwise(F.coalesce(prev_year, F.lit(0)))
+    return rows.withColumn(S.START, start.cast("int"))
 
 
 def attach_window(rows: DataFrame, obs: DataFrame) -> DataFrame:
@@ -135,7 +151,7 @@ def episodes(
     rows = with_start(rows, variant, init)
     if with_repairs:
         # assets with a failure before the cutoff, seen on the asset partition
-        has_fail = F.max(F.col(S.FAILURE_YEAR).isNotNull().cast("int")).over(Window.partitionBy(S.ID))
+        has_fail = F.max(F.col(S.FAILURE_YEAR).isNotNull().cast("int")).over(Window.partitionBy(*ASSET_KEY))
         rows = rows.withColumn("_has_fail", has_fail)
     rows = rows.withColumn(S.EVENT, F.col(S.FAILURE_YEAR).isNotNull().cast("int"))
     end = F.coalesce(F.col(S.FAILURE_YEAR), F.least(F.col(S.OBS_END), F.lit(cutoff - 1)))
@@ -155,12 +171,13 @@ def episodes(
 
 def target_episodes(all_rows: DataFrame, events: DataFrame, cutoff: int, obs: DataFrame | None = None) -> DataFrame:
     """Truth episodes: nothing is masked; every failed asset installed before the cutoff
-    gets a failure-free row; censored rows end at obs_end; key (id, last_failure_year)."""
+    gets a failure-free row; censored rows end at obs_end; key (id, last_failure_year).
+    Carries ``_asset_key`` (salted asset key) for the per-asset windows downstream."""
     obs = obs if obs is not None else obs_window(all_rows)
     surv = survivor_rows(events, F.col(S.INSTALL_YEAR) < F.lit(cutoff))
     rows = all_rows.select(*ROW_COLS).unionByName(surv)
-    rows = attach_window(rows, obs)
-    rows = with_start(rows, "reg")
+    rows = with_salted_key(attach_window(rows, obs))
+    rows = with_start(rows, "reg", key_cols=[SALTED_KEY, S.REGION])
     rows = rows.withColumn(S.EVENT, F.col(S.FAILURE_YEAR).isNotNull().cast("int"))
     rows = rows.withColumn(S.FAILURE_YEAR, F.coalesce(F.col(S.FAILURE_YEAR), F.col(S.OBS_END)).cast("int"))
     return rows.withColumn(S.DURATION, (F.col(S.FAILURE_YEAR) - F.col(S.START)).cast("int"))

@@ -103,7 +103,8 @@ def truth(d: Data):
 
 
 def truth_first(d: Data):
-    return EP.first_per_key(truth(d), [S.ID, S.START])
+    # (salted asset key, region) = id: stays on the truth rows' partitioning
+    return EP.first_per_key(truth(d), [EP.SALTED_KEY, S.REGION, S.START]).drop(EP.SALTED_KEY)
 
 
 # ---------------------------------------------------------------- E1 / J3 / J4 / A17
@@ -327,7 +328,7 @@ def sorted_events(spark, sf_dir):
 )
 def latest_failure_row(spark, sf_dir):
     """Last failure row of each asset (keep='last' after sorting by date)."""
-    return EP.last_per_key(Data(spark, sf_dir).events_c, [S.ID]).select(*EP.ROW_COLS)
+    return EP.last_per_key(Data(spark, sf_dir).events_c, EP.ASSET_KEY).select(*EP.ROW_COLS)
 
 
 REPAIR_COUNT_SQL = f"rc AS (SELECT id, count(*) AS n_repairs FROM ev_c WHERE failure_year < {A} GROUP BY id)"
