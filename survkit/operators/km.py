@@ -59,7 +59,8 @@ def duration_counts(
         cond = cond & F.col(c).isNotNull()
     base = df.filter(cond)
     counts = base.groupBy(*keys, time_col).agg(F.count(F.lit(1)).alias("_n"))
-    stats = _window_stats(base, win, time_col)
+    # the window min/max come from the (small) count table, not from a second scan
+    stats = _window_stats(counts, win, time_col)
     t = F.col(time_col)
     j = _attach(counts, stats, win)
     dur = F.when(t.isNull(), F.col("_mx") - F.col("_mn")).otherwise(t - F.col("_mn")).cast("int")

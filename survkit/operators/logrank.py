@@ -27,8 +27,10 @@ def group_year_counts(df: DataFrame, group_col: str, part: list[str], time_col:
     base = df.filter(F.col(group_col).isNotNull()).select(
         *part, F.col(group_col).cast("string").alias("g"), F.col(time_col).alias("y")
     )
-    rows = base.groupBy(*part, "g").agg(F.count(F.lit(1)).alias("N"))
-    deaths = base.filter(F.col("y").isNotNull()).groupBy(*part, "g", "y").agg(F.count(F.lit(1)).alias("d"))
+    # one scan: counts per (group, year or null); rows and failures both derive from it
+    cnt = base.groupBy(*part, "g", "y").agg(F.count(F.lit(1)).alias("_c"))
+    rows = cnt.groupBy(*part, "g").agg(F.sum("_c").alias("N"))
+    deaths = cnt.filter(F.col("y").isNotNull()).select(*part, "g", "y", F.col("_c").alias("d"))
     return rows, deaths
 
 
