@@ -117,10 +117,10 @@ def with_start(rows: DataFrame, variant: str, init: int = 0, key_cols: list[str]
     return rows.withColumn(S.START, start.cast("int"))
 
 
-def attach_window(rows: DataFrame, obs: DataFrame) -> DataFrame:
+def attach_window(rows: DataFrame, obs: DataFrame, materialized: bool = False) -> DataFrame:
     # one row per region, broadcast after an exact count: never shuffle the
     # asset rows by region (skew), keep their partitioning by asset id
-    return join_lookup(rows, obs, [S.REGION], "left")
+    return join_lookup(rows, obs, [S.REGION], "left", materialized=materialized)
 
 
 def episodes(
@@ -141,13 +141,14 @@ def episodes(
     """
     if drop_unknown_history is None:
         drop_unknown_history = variant == "reg"
-    obs = obs if obs is not None else obs_window(all_rows)
+    given = obs is not None
+    obs = obs if given else obs_window(all_rows)
     censored = censor_at_cutoff(all_rows, cutoff).select(*ROW_COLS)
     surv = survivor_rows(
         events, (F.col(S.FAILURE_YEAR) < F.lit(cutoff)) & (F.col(S.INSTALL_YEAR) < F.lit(cutoff))
     )
     rows = dedup_rows(censored.unionByName(surv))
-    rows = attach_window(rows, obs)
+    rows = attach_window(rows, obs, materialized=given)
     rows = with_start(rows, variant, init)
     if with_repairs:
         # assets with a failure before the cutoff, seen on the asset partition
@@ -173,10 +174,11 @@ def target_episodes(all_rows: DataFrame, events: DataFrame, cutoff: int, obs: Da
     """Truth episodes: nothing is masked; every failed asset installed before the cutoff
     gets a failure-free row; censored rows end at obs_end; key (id, last_failure_year).
     Carries ``_asset_key`` (salted asset key) for the per-asset windows downstream."""
-    obs = obs if obs is not None else obs_window(all_rows)
+    given = obs is not None
+    obs = obs if given else obs_window(all_rows)
     surv = survivor_rows(events, F.col(S.INSTALL_YEAR) < F.lit(cutoff))
     rows = all_rows.select(*ROW_COLS).unionByName(surv)
-    rows = with_salted_key(attach_window(rows, obs))
+    rows = with_salted_key(attach_window(rows, obs, materialized=given))
     rows = with_start(rows, "reg", key_cols=[SALTED_KEY, S.REGION])
     rows = rows.withColumn(S.EVENT, F.col(S.FAILURE_YEAR).isNotNull().cast("int"))
     rows = rows.withColumn(S.FAILURE_YEAR, F.coalesce(F.col(S.FAILURE_YEAR), F.col(S.OBS_END)).cast("int"))

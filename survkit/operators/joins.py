@@ -13,7 +13,7 @@ MAX_BROADCAST_ROWS = 1_000_000
 
 
 def join_lookup(big: DataFrame, small: DataFrame, on: list[str], how: str = "left",
-                max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                max_rows: int = MAX_BROADCAST_ROWS, materialized: bool = False) -> DataFrame:
     """Join ``big`` to a lookup table that is usually small (one row per region, ...).
 
     The lookup is written once to the shared checkpoint folder, counted
@@ -21,9 +21,11 @@ def join_lookup(big: DataFrame, small: DataFrame, on: list[str], how: str = "lef
     broadcast keeps ``big`` where it is: no exchange on a low-cardinality key
     (which would put each region -- possibly a third of all rows -- in one
     task) and the current partitioning (e.g. by asset id) survives the join.
+    ``materialized`` says the lookup is already written (only the count runs).
     """
-    ensure_checkpoint_dir(small.sparkSession)
-    small = small.checkpoint(eager=True)
+    if not materialized:
+        ensure_checkpoint_dir(small.sparkSession)
+        small = small.checkpoint(eager=True)
     if small.count() <= max_rows:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)

@@ -81,3 +81,16 @@ def dq_orphan_events(spark, sf_dir):
 )
 def dq_duplicates(spark, sf_dir):
     return Data(spark, sf_dir).all.groupBy(*I.MASTER_COLUMNS).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+# Dates arriving as text are parsed strictly (ANSI: a bad value raises).
+@query(
+    "parse_dates",
+    sql("""SELECT id, strftime(installed_at, '%Y-%m-%d') AS installed_text, installed_at,
+                  CAST(year(installed_at) AS INTEGER) AS install_year FROM master_all"""),
+)
+def parse_dates(spark, sf_dir):
+    a = Data(spark, sf_dir).all.select(S.ID, F.date_format(S.INSTALLED_AT, "yyyy-MM-dd").alias("installed_text"))
+    p = C.parse_dates(a.withColumn(S.INSTALLED_AT, F.col("installed_text")), [S.INSTALLED_AT], "yyyy-MM-dd")
+    p = p.withColumn(S.INSTALLED_AT, F.col(S.INSTALLED_AT).cast("timestamp_ntz"))
+    return p.select(S.ID, "installed_text", S.INSTALLED_AT, F.year(S.INSTALLED_AT).alias(S.INSTALL_YEAR))
