@@ -33,28 +33,6 @@ def rate(events: DataFrame, rows: DataFrame, keys: list[str], scale: float = 100
     return out.withColumn("rate", safe_ratio("n_failures", "n_rows", scale))
 
 
-def grid_rate(events: DataFrame, rows: DataFrame, x: str, y: str, scale: float = 1000.0) -> DataFrame:
-    """Every (x, y) pair of the installed values; failures / rows x scale, 0 when missing.
-
-    The grid is distinct(x) x distinct(y) of the installed table -- both sides
-    are category lists, so the product is bounded by the category counts.
-    """
-    xs = rows.select(x).filter(F.col(x).isNotNull()).distinct()
-    ys = rows.select(y).filter(F.col(y).isNotNull()).distinct()
-    grid = xs.crossJoin(ys)
-    ev = count_by(events, [x, y], "n_failures")
-    al = count_by(rows, [x, y], "n_rows")
-    out = grid.join(al, [x, y], "left").join(ev, [x, y], "left")
-    both = F.col("n_failures").isNotNull() & F.col("n_rows").isNotNull()
-    return out.select(
-        x,
-        y,
-        F.coalesce("n_failures", F.lit(0)).alias("n_failures"),
-        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-        F.when(both, safe_ratio("n_failures", "n_rows", scale)).otherwise(F.lit(0.0)).alias("rate"),
-    )
-
-
 def all_pair_crosstabs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Joint counts of every column pair plus each column's margin in ONE pass.
 
@@ -75,13 +53,3 @@ def all_pair_crosstabs(df: DataFrame, columns: list[str]) -> DataFrame:
             cond = cond & F.col(c).isNotNull()
         keep = keep | cond
     return out.filter(keep)
-
-
-def log_size(df: DataFrame, count_col: str, k: float) -> DataFrame:
-    """ln(n / min(n)) * k over a small aggregate (marker sizes of a cross-tab)."""
-    lo = df.agg(F.min(count_col).alias("_min_n"))  # one row
-    return (
-        df.crossJoin(F.broadcast(lo))
-        .withColumn("log_size", F.log(F.col(count_col) / F.col("_min_n")) * F.lit(k))
-        .drop("_min_n")
-    )

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from .integrate import union_fill_missing
 from .joins import join_lookup
 
 ROW_COLS = [S.REGION, S.ASSET_ID, S.INSTALLED_AT, S.SIZE, S.MATERIAL, S.MATERIAL_AGE, S.FAILED_AT, S.ID,
@@ -44,11 +45,11 @@ def censor_at_cutoff(all_rows: DataFrame, cutoff: int) -> DataFrame:
 
 
 def survivor_rows(events: DataFrame, cond: Column) -> DataFrame:
-    """A failure-free copy of the rows of failed assets (the asset lives on after repair)."""
-    return events.filter(cond).select(
-        *[F.lit(None).cast(events.schema[c].dataType).alias(c) if c in (S.FAILED_AT, S.FAILURE_YEAR) else F.col(c)
-          for c in ROW_COLS]
-    )
+    """A failure-free copy of the rows of failed assets (the asset lives on after repair).
+
+    The failure columns are left out; stacking with ``union_fill_missing``
+    null-fills them (by-name union, as the source's concat)."""
+    return events.filter(cond).select(*[c for c in ROW_COLS if c not in (S.FAILED_AT, S.FAILURE_YEAR)])
 
 
 def _asset_order() -> list[Column]:
@@ -147,7 +148,7 @@ def episodes(
     surv = survivor_rows(
         events, (F.col(S.FAILURE_YEAR) < F.lit(cutoff)) & (F.col(S.INSTALL_YEAR) < F.lit(cutoff))
     )
-    rows = dedup_rows(censored.unionByName(surv))
+    rows = dedup_rows(union_fill_missing([censored, surv]).select(*ROW_COLS))
     rows = attach_window(rows, obs, materialized=given)
     rows = with_start(rows, variant, init)
     if with_repairs:
@@ -177,7 +178,7 @@ def target_episodes(all_rows: DataFrame, events: DataFrame, cutoff: int, obs: Da
     given = obs is not None
     obs = obs if given else obs_window(all_rows)
     surv = survivor_rows(events, F.col(S.INSTALL_YEAR) < F.lit(cutoff))
-    rows = all_rows.select(*ROW_COLS).unionByName(surv)
+    rows = union_fill_missing([all_rows.select(*ROW_COLS), surv]).select(*ROW_COLS)
     rows = with_salted_key(attach_window(rows, obs, materialized=given))
     rows = with_start(rows, "reg", key_cols=[SALTED_KEY, S.REGION])
     rows = rows.withColumn(S.EVENT, F.col(S.FAILURE_YEAR).isNotNull().cast("int"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..operators import counts as K
 from ..operators import episodes as EP
+from ..operators import integrate as I
 from .base import Data, query, sql
 
 ST = S.DEFAULT_STUDY
@@ -136,7 +137,7 @@ def reinsert_survivors(spark, sf_dir):
     d = Data(spark, sf_dir)
     cens = EP.censor_at_cutoff(d.all_c, A).select(*EP.ROW_COLS)
     surv = EP.survivor_rows(d.events_c, (F.col(S.FAILURE_YEAR) < A) & (F.col(S.INSTALL_YEAR) < A))
-    return EP.dedup_rows(cens.unionByName(surv))
+    return EP.dedup_rows(I.union_fill_missing([cens, surv]).select(*EP.ROW_COLS))
 
 
 # ---------------------------------------------------------------- E4 variants
@@ -144,7 +145,7 @@ def reinsert_survivors(spark, sf_dir):
 def _start_rows(d: Data, variant: str):
     cens = EP.censor_at_cutoff(d.all_c, A).select(*EP.ROW_COLS)
     surv = EP.survivor_rows(d.events_c, (F.col(S.FAILURE_YEAR) < A) & (F.col(S.INSTALL_YEAR) < A))
-    rows = EP.attach_window(EP.dedup_rows(cens.unionByName(surv)), EP.obs_window(d.all_c))
+    rows = EP.attach_window(EP.dedup_rows(I.union_fill_missing([cens, surv]).select(*EP.ROW_COLS)), d.obs, materialized=True)
     return EP.with_start(rows, variant, INIT).select(S.ID, S.FAILED_AT, S.INSTALL_YEAR, S.START)
 
 

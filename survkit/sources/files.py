@@ -61,10 +61,3 @@ def read_region_files(spark: SparkSession, base: str) -> tuple[DataFrame, DataFr
     )
     failures = f.select(F.col("region").alias(S.REGION), F.col("IDTC").alias(S.ASSET_ID), F.col("DDCC").alias(S.FAILED_AT))
     return assets, failures
-
-
-def read_master(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Scan a written master table (parquet by default; CSV with a header otherwise)."""
-    if fmt == "parquet":
-        return spark.read.parquet(path)
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
