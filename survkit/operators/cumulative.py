@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from ..session import ensure_checkpoint_dir
 
 _B = "_range_id"
+MAX_RANGES = 1024
 
 
 def _range_id(key: Column, bounds: list[float]) -> Column:
@@ -60,7 +61,9 @@ def running_sums(
     """
     group_cols = list(group_cols or [])
     spark = df.sparkSession
-    n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # ranges follow the shuffle width, capped so the range-id expression (a
+    # balanced comparison tree over literal bounds) stays small
+    n = num_ranges or min(MAX_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # The input (an aggregate per distinct key) is read three times: range
     # bounds, totals, rows.  A reliable checkpoint in the shared folder
     # computes the upstream once and cuts the lineage for retries.

@@ -60,3 +60,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for materialised tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files under ``path`` (Hadoop file system listing, no scan)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(hpath).getLength())
+
+
+def cluster_settings(total_input_bytes: int, input_per_shuffle_partition: int = 1 << 30,
+                     scan_split_bytes: int = 512 << 20, advisory_bytes: int = 256 << 20) -> dict[str, str]:
+    """Shuffle / scan sizing for a cluster run (apply when the session is built).
+
+    Shuffled bytes are a fraction of the (columnar, compressed) input, so one
+    initial shuffle partition per GiB of input keeps a reduce task well inside
+    executor memory (100 TB -> ~100k partitions); AQE then coalesces small
+    partitions and splits skewed ones against the advisory size.
+    """
+    parts = max(200, -(-total_input_bytes // input_per_shuffle_partition))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(advisory_bytes),
+        "spark.sql.files.maxPartitionBytes": str(scan_split_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * advisory_bytes),
+        **RECOMMENDED_CONF,
+    }
