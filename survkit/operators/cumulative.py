@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, store
 
 _B = "_range_id"
 MAX_RANGES = 1024
@@ -68,7 +68,7 @@ def running_sums(
     # bounds, totals, rows.  A reliable checkpoint in the shared folder
     # computes the upstream once and cuts the lineage for retries.
     ensure_checkpoint_dir(spark)
-    df = df.checkpoint(eager=True)
+    df = store(df, "running-sums-in")
     key = F.col(order_col).cast("double")
     if not ascending:
         key = -key

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, store
 
 # Above this many rows a lookup is not broadcast; the shuffle join (with AQE
 # skew splitting) takes over.
@@ -25,7 +25,7 @@ def join_lookup(big: DataFrame, small: DataFrame, on: list[str], how: str = "lef
     """
     if not materialized:
         ensure_checkpoint_dir(small.sparkSession)
-        small = small.checkpoint(eager=True)
+        small = store(small, "lookup")
     if small.count() <= max_rows:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)

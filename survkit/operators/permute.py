@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, store
 from .cumulative import running_sums
 
 _RID = "_rid"
@@ -23,9 +23,9 @@ _RID = "_rid"
 
 def with_dense_index(df: DataFrame, name: str = _RID) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
-    tagged = df.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    tagged = store(df.withColumn("_mid", F.monotonically_increasing_id()), "tagged")
     idx = running_sums(tagged.withColumn("_one", F.lit(1).cast("long")), "_mid", ["_one"])
-    return idx.withColumn(name, F.col("cum__one") - 1).drop("_one", "cum__one", "_mid").checkpoint(eager=True)
+    return store(idx.withColumn(name, F.col("cum__one") - 1).drop("_one", "cum__one", "_mid"), "indexed")
 
 
 def permuted_copies(df: DataFrame, features: list[str], repeats: int, keys: list[str], seed: int = 0) -> DataFrame:

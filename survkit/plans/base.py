@@ -71,7 +71,9 @@ class Data:
     @property
     def all(self) -> DataFrame:
         """Master all: failures plus never-failed assets."""
-        return FX.master_tables(self.spark, self.sf_dir)[1]
+        if getattr(self, "_all", None) is None:
+            self._all = FX.master_tables(self.spark, self.sf_dir)[1]
+        return self._all
 
     @property
     def events_integrated(self) -> DataFrame:
@@ -85,22 +87,26 @@ class Data:
     @property
     def events_c(self) -> DataFrame:
         """Cleaned failure rows with year columns."""
-        return C.with_years(C.clean(self.events))
+        if getattr(self, "_events_c", None) is None:
+            self._events_c = C.with_years(C.clean(self.events))
+        return self._events_c
 
     @property
     def all_c(self) -> DataFrame:
         """Cleaned rows of the full table (failures + survivors) with years."""
-        return C.with_years(C.clean(self.all))
+        if getattr(self, "_all_c", None) is None:
+            self._all_c = C.with_years(C.clean(self.all))
+        return self._all_c
 
     @property
     def all_c_stored(self) -> DataFrame:
         """``all_c`` written once to the shared folder (for queries that scan it several
         times: bin edges, quantiles, then the main aggregate)."""
         if getattr(self, "_all_c_stored", None) is None:
-            from ..session import ensure_checkpoint_dir
+            from ..session import ensure_checkpoint_dir, store
 
             ensure_checkpoint_dir(self.spark)
-            self._all_c_stored = self.all_c.checkpoint(eager=True)
+            self._all_c_stored = store(self.all_c, "all-c")
         return self._all_c_stored
 
     @property
@@ -108,10 +114,10 @@ class Data:
         """Per-region observation window, written once per query to the shared folder."""
         if getattr(self, "_obs", None) is None:
             from ..operators.episodes import obs_window
-            from ..session import ensure_checkpoint_dir
+            from ..session import ensure_checkpoint_dir, store
 
             ensure_checkpoint_dir(self.spark)
-            self._obs = obs_window(self.all_c).checkpoint(eager=True)
+            self._obs = store(obs_window(self.all_c), "obs-window")
         return self._obs
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..operators import evaluate as EV
 from ..operators import episodes as EP
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, store
 from .base import Data, query, sql
 from .episodes import A, PREP_SQL, TARGET_BODY, TEST_COND_SQL, prep, test_rows, truth_first
 
@@ -33,7 +33,7 @@ def scored(d: Data):
     tr = truth_first(d).select(S.ID, S.START, S.EVENT, S.DURATION)
     # the scored table feeds several metrics: write it once to the shared folder
     ensure_checkpoint_dir(d.spark)
-    return t.join(tr, [S.ID, S.START], "inner").checkpoint(eager=True)
+    return store(t.join(tr, [S.ID, S.START], "inner"), "scored")
 
 
 SCORED_SQL = (

@@ -16,7 +16,7 @@ from .. import schema as S
 from ..operators import evaluate as EV
 from ..operators import features as FE
 from ..operators import models as M
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, store
 from .base import Data, query, sql
 from .episodes import A, P, PREP_SQL, TEST_COND_SQL, prep, test_rows, truth_first
 
@@ -205,7 +205,7 @@ def _rff_frames(d: Data, shift_duration: bool):
     # iterative learners and cross-validation re-read the features many times:
     # compute them once into the shared checkpoint folder
     ensure_checkpoint_dir(learn.sparkSession)
-    return learn.checkpoint(eager=True), test.checkpoint(eager=True)
+    return store(learn, "rff-learn"), store(test, "rff-test")
 
 
 @query("model_rank_svm")

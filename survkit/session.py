@@ -62,6 +62,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def store(df, name: str = "stored"):
+    """Write ``df`` once as parquet under the shared checkpoint folder and scan it back.
+
+    Used for inputs read several times: the plan upstream runs exactly once
+    (an RDD checkpoint of an unpersisted plan computes it twice), the lineage
+    is cut (a lost executor costs a re-read, not a recomputation), and later
+    reads get parquet column pruning and filter pushdown.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def input_bytes(spark: SparkSession, path: str) -> int:
     """Total size of the files under ``path`` (Hadoop file system listing, no scan)."""
     jvm = spark.sparkContext._jvm

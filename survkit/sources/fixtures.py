@@ -27,8 +27,18 @@ PERIOD_ORIGIN = 1995
 PERIOD_YEARS = 2
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Scan of one input table; the DataFrame is reused within a session, so the
+    file listing / footer reads happen once and repeated subplans are identical
+    (exchange reuse)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), spark.sparkContext.applicationId, path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
