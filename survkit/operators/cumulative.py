@@ -5,6 +5,7 @@ ROC need running sums over *all* scores, so they use this operator instead:
 
 1. cut the order key into ``n`` ranges at approximate quantiles (n-1 numbers
    reach the driver, a bounded amount) -> a deterministic range id per row;
+   ``n`` follows the measured row count (~2M rows per range, at most 1024);
 2. totals per (range, group) -- a tiny table (<= n x groups rows) -- and
    their exclusive running sum over ranges -> an offset per (range, group);
 3. running sums inside each (range, group) by a window partitioned on the
@@ -28,6 +29,7 @@ from ..session import ensure_checkpoint_dir, store
 
 _B = "_range_id"
 MAX_RANGES = 1024
+ROWS_PER_RANGE = 2_000_000
 
 
 def _range_id(key: Column, bounds: list[float]) -> Column:
@@ -61,14 +63,18 @@ def running_sums(
     """
     group_cols = list(group_cols or [])
     spark = df.sparkSession
-    # ranges follow the shuffle width, capped so the range-id expression (a
-    # balanced comparison tree over literal bounds) stays small
-    n = num_ranges or min(MAX_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # The input (an aggregate per distinct key) is read three times: range
-    # bounds, totals, rows.  A reliable checkpoint in the shared folder
-    # computes the upstream once and cuts the lineage for retries.
+    # bounds, totals, rows.  Writing it once to the shared folder computes the
+    # upstream once and cuts the lineage for retries.
     ensure_checkpoint_dir(spark)
     df = store(df, "running-sums-in")
+    if num_ranges is None:
+        # about ROWS_PER_RANGE rows per range (a window task), at most MAX_RANGES
+        # ranges so the range-id expression (a comparison tree) stays small
+        rows = df.count()  # parquet metadata of the stored input
+        n = max(1, min(MAX_RANGES, -(-rows // ROWS_PER_RANGE)))
+    else:
+        n = num_ranges
     key = F.col(order_col).cast("double")
     if not ascending:
         key = -key

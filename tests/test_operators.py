@@ -74,7 +74,7 @@ def test_running_sums_match_pandas(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 3000), "s": rng.permutation(3000).astype(float),
                         "v": rng.integers(0, 5, 3000)})
-    got = running_sums(spark.createDataFrame(pdf), "s", ["v"], ascending=False, group_cols=["g"]).toPandas()
+    got = running_sums(spark.createDataFrame(pdf), "s", ["v"], ascending=False, group_cols=["g"], num_ranges=7).toPandas()
     exp = pdf.sort_values(["g", "s"], ascending=[True, False]).assign(cv=lambda d: d.groupby("g").v.cumsum())
     m = exp.merge(got, on=["g", "s"])
     assert len(m) == 3000 and (m.cv == m.cum_v).all()
@@ -138,6 +138,12 @@ def _brute_cindex(t, e, s):
     return (conc + 0.5 * tied) / comp
 
 
+def test_running_sums_single_range_for_small_input(spark):
+    pdf = pd.DataFrame({"s": np.arange(500, dtype=float)[::-1], "v": np.ones(500, dtype=int)})
+    got = running_sums(spark.createDataFrame(pdf), "s", ["v"]).toPandas().sort_values("s")
+    assert got.cum_v.tolist() == list(range(1, 501))
+
+
 def test_concordance_matches_brute_force(spark):
     rng = np.random.default_rng(11)
     t = rng.integers(0, 6, 300).tolist()
