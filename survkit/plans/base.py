@@ -8,9 +8,11 @@ top of the same derived tables expressed as CTEs (``PRELUDE``).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import clean as C
@@ -22,15 +24,37 @@ ORACLE: dict[str, str] = {}
 ROWS_ONLY: set[str] = set()
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query; ``sql`` (DuckDB) omitted means rows-only check."""
+# Digits kept for floating results whose last bits depend on summation
+# order (means, sums of products, logs): both engines round the same way.
+ROUND_DIGITS = 9
+
+
+def query(name: str, sql: str | None = None, round_cols: tuple[str, ...] = (), round_digits: int = ROUND_DIGITS):
+    """Register a query; ``sql`` (DuckDB) omitted means rows-only check.
+
+    ``round_cols`` are rounded to ``round_digits`` decimals in the Spark result
+    and in the oracle alike (their last bits depend on the order of a sum).
+    """
 
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+        if round_cols:
+
+            @functools.wraps(fn)
+            def run(spark, sf_dir):
+                df = fn(spark, sf_dir)
+                return df.withColumns({c: F.round(F.col(c), round_digits) for c in round_cols})
+
+            QUERIES[name] = run
+        else:
+            QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            if round_cols:
+                rep = ", ".join(f"round({c}, {round_digits}) AS {c}" for c in round_cols)
+                ORACLE[name] = f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS _rounded"
+            else:
+                ORACLE[name] = sql
         else:
             ROWS_ONLY.add(name)
         return fn

@@ -69,6 +69,8 @@ def failures_by_region_year(spark, sf_dir):
 @query(
     "mean_size_by_region",
     sql("SELECT region, avg(size_mm) AS mean_size FROM ev_c WHERE region IS NOT NULL GROUP BY region"),
+    round_cols=("mean_size",),
+    round_digits=6,  # sizes are ~1e5: keep the rounding well above the summation noise
 )
 def mean_size_by_region(spark, sf_dir):
     ev = Data(spark, sf_dir).events_c.filter(F.col(S.REGION).isNotNull())
@@ -417,7 +419,7 @@ _LONG_SQL = " UNION ALL ".join(
            lt_long AS ("""
         + _LONG_SQL.format(v="lifetime", src="lt")
         + ")",
-    ),
+    ), round_cols=('median_lifetime',)
 )
 def median_lifetime(spark, sf_dir):
     d = Data(spark, sf_dir)
@@ -467,7 +469,7 @@ def marginal_rate(spark, sf_dir):
                     AS rate_scaled
            FROM mr""",
         _MARGINAL_SQL,
-    ),
+    ), round_cols=('rate_scaled',)
 )
 def marginal_rate_scaled(spark, sf_dir):
     """rate x mean(count) / mean(rate), per dimension (aggregate of a few rows per dimension)."""
@@ -616,7 +618,7 @@ _EVGRID_SQL = (
            FROM grid g LEFT JOIN ev_pairs e USING (x_name, y_name, x_value, y_value)
            LEFT JOIN mins m USING (x_name, y_name)""",
         _EVGRID_SQL,
-    ),
+    ), round_cols=('log_size',)
 )
 def crosstab_logsize(spark, sf_dir):
     """Failure cross-tab marker size ln(n / min n) * 7 per pair, 0 for empty cells."""

@@ -104,7 +104,7 @@ def lift_curve(spark, sf_dir):
                   round(coalesce(sum((a.x - b.x) * (a.y + b.y) / 2.0), 0.0), 2) AS area_rounded
            FROM lift a JOIN lift b ON a.position = b.position + 1""",
         SCORED_SQL + ",\n" + _LIFT_SQL,
-    ),
+    ), round_cols=('area',)
 )
 def lift_auc(spark, sf_dir):
     """Area under the lift curve (trapezoids between points, no origin), as in the source report."""
@@ -125,7 +125,7 @@ def roc_curve(spark, sf_dir):
     return EV.roc_curve(scored(Data(spark, sf_dir)))
 
 
-@query("roc_auc", sql(_mw_sql("(SELECT proba AS score, pos, neg FROM sc)", None), SCORED_SQL))
+@query("roc_auc", sql(_mw_sql("(SELECT proba AS score, pos, neg FROM sc)", None), SCORED_SQL), round_cols=('auc',))
 def roc_auc(spark, sf_dir):
     return EV.auc(scored(Data(spark, sf_dir)))
 
@@ -143,7 +143,7 @@ _DYN_SQL = """dyn_in AS (SELECT tg.t, s.proba AS score,
     dyn AS (""" + _mw_sql("dyn_in", "t") + ")"
 
 
-@query("dynamic_auc", sql("SELECT t, auc FROM dyn", SCORED_SQL + ",\n" + _DYN_SQL))
+@query("dynamic_auc", sql("SELECT t, auc FROM dyn", SCORED_SQL + ",\n" + _DYN_SQL), round_cols=('auc',))
 def dynamic_auc(spark, sf_dir):
     """AUC per grid time: positives = failed within t, all others negative."""
     s = scored(Data(spark, sf_dir))
@@ -156,7 +156,7 @@ def dynamic_auc(spark, sf_dir):
         f"""SELECT g.auc AS auc_global, m.auc_mean FROM ({_mw_sql("(SELECT proba AS score, pos, neg FROM sc)", None)}) g
             CROSS JOIN (SELECT avg(auc) AS auc_mean FROM dyn) m""",
         SCORED_SQL + ",\n" + _DYN_SQL,
-    ),
+    ), round_cols=('auc_global', 'auc_mean')
 )
 def dynamic_auc_mean(spark, sf_dir):
     """(global AUC, mean of the per-time AUCs) as returned by the source routine."""
@@ -184,7 +184,7 @@ def dynamic_auc_mean(spark, sf_dir):
     ipcw AS ("""
         + _mw_sql("ip_in", "t")
         + ")",
-    ),
+    ), round_cols=('auc',)
 )
 def dynamic_auc_ipcw(spark, sf_dir):
     """Cumulative/dynamic AUC with censoring weights (defined but never called in the source)."""
@@ -212,7 +212,7 @@ def dynamic_auc_ipcw(spark, sf_dir):
     ci_ctrl AS (SELECT T, proba, sum(w) AS ctrl FROM ci_b JOIN ci_t
                 ON ci_b.duration > ci_t.T OR (ci_b.duration = ci_t.T AND ci_b.event = 0) GROUP BY ALL),
     ci_cases AS (SELECT duration AS T, proba, sum(w) AS cases FROM ci_b WHERE event = 1 GROUP BY ALL)""",
-    ),
+    ), round_cols=('c_index',)
 )
 def c_index(spark, sf_dir):
     """Harrell's concordance from per-(time, score) counts (commented out in the source)."""
@@ -250,7 +250,7 @@ N_CLASSES = 10
         mc AS (SELECT cls, score, CAST(sum(CASE WHEN label = cls THEN 1 ELSE 0 END) AS BIGINT) AS pos,
                       CAST(sum(CASE WHEN label = cls THEN 0 ELSE 1 END) AS BIGINT) AS neg FROM mrows GROUP BY ALL),
         mc_micro AS (SELECT score, CAST(sum(pos) AS BIGINT) AS pos, CAST(sum(neg) AS BIGINT) AS neg FROM mc GROUP BY ALL)""",
-    ),
+    ), round_cols=('auc',)
 )
 def roc_micro(spark, sf_dir):
     """Per-class and micro-averaged ROC AUC of a one-vs-rest score (class c scored by coordinate c)."""

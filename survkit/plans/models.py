@@ -50,7 +50,7 @@ def _with_truth(d: Data, scores):
                   (install_year - avg(install_year) OVER ()) / stddev_pop(install_year) OVER () AS install_year_std
            FROM ep""",
         PREP_SQL,
-    ),
+    ), round_cols=('size_mm_std', 'install_year_std')
 )
 def feat_standardize(spark, sf_dir):
     """(x - mean) / population std over the whole prepared table (one-row stats, broadcast)."""
@@ -66,7 +66,7 @@ def feat_standardize(spark, sf_dir):
             FROM (SELECT * FROM ep WHERE {TEST_COND_SQL}) t
             CROSS JOIN (SELECT avg(duration) AS m, stddev_pop(duration) AS s FROM ep) st""",
         PREP_SQL,
-    ),
+    ), round_cols=('duration_std', 'duration_shift_std')
 )
 def feat_shift_horizon(spark, sf_dir):
     """Scaler fitted on durations, re-applied to test durations shifted by the horizon."""

@@ -160,7 +160,7 @@ def km_region_material(spark, sf_dir):
     return KM.km(Data(spark, sf_dir).all_c, [S.REGION, S.MATERIAL], parent_cols=[S.REGION])
 
 
-@query("km_ci", sql(_km_sql("dur", ["region"], with_ci=True), _dur_sql("all_c", ["region"], None)))
+@query("km_ci", sql(_km_sql("dur", ["region"], with_ci=True), _dur_sql("all_c", ["region"], None)), round_cols=('ci_lower', 'ci_upper'))
 def km_ci(spark, sf_dir):
     """KM by region with the 95 % log-log (exponential Greenwood) band."""
     return KM.km(Data(spark, sf_dir).all_c, [S.REGION], with_ci=True)
@@ -204,7 +204,7 @@ def km_since_install(spark, sf_dir):
 _LR_MAT = _logrank_sql("all_c", "material", [])
 
 
-@query("logrank_pairs", sql("SELECT * FROM lr", _LR_MAT))
+@query("logrank_pairs", sql("SELECT * FROM lr", _LR_MAT), round_cols=('chi2', 'p_value'))
 def logrank_pairs(spark, sf_dir):
     return LR.pairwise(Data(spark, sf_dir).all_c, S.MATERIAL)
 
@@ -243,7 +243,7 @@ _LR_ALL = (
 )
 
 
-@query("logrank_all_columns", sql("SELECT * FROM lr", _LR_ALL))
+@query("logrank_all_columns", sql("SELECT * FROM lr", _LR_ALL), round_cols=('chi2', 'p_value'))
 def logrank_all_columns(spark, sf_dir):
     """Pairwise tests inside every text column at once (unpivot, partition by column)."""
     a = _all6(Data(spark, sf_dir))
