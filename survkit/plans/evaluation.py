@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import evaluate as EV
-from ..operators import episodes as EP
 from ..session import ensure_checkpoint_dir, store
 from .base import Data, query, sql
 from .episodes import A, PREP_SQL, TARGET_BODY, TEST_COND_SQL, prep, test_rows, truth_first

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.classification import OneVsRest
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
