@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..operators import clean as C
 from ..operators import counts as K
 from ..operators import episodes as EP
 from ..operators import integrate as I
@@ -221,14 +222,42 @@ def first_episode_row(spark, sf_dir):
     return truth_first(Data(spark, sf_dir)).select(*EP_COLS)
 
 
+_LABEL_POP_SQL = f"""la AS (SELECT *, CAST(year(installed_at) AS INTEGER) AS iy, CAST(year(failed_at) AS INTEGER) AS fy
+                 FROM master_all),
+    lo AS (SELECT region, min(fy) AS s, max(fy) AS e FROM la WHERE region IS NOT NULL GROUP BY region),
+    lt AS (SELECT la.*, CASE WHEN fy >= {A} AND fy < {A + P} THEN 1 ELSE 0 END AS lab
+           FROM la LEFT JOIN lo USING (region) WHERE iy < {A} AND s < {A} AND e > {A})"""
+
+
+def _label_population(d: Data):
+    """Rows of assets installed before A in regions whose window spans A (uncleaned table, as the source)."""
+    a = C.with_years(d.all)
+    t = EP.attach_window(a, EP.obs_window(a))
+    return t.filter((F.col(S.INSTALL_YEAR) < A) & (F.col(S.OBS_START) < A) & (F.col(S.OBS_END) > A))
+
+
+@query("label_horizon", sql("SELECT id, max(lab) AS label FROM lt GROUP BY id", _LABEL_POP_SQL))
+def label_horizon(spark, sf_dir):
+    """1 when an asset fails in [A, A+P) -- any of its failures, not only the first."""
+    return EP.label_horizon(_label_population(Data(spark, sf_dir)), A, P)
+
+
 @query(
-    "label_horizon",
-    sql(f"""SELECT id, max(CASE WHEN failure_year >= {A} AND failure_year < {A + P} THEN 1 ELSE 0 END) AS label
-            FROM all_c GROUP BY id"""),
+    "label_horizon_compat",
+    sql(
+        """SELECT id, lab AS label FROM (
+             SELECT id, lab, row_number() OVER (PARTITION BY id ORDER BY fy ASC NULLS LAST, lab) AS rn FROM lt)
+           WHERE rn = 1""",
+        _LABEL_POP_SQL,
+    ),
 )
-def label_horizon(spark, sf_dir):
-    """1 when an asset fails in [A, A+P) (any of its failures, not only the first)."""
-    return EP.label_horizon(Data(spark, sf_dir).all_c, A, P)
+def label_horizon_compat(spark, sf_dir):
+    """Source behaviour: the label of each asset's first failure row only (a later in-window failure is missed)."""
+    t = _label_population(Data(spark, sf_dir))
+    inwin = F.coalesce(((F.col(S.FAILURE_YEAR) >= A) & (F.col(S.FAILURE_YEAR) < A + P)).cast("int"), F.lit(0))
+    w = Window.partitionBy(*EP.ASSET_KEY).orderBy(F.col(S.FAILURE_YEAR).asc_nulls_last(), inwin)
+    first = t.withColumn("label", inwin).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
+    return first.select(S.ID, "label")
 
 
 # ---------------------------------------------------------------- splits F9-F11
