@@ -57,6 +57,9 @@ def test_km_windows_run_on_aggregates(big_spark):
 
 
 def test_running_sums_windows_are_partitioned_by_range(big_spark):
-    p = plan(big_spark, "roc_auc")
+    from survkit.operators.cumulative import running_sums
+
+    df = big_spark.createDataFrame([(float(i), 1) for i in range(1000)], "s double, v long")
+    p = running_sums(df, "s", ["v"], num_ranges=4)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"windowspecdefinition\(_range_id", p)
     assert "rangepartitioning" not in p   # no global sort of the score column
