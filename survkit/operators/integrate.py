@@ -38,8 +38,29 @@ def master_events(failures: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def master_all(failures: DataFrame, assets: DataFrame) -> DataFrame:
-    """Full outer join: one row per failure plus one per never-failed asset."""
-    return _join(failures, assets, "full_outer")
+    """Full outer join: one row per failure plus one per never-failed asset.
+
+    Built as matched rows (inner join) + unmatched failures + unmatched assets
+    (two anti joins against the distinct keys of the other side) -- the same
+    rows as a full outer join, but every big join is one whose skewed keys
+    AQE can split, and the anti joins only meet de-duplicated keys.
+    """
+    keys = [S.REGION, S.ASSET_ID]
+    matched = master_events(failures, assets)
+    fkeys = failures.select(*keys).distinct()
+    akeys = assets.select(*keys).distinct()
+    lone_f = failures.join(akeys, keys, "left_anti").select(
+        S.REGION,
+        F.lit(None).cast(assets.schema[S.ASSET_ID].dataType).alias(S.ASSET_ID),
+        *[F.lit(None).cast(assets.schema[c].dataType).alias(c) for c in (S.INSTALLED_AT, S.SIZE, S.MATERIAL, S.MATERIAL_AGE)],
+        S.FAILED_AT,
+    )
+    lone_a = assets.join(fkeys, keys, "left_anti").select(
+        S.REGION, S.ASSET_ID, S.INSTALLED_AT, S.SIZE, S.MATERIAL, S.MATERIAL_AGE,
+        F.lit(None).cast(failures.schema[S.FAILED_AT].dataType).alias(S.FAILED_AT),
+    )
+    rest = lone_f.unionByName(lone_a).withColumn(S.ID, composite_key(S.REGION, S.ASSET_ID))
+    return matched.select(*MASTER_COLUMNS).unionByName(rest.select(*MASTER_COLUMNS))
 
 
 def union_shared_columns(frames: list[DataFrame]) -> DataFrame:
