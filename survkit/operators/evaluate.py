@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cumulative import running_sums
+from .joins import join_lookup
 
 SCORE, LABEL, TIME = "proba", "event", "duration"
 
@@ -41,7 +42,8 @@ def _totals(counts: DataFrame, group_cols: list[str]) -> DataFrame:
 
 def _with_totals(df: DataFrame, totals: DataFrame, group_cols: list[str]) -> DataFrame:
     if group_cols:
-        return df.join(totals, group_cols, "left")
+        # one row per group against a whole score column per group: broadcast
+        return join_lookup(df, totals, group_cols, "left")
     return df.crossJoin(F.broadcast(totals))  # one row
 
 
@@ -139,9 +141,11 @@ def dynamic_auc_ipcw(df: DataFrame, times: DataFrame, score: str = SCORE) -> Dat
     Cases at t: event and duration <= t, weight 1 / G(duration); controls:
     duration > t, weight 1.  G is the censoring KM of the same table.
     """
-    g = censoring_survival(df)
+    g = censoring_survival(df).withColumnRenamed("_gt", TIME)
     base = df.groupBy(score, LABEL, TIME).agg(F.count(F.lit(1)).alias("_w"))
-    base = base.join(g, base[TIME] == g["_gt"], "left").drop("_gt")
+    # one weight per distinct duration (a few dozen years): broadcast after a count,
+    # never a shuffle of the score table by duration (a duration can hold most rows)
+    base = join_lookup(base, g, [TIME], "left")
     x = base.crossJoin(F.broadcast(times))
     case = (F.col(LABEL) == 1) & (F.col(TIME) <= F.col("t"))
     ctrl = F.col(TIME) > F.col("t")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from .joins import join_lookup
 
 Z_975 = 1.959963984540054  # standard normal 97.5 % quantile (fixed value)
 
@@ -41,7 +42,9 @@ def durations(
     win = list(strata) if parent_cols is None else list(parent_cols)
     stats = _window_stats(df, win, time_col)
     t = F.col(time_col)
-    out = _attach(df, stats, win)
+    # row-level rows meet one stats row per window group: broadcast after an
+    # exact count, never a shuffle of the rows by a low-cardinality key
+    out = join_lookup(df, stats, win, "left") if win else _attach(df, stats, win)
     out = out.withColumn(
         S.DURATION, F.when(t.isNull(), F.col("_mx") - F.col("_mn")).otherwise(t - F.col("_mn")).cast("int")
     ).withColumn(S.EVENT, t.isNotNull().cast("int"))
