@@ -63,3 +63,8 @@ def test_running_sums_windows_are_partitioned_by_range(big_spark):
     p = running_sums(df, "s", ["v"], num_ranges=4)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"windowspecdefinition\(_range_id", p)
     assert "rangepartitioning" not in p   # no global sort of the score column
+
+
+def test_row_level_km_durations_do_not_shuffle_by_stratum(big_spark):
+    keys = [k for kind, k in exchanges(plan(big_spark, "km_durations_own")) if kind == "hashpartitioning"]
+    assert not any(k.startswith("region#") for k in keys)
