@@ -262,8 +262,7 @@ def model_one_vs_rest(spark, sf_dir):
     emb = Data(spark, sf_dir).table("embeddings")
     emb = emb.select("vec_id", F.col("label").cast("double").alias("label"),
                      array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    train = emb.filter((F.abs(F.hash("vec_id")) % 2) == 0)
-    test = emb.filter((F.abs(F.hash("vec_id")) % 2) == 1)
+    train, test = emb.randomSplit([0.5, 0.5], seed=0)  # half / half, as the demo's split
     ovr = OneVsRest(classifier=M.linear_svc(reg=0.01, features="features"), parallelism=4).fit(train)
     pred = ovr.transform(test).select("label", vector_to_array("rawPrediction").alias("raw"))
     rows = pred.select("label", F.posexplode("raw").alias("cls", "proba")).withColumn(
