@@ -81,14 +81,12 @@ def test_survival_is_monotone_in_unit_interval(spark):
 
 
 def test_grid_counts_sum_to_total(spark):
-    q = E.queries()
-    grid = q["crosstab_grid"](spark, SF)
-    total = q["clean_assets"](spark, SF).count()  # unrelated unknown marker; use all_c size below
     from survkit.plans.base import Data
 
+    grid = E.queries()["crosstab_grid"](spark, SF)
     n_all = Data(spark, SF).all_c.filter("region IS NOT NULL AND material IS NOT NULL").count()
     s = grid.filter("x_name = 'material' AND y_name = 'region'").agg({"n_rows": "sum"}).first()[0]
-    assert s == n_all and total > 0
+    assert s == n_all > 0
 
 
 def test_episode_counts_at_sf001(spark):
