@@ -160,6 +160,12 @@ def km_region_material(spark, sf_dir):
     return KM.km(Data(spark, sf_dir).all_c, [S.REGION, S.MATERIAL], parent_cols=[S.REGION])
 
 
+@query("km_size_exact", sql(_km_sql("dur", ["size_mm"]), _dur_sql("all_c", ["size_mm"], [])))
+def km_size_exact(spark, sf_dir):
+    """One curve per exact size value on the population clock (many small strata)."""
+    return KM.km(Data(spark, sf_dir).all_c, [S.SIZE], parent_cols=[])
+
+
 @query("km_ci", sql(_km_sql("dur", ["region"], with_ci=True), _dur_sql("all_c", ["region"], None)), round_cols=('ci_lower', 'ci_upper'))
 def km_ci(spark, sf_dir):
     """KM by region with the 95 % log-log (exponential Greenwood) band."""
