@@ -649,3 +649,50 @@ def crosstab_logsize(spark, sf_dir):
         .otherwise(F.log(F.col("n") / F.col("_mn")) * F.lit(7.0))
         .alias("log_size"),
     )
+
+
+# P15 variant: failure cross-tab sizes ln(n / min n) * 10 on the installed
+# grid, install years cut in 10 bins (no clamp), sizes in quintiles.
+_EVGRID10_SQL = (
+    _ew_edges_sql("install_year", "all_c", 10, "ye10") + ",\n"
+    + _q_edges_sql("size_mm", "all_c", 5, "qe5b") + ",\n"
+    + f"""ab10 AS (SELECT all_c.*, {_bin_sql('install_year', 'ye10.e', 10)} AS year_bin,
+                      {_bin_sql('size_mm', 'qe5b.e', 5)} AS size_bin FROM all_c CROSS JOIN ye10 CROSS JOIN qe5b),
+    evb10 AS (SELECT e.*, x.year_bin, x.size_bin FROM ev_c e
+              JOIN (SELECT DISTINCT id, year_bin, size_bin FROM ab10) x ON e.id = x.id),
+    vals10 AS ({_sql_values('ab10', PAIR_COLS)}),
+    grid10 AS (SELECT p.x_name, p.y_name, vx.value AS x_value, vy.value AS y_value
+               FROM (VALUES {", ".join(f"('{x}', '{y}')" for x, y in combinations(PAIR_COLS, 2))}) p(x_name, y_name)
+               JOIN vals10 vx ON vx.name = p.x_name JOIN vals10 vy ON vy.name = p.y_name),
+    ev_pairs10 AS (SELECT x_name, y_name, x_value, y_value, count(*) AS n
+                   FROM ({_sql_pair_long('evb10', PAIR_COLS)}) GROUP BY ALL),
+    mins10 AS (SELECT x_name, y_name, min(n) AS mn FROM ev_pairs10 GROUP BY ALL)"""
+)
+
+
+@query(
+    "crosstab_logsize_installed_grid",
+    sql(
+        """SELECT g.x_name, g.y_name, g.x_value, g.y_value, coalesce(e.n, 0) AS n,
+                  CASE WHEN e.n IS NULL THEN 0.0 ELSE ln(CAST(e.n AS DOUBLE) / m.mn) * 10 END AS log_size
+           FROM grid10 g LEFT JOIN ev_pairs10 e USING (x_name, y_name, x_value, y_value)
+           LEFT JOIN mins10 m USING (x_name, y_name)""",
+        _EVGRID10_SQL,
+    ),
+    round_cols=("log_size",),
+)
+def crosstab_logsize_installed_grid(spark, sf_dir):
+    """Failure cross-tab marker sizes (k = 10) over the grid of installed values."""
+    d = Data(spark, sf_dir)
+    ab = B.qcut(B.cut(d.all_c_stored, S.INSTALL_YEAR, 10, "year"), S.SIZE, 5, "size")
+    evb = d.events_c.join(ab.select(S.ID, "year_bin", "size_bin").dropDuplicates([S.ID]), S.ID)
+    keys = ["x_name", "y_name", "x_value", "y_value"]
+    grid = _pair_grid(ab, PAIR_COLS)
+    ev = _pair_counts(evb, PAIR_COLS, "n")
+    mins = ev.groupBy("x_name", "y_name").agg(F.min("n").alias("_mn"))
+    out = grid.join(ev, keys, "left").join(mins, ["x_name", "y_name"], "left")
+    return out.select(
+        *keys,
+        F.coalesce("n", F.lit(0)).alias("n"),
+        F.when(F.col("n").isNull(), F.lit(0.0)).otherwise(F.log(F.col("n") / F.col("_mn")) * F.lit(10.0)).alias("log_size"),
+    )
