@@ -28,7 +28,7 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(h, len, win, items): every distinct window of the benchmark with the ids that have it."""
     w = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), words_col(F.col("text")).alias("w"))
     w = w.where(F.size("w") > 0).withColumn("len", F.least(F.size("w"), F.lit(window)))
-    w = w.select("item", "w", "len", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("p"))
+    w = w.select("item", "w", "len", F.explode_outer(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("p"))
     w = w.select("item", "len", F.expr("slice(w, p, len)").alias("win"))
     return w.groupBy("len", "win").agg(F.sort_array(F.collect_set("item")).alias("items")).select(F.xxhash64("win").alias("h"), "len", "win", "items")
 
@@ -44,7 +44,8 @@ def _spans(docs: DataFrame, wins: DataFrame, lengths: list[int], broadcast: bool
     # the first element of each document has position 0 and joins the marker row: documents without a hit stay
     mark = F.expr("array(struct(0L AS h, 0 AS p, 0 AS len))")
     d = d.select("doc_id", "th", "w", F.concat(mark, *[F.when(F.size("w") >= n, g).otherwise(none) for n, g in zip(lengths, grams)]).alias("g"))
-    d = d.select("doc_id", "th", "w", F.explode("g").alias("g"))
+    # the outer form: for the plain one the optimiser infers a filter on the array's size, which evaluates it a second time
+    d = d.select("doc_id", "th", "w", F.explode_outer("g").alias("g"))
     d = d.select("doc_id", "th", "w", F.col("g.h").alias("h"), F.col("g.p").alias("p"), F.col("g.len").alias("len"))
     marker = wins.sparkSession.range(1).select(
         F.lit(0).cast("long").alias("h"), F.lit(0).alias("len"), F.expr("CAST(array() AS array<string>)").alias("win"), F.expr("CAST(array() AS array<string>)").alias("items")
@@ -80,7 +81,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     lengths, size = sorted(r["len"] for r in got), sum(r["b"] for r in got)
     out = _spans(docs, wins, lengths, size <= broadcast_bytes).withColumn("n_hit", _n_hit())
     out = out.withColumn("contaminated", F.expr(f"n_hit > 0 AND {SHARE_INV} * n_hit >= n_words"))
-    return out.withColumn("m", F.explode(F.expr("sequence(1L, m)"))).drop("m")
+    return out.withColumn("m", F.explode_outer(F.expr("sequence(1L, m)"))).drop("m")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW) -> DataFrame:
