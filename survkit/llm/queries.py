@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import OP1_SQL, op1_decontaminate
+from .jaccard import op9_jaccard_join
 from .topk import OP4_SQL, op4_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op4_topk)}
+    return {f.__name__: f for f in (op1_decontaminate, op4_topk, op9_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

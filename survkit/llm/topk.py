@@ -94,9 +94,9 @@ def topk(vectors: DataFrame, is_query: Column, k: int = K, query_rows: int = QUE
         ids, scores = _lists(qi, [best(a[i][used[i]], b[i][used[i]], k) for i in range(len(qi))], k)
         return pd.DataFrame({"dim": [first["dim"]], "qb": [first["qb"]], "sb": [first["up"]], "ids": [first["ids"]], "n": [len(qi)], "top_ids": [ids], "top_scores": [scores]})
 
-    # a tile is dealt by both of its blocks, so the work spreads over shards and query blocks alike
-    tiles = q.withColumnRenamed("vecs", "qvecs").join(s.withColumnRenamed("ids", "sids"), "dim")
-    parts = tiles.repartition(max(blocks * shards, 1), "dim", "qb", "sb").mapInPandas(tile, PART)
+    # every query block visits every shard: it is copied once per shard and joined on the shard, the side that grows
+    visits = q.withColumnRenamed("vecs", "qvecs").withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    parts = visits.join(s.withColumnRenamed("ids", "sids"), ["dim", "sb"]).mapInPandas(tile, PART)
     while True:
         parts = parts.withColumn("up", F.floor(F.col("sb") / FAN_IN).cast("int")).groupBy("dim", "qb", "up").applyInPandas(merge, PART)
         if shards <= FAN_IN:
