@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import OP1_SQL, op1_decontaminate
 from .jaccard import op9_jaccard_join
+from .lm import op8_lm_score
+from .packing import op3_packing
 from .topk import OP4_SQL, op4_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op4_topk, op9_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_packing, op4_topk, op8_lm_score, op9_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
