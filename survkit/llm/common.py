@@ -10,6 +10,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word: digits, letters a-z (after lower-casing A-Z) and every character beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,6 +47,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_fields(df: DataFrame, **types: str) -> StructType:
+    """The schema of ``df`` with further fields."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in types.items():
+        out = out.add(name, kind)
+    return out
+
+
 def words_col(text: Column) -> Column:
     """Array of the lower-cased words of a text (null text: no words)."""
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))

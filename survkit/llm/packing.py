@@ -204,7 +204,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
     for r in t.where("df IS NOT NULL").select(F.posexplode("df").alias("term", "df")).where("df > 0").groupBy("term").agg(F.sum("df").alias("df")).collect():
         idf[r["term"]] = np.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5))
     mean = tokens / max(n, 1)
-    shard = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).cast("long")
+    # the row's place in the stored table deals repeated rows apart; it is the same whenever a task is run again
+    shard = F.pmod(F.xxhash64("doc_id", "n", F.monotonically_increasing_id()), F.lit(shards)).cast("long")
 
     def run(part: pa.Table) -> pa.Table:
         # rows in an order of their own, so that a repeated task packs alike
@@ -218,8 +219,6 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
         cols = list(zip(*rows))
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    # equal rows have one id and text and so one shard: a row number within the table's partition would not be repeatable,
-    # and their tokens are all that the shard holds of them
     return own.select("doc_id", "n", "ids", shard.alias("shard")).groupBy("shard").applyInArrow(run, PIECES)
 
 

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import OP1_SQL, op1_decontaminate
 from .jaccard import op9_jaccard_join
+from .langid import op10_language
 from .lm import op8_lm_score
 from .packing import op3_packing
+from .quality import op6_quality
 from .topk import OP4_SQL, op4_topk
+from .toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_packing, op4_topk, op8_lm_score, op9_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_packing, op4_topk, op6_quality, op8_lm_score, op9_jaccard_join, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
