@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, read, with_fields
 
-#: Most documents of a language that its profile is learnt from, and the n-grams of a profile.
+#: Documents of a language that its profile is learnt from, about, and the n-grams of a profile.
 SAMPLE_ROWS, PROFILE, LONGEST = 1_500, 400, 3
 UNKNOWN = "und"
 #: N-grams and words a Python worker remembers.
@@ -44,11 +44,10 @@ def _place(gram: str) -> int:
 def profiles(docs: DataFrame, learn, rows: int = SAMPLE_ROWS, size: int = PROFILE) -> dict[str, dict[str, int]]:
     """language -> n-gram -> rank (from 0), learnt from documents that ``learn`` (boolean column) allows."""
     d = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id", "text")
-    # the least hashes of each language; the limit is applied in each task before the shuffle
-    pick = d.select("lang", "doc_id").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("r") <= rows)
-    ids = pick.select(F.col("lang").alias("_l"), F.col("doc_id").alias("_i")).distinct()
-    # bounded by ``rows`` for each language
-    sample = d.join(F.broadcast(ids), d.lang.eqNullSafe(F.col("_l")) & d.doc_id.eqNullSafe(F.col("_i")), "left_semi")
+    # rows whose hash falls in the share that gives about ``rows`` of each language: no language is gathered in a task
+    n = d.groupBy(F.col("lang").alias("_l")).agg(F.count("*").alias("_n"))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("_n") < rows << 20
+    sample = d.join(F.broadcast(n), F.col("lang") == F.col("_l")).where(share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}

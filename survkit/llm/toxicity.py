@@ -168,20 +168,20 @@ def _chosen_rows(r: DataFrame, place: dict[int, int]) -> list[tuple[int, list[in
     return [(t["y"], t["x"], t["swapped"]) for t in r.mapInArrow(run, "y int, x array<int>, swapped array<int>").collect()]
 
 
-def score(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
-    """``docs`` with a column ``score`` (0 to 1) of the column ``text``."""
+def score(docs: DataFrame, model: tuple[dict[int, float], float], name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``, the score (0 to 1) of the column ``text``."""
     weights, bias = model
     place = {f: i for i, f in enumerate(weights)}
     value = np.array([*weights.values(), 0.0])
-    docs = docs.drop("score")
+    docs = docs.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Features(place)
         for b in batches:
             z = np.array([value[cache.of(set(word_list(t)))].sum() + bias for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))), pa.float64())], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))), pa.float64())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, with_fields(docs, score="double"))
+    return docs.mapInArrow(run, with_fields(docs, **{name: "double"}))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
