@@ -24,7 +24,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose toxicity score reaches the threshold; learnt from labels as in the operator's query."""
     learn = ~F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), learn)
-    return toxicity.score(docs, model, "_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+    return toxicity.score(docs, model, "__toxicity").where(F.col("__toxicity") < toxicity.THRESHOLD).drop("__toxicity")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

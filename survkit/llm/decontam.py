@@ -89,22 +89,22 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", windo
 
     All columns of ``docs`` stay; n_chars follows the new text where it exists.
     """
-    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
-    bad = bad.dropDuplicates(["_id", "_th"])
-    d = docs.withColumn("_h", F.xxhash64("text"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th"))
+    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
+    bad = bad.dropDuplicates(["__id", "__th"])
+    d = docs.withColumn("__h", F.xxhash64("text"))
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th"))
     if mode == "documents":
-        return d.join(bad.drop("_spans"), on, "left_anti").drop("_h")
+        return d.join(bad.drop("__spans"), on, "left_anti").drop("__h")
     low = F.translate("text", UPPER, LOWER)
     # separators around the words: one more than words; original words by the same split on the unlowered text
     d = d.join(bad, on, "left")
-    d = d.withColumn("_s", F.split(low, WORD, -1)).withColumn("_w", F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)))
+    d = d.withColumn("__s", F.split(low, WORD, -1)).withColumn("__w", F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)))
     # per position: +1 where a span begins, -1 where one ends; a running sum above 0 is a hit word
-    keep = F.expr("transform(_w, (x, i) -> IF(exists(_spans, s -> s.a <= i + 1 AND i + 1 < s.b), '', x))")
-    text = F.expr("concat(_s[0], array_join(transform(_k, (x, i) -> concat(x, _s[i + 1])), ''))")
-    d = d.withColumn("_k", keep).withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(text))
+    keep = F.expr("transform(__w, (x, i) -> IF(exists(__spans, s -> s.a <= i + 1 AND i + 1 < s.b), '', x))")
+    text = F.expr("concat(__s[0], array_join(transform(__k, (x, i) -> concat(x, __s[i + 1])), ''))")
+    d = d.withColumn("__k", keep).withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(text))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        d = d.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return d.select(*docs.columns)
 
 

@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,45 +99,40 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
 
 
 def _profile(docs: DataFrame, rows: int, bands: int) -> DataFrame:
-    """(doc_id, key, bands): key of the shingle set (null: no shingles), one hash per band."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = shingle_hashes(pdf["text"].tolist())
-            full = [s for s in sets if len(s)]
-            sig = minhash(full, rows * bands)
-            it = iter(sig)
-            keys, band = [], []
-            for s in sets:
-                if not len(s):
-                    keys.append(None)
-                    band.append(None)
-                    continue
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                x = next(it).reshape(bands, rows)
-                band.append([xxhash.xxh3_64_intdigest(r.tobytes(), j) - 2**63 for j, r in enumerate(x)])
-            yield pd.DataFrame({"doc_id": pd.array(pdf["doc_id"], dtype="Int64"), "key": keys, "bands": band})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, key binary, bands array<long>")
+    """(doc_id, th, key, bands): hash of the text, key of the shingle set (null: no shingles), one hash per band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                sets = shingle_hashes(b.column("text").to_pylist())
+                sig = iter(minhash([s for s in sets if len(s)], rows * bands))
+                keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                band = [None if k is None else [xxhash.xxh3_64_intdigest(r.tobytes(), j) - 2**63 for j, r in enumerate(next(sig).reshape(bands, rows))] for k in keys]
+                yield pa.record_batch([b.column("doc_id"), b.column("th"), pa.array(keys, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "th", "key", "bands"])
+
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return d.mapInArrow(run, "doc_id long, th long, key binary, bands array<long>")
 
 
 def _member_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """The shingle sets of the members' representatives, computed anew from their whole texts."""
     schema = "root binary, key binary, mass long, shingles binary"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            blobs = [s.tobytes() for s in shingle_hashes(pdf["text"].tolist())]
-            own = [xxhash.xxh3_128_digest(b) == k for b, k in zip(blobs, pdf["key"])]
-            yield pdf.assign(shingles=blobs).loc[own, ["root", "key", "mass", "shingles"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                blobs = [s.tobytes() for s in shingle_hashes(b.column("text").to_pylist())]
+                yield pa.record_batch([b.column("root"), b.column("key"), b.column("mass"), pa.array(blobs, pa.binary())], ["root", "key", "mass", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    reps = members.select(F.col("rep").alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
+    reps = members.select(F.col("lead.doc_id").alias("want"), F.col("lead.th").alias("want_h"))
     if members.count() <= BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(reps.withColumnRenamed("id", "want")), F.col("id").eqNullSafe(F.col("want")), "left_semi")
-    # rows that share an id have different keys: only the row whose set is the member's is kept, once
-    both = members.join(texts, F.col("rep").eqNullSafe(F.col("id"))).select("root", "key", "mass", "text")
-    return both.mapInPandas(run, schema).dropDuplicates(["key"])
+        texts = texts.join(F.broadcast(reps), F.col("id").eqNullSafe(F.col("want")) & (F.col("h") == F.col("want_h")), "left_semi")
+    # a representative that is repeated row by row comes once
+    both = members.join(texts, F.col("lead.doc_id").eqNullSafe(F.col("id")) & (F.col("lead.th") == F.col("h"))).select("root", "key", "mass", "text")
+    return both.mapInArrow(run, schema).dropDuplicates(["key"])
 
 
 def compare(sig: np.ndarray, mass: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], threshold: float, tolerance: float, rows: int, bands: int):
@@ -196,17 +192,18 @@ def compare(sig: np.ndarray, mass: np.ndarray, left: np.ndarray, right: np.ndarr
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, rows: int = ROWS, bands: int = BANDS, tile: int = TILE) -> DataFrame:
     """Per document row: doc_id, class_id (least id of its class), copies (other rows with the same set), n_links
-    (other rows whose similarity reaches the threshold, copies included)."""
+    (other rows whose similarity reaches the threshold, copies included); th and class_th, the hashes of its text
+    and of the text that stands for its class."""
     spark = docs.sparkSession
     prof = store(_profile(docs, rows, bands), "jaccard-profiles")
     # representative: the least id of a class of equal sets
-    classes = store(prof.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mass"), F.first("bands").alias("bands")), "jaccard-classes")
+    classes = store(prof.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("lead"), F.count("*").alias("mass"), F.first("bands").alias("bands")), "jaccard-classes")
     # band hashes seen by more than one representative; the class key names a representative
     buckets = classes.select("key", F.posexplode("bands").alias("band", "h"))
     stars = buckets.groupBy("band", "h").agg(F.min("key").alias("low"), F.count("*").alias("n")).where("n > 1")
     edges = buckets.join(stars, ["band", "h"]).where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
     comp = components(edges, name="jaccard-candidates").withColumnRenamed("node", "key")
-    members = comp.join(classes.select("key", "rep", "mass"), "key")
+    members = comp.join(classes.select("key", "lead", "mass"), "key")
     sets = store(_member_sets(docs, store(members, "jaccard-members")), "jaccard-sets")
     sizes = sets.groupBy("root").agg(F.count("*").alias("size"), F.sum(F.octet_length("shingles")).alias("bytes"))
     sets = sets.join(sizes.select("root", F.ceil(F.greatest(F.col("size") / tile, F.col("bytes") / TILE_BYTES)).cast("int").alias("parts")), "root")
@@ -235,25 +232,35 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     found = store(tiled.groupBy("root", "x", "y").applyInPandas(run, "key binary, links long, to binary"), "jaccard-links")
     linked = found.groupBy("key").agg(F.sum("links").alias("links"))
     near = components(found.where("to IS NOT NULL").select(F.col("key").alias("a"), F.col("to").alias("b")), name="jaccard-classes").withColumnRenamed("node", "key")
-    c = classes.select("key", "rep", "mass").join(near, "key", "left").join(linked, "key", "left")
+    c = classes.select("key", "lead", "mass").join(near, "key", "left").join(linked, "key", "left")
     c = c.withColumn("root", F.coalesce("root", "key"))
-    least = c.groupBy("root").agg(F.min("rep").alias("class_id"))
-    c = c.join(least, "root").select("key", "class_id", "mass", F.coalesce("links", F.lit(0)).alias("links"))
+    least = c.groupBy("root").agg(F.min("lead").alias("first"))
+    c = c.join(least, "root").select("key", "first", "mass", F.coalesce("links", F.lit(0)).alias("links"))
     # a class of copies may hold a third of all rows: its join is dealt anew by AQE, its row here is one
-    out = prof.select("doc_id", "key").join(c, "key", "left")
+    out = prof.select("doc_id", "th", "key").join(c, "key", "left")
     return out.select(
         "doc_id",
-        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
         F.when(F.col("key").isNull(), F.lit(0)).otherwise(F.col("mass") - 1).cast("long").alias("copies"),
         F.when(F.col("key").isNull(), F.lit(0)).otherwise(F.col("links") + F.col("mass") - 1).cast("long").alias("n_links"),
+        "th",
+        F.when(F.col("key").isNull(), F.col("th")).otherwise(F.col("first.th")).alias("class_th"),
     )
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` without the near duplicates: of each class the rows of its least id stay (of equal rows, one)."""
-    ids = near_duplicates(docs, **settings).where("class_id <> doc_id OR (class_id IS NOT NULL AND doc_id IS NULL)").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti").dropDuplicates(["doc_id", "text"])
+    """``docs`` without the near duplicates: of each class the row of its least id stays (of equal rows, one)."""
+    near = store(near_duplicates(docs, **settings), "jaccard-rows")
+    key = [F.col("doc_id").alias("__id"), F.col("th").alias("__th")]
+    drop = near.where("NOT (doc_id <=> class_id AND th = class_th)").select(*key).distinct()
+    again = near.where("copies > 0 AND doc_id <=> class_id AND th = class_th").groupBy(*key).count().where("count > 1").drop("count")
+    d = docs.withColumn("__h", F.xxhash64("text"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th"))
+    kept = d.join(drop, on, "left_anti")
+    if not again.isEmpty():
+        kept = kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates(["doc_id", "__h"]))
+    return kept.drop("__h")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("th", "class_th")

@@ -191,27 +191,27 @@ def replace(docs: DataFrame, key: str = KEY, counts: bool = False) -> DataFrame:
     """``docs`` with surrogates in ``text``; with ``counts`` also n_entities and kinds (sorted, distinct)."""
     columns = docs.columns
     pat = PATTERN.replace("\\", "\\\\").replace("'", "\\'")
-    d = docs.withColumn("_maybe", F.coalesce(F.col("text").rlike(HINT), F.lit(False)))
-    some = d.where("_maybe").drop("_maybe")
-    hits = some.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("es"))
-    hits = store(hits.where("size(es) > 0").dropDuplicates(["_id", "_th"]), "pii-hits")
-    each = hits.select("_id", "_th", F.posexplode_outer("es").alias("pos", "e")).withColumn("kind", kind(F.col("e"))).withColumn("canon", canonical(F.col("kind"), F.col("e")))
+    d = docs.withColumn("__maybe", F.coalesce(F.col("text").rlike(HINT), F.lit(False)))
+    some = d.where("__maybe").drop("__maybe")
+    hits = some.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("es"))
+    hits = store(hits.where("size(es) > 0").dropDuplicates(["__id", "__th"]), "pii-hits")
+    each = hits.select("__id", "__th", F.posexplode_outer("es").alias("pos", "e")).withColumn("kind", kind(F.col("e"))).withColumn("canon", canonical(F.col("kind"), F.col("e")))
     each = store(each, "pii-mentions")
     found = surrogates(store(each.select("kind", "canon").distinct(), "pii-entities"), key)
     new = each.join(found, ["kind", "canon"]).withColumn("new", formatted(key))
-    new = new.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("_new"), F.sort_array(F.collect_set("kind")).alias("_kinds"))
-    new = new.withColumn("_new", F.expr("transform(_new, x -> x.new)"))
-    some = some.withColumn("_h", F.xxhash64("text")).join(new, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
-    text = F.expr(f"array_join(transform(split(text, '{pat}', -1), (p, i) -> concat(p, coalesce(get(_new, i), ''))), '')")
-    some = some.withColumn("text", F.when(F.col("_new").isNull(), F.col("text")).otherwise(text))
-    rest = d.where("NOT _maybe").drop("_maybe")
+    new = new.groupBy("__id", "__th").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("__new"), F.sort_array(F.collect_set("kind")).alias("__kinds"))
+    new = new.withColumn("__new", F.expr("transform(__new, x -> x.new)"))
+    some = some.withColumn("__h", F.xxhash64("text")).join(new, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
+    text = F.expr(f"array_join(transform(split(text, '{pat}', -1), (p, i) -> concat(p, coalesce(get(__new, i), ''))), '')")
+    some = some.withColumn("text", F.when(F.col("__new").isNull(), F.col("text")).otherwise(text))
+    rest = d.where("NOT __maybe").drop("__maybe")
     extra = []
     if "n_chars" in columns:
-        some = some.withColumn("n_chars", F.when(F.col("_new").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        some = some.withColumn("n_chars", F.when(F.col("__new").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     if counts:
         extra = ["n_entities", "kinds"]
-        some = some.withColumn("n_entities", F.coalesce(F.size("_new"), F.lit(0)).cast("long")).withColumn("n_entities", F.greatest("n_entities", F.lit(0).cast("long")))
-        some = some.withColumn("kinds", F.coalesce("_kinds", F.expr("CAST(array() AS array<string>)")))
+        some = some.withColumn("n_entities", F.coalesce(F.size("__new"), F.lit(0)).cast("long")).withColumn("n_entities", F.greatest("n_entities", F.lit(0).cast("long")))
+        some = some.withColumn("kinds", F.coalesce("__kinds", F.expr("CAST(array() AS array<string>)")))
         rest = rest.withColumn("n_entities", F.lit(0).cast("long")).withColumn("kinds", F.expr("CAST(array() AS array<string>)"))
     return some.select(*columns, *extra).union(rest.select(*columns, *extra))
 

@@ -90,7 +90,7 @@ def _changes(pages: DataFrame) -> DataFrame:
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(_captures(pages), _changes(pages))
+    return judge(_captures(pages), _changes(pages)).withColumn("day", F.col("day").cast("string"))
 
 
 OP5_SQL = r"""
@@ -116,6 +116,6 @@ hit AS (
    AND c.day >= DATE '2024-01-01' + CAST(iv.a AS INTEGER) AND (iv.b IS NULL OR c.day < DATE '2024-01-01' + CAST(iv.b AS INTEGER))
   WHERE c.host <> ''),
 agg AS (SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, count(*) AS n FROM hit GROUP BY page_id)
-SELECT c.page_id, c.host, c.day, agg.n IS NOT NULL AS blocked, coalesce(agg.lists, '') AS lists, CAST(coalesce(agg.n, 0) AS BIGINT) AS n_entries
+SELECT c.page_id, c.host, CAST(c.day AS VARCHAR) AS day, agg.n IS NOT NULL AS blocked, coalesce(agg.lists, '') AS lists, CAST(coalesce(agg.n, 0) AS BIGINT) AS n_entries
 FROM c LEFT JOIN agg ON c.page_id = agg.page_id
 """
