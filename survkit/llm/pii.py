@@ -41,19 +41,19 @@ _NAME = rf"[{CAP}][{LOW}]+(?:-[{CAP}][{LOW}]+)?"
 _TITLES = "|".join(" ".join(TITLES.values()).split())
 _GIVENS = "|".join(" ".join(GIVEN.values()).split())
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: One alternative per kind; each begins at a place where the one before can't go on.
+#: One alternative per kind; a look at the next character spares most places of a text the rest of it.
 PATTERNS = {
-    "secret": rf"(?<![A-Za-z_])(?i:{SECRET_WORDS})\s{{0,3}}[=:]\s{{0,3}}[\"']?[A-Za-z0-9+/_\-]{{8,}}",
+    "secret": rf"(?<![A-Za-z_])(?=[tpsaTPSA])(?i:{SECRET_WORDS})\s{{0,3}}[=:]\s{{0,3}}[\"']?[A-Za-z0-9+/_\-]{{8,}}",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "phone": r"\+\d{1,3}[ .\-]?\(\d{1,4}\)[ .\-]?\d{2,4}(?:[ .\-]?\d{2,4}){1,2}(?!\d)|\+\d{1,3}(?:[ .\-]\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)",
-    "card": r"(?<![\d.])\d{4}(?:[ \-]?\d{4}){3}(?!\d)|(?<![\d.])3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5}(?!\d)",
-    "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "name": rf"(?<![{CAP}{LOW}])(?:(?:{_TITLES})\.? (?:{_NAME} )?{_NAME}|(?:{_GIVENS}) {_NAME})",
+    "ip": rf"(?=\d)(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
+    "phone": r"\+\d{1,3}[ .\-]?\(\d{1,4}\)[ .\-]?\d{2,4}(?:[ .\-]?\d{2,4}){1,2}(?!\d)|\+\d{1,3}(?:[ .\-]\d{2,4}){2,4}(?!\d)|(?=\()(?<!\d)\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)",
+    "card": r"(?=\d)(?<![\d.])\d{4}(?:[ \-]?\d{4}){3}(?!\d)|(?=3)(?<![\d.])3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5}(?!\d)",
+    "ssn": r"(?=\d)(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
+    "name": rf"(?=[{CAP}])(?<![{CAP}{LOW}])(?:(?:{_TITLES})\.? (?:{_NAME} )?{_NAME}|(?:{_GIVENS}) {_NAME})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Texts that match none of these hold no entity.
-HINT = rf"[0-9@]|(?:{_TITLES})\.? [{CAP}]|(?:{_GIVENS}) [{CAP}]|(?i:{SECRET_WORDS})\s*[=:]"
+HINT = rf"[0-9@=:]|(?=[{CAP}])(?:(?:{_TITLES})\.?|{_GIVENS}) [{CAP}]"
 
 
 def _map(pairs: dict[str, str]) -> Column:
@@ -171,8 +171,9 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     pending, done = entities.withColumn("attempt", F.lit(0)), None
     while True:
         seed = F.concat_ws("|", F.lit(key), "kind", "canon", F.col("attempt").cast("string"))
-        c = pending.withColumn("h", F.sha2(seed, 256)).withColumn("filled", F.expr(_digits("canon"))).withColumn("sur", surrogate())
-        c = c.select("kind", "canon", "attempt", "sur")
+        c = pending.withColumn("h", F.sha2(seed, 256)).withColumn("filled", F.expr(_digits("canon")))
+        # each step stored: the next one names its columns many times, and inlining would work them out each time
+        c = store(store(c, "pii-hashes").withColumn("sur", surrogate()).select("kind", "canon", "attempt", "sur"), "pii-candidates")
         first = c.groupBy("kind", "sur").agg(F.min("canon").alias("keeper"))
         taken = entities.select("kind", F.col("canon").alias("sur"))
         if done is not None:
@@ -194,7 +195,8 @@ def replace(docs: DataFrame, key: str = KEY, counts: bool = False) -> DataFrame:
     d = docs.withColumn("__maybe", F.coalesce(F.col("text").rlike(HINT), F.lit(False)))
     some = d.where("__maybe").drop("__maybe")
     hits = some.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("es"))
-    hits = store(hits.where("size(es) > 0").dropDuplicates(["__id", "__th"]), "pii-hits")
+    # stored before the filter, which would otherwise be pushed below and match the pattern a second time
+    hits = store(hits, "pii-hits").where("size(es) > 0").dropDuplicates(["__id", "__th"])
     each = hits.select("__id", "__th", F.posexplode_outer("es").alias("pos", "e")).withColumn("kind", kind(F.col("e"))).withColumn("canon", canonical(F.col("kind"), F.col("e")))
     each = store(each, "pii-mentions")
     found = surrogates(store(each.select("kind", "canon").distinct(), "pii-entities"), key)
