@@ -177,7 +177,8 @@ def target_episodes(all_rows: DataFrame, events: DataFrame, cutoff: int, obs: Da
     Carries ``_asset_key`` (salted asset key) for the per-asset windows downstream."""
     given = obs is not None
     obs = obs if given else obs_window(all_rows)
-    surv = survivor_rows(events, F.col(S.INSTALL_YEAR) < F.lit(cutoff))
+    # one failure-free row per asset, whatever the number of its failures
+    surv = survivor_rows(events, F.col(S.INSTALL_YEAR) < F.lit(cutoff)).dropDuplicates([S.ASSET_ID, S.REGION])
     rows = union_fill_missing([all_rows.select(*ROW_COLS), surv]).select(*ROW_COLS)
     rows = with_salted_key(attach_window(rows, obs, materialized=given))
     rows = with_start(rows, "reg", key_cols=[SALTED_KEY, S.REGION])

@@ -110,9 +110,8 @@ def lifetime(spark, sf_dir):
 
 
 # Codes for the fixture's five segments; anything else takes the default.
-SEGMENT_CODES = {"AUTOMOBILE": "rgb(90, 44, 158)", "BUILDING": "rgb(128, 128, 128)", "HOUSEHOLD": "rgb(0, 0, 0)",
-                 "MACHINERY": "rgb(42, 227, 210)"}
-DEFAULT_CODE = "rgb(9, 0, 255)"
+SEGMENT_CODES = {"AUTOMOBILE": "A1", "BUILDING": "B1", "HOUSEHOLD": "H1", "MACHINERY": "M1"}
+DEFAULT_CODE = "X0"
 
 
 @query(

@@ -80,7 +80,7 @@ PREP_SQL = _prep_sql()
 
 TARGET_SQL = f"""obs AS (SELECT region, min(failure_year) AS obs_start, max(failure_year) AS obs_end
                 FROM all_c WHERE region IS NOT NULL GROUP BY region),
-    trows AS (SELECT {RC} FROM all_c UNION ALL {_null_rows('ev_c', f'install_year < {A}')}),
+    trows AS (SELECT {RC} FROM all_c UNION ALL {_null_rows('(SELECT * FROM ev_c QUALIFY row_number() OVER (PARTITION BY id ORDER BY failed_at DESC) = 1) AS last_failure_of_asset', f'install_year < {A}')}),
     tro AS (SELECT r.*, o.obs_start, o.obs_end, row_number() OVER w AS rn, lag(failure_year) OVER w AS prev_year
             FROM trows r LEFT JOIN obs o USING (region) WINDOW w AS (PARTITION BY id ORDER BY {ORDER_SQL})),
     tst AS (SELECT * EXCLUDE (rn, prev_year), {_start_sql('reg')} AS last_failure_year FROM tro),

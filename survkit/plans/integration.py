@@ -55,8 +55,9 @@ def date_parts(spark, sf_dir):
 def union_shared_columns(spark, sf_dir):
     """Per-region frames with differing extra columns, stacked on shared columns."""
     ev = Data(spark, sf_dir).events
-    first = ev.filter(F.col(S.REGION) < "M").withColumn("source_file", F.lit("a"))
-    second = ev.filter((F.col(S.REGION) >= "M") | F.col(S.REGION).isNull()).withColumn("row_tag", F.lit(1))
+    even = F.coalesce(F.substring(S.REGION, -1, 1).isin(*"02468"), F.lit(False))
+    first = ev.filter(even).withColumn("source_file", F.lit("a"))
+    second = ev.filter(~even).withColumn("row_tag", F.lit(1))
     return I.union_shared_columns([first, second])
 
 

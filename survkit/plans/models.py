@@ -111,7 +111,7 @@ def feat_prune(spark, sf_dir):
     wide, names = FE.onehot_columns(learn, [S.REGION, S.MATERIAL_AGE])
     cand = names + ["size_mm_std", "install_year_std", S.START]
     keep = FE.nonzero_columns(wide, cand)
-    return wide.select(*KEYS, *keep)
+    return wide.select(*KEYS, *[c for c in keep if c not in KEYS])
 
 
 # ---------------------------------------------------------------- M1 / M2 / M3 / M8 / M9

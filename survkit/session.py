@@ -43,11 +43,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is configured by the operator and is read from the
-    session.  Only when it is unset (tests, local bench) a fresh private
-    folder is taken.
+    session, from the configuration or from ``setCheckpointDir``.  Only on a
+    local master (tests, bench) a fresh private folder is taken when it is
+    unset; elsewhere executors would not share it, so that is an error.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not current:
+        current = sc.getCheckpointDir()
+    if not current and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="survkit-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
