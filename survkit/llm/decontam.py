@@ -46,17 +46,22 @@ def _spans(docs: DataFrame, wins: DataFrame, lengths: list[int], broadcast: bool
     d = d.select("doc_id", "th", "w", F.concat(mark, *[F.when(F.size("w") >= n, g).otherwise(none) for n, g in zip(lengths, grams)]).alias("g"))
     # the outer form: for the plain one the optimiser infers a filter on the array's size, which evaluates it a second time
     d = d.select("doc_id", "th", "w", F.explode_outer("g").alias("g"))
-    d = d.select("doc_id", "th", "w", F.col("g.h").alias("h"), F.col("g.p").alias("p"), F.col("g.len").alias("len"))
+    d = d.select("doc_id", "th", "w", F.col("g.h").alias("h"), F.col("g.p").alias("p"), F.col("g.len").alias("len"), F.size("w").cast("long").alias("n_words"))
+    mine = F.expr("slice(w, p, len)")
+    if not broadcast:
+        # a shuffled row carries its own window only, never the document's words
+        d = d.withColumn("dw", F.expr("slice(w, greatest(p, 1), len)")).drop("w")
+        mine = F.col("dw")
     marker = wins.sparkSession.range(1).select(
         F.lit(0).cast("long").alias("h"), F.lit(0).alias("len"), F.expr("CAST(array() AS array<string>)").alias("win"), F.expr("CAST(array() AS array<string>)").alias("items")
     )
     t = wins.union(marker).select(F.col("h").alias("wh"), F.col("len").alias("wlen"), "win", "items")
     if broadcast:
         t = F.broadcast(t)
-    hits = d.join(t, (d.h == t.wh) & (d.len == t.wlen) & ((d.len == 0) | (F.expr("slice(w, p, len)") == F.col("win"))))
+    hits = d.join(t, (d.h == t.wh) & (d.len == t.wlen) & ((d.len == 0) | (mine == F.col("win"))))
     span = F.when(F.col("p") > 0, F.struct(F.col("p").alias("a"), (F.col("p") + F.col("len")).alias("b")))
     return (
-        hits.groupBy("doc_id", "th", F.size("w").cast("long").alias("n_words"))
+        hits.groupBy("doc_id", "th", "n_words")
         .agg(
             F.sum((F.col("p") == 0).cast("long")).alias("m"),
             F.sort_array(F.collect_set(span)).alias("spans"),
