@@ -28,7 +28,7 @@ SAMPLE_ROWS = 20_000
 SPACE, FEATURES = 1 << 22, 2048
 LEAST_ROWS = 3
 PREFIXES = (4, 5, 6)
-RIDGE, COUNTERFACTUAL = 3e-5, 1.0
+RIDGE, COUNTERFACTUAL = 3e-4, 1.0
 STEPS, RATE = 400, 0.1
 THRESHOLD = 0.7
 #: Words a Python worker remembers the features of.
