@@ -12,6 +12,7 @@ toxic if one of them says so; without labelled rows every score is 0. Extra colu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from .common import crc_mod, read, store, with_fields, word_list
 
 #: Most labelled rows that the model is fitted on (taken in the order of a hash of the id).
 SAMPLE_ROWS = 20_000
-#: Hashed features, and how many of them (the most associated with the label) the model uses.
+#: Hashed features, and how many of them (the most associated with the label) the model uses at most.
 SPACE, FEATURES = 1 << 22, 2048
 LEAST_ROWS = 3
 PREFIXES = (4, 5, 6)
@@ -96,14 +97,19 @@ def _sample_features(sample: DataFrame) -> DataFrame:
 
 
 def select_features(rows: DataFrame, most: int = FEATURES, least: int = LEAST_ROWS) -> list[int]:
-    """The features most associated with the label by chi-square, of those in at least ``least`` rows."""
+    """The features most associated with the label by chi-square, of those in at least ``least`` rows.
+
+    A feature must exceed what the largest of as many unrelated ones would reach by chance, about 2 ln(count), so
+    that a small sample yields few features and no noise.
+    """
     n, pos = rows.agg(F.count("*"), F.sum("y")).first()
     if not n or not pos or pos == n:
         return []
     c = rows.select("y", F.explode("x").alias("f")).groupBy("f").agg(F.count("*").alias("a"), F.sum("y").alias("p")).where(F.col("a") >= least)
     expected = F.col("a") * (pos / n)
     chi = (F.col("p") - expected) ** 2 / (expected * (1 - pos / n) * (1 - F.col("a") / (n + 1.0)))
-    return [r["f"] for r in c.orderBy(chi.desc(), "f").limit(most).select("f").collect()]
+    chance = 2 * math.log(max(c.count(), 1))
+    return [r["f"] for r in c.withColumn("chi", chi).where(F.col("chi") >= chance).orderBy(F.desc("chi"), "f").limit(most).select("f").collect()]
 
 
 class Rows:
