@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,20 +36,31 @@ def safe_ratio(num, den, scale: float = 1.0) -> Column:
     return F.try_divide(_c(num).cast("double"), _c(den).cast("double")) * F.lit(scale)
 
 
-# Abramowitz & Stegun 7.1.26 rational approximation of erfc (|error| <= 1.5e-7).
-# Fixed coefficients of the published formula.
-_AS_P = 0.3275911
-_AS_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+# Step and number of terms of the trapezoidal sum in erfc (enough for double precision), and the
+# argument below which the power series of erf is used instead.
+_STEP, _TERMS = 0.5, 14
+_NEAR, _SERIES = 0.25, 12
 
 
 def erfc(x) -> Column:
-    """erfc(x) for x >= 0 (Spark has no erf)."""
+    """erfc(x) for x >= 0 (Spark has no erf), with a small *relative* error in the far tail too.
+
+    Trapezoidal rule on erfc(x) = (2x / pi) e^(-x^2) * integral of e^(-t^2) / (t^2 + x^2) over t > 0,
+    corrected by the residue of the integrand's pole, which counts while x < pi / step.
+    """
     x = _c(x)
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(_AS_P) * x)
-    poly = F.lit(0.0)
-    for a in reversed(_AS_A):
-        poly = (poly + F.lit(a)) * t
-    return poly * F.exp(-(x * x))
+    y, z = F.greatest(x, F.lit(_NEAR)), F.least(x, F.lit(math.pi / _STEP))
+    total = F.lit(0.5) / (y * y)
+    for k in range(1, _TERMS + 1):
+        t = (k * _STEP) ** 2
+        total = total + F.lit(math.exp(-t)) / (F.lit(t) + y * y)
+    far = F.lit(2 * _STEP / math.pi) * y * F.exp(-(y * y)) * total
+    pole = F.when(x < math.pi / _STEP, F.lit(2.0) / (F.lit(1.0) - F.exp(F.lit(2 * math.pi / _STEP) * F.greatest(z, F.lit(_NEAR))))).otherwise(F.lit(0.0))
+    series = F.lit(0.0)
+    for n in reversed(range(_SERIES)):
+        series = series * (x * x) + F.lit((-1) ** n / (math.factorial(n) * (2 * n + 1)))
+    near = F.lit(1.0) - F.lit(2 / math.sqrt(math.pi)) * x * series
+    return F.when(x < _NEAR, near).when(x >= _NEAR, far + pole)
 
 
 def chi2_1df_pvalue(chi2) -> Column:
@@ -56,12 +69,15 @@ def chi2_1df_pvalue(chi2) -> Column:
 
 
 def erfc_sql(x: str) -> str:
-    """The same approximation as SQL text (for the DuckDB oracle)."""
-    t = f"(1.0 / (1.0 + {_AS_P} * ({x})))"
-    poly = "0.0"
-    for a in reversed(_AS_A):
-        poly = f"(({poly}) + {a}) * {t}"
-    return f"(({poly}) * exp(-(({x}) * ({x}))))"
+    """erfc as SQL text by other formulas (power series, then continued fraction), for the oracle."""
+    x = f"({x})"
+    series = "0.0::DOUBLE"
+    for n in reversed(range(45)):
+        series = f"({series} * {x} * {x} + ({(-1) ** n / (math.factorial(n) * (2 * n + 1))!r})::DOUBLE)"
+    frac = x
+    for k in range(60, 0, -1):
+        frac = f"({x} + {k / 2} / {frac})"
+    return f"(CASE WHEN {x} < 2.0 THEN 1.0 - 2.0 / sqrt(pi()) * {x} * {series} ELSE exp(-({x} * {x})) / (sqrt(pi()) * {frac}) END)"
 
 
 def chi2_1df_pvalue_sql(chi2: str) -> str:

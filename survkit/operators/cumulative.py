@@ -5,7 +5,7 @@ ROC need running sums over *all* scores, so they use this operator instead:
 
 1. cut the order key into ``n`` ranges at approximate quantiles (n-1 numbers
    reach the driver, a bounded amount) -> a deterministic range id per row;
-   ``n`` follows the measured row count (~2M rows per range, at most 1024);
+   ``n`` follows the measured row count (~2M rows per range);
 2. totals per (range, group) -- a tiny table (<= n x groups rows) -- and
    their exclusive running sum over ranges -> an offset per (range, group);
 3. running sums inside each (range, group) by a window partitioned on the
@@ -21,27 +21,28 @@ groups are many and small.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, store
 
 _B = "_range_id"
-MAX_RANGES = 1024
 ROWS_PER_RANGE = 2_000_000
 
 
 def _range_id(key: Column, bounds: list[float]) -> Column:
-    """Index of the first bound >= key (balanced tree of comparisons)."""
+    """Number of the sorted bounds below key, by bisection of one literal array."""
+    if not bounds:
+        return F.lit(0)
+    edges = F.lit(np.array(bounds, dtype="float64"))
+    widths = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
 
-    def build(lo: int, hi: int) -> Column:
-        # bounds[lo:hi] decide between ids lo..hi
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= F.lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
+    def widen(found: Column, width: Column) -> Column:
+        up = found + width
+        return F.when((up <= len(bounds)) & (F.get(edges, up - 1) < key), up).otherwise(found)
 
-    return build(0, len(bounds))
+    return F.aggregate(widths, F.lit(0), widen)
 
 
 def running_sums(
@@ -52,13 +53,13 @@ def running_sums(
     group_cols: list[str] | None = None,
     prefix: str = "cum_",
     num_ranges: int | None = None,
-    relative_error: float = 1e-3,
+    ties: list[str] | None = None,
 ) -> DataFrame:
     """Add inclusive running sums ``prefix+v`` of ``value_cols`` ordered by ``order_col``.
 
     The order key must be numeric, non-null and unique within a group
-    (aggregate ties first); ``group_cols`` restart the sums and must be
-    non-null.
+    (aggregate ties first, or name in ``ties`` the columns that order them);
+    ``group_cols`` restart the sums and must be non-null.
     """
     group_cols = list(group_cols or [])
     spark = df.sparkSession
@@ -68,17 +69,16 @@ def running_sums(
     ensure_checkpoint_dir(spark)
     df = store(df, "running-sums-in")
     if num_ranges is None:
-        # about ROWS_PER_RANGE rows per range (a window task), at most MAX_RANGES
-        # ranges so the range-id expression (a comparison tree) stays small
+        # about ROWS_PER_RANGE rows per range (a window task)
         rows = df.count()  # parquet metadata of the stored input
-        n = max(1, min(MAX_RANGES, -(-rows // ROWS_PER_RANGE)))
+        n = max(1, -(-rows // ROWS_PER_RANGE))
     else:
         n = num_ranges
     key = F.col(order_col).cast("double")
     if not ascending:
         key = -key
     probs = [i / n for i in range(1, n)]
-    bounds = sorted(set(df.select(key.alias("_k")).approxQuantile("_k", probs, relative_error))) if probs else []
+    bounds = sorted(set(df.select(key.alias("_k")).approxQuantile("_k", probs, 0.25 / n))) if probs else []
     with_id = df.withColumn(_B, _range_id(key, bounds)).withColumn("_okey", key)
 
     totals = with_id.groupBy(_B, *group_cols).agg(*[F.sum(v).alias("_tot_" + v) for v in value_cols])
@@ -91,7 +91,9 @@ def running_sums(
     # 1/n of the rows, so no task ever holds a whole group; JVM-side, codegen'd
     keycols = [_B] + group_cols
     types = {f.name: f.dataType for f in df.schema.fields}
-    wr = Window.partitionBy(*keycols).orderBy("_okey").rowsBetween(Window.unboundedPreceding, 0)
+    # long keys may be equal as doubles: the key itself then decides, after it ``ties``
+    exact = F.col(order_col).asc() if ascending else F.col(order_col).desc()
+    wr = Window.partitionBy(*keycols).orderBy("_okey", exact, *(ties or [])).rowsBetween(Window.unboundedPreceding, 0)
     local = with_id.select("*", *[F.sum(v).over(wr).alias("_loc_" + v) for v in value_cols])
     local_cols = ["_loc_" + v for v in value_cols]
     joined = local.join(offsets, keycols, "left")

@@ -10,7 +10,7 @@ area under the ROC through the tie groups).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cumulative import running_sums
@@ -127,25 +127,36 @@ def dynamic_auc(df: DataFrame, times: DataFrame, score: str = SCORE) -> DataFram
     return s.select("t", val.alias("auc"))
 
 
-def censoring_survival(df: DataFrame) -> DataFrame:
-    """Kaplan-Meier of the censoring distribution: (duration, g) with g = P(C > t)."""
-    from .km import km_from_durations
+def censoring_survival(train: DataFrame) -> DataFrame:
+    """(duration, g) per distinct duration of the training rows: g = P(C > t), the Kaplan-Meier of censoring.
 
-    k = km_from_durations(df.withColumn("_one", F.lit(1)), ["_one"], F.col(TIME), F.col(LABEL) == 0)
-    return k.select(F.col("duration").alias("_gt"), F.col("survival").alias("g"))
+    At a tied time failures come before censorings, so a time's failures have left its risk set.
+    """
+    c = train.filter(F.col(TIME).isNotNull() & F.col(LABEL).isNotNull()).groupBy(TIME).agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col(LABEL) == 1).cast("long")).alias("d")
+    )
+    # windows over the distinct durations only (whole years)
+    one = Window.partitionBy(F.lit(1))
+    at_risk = F.sum("n").over(one.orderBy(F.col(TIME).desc()).rowsBetween(Window.unboundedPreceding, 0))
+    c = c.withColumn("left", at_risk - F.col("d"))
+    factor = F.when(F.col("left") > 0, F.lit(1.0) - (F.col("n") - F.col("d")) / F.col("left")).otherwise(F.lit(1.0))
+    return c.select(TIME, F.product(factor).over(one.orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)).alias("g"))
 
 
-def dynamic_auc_ipcw(df: DataFrame, times: DataFrame, score: str = SCORE) -> DataFrame:
+def dynamic_auc_ipcw(df: DataFrame, times: DataFrame, train: DataFrame, score: str = SCORE) -> DataFrame:
     """Cumulative/dynamic AUC with inverse-probability-of-censoring weights.
 
     Cases at t: event and duration <= t, weight 1 / G(duration); controls:
-    duration > t, weight 1.  G is the censoring KM of the same table.
+    duration > t, weight 1.  G is the censoring KM of the training rows, a step
+    function: 1 before its first duration, its last value after the last one.
+    A case with G = 0 has no weight.
     """
-    g = censoring_survival(df).withColumnRenamed("_gt", TIME)
     base = df.groupBy(score, LABEL, TIME).agg(F.count(F.lit(1)).alias("_w"))
+    steps = base.select(TIME).distinct().join(censoring_survival(train), TIME, "full_outer")
+    held = F.last("g", ignorenulls=True).over(Window.partitionBy(F.lit(1)).orderBy(TIME))
     # one weight per distinct duration (a few dozen years): broadcast after a count,
     # never a shuffle of the score table by duration (a duration can hold most rows)
-    base = join_lookup(base, g, [TIME], "left")
+    base = join_lookup(base, steps.select(TIME, F.coalesce(held, F.lit(1.0)).alias("g")), [TIME], "left")
     x = base.crossJoin(F.broadcast(times))
     case = (F.col(LABEL) == 1) & (F.col(TIME) <= F.col("t"))
     ctrl = F.col(TIME) > F.col("t")

@@ -99,13 +99,14 @@ def _chi2_sf(x: float, k: int) -> float:
     a, z = k / 2.0, x / 2.0
     if z == 0:
         return 1.0
+    from itertools import count
     from math import exp, lgamma, log
 
     if z < a + 1:  # series for P
         term = 1.0 / a
         s = term
         ap = a
-        for _ in range(500):
+        while True:  # the terms fall geometrically once ap > z
             ap += 1
             term *= z / ap
             s += term
@@ -118,7 +119,7 @@ def _chi2_sf(x: float, k: int) -> float:
     c = 1 / tiny
     dd = 1 / b
     h = dd
-    for i in range(1, 500):
+    for i in count(1):
         an = -i * (i - a)
         b += 2
         dd = an * dd + b

@@ -129,18 +129,22 @@ def linear_svc(reg: float = 0.01, max_iter: int = 50, features: str = "rff") ->
     return LinearSVC(featuresCol=features, labelCol="label", regParam=reg, maxIter=max_iter)
 
 
-def survival_regression_svm(train: DataFrame, features: str, reg: float = 0.01, rounds: int = 4) -> DataFrame:
+def survival_regression_svm(train: DataFrame, features: str, reg: float = 0.01, tolerance: float = 1e-6):
     """Linear survival SVM, regression objective: squared error on events, one-sided on censored rows.
 
     Active-set iterations: censored rows whose prediction already exceeds
     their censoring time carry no loss and leave the fit.  Each round is one
-    distributed least-squares fit; no pairs are formed.
+    distributed least-squares fit; no pairs are formed.  Rounds end when the
+    loss falls by no more than ``tolerance`` of itself (also when the active
+    set no longer changes).
     """
     base = train.withColumn("y", F.col(S.DURATION).cast("double"))
-    active = base
-    model = None
-    for _ in range(rounds):
+    active, best, lowest = base, None, float("inf")
+    while True:
         model = LinearRegression(featuresCol=features, labelCol="y", regParam=reg, elasticNetParam=0.0).fit(active)
         pred = model.transform(base)
-        active = pred.filter((F.col(S.EVENT) == 1) | (F.col("prediction") < F.col("y"))).drop("prediction")
-    return model
+        pred = pred.filter((F.col(S.EVENT) == 1) | (F.col("prediction") < F.col("y")))
+        loss = pred.agg(F.sum((F.col("prediction") - F.col("y")) ** 2).alias("s")).first()["s"] or 0.0
+        if best is not None and loss >= lowest * (1 - tolerance):
+            return best if loss >= lowest else model
+        active, best, lowest = pred.drop("prediction"), model, loss

@@ -37,10 +37,10 @@ def permuted_copies(df: DataFrame, features: list[str], repeats: int, keys: list
     )
     draws = indexed.select(_RID).crossJoin(F.broadcast(fr)).select(
         "f_idx", "repeat", _RID,
-        F.xxhash64(F.col(_RID), F.col("f_idx"), F.col("repeat"), F.lit(seed)).cast("double").alias("_key"),
+        F.xxhash64(F.col(_RID), F.col("f_idx"), F.col("repeat"), F.lit(seed)).alias("_key"),
         F.lit(1).cast("long").alias("_one"),
     )
-    pos = running_sums(draws, "_key", ["_one"], group_cols=["f_idx", "repeat"]).select(
+    pos = running_sums(draws, "_key", ["_one"], group_cols=["f_idx", "repeat"], ties=[_RID]).select(
         "f_idx", "repeat", (F.col("cum__one") - 1).alias("_target"), F.col(_RID).alias("_src")
     )
     parts = []

@@ -8,7 +8,6 @@ top of the same derived tables expressed as CTEs (``PRELUDE``).
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,37 +23,15 @@ ORACLE: dict[str, str] = {}
 ROWS_ONLY: set[str] = set()
 
 
-# Digits kept for floating results whose last bits depend on summation
-# order (means, sums of products, logs): both engines round the same way.
-ROUND_DIGITS = 9
-
-
-def query(name: str, sql: str | None = None, round_cols: tuple[str, ...] = (), round_digits: int = ROUND_DIGITS):
-    """Register a query; ``sql`` (DuckDB) omitted means rows-only check.
-
-    ``round_cols`` are rounded to ``round_digits`` decimals in the Spark result
-    and in the oracle alike (their last bits depend on the order of a sum).
-    """
+def query(name: str, sql: str | None = None):
+    """Register a query; ``sql`` (DuckDB) omitted means rows-only check."""
 
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        if round_cols:
-
-            @functools.wraps(fn)
-            def run(spark, sf_dir):
-                df = fn(spark, sf_dir)
-                return df.withColumns({c: F.round(F.col(c), round_digits) for c in round_cols})
-
-            QUERIES[name] = run
-        else:
-            QUERIES[name] = fn
+        QUERIES[name] = fn
         if sql is not None:
-            if round_cols:
-                rep = ", ".join(f"round({c}, {round_digits}) AS {c}" for c in round_cols)
-                ORACLE[name] = f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS _rounded"
-            else:
-                ORACLE[name] = sql
+            ORACLE[name] = sql
         else:
             ROWS_ONLY.add(name)
         return fn
@@ -63,7 +40,7 @@ def query(name: str, sql: str | None = None, round_cols: tuple[str, ...] = (), r
 
 
 class Data:
-    """Lazily derived tables of one data directory (nothing is computed here)."""
+    """Derived tables of one data directory: lazy plans, but for the stored ones (``all_c_stored``, ``obs``)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, study: S.Study = S.DEFAULT_STUDY):
         self.spark = spark
@@ -145,6 +122,10 @@ class Data:
         return self._obs
 
 
+# Names of the given tables' regions and of the cleaned material / period values (fixed by their rule).
+REGIONS = [f"NATION_{k}" for k in range(25)]
+MATERIAL_AGES = [f"{m}{y}" for m in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY") for y in range(1995, 2003, 2)]
+
 # DuckDB text of the same derivation.  Every oracle query starts with it.
 PRELUDE = """
 WITH assets AS (

@@ -13,7 +13,7 @@ from ..operators import bins as B
 from ..operators import clean as C
 from ..operators import counts as K
 from ..operators.quantiles import grouped_quantiles_discrete
-from .base import Data, query, sql
+from .base import REGIONS, Data, query, sql
 
 # Fixture parameters (FIXTURES.md): install years of the fixture start in
 # 1995, so the low-year clamp uses 1997 in place of the source's 1930.
@@ -69,8 +69,6 @@ def failures_by_region_year(spark, sf_dir):
 @query(
     "mean_size_by_region",
     sql("SELECT region, avg(size_mm) AS mean_size FROM ev_c WHERE region IS NOT NULL GROUP BY region"),
-    round_cols=("mean_size",),
-    round_digits=6,  # sizes are ~1e5: keep the rounding well above the summation noise
 )
 def mean_size_by_region(spark, sf_dir):
     ev = Data(spark, sf_dir).events_c.filter(F.col(S.REGION).isNotNull())
@@ -303,8 +301,9 @@ def crosstab_all_pairs_failures(spark, sf_dir):
 @query(
     "pivot_year_region",
     sql(
-        "PIVOT (SELECT failure_year, region, count(*) AS n FROM ev_c WHERE failure_year IS NOT NULL GROUP BY ALL) "
-        "ON region USING max(n) GROUP BY failure_year"
+        "SELECT failure_year, "
+        + ", ".join(f"nullif(count(*) FILTER (WHERE region = '{r}'), 0) AS \"{r}\"" for r in REGIONS)
+        + " FROM ev_c WHERE failure_year IS NOT NULL GROUP BY failure_year"
     ),
 )
 def pivot_year_region(spark, sf_dir):
@@ -432,7 +431,7 @@ _LONG_SQL = " UNION ALL ".join(
            lt_long AS ("""
         + _LONG_SQL.format(v="lifetime", src="lt")
         + ")",
-    ), round_cols=('median_lifetime',)
+    )
 )
 def median_lifetime(spark, sf_dir):
     d = Data(spark, sf_dir)
@@ -482,7 +481,7 @@ def marginal_rate(spark, sf_dir):
                     AS rate_scaled
            FROM mr""",
         _MARGINAL_SQL,
-    ), round_cols=('rate_scaled',)
+    )
 )
 def marginal_rate_scaled(spark, sf_dir):
     """rate x mean(count) / mean(rate), per dimension (aggregate of a few rows per dimension)."""
@@ -631,7 +630,7 @@ _EVGRID_SQL = (
            FROM grid g LEFT JOIN ev_pairs e USING (x_name, y_name, x_value, y_value)
            LEFT JOIN mins m USING (x_name, y_name)""",
         _EVGRID_SQL,
-    ), round_cols=('log_size',)
+    )
 )
 def crosstab_logsize(spark, sf_dir):
     """Failure cross-tab marker size ln(n / min n) * 7 per pair, 0 for empty cells."""
@@ -678,7 +677,6 @@ _EVGRID10_SQL = (
            LEFT JOIN mins10 m USING (x_name, y_name)""",
         _EVGRID10_SQL,
     ),
-    round_cols=("log_size",),
 )
 def crosstab_logsize_installed_grid(spark, sf_dir):
     """Failure cross-tab marker sizes (k = 10) over the grid of installed values."""

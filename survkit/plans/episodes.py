@@ -262,13 +262,16 @@ def label_horizon_compat(spark, sf_dir):
 
 # ---------------------------------------------------------------- splits F9-F11
 
-@query(
-    "split_learning",
-    sql(f"SELECT {EPC} FROM ep WHERE install_year < {A} AND obs_start < {A}", PREP_SQL),
-)
+LEARN_COND_SQL = f"install_year < {A} AND obs_start < {A}"
+
+
+def learning_rows(ep):
+    return ep.filter((F.col(S.INSTALL_YEAR) < A) & (F.col(S.OBS_START) < A))
+
+
+@query("split_learning", sql(f"SELECT {EPC} FROM ep WHERE {LEARN_COND_SQL}", PREP_SQL))
 def split_learning(spark, sf_dir):
-    ep = prep(Data(spark, sf_dir))
-    return ep.filter((F.col(S.INSTALL_YEAR) < A) & (F.col(S.OBS_START) < A)).select(*EP_COLS)
+    return learning_rows(prep(Data(spark, sf_dir))).select(*EP_COLS)
 
 
 TEST_COND_SQL = f"install_year < {A} AND obs_start < {A} AND obs_end > {A} AND failed_at IS NULL"

@@ -15,7 +15,7 @@ from .. import schema as S
 from ..operators import evaluate as EV
 from ..session import ensure_checkpoint_dir, store
 from .base import Data, query, sql
-from .episodes import A, PREP_SQL, TARGET_BODY, TEST_COND_SQL, prep, test_rows, truth_first
+from .episodes import A, LEARN_COND_SQL, PREP_SQL, TARGET_BODY, TEST_COND_SQL, learning_rows, prep, test_rows, truth_first
 
 SIZE_WEIGHT = 1e-6
 GRID_PROBS = [(5.0 + 76.0 * i / 9) / 100.0 for i in range(10)]
@@ -103,7 +103,7 @@ def lift_curve(spark, sf_dir):
                   round(coalesce(sum((a.x - b.x) * (a.y + b.y) / 2.0), 0.0), 2) AS area_rounded
            FROM lift a JOIN lift b ON a.position = b.position + 1""",
         SCORED_SQL + ",\n" + _LIFT_SQL,
-    ), round_cols=('area',)
+    )
 )
 def lift_auc(spark, sf_dir):
     """Area under the lift curve (trapezoids between points, no origin), as in the source report."""
@@ -124,7 +124,7 @@ def roc_curve(spark, sf_dir):
     return EV.roc_curve(scored(Data(spark, sf_dir)))
 
 
-@query("roc_auc", sql(_mw_sql("(SELECT proba AS score, pos, neg FROM sc)", None), SCORED_SQL), round_cols=('auc',))
+@query("roc_auc", sql(_mw_sql("(SELECT proba AS score, pos, neg FROM sc)", None), SCORED_SQL))
 def roc_auc(spark, sf_dir):
     return EV.auc(scored(Data(spark, sf_dir)))
 
@@ -142,7 +142,7 @@ _DYN_SQL = """dyn_in AS (SELECT tg.t, s.proba AS score,
     dyn AS (""" + _mw_sql("dyn_in", "t") + ")"
 
 
-@query("dynamic_auc", sql("SELECT t, auc FROM dyn", SCORED_SQL + ",\n" + _DYN_SQL), round_cols=('auc',))
+@query("dynamic_auc", sql("SELECT t, auc FROM dyn", SCORED_SQL + ",\n" + _DYN_SQL))
 def dynamic_auc(spark, sf_dir):
     """AUC per grid time: positives = failed within t, all others negative."""
     s = scored(Data(spark, sf_dir))
@@ -155,7 +155,7 @@ def dynamic_auc(spark, sf_dir):
         f"""SELECT g.auc AS auc_global, m.auc_mean FROM ({_mw_sql("(SELECT proba AS score, pos, neg FROM sc)", None)}) g
             CROSS JOIN (SELECT avg(auc) AS auc_mean FROM dyn) m""",
         SCORED_SQL + ",\n" + _DYN_SQL,
-    ), round_cols=('auc_global', 'auc_mean')
+    )
 )
 def dynamic_auc_mean(spark, sf_dir):
     """(global AUC, mean of the per-time AUCs) as returned by the source routine."""
@@ -170,25 +170,27 @@ def dynamic_auc_mean(spark, sf_dir):
     sql(
         "SELECT t, auc FROM ipcw",
         SCORED_SQL
-        + """,
-    cens_cnt AS (SELECT duration, CAST(sum(1 - event) AS BIGINT) AS c, count(*) AS n_rows FROM scored GROUP BY duration),
-    cens_km AS (SELECT duration, product(1.0 - CAST(c AS DOUBLE) / n_at_risk) OVER (ORDER BY duration
-                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g
-                FROM (SELECT *, sum(n_rows) OVER (ORDER BY duration DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-                             AS n_at_risk FROM cens_cnt)),
+        + f""",
+    tr_cnt AS (SELECT duration, CAST(sum(event) AS BIGINT) AS d, count(*) AS n FROM ep WHERE {LEARN_COND_SQL} GROUP BY duration),
+    tr_left AS (SELECT a.duration, a.n - a.d AS c, sum(b.n) - a.d AS left_over
+                FROM tr_cnt a JOIN tr_cnt b ON b.duration >= a.duration GROUP BY a.duration, a.n, a.d),
+    ip_cens AS (SELECT a.duration, product(CASE WHEN b.left_over > 0 THEN 1.0 - CAST(b.c AS DOUBLE) / b.left_over ELSE 1.0 END) AS g
+             FROM tr_left a JOIN tr_left b ON b.duration <= a.duration GROUP BY a.duration),
     ip_in AS (SELECT tg.t, s.proba AS score,
-                     sum(CASE WHEN s.event = 1 AND s.duration <= tg.t AND k.g > 0 THEN 1.0 / k.g ELSE 0.0 END) AS pos,
+                     sum(CASE WHEN s.event = 1 AND s.duration <= tg.t AND s.g > 0 THEN 1.0 / s.g ELSE 0.0 END) AS pos,
                      sum(CASE WHEN s.duration > tg.t THEN 1.0 ELSE 0.0 END) AS neg
-              FROM scored s JOIN cens_km k ON s.duration = k.duration CROSS JOIN tg GROUP BY ALL),
+              FROM (SELECT sc0.*, coalesce(k.g, 1.0) AS g FROM scored sc0 ASOF LEFT JOIN ip_cens k ON sc0.duration >= k.duration) s
+              CROSS JOIN tg GROUP BY ALL),
     ipcw AS ("""
         + _mw_sql("ip_in", "t")
         + ")",
-    ), round_cols=('auc',)
+    )
 )
 def dynamic_auc_ipcw(spark, sf_dir):
-    """Cumulative/dynamic AUC with censoring weights (defined but never called in the source)."""
-    s = scored(Data(spark, sf_dir))
-    return EV.dynamic_auc_ipcw(s, EV.time_grid(s))
+    """Cumulative/dynamic AUC, weights of the learning episodes' censoring (defined but never called in the source)."""
+    d = Data(spark, sf_dir)
+    s = scored(d)
+    return EV.dynamic_auc_ipcw(s, EV.time_grid(s), learning_rows(prep(d)).select(S.EVENT, S.DURATION))
 
 
 @query(
@@ -211,7 +213,7 @@ def dynamic_auc_ipcw(spark, sf_dir):
     ci_ctrl AS (SELECT T, proba, sum(w) AS ctrl FROM ci_b JOIN ci_t
                 ON ci_b.duration > ci_t.T OR (ci_b.duration = ci_t.T AND ci_b.event = 0) GROUP BY ALL),
     ci_cases AS (SELECT duration AS T, proba, sum(w) AS cases FROM ci_b WHERE event = 1 GROUP BY ALL)""",
-    ), round_cols=('c_index',)
+    )
 )
 def c_index(spark, sf_dir):
     """Harrell's concordance from per-(time, score) counts (commented out in the source)."""
@@ -236,29 +238,36 @@ def run_summary(spark, sf_dir):
 
 # ---------------------------------------------------------------- V6 multi-class demo
 
-N_CLASSES = 10
+# Most classes whose centroids (a few kB each) are broadcast.
+MAX_BROADCAST_CLASSES = 10_000
 
 
 @query(
     "roc_micro",
-    sql(
-        f"""SELECT CAST(cls AS VARCHAR) AS class_name, auc FROM ({_mw_sql('mc', 'cls')})
-            UNION ALL SELECT 'micro', auc FROM ({_mw_sql('mc_micro', None)})""",
-        f"""mrows AS (SELECT e.label, r.c AS cls, CAST(e.embedding[r.c + 1] AS DOUBLE) AS score
-                  FROM embeddings e CROSS JOIN range({N_CLASSES}) r(c)),
+    f"""WITH ex AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x
+                FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+        cent AS (SELECT cls, list(m ORDER BY i) AS v FROM (SELECT label AS cls, i, avg(x) AS m FROM ex GROUP BY ALL) GROUP BY cls),
+        mrows AS (SELECT e.label, c.cls, list_dot_product(CAST(e.embedding AS DOUBLE[]), c.v) AS score
+                  FROM embeddings e CROSS JOIN cent c WHERE e.label IS NOT NULL AND e.embedding IS NOT NULL),
         mc AS (SELECT cls, score, CAST(sum(CASE WHEN label = cls THEN 1 ELSE 0 END) AS BIGINT) AS pos,
                       CAST(sum(CASE WHEN label = cls THEN 0 ELSE 1 END) AS BIGINT) AS neg FROM mrows GROUP BY ALL),
-        mc_micro AS (SELECT score, CAST(sum(pos) AS BIGINT) AS pos, CAST(sum(neg) AS BIGINT) AS neg FROM mc GROUP BY ALL)""",
-    ), round_cols=('auc',)
+        mc_micro AS (SELECT score, CAST(sum(pos) AS BIGINT) AS pos, CAST(sum(neg) AS BIGINT) AS neg FROM mc GROUP BY ALL)
+        SELECT CAST(cls AS VARCHAR) AS class_name, auc FROM ({_mw_sql('mc', 'cls')})
+        UNION ALL SELECT 'micro', auc FROM ({_mw_sql('mc_micro', None)})""",
 )
 def roc_micro(spark, sf_dir):
-    """Per-class and micro-averaged ROC AUC of a one-vs-rest score (class c scored by coordinate c)."""
-    emb = Data(spark, sf_dir).table("embeddings").select("label", "embedding")
-    rows = emb.select(
-        "label", F.posexplode(F.slice("embedding", 1, N_CLASSES)).alias("cls", "score")
-    ).select(
-        F.col("cls"), F.col("score").cast("double").alias("proba"), (F.col("label") == F.col("cls")).cast("int").alias("event")
-    )
+    """Per-class and micro-averaged ROC AUC of a one-vs-rest score: product of the whole vector with the class centroid.
+
+    The classes are the labels that occur; one score per row and class is the input of a one-vs-rest curve.
+    """
+    emb = Data(spark, sf_dir).table("embeddings").select("label", F.col("embedding").cast("array<double>").alias("x")).dropna()
+    means = emb.select("label", F.posexplode("x").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m"))
+    cent = means.groupBy(F.col("label").alias("cls")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("c"))
+    cent = store(cent, "centroids")
+    if cent.count() <= MAX_BROADCAST_CLASSES:
+        cent = F.broadcast(cent)
+    product = F.aggregate(F.zip_with("x", "c", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    rows = emb.crossJoin(cent).select("cls", product.alias("proba"), (F.col("label") == F.col("cls")).cast("int").alias("event"))
     per = EV.auc(rows, group_cols=["cls"]).select(F.col("cls").cast("string").alias("class_name"), "auc")
     micro = EV.auc(rows).select(F.lit("micro").alias("class_name"), "auc")
     return per.unionByName(micro)

@@ -100,7 +100,7 @@ def sink_masters(spark, sf_dir):
     sql(
         "SELECT member_1, member_2, chi2, p_value, p_rounded FROM lr WHERE p_rounded > 0.05",
         LR_MATERIAL_SQL,
-    ), round_cols=('chi2', 'p_value')
+    )
 )
 def sink_pvalues(spark, sf_dir):
     """Similar / disparate pair lists written as CSV; the similar list read back with its schema."""

@@ -16,8 +16,8 @@ from ..operators import evaluate as EV
 from ..operators import features as FE
 from ..operators import models as M
 from ..session import ensure_checkpoint_dir, store
-from .base import Data, query, sql
-from .episodes import A, P, PREP_SQL, TEST_COND_SQL, prep, test_rows, truth_first
+from .base import MATERIAL_AGES, REGIONS, Data, query, sql
+from .episodes import A, LEARN_COND_SQL, P, PREP_SQL, TEST_COND_SQL, learning_rows, prep, test_rows, truth_first
 
 KEYS = [S.ID, S.START]
 STD_COLS = [S.SIZE, S.INSTALL_YEAR]
@@ -30,8 +30,7 @@ SVC_C = [0.1, 1.0, 10.0, 30.0]
 
 def _learn_test(d: Data):
     ep = FE.standardize(prep(d), STD_COLS)  # fitted on the whole prepared table, as in the source
-    learn = ep.filter((F.col(S.INSTALL_YEAR) < A) & (F.col(S.OBS_START) < A))
-    return learn, test_rows(ep)
+    return learning_rows(ep), test_rows(ep)
 
 
 def _with_truth(d: Data, scores):
@@ -49,7 +48,7 @@ def _with_truth(d: Data, scores):
                   (install_year - avg(install_year) OVER ()) / stddev_pop(install_year) OVER () AS install_year_std
            FROM ep""",
         PREP_SQL,
-    ), round_cols=('size_mm_std', 'install_year_std')
+    )
 )
 def feat_standardize(spark, sf_dir):
     """(x - mean) / population std over the whole prepared table (one-row stats, broadcast)."""
@@ -65,7 +64,7 @@ def feat_standardize(spark, sf_dir):
             FROM (SELECT * FROM ep WHERE {TEST_COND_SQL}) t
             CROSS JOIN (SELECT avg(duration) AS m, stddev_pop(duration) AS s FROM ep) st""",
         PREP_SQL,
-    ), round_cols=('duration_std', 'duration_shift_std')
+    )
 )
 def feat_shift_horizon(spark, sf_dir):
     """Scaler fitted on durations, re-applied to test durations shifted by the horizon."""
@@ -77,14 +76,20 @@ def feat_shift_horizon(spark, sf_dir):
     return t.select(S.ID, S.START, "duration_std", "duration_shift_std")
 
 
+# Episodes exist only of assets installed before the cutoff.
+EPISODE_AGES = [v for v in MATERIAL_AGES if int(v[-4:]) < A]
+
+
+def _levels_sql(col: str, values: list[str]) -> str:
+    """Indicator columns of the listed values, as SQL."""
+    return ", ".join(f"CAST(coalesce({col} = '{v}', FALSE) AS BIGINT) AS \"{v}\"" for v in values)
+
+
 @query(
     "feat_onehot",
     sql(
-        """SELECT * EXCLUDE (rid) FROM (
-             PIVOT (SELECT rid, id, last_failure_year, region AS k FROM epr
-                    UNION ALL SELECT rid, id, last_failure_year, material_age AS k FROM epr)
-             ON k USING count(*) GROUP BY rid, id, last_failure_year)""",
-        PREP_SQL + ", epr AS (SELECT *, row_number() OVER () AS rid FROM ep)",
+        "SELECT id, last_failure_year, " + _levels_sql("region", REGIONS) + ", " + _levels_sql("material_age", EPISODE_AGES) + " FROM ep",
+        PREP_SQL,
     ),
 )
 def feat_onehot(spark, sf_dir):
@@ -104,11 +109,22 @@ def feat_assembled(spark, sf_dir):
     return model.transform(learn).select(*KEYS, S.EVENT, S.DURATION, "features")
 
 
-@query("feat_prune")
+@query(
+    "feat_prune",
+    sql(
+        f"""SELECT id, last_failure_year, {_levels_sql("region", REGIONS)}, {_levels_sql("material_age", EPISODE_AGES)},
+                   (size_mm - sm) / ss AS size_mm_std, (install_year - im) / iy AS install_year_std
+            FROM (SELECT * FROM ep WHERE {LEARN_COND_SQL}) t
+            CROSS JOIN (SELECT avg(size_mm) AS sm, stddev_pop(size_mm) AS ss, avg(install_year) AS im, stddev_pop(install_year) AS iy FROM ep) st""",
+        PREP_SQL,
+    ),
+)
 def feat_prune(spark, sf_dir):
-    """Learning table with indicator / numeric columns that are zero everywhere dropped."""
-    learn, _ = _learn_test(Data(spark, sf_dir))
-    wide, names = FE.onehot_columns(learn, [S.REGION, S.MATERIAL_AGE])
+    """Learning table without the columns that are zero in all its rows; levels are those of the whole prepared table."""
+    d = Data(spark, sf_dir)
+    learn, _ = _learn_test(d)
+    cats = [S.REGION, S.MATERIAL_AGE]
+    wide, names = FE.onehot_columns(learn, cats, FE.category_values(prep(d), cats))
     cand = names + ["size_mm_std", "install_year_std", S.START]
     keep = FE.nonzero_columns(wide, cand)
     return wide.select(*KEYS, *[c for c in keep if c not in KEYS])

@@ -9,7 +9,7 @@ from ..functions.scalar import chi2_1df_pvalue_sql
 from ..operators import bins as B
 from ..operators import km as KM
 from ..operators import logrank as LR
-from .base import Data, query, sql
+from .base import MATERIAL_AGES, Data, query, sql
 from .descriptive import _bin_sql, _q_edges_sql
 
 # ---------------------------------------------------------------- SQL generators
@@ -160,13 +160,31 @@ def km_region_material(spark, sf_dir):
     return KM.km(Data(spark, sf_dir).all_c, [S.REGION, S.MATERIAL], parent_cols=[S.REGION])
 
 
+@query(
+    "km_region_material_age",
+    sql(_km_sql("dur", ["region", "material_age"]), _dur_sql("all_c", ["region", "material_age"], ["region"])),
+)
+def km_region_material_age(spark, sf_dir):
+    """Material / period curves inside each region, on the region's clock."""
+    return KM.km(Data(spark, sf_dir).all_c, [S.REGION, S.MATERIAL_AGE], parent_cols=[S.REGION])
+
+
+@query(
+    "km_region_sizebin",
+    sql(_km_sql("dur", ["region", "size_bin"]), SIZE6_SQL + ",\n" + _dur_sql("all6", ["region", "size_bin"], ["region"])),
+)
+def km_region_sizebin(spark, sf_dir):
+    """Curves of the whole table's size sextiles inside each region, on the region's clock."""
+    return KM.km(_all6(Data(spark, sf_dir)), [S.REGION, "size_bin"], parent_cols=[S.REGION])
+
+
 @query("km_size_exact", sql(_km_sql("dur", ["size_mm"]), _dur_sql("all_c", ["size_mm"], [])))
 def km_size_exact(spark, sf_dir):
     """One curve per exact size value on the population clock (many small strata)."""
     return KM.km(Data(spark, sf_dir).all_c, [S.SIZE], parent_cols=[])
 
 
-@query("km_ci", sql(_km_sql("dur", ["region"], with_ci=True), _dur_sql("all_c", ["region"], None)), round_cols=('ci_lower', 'ci_upper'))
+@query("km_ci", sql(_km_sql("dur", ["region"], with_ci=True), _dur_sql("all_c", ["region"], None)))
 def km_ci(spark, sf_dir):
     """KM by region with the 95 % log-log (exponential Greenwood) band."""
     return KM.km(Data(spark, sf_dir).all_c, [S.REGION], with_ci=True)
@@ -210,7 +228,7 @@ def km_since_install(spark, sf_dir):
 _LR_MAT = _logrank_sql("all_c", "material", [])
 
 
-@query("logrank_pairs", sql("SELECT * FROM lr", _LR_MAT), round_cols=('chi2', 'p_value'))
+@query("logrank_pairs", sql("SELECT * FROM lr", _LR_MAT))
 def logrank_pairs(spark, sf_dir):
     return LR.pairwise(Data(spark, sf_dir).all_c, S.MATERIAL)
 
@@ -230,7 +248,14 @@ def logrank_disparate(spark, sf_dir):
 _LR_MA = _logrank_sql("all_c", "material_age", [])
 
 
-@query("logrank_matrix", sql("PIVOT (SELECT member_1, member_2, p_rounded FROM lr) ON member_2 USING first(p_rounded) GROUP BY member_1", _LR_MA))
+_MATRIX_SQL = (
+    "SELECT member_1, "
+    + ", ".join(f"max(p_rounded) FILTER (WHERE member_2 = '{m}') AS \"{m}\"" for m in MATERIAL_AGES[1:])
+    + " FROM lr GROUP BY member_1"
+)
+
+
+@query("logrank_matrix", sql(_MATRIX_SQL, _LR_MA))
 def logrank_matrix(spark, sf_dir):
     """Upper-triangle p-value matrix (long form pivoted); null = not computed."""
     p = LR.pairwise(Data(spark, sf_dir).all_c, S.MATERIAL_AGE)
@@ -249,7 +274,7 @@ _LR_ALL = (
 )
 
 
-@query("logrank_all_columns", sql("SELECT * FROM lr", _LR_ALL), round_cols=('chi2', 'p_value'))
+@query("logrank_all_columns", sql("SELECT * FROM lr", _LR_ALL))
 def logrank_all_columns(spark, sf_dir):
     """Pairwise tests inside every text column at once (unpivot, partition by column)."""
     a = _all6(Data(spark, sf_dir))
@@ -257,6 +282,26 @@ def logrank_all_columns(spark, sf_dir):
     return LR.pairwise(long, "value", part=["column_name"])
 
 
+_REGION_COLS = [S.MATERIAL, S.MATERIAL_AGE, "size_bin"]
+_LR_REGION = (
+    SIZE6_SQL
+    + ",\n longr AS ("
+    + " UNION ALL ".join(
+        f"SELECT region, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, failure_year FROM all6 WHERE region IS NOT NULL" for c in _REGION_COLS
+    )
+    + "),"
+    + _logrank_sql("longr", "value", ["region", "column_name"])
+)
+
+
+@query("logrank_region_columns", sql("SELECT * FROM lr", _LR_REGION))
+def logrank_region_columns(spark, sf_dir):
+    """Pairwise tests of every text column inside each region."""
+    a = _all6(Data(spark, sf_dir)).filter(F.col(S.REGION).isNotNull())
+    long = LR.unpivot_columns(a, _REGION_COLS, [S.REGION, S.FAILURE_YEAR])
+    return LR.pairwise(long, "value", part=[S.REGION, "column_name"])
+
+
 @query("logrank_ksample")
 def logrank_ksample(spark, sf_dir):
     """k-group test per text column (small matrix solve per column in pandas)."""

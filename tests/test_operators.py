@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from survkit import schema as S
+from survkit.functions.scalar import chi2_1df_pvalue
 from survkit.operators import bins as B
 from survkit.operators import evaluate as EV
+from survkit.operators import features as FE
 from survkit.operators import integrate as I
 from survkit.operators import km as KM
 from survkit.operators import logrank as LR
@@ -113,7 +115,7 @@ def test_logrank_from_counts_matches_row_level(spark):
     e = {g: [y is not None for gg, y in rows if gg == g] for g in ("a", "b")}
     chi2, p = _brute_logrank(t["a"], e["a"], t["b"], e["b"])
     assert got["chi2"] == pytest.approx(chi2, rel=1e-9)
-    assert got["p_value"] == pytest.approx(p, abs=2e-7)  # erfc approximation error bound
+    assert got["p_value"] == pytest.approx(p, rel=1e-9)
 
 
 def test_logrank_is_symmetric(spark):
@@ -169,6 +171,41 @@ def test_dynamic_auc_matches_brute_force(spark):
         assert got[tt] == pytest.approx(u / (len(pos) * len(neg)))
 
 
+def test_levels_without_a_learning_row_are_pruned(spark):
+    whole = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    wide, names = FE.onehot_columns(whole.where("k <> 'b'"), ["k"], FE.category_values(whole, ["k"]))
+    assert names == ["a", "b", "c"] and FE.nonzero_columns(wide, names) == ["a", "c"]
+
+
+def test_censoring_weights_at_tied_times(spark):
+    # time 1: 1 failure, 1 censored of 6 -> failures leave first: 1 - 1/5; time 2: 2 failures, 1 censored of 4 -> 1 - 1/2
+    rows = [(1, 1), (0, 1), (1, 2), (1, 2), (0, 2), (1, 4)]
+    train = spark.createDataFrame(rows, "event int, duration int")
+    g = {r["duration"]: r["g"] for r in EV.censoring_survival(train).collect()}
+    assert g == {1: pytest.approx(0.8), 2: pytest.approx(0.4), 4: pytest.approx(0.4)}
+    # scored table: cases at t = 3 are (0.9, duration 0: weight 1), (0.2, duration 3: weight 1 / 0.4); one control
+    df = spark.createDataFrame([(0.9, 1, 0), (0.2, 1, 3), (0.5, 0, 5), (0.4, 0, 2)], "proba double, event int, duration int")
+    got = EV.dynamic_auc_ipcw(df, spark.createDataFrame([(3.0,)], "t double"), train).first()["auc"]
+    assert got == pytest.approx(1.0 / (1.0 + 2.5))
+
+
+def test_pvalues_have_a_small_relative_error(spark):
+    chi2 = [0.0, 1e-12, 1e-4, 0.1, 0.124, 0.126, 1.0, 3.84, 8.0, 20.0, 78.0, 80.0, 100.0, 400.0, 1000.0]
+    df = spark.createDataFrame([(c,) for c in chi2], "c double")
+    for r in df.select("c", chi2_1df_pvalue("c").alias("p")).collect():
+        assert r["p"] == pytest.approx(math.erfc(math.sqrt(r["c"] / 2)), rel=1e-10, abs=0)
+    assert spark.sql("SELECT CAST(NULL AS DOUBLE) AS c").select(chi2_1df_pvalue("c")).first()[0] is None
+
+
+def test_running_sums_order_long_keys_exactly(spark):
+    # neighbouring keys are equal as doubles; equal keys follow ``ties``
+    base = 1 << 60
+    rows = [(base + i // 2, i % 2, 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, j int, v long")
+    got = running_sums(df, "k", ["v"], num_ranges=5, ties=["j"]).collect()
+    assert all(r["cum_v"] == 2 * (r["k"] - base) + r["j"] + 1 for r in got) and len(got) == 200
+
+
 def test_permuted_copies_are_permutations(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(50)], "id long, x double")
     out = permuted_copies(df, ["x"], 3, keys=["id"]).toPandas()

@@ -15,7 +15,8 @@ CHECKED = [
     "master_all", "clean_assets", "crosstab_all_pairs", "pivot_year_region", "rate_by_material",
     "median_lifetime", "crosstab_rate", "km_material", "km_ci", "logrank_all_columns", "logrank_matrix",
     "episodes", "repair_sequence", "target_episodes", "first_episode_row", "lift_auc", "roc_curve",
-    "dynamic_auc", "dynamic_auc_ipcw", "c_index", "roc_micro", "feat_onehot", "stream_failures_by_region_year",
+    "dynamic_auc", "dynamic_auc_ipcw", "c_index", "roc_micro", "feat_onehot", "feat_prune", "logrank_region_columns",
+    "km_region_material_age", "km_region_sizebin", "stream_failures_by_region_year",
 ]
 
 
