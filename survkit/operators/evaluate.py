@@ -60,18 +60,24 @@ def auc(df: DataFrame, score: str = SCORE, label: str = LABEL, group_cols: list[
     return s.select(*g, val.alias("auc"))
 
 
-def roc_curve(df: DataFrame, score: str = SCORE, label: str = LABEL) -> DataFrame:
-    """(threshold, fpr, tpr) at every distinct score, plus the origin (threshold null)."""
-    c = score_counts(df, score, label)
-    cum = running_sums(c, score, ["pos", "neg"], ascending=False)
-    t = _totals(cum, [])  # from the materialised counts, not from the upstream again
-    cur = _with_totals(cum, t, []).select(
+def roc_curve(df: DataFrame, score: str = SCORE, label: str = LABEL, group_cols: list[str] | None = None) -> DataFrame:
+    """(group..., threshold, fpr, tpr) at every distinct score, plus each group's origin (threshold null)."""
+    g = list(group_cols or [])
+    return _roc_points(score_counts(df, score, label, g), score, g)
+
+
+def _roc_points(counts: DataFrame, score: str, g: list[str]) -> DataFrame:
+    """Curve of (group..., score, n, pos, neg) counts; a rate without its rows is null."""
+    cum = running_sums(counts, score, ["pos", "neg"], ascending=False, group_cols=g)
+    t = _totals(cum, g)  # from the materialised counts, not from the upstream again
+    cur = _with_totals(cum, t, g).select(
+        *g,
         F.col(score).cast("double").alias("threshold"),
-        (F.col("cum_neg") / F.col("tot_neg")).alias("fpr"),
-        (F.col("cum_pos") / F.col("tot_pos")).alias("tpr"),
+        F.when(F.col("tot_neg") > 0, F.col("cum_neg") / F.col("tot_neg")).alias("fpr"),
+        F.when(F.col("tot_pos") > 0, F.col("cum_pos") / F.col("tot_pos")).alias("tpr"),
     )
-    origin = df.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
-    return cur.unionByName(origin)
+    zero = F.lit(0.0)
+    return cur.unionByName(t.select(*g, F.lit(None).cast("double").alias("threshold"), zero.alias("fpr"), zero.alias("tpr")))
 
 
 def lift_curve(df: DataFrame, score: str = SCORE, label: str = LABEL) -> DataFrame:
@@ -113,14 +119,23 @@ def time_grid(df: DataFrame, time: str = TIME, lo: float = 5.0, hi: float = 81.0
     return q.select(F.col("q").alias("t")).distinct()
 
 
-def dynamic_auc(df: DataFrame, times: DataFrame, score: str = SCORE) -> DataFrame:
-    """AUC at each t: positives = event and duration <= t, everything else negative."""
+def _time_counts(df: DataFrame, times: DataFrame, score: str) -> DataFrame:
+    """(t, score, n, pos, neg): positives = event and duration <= t, everything else negative."""
     base = df.groupBy(score, LABEL, TIME).agg(F.count(F.lit(1)).alias("_w"))
     x = base.crossJoin(F.broadcast(times))  # times: at most k rows
     lab = ((F.col(LABEL) == 1) & (F.col(TIME) <= F.col("t"))).cast("long")
     per = x.groupBy("t", score).agg(F.sum("_w").alias("n"), F.sum(lab * F.col("_w")).alias("pos"))
-    per = per.withColumn("neg", F.col("n") - F.col("pos"))
-    cum = running_sums(per, score, ["neg"], ascending=True, group_cols=["t"])
+    return per.withColumn("neg", F.col("n") - F.col("pos"))
+
+
+def roc_curve_by_time(df: DataFrame, times: DataFrame, score: str = SCORE) -> DataFrame:
+    """ROC curve at each t, by the labels of ``dynamic_auc``."""
+    return _roc_points(_time_counts(df, times, score), score, ["t"])
+
+
+def dynamic_auc(df: DataFrame, times: DataFrame, score: str = SCORE) -> DataFrame:
+    """AUC at each t: positives = event and duration <= t, everything else negative."""
+    cum = running_sums(_time_counts(df, times, score), score, ["neg"], ascending=True, group_cols=["t"])
     part = (F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") * F.lit(0.5))).cast("double")
     s = cum.groupBy("t").agg(F.sum(part).alias("_u"), F.sum("pos").alias("sum_pos"), F.sum("neg").alias("sum_neg"))
     val = F.when((F.col("sum_pos") > 0) & (F.col("sum_neg") > 0), F.col("_u") / (F.col("sum_pos").cast("double") * F.col("sum_neg")))

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.scalar import chi2_1df_pvalue
+from ..session import store
+from .joins import join_lookup, ordered_pairs
 
 
 def group_year_counts(df: DataFrame, group_col: str, part: list[str], time_col: str = S.FAILURE_YEAR):
@@ -40,8 +42,8 @@ def pairwise(df: DataFrame, group_col: str, part: list[str] | None = None, time_
     rows, deaths = group_year_counts(df, group_col, part, time_col)
     a = rows.select(*part, F.col("g").alias("g1"), F.col("N").alias("tot1"))
     b = rows.select(*part, F.col("g").alias("g2"), F.col("N").alias("tot2"))
-    # pairs of groups: k x k on the per-group count table (k = number of groups)
-    pairs = (a.join(b, part) if part else a.crossJoin(b)).filter(F.col("g1") < F.col("g2"))
+    # pairs of groups on the per-group count table (k = number of groups), never on rows
+    pairs = ordered_pairs(a, b, "g1", "g2", part)
     d1 = deaths.select(*part, F.col("g").alias("g1"), "y", F.col("d").alias("d1"))
     d2 = deaths.select(*part, F.col("g").alias("g2"), "y", F.col("d").alias("d2"))
     keys = [*part, "g1", "g2"]
@@ -134,60 +136,71 @@ def _chi2_sf(x: float, k: int) -> float:
     return exp(-z + a * log(z) - lgamma(a)) * h
 
 
-def _ksample_stat(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One column's test from its (group, year, n, d) table -- a few hundred rows at most."""
-    groups = sorted(pdf["g"].unique())
-    k = len(groups)
-    gi = {g: i for i, g in enumerate(groups)}
-    years = sorted(pdf["y"].unique())
-    o = np.zeros(k)
-    e = np.zeros(k)
-    v = np.zeros((k, k))
-    piv_n = pdf.pivot_table(index="y", columns="g", values="n_at_risk", aggfunc="sum").reindex(index=years, columns=groups)
-    piv_d = pdf.pivot_table(index="y", columns="g", values="d", aggfunc="sum").reindex(index=years, columns=groups)
-    piv_n = piv_n.fillna(0.0).values
-    piv_d = piv_d.fillna(0.0).values
-    for t in range(len(years)):
-        nj, dj = piv_n[t], piv_d[t]
-        n, d = nj.sum(), dj.sum()
-        if n <= 0:
-            continue
-        o += dj
-        e += d * nj / n
-        if n > 1:
-            v += d * (n - d) / (n - 1) * (np.diag(nj / n) - np.outer(nj, nj) / n**2)
-    if k < 2:
-        chi2 = float("nan")
-    else:
-        diff = (o - e)[:-1]
-        vv = v[:-1, :-1]
+def _ksample_solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One column's statistic from its (year, year) terms: at most years x years rows, whatever the groups."""
+    r = pdf.iloc[0]
+    k, chi2 = int(r["n_groups"]), float("nan")
+    t = pdf[pdf["y1"].notna()]
+    if k > 1 and len(t):
+        years = sorted(set(t["y1"]) | set(t["y2"]))
+        at = {y: i for i, y in enumerate(years)}
+        i, j = t["y1"].map(at).to_numpy(), t["y2"].map(at).to_numpy()
+        m, b, w = np.zeros((len(years), len(years))), np.zeros(len(years)), np.zeros(len(years))
+        m[i, j] = t["m"]
+        own = i == j
+        b[i[own]], w[i[own]] = t["b"][own], t["w"][own]
         try:
-            chi2 = float(diff @ np.linalg.solve(vv, diff))
+            chi2 = float(r["c"] + b @ np.linalg.solve(np.diag(1 / w) - m, b))
         except np.linalg.LinAlgError:
-            chi2 = float("nan")
-    col = pdf["column_name"].iloc[0]
+            pass
     return pd.DataFrame(
-        {"column_name": [col], "n_groups": [k], "dof": [k - 1], "chi2": [chi2], "p_value": [_chi2_sf(chi2, k - 1)]}
+        {"column_name": [r["column_name"]], "n_groups": [k], "dof": [k - 1], "chi2": [chi2], "p_value": [_chi2_sf(chi2, k - 1)]}
     )
 
 
 def ksample(df: DataFrame, columns: list[str], time_col: str = S.FAILURE_YEAR) -> DataFrame:
-    """One k-group log-rank test per column.
-
-    The rows become (column, group, year) at-risk / failure counts in SQL
-    (censored rows stay at risk to the end, as in the pairwise test); only
-    that aggregate -- groups x years rows per column -- reaches the small
-    per-column matrix solve in ``applyInPandas``.
+    """One k-group log-rank test per column (null statistic where it is undefined, e.g. one group).
+
+    The rows become (column, group, year) at-risk / failure counts (censored
+    rows stay at risk to the end, as in the pairwise test).  With p_j(y) a
+    group's share of the rows at risk and w(y) = d (n - d) / (n - 1), the
+    covariance of O - E is V = diag(D) - P W P', D_j = sum_y w p_j.  By the
+    matrix inversion lemma (O - E)' V^-1 (O - E) needs sums over groups and
+    one system of the size of the years, so no k x k matrix is formed and no
+    task gets all groups of a column.  The largest group is left out, as V of
+    all groups is singular.
     """
     long = unpivot_columns(df.select(*columns, time_col), columns, [time_col]).filter(F.col("value").isNotNull())
     long = long.withColumnRenamed("value", "g").withColumnRenamed(time_col, "y")
-    rows = long.groupBy("column_name", "g").agg(F.count(F.lit(1)).alias("N"))
-    deaths = long.filter(F.col("y").isNotNull()).groupBy("column_name", "g", "y").agg(F.count(F.lit(1)).alias("d"))
-    years = deaths.select("column_name", "y").distinct()
-    grid = years.join(rows, "column_name").join(deaths, ["column_name", "g", "y"], "left").fillna(0, ["d"])
-    w = Window.partitionBy("column_name", "g").orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.withColumn("n_at_risk", (F.col("N") - F.coalesce(F.sum("d").over(w), F.lit(0))).cast("double"))
-    grid = grid.select("column_name", "g", "y", "n_at_risk", F.col("d").cast("double").alias("d"))
-    return grid.groupBy("column_name").applyInPandas(
-        _ksample_stat, "column_name string, n_groups int, dof int, chi2 double, p_value double"
+    cnt = store(long.groupBy("column_name", "g", "y").agg(F.count(F.lit(1)).alias("d")), "ksample-counts")
+    rows = cnt.groupBy("column_name", "g").agg(F.sum("d").alias("size"))
+    deaths = cnt.filter(F.col("y").isNotNull())
+    # one row per column: its failure years
+    years = deaths.groupBy("column_name").agg(F.collect_set("y").alias("ys"))
+    grid = join_lookup(rows, years, ["column_name"], "inner").select("column_name", "g", "size", F.explode("ys").alias("y"))
+    grid = grid.join(deaths, ["column_name", "g", "y"], "left").fillna(0, ["d"])
+    before = Window.partitionBy("column_name", "g").orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("at_risk", (F.col("size") - F.coalesce(F.sum("d").over(before), F.lit(0))).cast("double"))
+    grid = store(grid, "ksample-grid")
+
+    tot = grid.groupBy("column_name", "y").agg(F.sum("at_risk").alias("total"), F.sum("d").cast("double").alias("dt"))
+    w = F.when(F.col("total") > 1, F.col("dt") * (F.col("total") - F.col("dt")) / (F.col("total") - 1)).otherwise(F.lit(0.0))
+    # groups x years against one row per column and year
+    x = join_lookup(grid, tot.filter("total > 0").withColumn("w", w), ["column_name", "y"], "inner")
+    x = x.withColumn("p", F.col("at_risk") / F.col("total"))
+    point = F.when(F.col("w") > 0, F.struct("y", "p", "w"))
+    per = x.groupBy("column_name", "g").agg(
+        F.max("size").alias("size"), F.sum(F.col("d") - F.col("dt") * F.col("p")).alias("u"), F.sum(F.col("w") * F.col("p")).alias("var"), F.collect_list(point).alias("ps")
+    )
+    per = store(per, "ksample-groups")
+    lead = per.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_groups"), F.max(F.struct("size", "g"))["g"].alias("left_out"))
+    rest = join_lookup(per, lead, ["column_name"], "inner").filter((F.col("g") != F.col("left_out")) & (F.col("var") > 0))
+    pair = rest.select("column_name", "u", "var", F.explode("ps").alias("a"), "ps").select("column_name", "u", "var", "a", F.explode("ps").alias("b"))
+    terms = pair.groupBy("column_name", F.col("a.y").alias("y1"), F.col("b.y").alias("y2")).agg(
+        F.sum(F.col("a.p") * F.col("b.p") / F.col("var")).alias("m"), F.sum(F.col("a.p") * F.col("u") / F.col("var")).alias("b"), F.max("a.w").alias("w")
+    )
+    c = rest.groupBy("column_name").agg(F.sum(F.col("u") * F.col("u") / F.col("var")).alias("c"))
+    small = lead.join(c, "column_name", "left").join(terms, "column_name", "left")
+    return small.drop("left_out").groupBy("column_name").applyInPandas(
+        _ksample_solve, "column_name string, n_groups int, dof int, chi2 double, p_value double"
     )

@@ -23,6 +23,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,8 +60,8 @@ def boosting(max_iter: int = 100, step: float = 0.5, depth: int = 1, subsample:
     return GBTClassifier(**kw)
 
 
-def fit_hazard(learn_ep: DataFrame, estimator):
-    return hazard_pipeline(estimator).fit(person_period(learn_ep))
+def fit_hazard(learn_ep: DataFrame, estimator, numeric: list[str] | None = None):
+    return hazard_pipeline(estimator, numeric).fit(person_period(learn_ep))
 
 
 def survival_curves(model, test: DataFrame, horizon: int, keys: list[str]) -> DataFrame:
@@ -72,6 +73,24 @@ def survival_curves(model, test: DataFrame, horizon: int, keys: list[str]) -> Da
     return pred.select(*keys, S.DURATION, K, "hazard").withColumn("survival", surv)
 
 
+def horizon_scores(model, test: DataFrame, horizon: int, keys: list[str]) -> DataFrame:
+    """proba = 1 - S(d + horizon) / S(d) = 1 - the product of 1 - hazard over years d+1 .. d+horizon.
+
+    Only those years are scored, each as columns of the same row: no row is
+    multiplied and nothing is shuffled.
+    """
+    out, steps = test, []
+    for i in range(1, horizon + 1):
+        scored = model.transform(out.withColumn(K, F.col(S.DURATION) + F.lit(i)))
+        left = (F.lit(1.0) - vector_to_array("probability")[1]).alias(f"_left{i}")
+        out = scored.select(*test.columns, *steps, left)
+        steps.append(f"_left{i}")
+    gone = F.lit(1.0)
+    for c in steps:
+        gone = gone * F.col(c)
+    return out.select(*keys, (F.lit(1.0) - gone).alias("proba"))
+
+
 def horizon_risk(curves: DataFrame, horizon: int, keys: list[str]) -> DataFrame:
     """proba = 1 - S(d + horizon) / S(d): failure probability over the next ``horizon`` years."""
     at_d = F.max(F.when(F.col(K) == F.col(S.DURATION), F.col("survival")))
@@ -114,11 +133,12 @@ def add_rff(df: DataFrame, in_col: str, out_col: str, dim_in: int, dim_out: int,
 
 
 def feature_variance(df: DataFrame, vec_col: str) -> tuple[int, float]:
-    """(dimension, variance of all feature values) -- for the 'scale' kernel width."""
-    arr = df.select(F.explode(vector_to_array(vec_col)).alias("v"))
-    r = arr.agg(F.var_pop("v").alias("var")).first()
-    dim = len(df.select(vec_col).first()[0])
-    return dim, float(r["var"] or 1.0)
+    """(dimension, variance of all feature values) -- for the 'scale' kernel width; one aggregate of the vectors."""
+    s = df.agg(Summarizer.metrics("sum", "normL2", "count").summary(F.col(vec_col)).alias("s")).first()["s"]
+    dim = len(s["sum"])
+    n = s["count"] * dim
+    var = float((s["normL2"].toArray() ** 2).sum() / n - (s["sum"].toArray().sum() / n) ** 2)
+    return dim, var if var > 0 else 1.0
 
 
 def gamma_values(dim: int, var: float) -> dict[str, float]:

@@ -149,6 +149,23 @@ def dynamic_auc(spark, sf_dir):
     return EV.dynamic_auc(s, EV.time_grid(s))
 
 
+def _curve_sql(src: str, group: str) -> str:
+    """ROC points of (group, score, pos, neg) rows of ``src``, and each group's origin."""
+    w = f"PARTITION BY {group} ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    return f"""SELECT {group}, CAST(score AS DOUBLE) AS threshold, CASE WHEN n_neg > 0 THEN CAST(c_neg AS DOUBLE) / n_neg END AS fpr,
+                      CASE WHEN n_pos > 0 THEN CAST(c_pos AS DOUBLE) / n_pos END AS tpr
+               FROM (SELECT *, sum(neg) OVER ({w}) AS c_neg, sum(pos) OVER ({w}) AS c_pos,
+                            sum(neg) OVER (PARTITION BY {group}) AS n_neg, sum(pos) OVER (PARTITION BY {group}) AS n_pos FROM {src})
+               UNION ALL SELECT DISTINCT {group}, CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM {src}"""
+
+
+@query("roc_curve_by_time", sql(_curve_sql("dyn_in", "t"), SCORED_SQL + ",\n" + _DYN_SQL))
+def roc_curve_by_time(spark, sf_dir):
+    """ROC curve per grid time."""
+    s = scored(Data(spark, sf_dir))
+    return EV.roc_curve_by_time(s, EV.time_grid(s))
+
+
 @query(
     "dynamic_auc_mean",
     sql(
@@ -242,9 +259,7 @@ def run_summary(spark, sf_dir):
 MAX_BROADCAST_CLASSES = 10_000
 
 
-@query(
-    "roc_micro",
-    f"""WITH ex AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x
+_CLASS_SQL = """WITH ex AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x
                 FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
         cent AS (SELECT cls, list(m ORDER BY i) AS v FROM (SELECT label AS cls, i, avg(x) AS m FROM ex GROUP BY ALL) GROUP BY cls),
         mrows AS (SELECT e.label, c.cls, list_dot_product(CAST(e.embedding AS DOUBLE[]), c.v) AS score
@@ -252,7 +267,12 @@ MAX_BROADCAST_CLASSES = 10_000
         mc AS (SELECT cls, score, CAST(sum(CASE WHEN label = cls THEN 1 ELSE 0 END) AS BIGINT) AS pos,
                       CAST(sum(CASE WHEN label = cls THEN 0 ELSE 1 END) AS BIGINT) AS neg FROM mrows GROUP BY ALL),
         mc_micro AS (SELECT score, CAST(sum(pos) AS BIGINT) AS pos, CAST(sum(neg) AS BIGINT) AS neg FROM mc GROUP BY ALL)
-        SELECT CAST(cls AS VARCHAR) AS class_name, auc FROM ({_mw_sql('mc', 'cls')})
+"""
+
+
+@query(
+    "roc_micro",
+    f"""{_CLASS_SQL} SELECT CAST(cls AS VARCHAR) AS class_name, auc FROM ({_mw_sql('mc', 'cls')})
         UNION ALL SELECT 'micro', auc FROM ({_mw_sql('mc_micro', None)})""",
 )
 def roc_micro(spark, sf_dir):
@@ -260,6 +280,27 @@ def roc_micro(spark, sf_dir):
 
     The classes are the labels that occur; one score per row and class is the input of a one-vs-rest curve.
     """
+    rows = _class_rows(spark, sf_dir)
+    per = EV.auc(rows, group_cols=["cls"]).select(F.col("cls").cast("string").alias("class_name"), "auc")
+    micro = EV.auc(rows).select(F.lit("micro").alias("class_name"), "auc")
+    return per.unionByName(micro)
+
+
+@query(
+    "roc_curve_by_class",
+    f"""{_CLASS_SQL}, named AS (SELECT CAST(cls AS VARCHAR) AS class_name, score, pos, neg FROM mc
+                               UNION ALL SELECT 'micro', score, pos, neg FROM mc_micro)
+        {_curve_sql('named', 'class_name')}""",
+)
+def roc_curve_by_class(spark, sf_dir):
+    """One-vs-rest ROC curve per class and the micro-averaged one, by the scores of ``roc_micro``."""
+    rows = _class_rows(spark, sf_dir)
+    per = EV.roc_curve(rows, group_cols=["cls"]).withColumn("class_name", F.col("cls").cast("string")).drop("cls")
+    return per.unionByName(EV.roc_curve(rows).withColumn("class_name", F.lit("micro")))
+
+
+def _class_rows(spark, sf_dir):
+    """(cls, proba, event): each row's score for each class."""
     emb = Data(spark, sf_dir).table("embeddings").select("label", F.col("embedding").cast("array<double>").alias("x")).dropna()
     means = emb.select("label", F.posexplode("x").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m"))
     cent = means.groupBy(F.col("label").alias("cls")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("c"))
@@ -267,7 +308,4 @@ def roc_micro(spark, sf_dir):
     if cent.count() <= MAX_BROADCAST_CLASSES:
         cent = F.broadcast(cent)
     product = F.aggregate(F.zip_with("x", "c", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    rows = emb.crossJoin(cent).select("cls", product.alias("proba"), (F.col("label") == F.col("cls")).cast("int").alias("event"))
-    per = EV.auc(rows, group_cols=["cls"]).select(F.col("cls").cast("string").alias("class_name"), "auc")
-    micro = EV.auc(rows).select(F.lit("micro").alias("class_name"), "auc")
-    return per.unionByName(micro)
+    return emb.crossJoin(cent).select("cls", product.alias("proba"), (F.col("label") == F.col("cls")).cast("int").alias("event"))

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import integrate as I
+from ..operators.joins import ordered_pairs
 from ..sources import files as FI
 from ..sources import sinks as SK
 from ..streaming import incremental as ST
 from .base import Data, query, sql
 from .episodes import EPC, EP_COLS, PREP_SQL, prep
 from .integration import MC
+from .survival import _LR_MA, _MATRIX_SQL, logrank_matrix
 from .survival import _LR_MAT as LR_MATERIAL_SQL
 
 
@@ -66,7 +68,7 @@ def category_pairs(spark, sf_dir):
     )
     a = c.select(F.col(S.MATERIAL).alias("member_1"), F.col("n").alias("n_1"))
     b = c.select(F.col(S.MATERIAL).alias("member_2"), F.col("n").alias("n_2"))
-    return a.crossJoin(b).filter(F.col("member_1") < F.col("member_2"))
+    return ordered_pairs(a, b, "member_1", "member_2", [])
 
 
 @query(
@@ -95,6 +97,34 @@ def sink_masters(spark, sf_dir):
     return spark.read.parquet(all_path).select(*I.MASTER_COLUMNS)
 
 
+@query("sink_master_events", sql(f"SELECT {MC} FROM master_events"))
+def sink_master_events(spark, sf_dir):
+    """Both master tables written; the failure rows scanned back."""
+    d = Data(spark, sf_dir)
+    events_path, _ = SK.write_masters(d.events, d.all, SK.unique_path(spark, "masters"))
+    return spark.read.parquet(events_path).select(*I.MASTER_COLUMNS)
+
+
+PVALUE_SCHEMA = "member_1 string, member_2 string, chi2 double, p_value double, p_rounded double"
+
+
+@query("sink_disparate", sql("SELECT member_1, member_2, chi2, p_value, p_rounded FROM lr WHERE p_rounded <= 0.05", LR_MATERIAL_SQL))
+def sink_disparate(spark, sf_dir):
+    """Similar / disparate pair lists written as CSV; the disparate list read back."""
+    from ..operators import logrank as LR
+
+    _, path = SK.write_pvalue_lists(LR.pairwise(Data(spark, sf_dir).all_c, S.MATERIAL), SK.unique_path(spark, "pvalues"))
+    return spark.read.schema(PVALUE_SCHEMA).option("header", True).csv(path)
+
+
+@query("sink_pvalue_matrix", sql(_MATRIX_SQL, _LR_MA))
+def sink_pvalue_matrix(spark, sf_dir):
+    """The p-value matrix written as CSV and read back; unknown cells stay null."""
+    m = logrank_matrix(spark, sf_dir)
+    path = SK.write_matrix(m, SK.unique_path(spark, "pvalue-matrix"))
+    return spark.read.schema(m.schema).option("header", True).csv(path)
+
+
 @query(
     "sink_pvalues",
     sql(
@@ -108,8 +138,7 @@ def sink_pvalues(spark, sf_dir):
 
     pairs = LR.pairwise(Data(spark, sf_dir).all_c, S.MATERIAL)
     sim_path, _ = SK.write_pvalue_lists(pairs, SK.unique_path(spark, "pvalues"))
-    schema = "member_1 string, member_2 string, chi2 double, p_value double, p_rounded double"
-    return spark.read.schema(schema).option("header", True).csv(sim_path)
+    return spark.read.schema(PVALUE_SCHEMA).option("header", True).csv(sim_path)
 
 
 @query("model_persist")
@@ -123,4 +152,4 @@ def model_persist(spark, sf_dir):
     model = M.fit_hazard(learn, M.boosting(max_iter=20))
     path = SK.save_model(model, SK.unique_path(spark, "hazard-model"))
     loaded = SK.load_pipeline_model(path)
-    return _with_truth(d, M.horizon_risk(M.survival_curves(loaded, test, P, KEYS), P, KEYS))
+    return _with_truth(d, M.horizon_scores(loaded, test, P, KEYS))

@@ -15,16 +15,20 @@ from .. import schema as S
 from ..operators import evaluate as EV
 from ..operators import features as FE
 from ..operators import models as M
+from ..operators.episodes import jitter_events
 from ..session import ensure_checkpoint_dir, store
 from .base import MATERIAL_AGES, REGIONS, Data, query, sql
-from .episodes import A, LEARN_COND_SQL, P, PREP_SQL, TEST_COND_SQL, learning_rows, prep, test_rows, truth_first
+from .episodes import A, HOLDOUT_REGION, JITTER_COPIES, JITTER_MIN_DURATION, LEARN_COND_SQL, P, PREP_SQL, TEST_COND_SQL
+from .episodes import learning_rows, prep, test_rows, truth_first
 
 KEYS = [S.ID, S.START]
 STD_COLS = [S.SIZE, S.INSTALL_YEAR]
 
 # Model sizes (the source's forest has 500 trees, its boosting 100 stumps).
 FOREST_TREES = 500
+# Random features per kernel: the error of a kernel value falls with the square root of their number.
 RFF_DIM = 64
+INTERVAL = 2
 SVC_C = [0.1, 1.0, 10.0, 30.0]
 
 
@@ -132,26 +136,57 @@ def feat_prune(spark, sf_dir):
 
 # ---------------------------------------------------------------- M1 / M2 / M3 / M8 / M9
 
-def _hazard_scores(spark, sf_dir, estimator):
-    d = Data(spark, sf_dir)
-    learn, test = _learn_test(d)
-    model = M.fit_hazard(learn, estimator)
-    curves = M.survival_curves(model, test, P, KEYS)
-    return d, model, test, curves
+def _scores(d: Data, learn, test, estimator, numeric=None):
+    """Failure probability over the horizon of each test episode, with its truth."""
+    model = M.fit_hazard(learn, estimator, numeric)
+    return _with_truth(d, M.horizon_scores(model, test, P, KEYS))
+
+
+def _curves(spark, sf_dir, ahead: int = P):
+    learn, test = _learn_test(Data(spark, sf_dir))
+    return M.survival_curves(M.fit_hazard(learn, M.boosting()), test, ahead, KEYS)
 
 
 @query("model_hazard_forest")
 def model_hazard_forest(spark, sf_dir):
     """Discrete-time hazard forest; proba = failure probability over the horizon; joined to truth."""
-    d, _, _, curves = _hazard_scores(spark, sf_dir, M.forest(FOREST_TREES))
-    return _with_truth(d, M.horizon_risk(curves, P, KEYS))
+    d = Data(spark, sf_dir)
+    return _scores(d, *_learn_test(d), M.forest(FOREST_TREES))
 
 
 @query("model_hazard_gbt")
 def model_hazard_gbt(spark, sf_dir):
     """Boosted stumps on person-years (100 rounds, step 0.5, depth 1, subsample 0.5)."""
-    d, _, _, curves = _hazard_scores(spark, sf_dir, M.boosting())
-    return _with_truth(d, M.horizon_risk(curves, P, KEYS))
+    d = Data(spark, sf_dir)
+    return _scores(d, *_learn_test(d), M.boosting())
+
+
+def _learn_test_repairs(d: Data):
+    """Episodes of the initial-window variant with the repair count so far."""
+    ep = FE.standardize(prep(d, "init", repairs=True), STD_COLS)
+    return learning_rows(ep), test_rows(ep)
+
+
+@query("model_forest_repairs")
+def model_forest_repairs(spark, sf_dir):
+    """Hazard forest with the repair count as a feature."""
+    d = Data(spark, sf_dir)
+    return _scores(d, *_learn_test_repairs(d), M.forest(FOREST_TREES), [*FE.HAZARD_NUMERIC, S.REPAIRS])
+
+
+@query("model_gbt_repairs")
+def model_gbt_repairs(spark, sf_dir):
+    """Boosted stumps with the repair count as a feature."""
+    d = Data(spark, sf_dir)
+    return _scores(d, *_learn_test_repairs(d), M.boosting(), [*FE.HAZARD_NUMERIC, S.REPAIRS])
+
+
+@query("model_holdout_region")
+def model_holdout_region(spark, sf_dir):
+    """Hazard forest learnt from all regions but one and scored on that one."""
+    d = Data(spark, sf_dir)
+    learn, test = _learn_test(d)
+    return _scores(d, learn.filter(F.col(S.REGION) != HOLDOUT_REGION), test.filter(F.col(S.REGION) == HOLDOUT_REGION), M.forest(FOREST_TREES))
 
 
 @query("model_hazard_gbt_earlystop")
@@ -161,29 +196,25 @@ def model_hazard_gbt_earlystop(spark, sf_dir):
     learn, test = _learn_test(d)
     learn = learn.withColumn("is_val", (F.abs(F.hash(S.ID)) % 5) == 0)
     est = M.boosting(max_iter=1000, step=0.05, depth=1, subsample=0.5, validation_col="is_val", tol=0.001)
-    model = M.fit_hazard(learn, est)
-    curves = M.survival_curves(model, test, P, KEYS)
-    return _with_truth(d, M.horizon_risk(curves, P, KEYS))
+    return _scores(d, learn, test, est)
 
 
 @query("survival_curves")
 def survival_curves(spark, sf_dir):
     """Per test episode: hazard and S(k) for k = 0 .. duration + horizon (boosted hazard model)."""
-    _, _, _, curves = _hazard_scores(spark, sf_dir, M.boosting())
-    return curves
+    return _curves(spark, sf_dir)
 
 
 @query("score_interval")
 def score_interval(spark, sf_dir):
-    """Sum of S over [duration - 1, duration + 1] per test episode."""
-    _, _, _, curves = _hazard_scores(spark, sf_dir, M.boosting())
-    return M.interval_score(curves, 2, KEYS)
+    """Sum of S over [duration - 1, duration + 1] per test episode; the curves reach the interval's end."""
+    return M.interval_score(_curves(spark, sf_dir, max(P, -(-INTERVAL // 2))), INTERVAL, KEYS)
 
 
 @query("sample_curves")
 def sample_curves(spark, sf_dir):
     """k survival curves picked at random (seeded): the episodes with the smallest hash keys."""
-    _, _, _, curves = _hazard_scores(spark, sf_dir, M.boosting())
+    curves = _curves(spark, sf_dir)
     pick = curves.select(*KEYS).distinct().withColumn("_h", F.xxhash64(*KEYS, F.lit(0)))
     chosen = pick.orderBy("_h").limit(5).drop("_h")  # the feature: a top-k sample of curves
     return curves.join(F.broadcast(chosen), KEYS)
@@ -191,9 +222,11 @@ def sample_curves(spark, sf_dir):
 
 # ---------------------------------------------------------------- kernel models M4 - M6
 
-def _rff_frames(d: Data, shift_duration: bool):
-    """Learning / test tables with assembled features and rbf random features."""
+def _rff_frames(d: Data, shift_duration: bool, jitter: bool = False):
+    """Learning / test tables with assembled features and rbf random features; ``jitter`` adds the shifted copies of long events."""
     ep = prep(d)
+    if jitter:
+        ep = jitter_events(ep, JITTER_COPIES, JITTER_MIN_DURATION).filter(F.col(S.DURATION) >= 0)
     stats = FE.scaler_stats(ep, [S.SIZE, S.DURATION])
     ep = FE.apply_scaler(ep, stats, [S.SIZE, S.DURATION])
     learn = ep.filter((F.col(S.INSTALL_YEAR) < A) & (F.col(S.OBS_START) < A))
@@ -254,9 +287,9 @@ def model_classifier(spark, sf_dir):
 
 @query("model_grid_search")
 def model_grid_search(spark, sf_dir):
-    """C x gamma grid (8 combinations) by 3-fold cross-validation, evaluated in parallel."""
+    """C x gamma grid (8 combinations) on jittered rows by 3-fold cross-validation, evaluated in parallel."""
     d = Data(spark, sf_dir)
-    learn, test = _rff_frames(d, shift_duration=True)
+    learn, test = _rff_frames(d, shift_duration=True, jitter=True)
     learn = learn.withColumn("label", F.col(S.EVENT).cast("double"))
     n = learn.count()
     svc = M.linear_svc(features="rff_scale")
@@ -300,9 +333,8 @@ def perm_importance(spark, sf_dir):
     """AUC drop when one feature column of the test table is permuted (15 seeded repeats).
 
     All (feature, repeat) copies are scored in one job.  A permutation is
-    built without a global row number: rows get a dense index by ``zipWithIndex``
-    (distributed), each (feature, repeat) orders the indices by a seeded hash
-    and the values travel to the row holding the same rank.
+    built by distributed running counts: each (feature, repeat) orders the
+    rows by a seeded hash and the values travel to the row of the same rank.
     """
     from ..operators.permute import permuted_copies
 
@@ -311,13 +343,11 @@ def perm_importance(spark, sf_dir):
     model = M.fit_hazard(learn, M.boosting())
     tr = truth_first(d).select(S.ID, S.START, F.col(S.EVENT).alias("true_event"), F.col(S.DURATION).alias("true_duration"))
     test = test.join(tr, KEYS, "inner")
-    base_curves = M.survival_curves(model, test, P, KEYS)
-    base = M.horizon_risk(base_curves, P, KEYS).join(tr, KEYS)
+    base = M.horizon_scores(model, test, P, KEYS).join(tr, KEYS)
     base_auc = EV.auc(base.select("proba", F.col("true_event").alias("event")))
     copies = permuted_copies(test, PERM_FEATURES, PERM_REPEATS, keys=KEYS)
     pkeys = ["feature", "repeat", *KEYS]
-    curves = M.survival_curves(model, copies, P, pkeys)
-    risk = M.horizon_risk(curves, P, pkeys).join(tr, KEYS)
+    risk = M.horizon_scores(model, copies, P, pkeys).join(tr, KEYS)
     aucs = EV.auc(risk.select("feature", "repeat", "proba", F.col("true_event").alias("event")),
                   group_cols=["feature", "repeat"])
     b = base_auc.select(F.col("auc").alias("base_auc"))

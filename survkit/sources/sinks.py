@@ -47,6 +47,12 @@ def write_pvalue_lists(pairs: DataFrame, path: str, alpha: float = 0.05) -> tupl
     return s, d
 
 
+def write_matrix(matrix: DataFrame, path: str) -> str:
+    """A pivoted matrix as CSV with its column names."""
+    matrix.write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
 def save_model(model, path: str) -> str:
     model.write().overwrite().save(path)
     return path

@@ -233,3 +233,85 @@ def test_join_lookup_falls_back_to_shuffle_join(spark):
     a = sorted(join_lookup(big, small, ["region"]).collect())
     b = sorted(join_lookup(big, small, ["region"], max_rows=0).collect())
     assert a == b and len(a) == 30 and sum(1 for r in a if r["w"] is None) == 10
+
+
+# ---------------------------------------------------------------- k-sample test, pairs, horizon scores
+
+def _dense_ksample(rows):
+    """The textbook statistic with the whole covariance matrix: (group, year or None) rows."""
+    groups = sorted({g for g, _ in rows})
+    o, e, v = np.zeros(len(groups)), np.zeros(len(groups)), np.zeros((len(groups), len(groups)))
+    for y in sorted({y for _, y in rows if y is not None}):
+        n = np.array([sum(1 for h, t in rows if h == g and (t is None or t >= y)) for g in groups], float)
+        d = np.array([sum(1 for h, t in rows if h == g and t == y) for g in groups], float)
+        o, e = o + d, e + d.sum() * n / n.sum()
+        if n.sum() > 1:
+            p = n / n.sum()
+            v += d.sum() * (n.sum() - d.sum()) / (n.sum() - 1) * (np.diag(p) - np.outer(p, p))
+    u = (o - e)[:-1]
+    return float(u @ np.linalg.solve(v[:-1, :-1], u))
+
+
+def test_ksample_equals_dense_matrix_form(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"g{int(g)}", None if y > 6 else 2000 + int(y)) for g, y in zip(rng.integers(0, 7, 400), rng.integers(0, 12, 400))]
+    df = spark.createDataFrame([(g, "one", y) for g, y in rows], "many string, single string, failure_year int")
+    got = {r["column_name"]: r for r in LR.ksample(df, ["many", "single"]).collect()}
+    assert got["many"]["n_groups"] == 7 and got["many"]["dof"] == 6
+    assert got["many"]["chi2"] == pytest.approx(_dense_ksample(rows), rel=1e-9)
+    assert got["single"]["n_groups"] == 1 and (got["single"]["chi2"] is None or math.isnan(got["single"]["chi2"]))
+
+
+def test_ksample_of_two_groups_equals_the_pair_test(spark):
+    rng = np.random.default_rng(6)
+    rows = [("ab"[int(g)], None if y > 5 else 2000 + int(y)) for g, y in zip(rng.integers(0, 2, 120), rng.integers(0, 9, 120))]
+    df = spark.createDataFrame(rows, "grp string, failure_year int")
+    assert LR.ksample(df, ["grp"]).first()["chi2"] == pytest.approx(LR.pairwise(df, "grp").first()["chi2"], rel=1e-9)
+
+
+def test_ordered_pairs_are_all_pairs_once(spark):
+    from survkit.operators.joins import ordered_pairs
+
+    m = spark.createDataFrame([(p, f"m{i}") for p in "xy" for i in range(40)], "part string, m string")
+    for part in (["part"], []):
+        own = m if part else m.select("m").distinct()
+        got = ordered_pairs(own.withColumnRenamed("m", "a"), own.withColumnRenamed("m", "b"), "a", "b", part).collect()
+        assert len(got) == len(set(got)) == 780 * (2 if part else 1)
+
+
+def test_join_lookup_is_bounded_by_bytes(spark):
+    from survkit.operators.joins import join_lookup, measured
+
+    big = spark.createDataFrame([("hot", i) for i in range(200)] + [("rare", 1), (None, 2)], "region string, v int")
+    small = spark.createDataFrame([("hot", "x" * 50), ("other", "y")], "region string, note string")
+    assert measured(small)[0] == 2 and measured(small)[1] > 50
+    want = sorted(big.join(small, "region", "left").collect(), key=str)
+    for how in ("left", "inner"):
+        j = join_lookup(big, small, ["region"], how, max_bytes=10)
+        assert "salt" not in j.columns and "BroadcastHint" not in j._jdf.queryExecution().logical().toString()
+        assert sorted(j.collect(), key=str) == (want if how == "left" else [r for r in want if r["note"]])
+
+
+def test_horizon_scores_equal_the_curves_ratio(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    from survkit.operators import models as M
+
+    rng = np.random.default_rng(7)
+    rows = [(f"a{i}", 1990 + int(s), float(x), int(d), int(e)) for i, (s, x, d, e) in enumerate(zip(rng.integers(0, 5, 60), rng.normal(size=60), rng.integers(0, 6, 60), rng.integers(0, 2, 60)))]
+    ep = spark.createDataFrame(rows, "id string, last_failure_year int, x double, duration int, event int").withColumn("region", F.lit("r"))
+    model = M.hazard_pipeline(LogisticRegression(labelCol="label", featuresCol="features", regParam=0.01), ["x"], ["region"]).fit(M.person_period(ep))
+    keys = ["id", "last_failure_year"]
+    want = {r["id"]: r["proba"] for r in M.horizon_risk(M.survival_curves(model, ep, 3, keys), 3, keys).collect()}
+    scores = M.horizon_scores(model, ep, 3, keys)
+    got = {r["id"]: r["proba"] for r in scores.collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+    assert "Exchange" not in scores._jdf.queryExecution().executedPlan().toString()
+
+
+def test_roc_curve_by_group_has_origin_and_end(spark):
+    from survkit.operators import evaluate as EV
+
+    df = spark.createDataFrame([("a", 0.9, 1), ("a", 0.5, 0), ("a", 0.5, 1), ("b", 0.4, 0)], "g string, proba double, event int")
+    got = sorted(((r["g"], r["threshold"], r["fpr"], r["tpr"]) for r in EV.roc_curve(df, group_cols=["g"]).collect()), key=str)
+    assert got == sorted([("a", None, 0.0, 0.0), ("a", 0.9, 0.0, 0.5), ("a", 0.5, 1.0, 1.0), ("b", None, 0.0, 0.0), ("b", 0.4, 1.0, None)], key=str)
