@@ -33,16 +33,23 @@ def rate(events: DataFrame, rows: DataFrame, keys: list[str], scale: float = 100
     return out.withColumn("rate", safe_ratio("n_failures", "n_rows", scale))
 
 
+def tuples(df: DataFrame, columns: list[str], name: str = "n") -> DataFrame:
+    """Rows per combination of the columns, nulls included: what follows touches combinations, not rows."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(name))
+
+
 def all_pair_crosstabs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Joint counts of every column pair plus each column's margin in ONE pass.
 
-    One GROUPING SETS aggregate (Expand + partial aggregation) replaces the
-    per-pair group-bys; ``gid`` tells the sets apart, unused keys are null.
+    The rows are counted per combination of all columns first, so that the one
+    GROUPING SETS aggregate (Expand) multiplies combinations, not rows;
+    ``gid`` tells the sets apart, unused keys are null.
     Rows with a null in a used key are dropped, like pandas.
     """
     sets = [list(p) for p in combinations(columns, 2)] + [[c] for c in columns]
-    out = df.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(
-        F.grouping_id(*columns).cast("int").alias("gid"), F.count(F.lit(1)).alias("n")
+    base = tuples(df, columns, "_n")
+    out = base.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(
+        F.grouping_id(*columns).cast("int").alias("gid"), F.sum("_n").alias("n")
     )
     # drop groups whose used keys contain a null (pandas drops null keys)
     keep = F.lit(False)

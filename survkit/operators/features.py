@@ -41,7 +41,7 @@ def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
 def category_values(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
     """Distinct values of category columns (bounded lists, collected once)."""
     st = [F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in cols]
-    rows = df.select(F.explode(F.array(*st)).alias("_kv")).select("_kv.*").filter("v IS NOT NULL").distinct().collect()
+    rows = df.select(*cols).distinct().select(F.explode(F.array(*st)).alias("_kv")).select("_kv.*").filter("v IS NOT NULL").distinct().collect()
     out: dict[str, list[str]] = {c: [] for c in cols}
     for r in rows:
         out[r["k"]].append(r["v"])

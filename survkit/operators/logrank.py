@@ -22,24 +22,28 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.scalar import chi2_1df_pvalue
 from ..session import store
+from .counts import tuples
 from .joins import join_lookup, ordered_pairs
 
 
-def group_year_counts(df: DataFrame, group_col: str, part: list[str], time_col: str = S.FAILURE_YEAR):
+def group_year_counts(df: DataFrame, group_col: str, part: list[str], time_col: str = S.FAILURE_YEAR, weight: str | None = None):
     base = df.filter(F.col(group_col).isNotNull()).select(
-        *part, F.col(group_col).cast("string").alias("g"), F.col(time_col).alias("y")
+        *part, F.col(group_col).cast("string").alias("g"), F.col(time_col).alias("y"), (F.col(weight) if weight else F.lit(1)).alias("_w")
     )
     # one scan: counts per (group, year or null); rows and failures both derive from it
-    cnt = base.groupBy(*part, "g", "y").agg(F.count(F.lit(1)).alias("_c"))
+    cnt = base.groupBy(*part, "g", "y").agg(F.sum("_w").alias("_c"))
     rows = cnt.groupBy(*part, "g").agg(F.sum("_c").alias("N"))
     deaths = cnt.filter(F.col("y").isNotNull()).select(*part, "g", "y", F.col("_c").alias("d"))
     return rows, deaths
 
 
-def pairwise(df: DataFrame, group_col: str, part: list[str] | None = None, time_col: str = S.FAILURE_YEAR):
-    """(part..., member_1, member_2, chi2, p_value, p_rounded) for every unordered pair (member_1 < member_2)."""
+def pairwise(df: DataFrame, group_col: str, part: list[str] | None = None, time_col: str = S.FAILURE_YEAR, weight: str | None = None):
+    """(part..., member_1, member_2, chi2, p_value, p_rounded) for every unordered pair (member_1 < member_2).
+
+    ``weight``: column with the number of rows that a row stands for.
+    """
     part = list(part or [])
-    rows, deaths = group_year_counts(df, group_col, part, time_col)
+    rows, deaths = group_year_counts(df, group_col, part, time_col, weight)
     a = rows.select(*part, F.col("g").alias("g1"), F.col("N").alias("tot1"))
     b = rows.select(*part, F.col("g").alias("g2"), F.col("N").alias("tot2"))
     # pairs of groups on the per-group count table (k = number of groups), never on rows
@@ -170,9 +174,9 @@ def ksample(df: DataFrame, columns: list[str], time_col: str = S.FAILURE_YEAR) -
     task gets all groups of a column.  The largest group is left out, as V of
     all groups is singular.
     """
-    long = unpivot_columns(df.select(*columns, time_col), columns, [time_col]).filter(F.col("value").isNotNull())
+    long = unpivot_columns(tuples(df, [*columns, time_col], "_w"), columns, [time_col, "_w"]).filter(F.col("value").isNotNull())
     long = long.withColumnRenamed("value", "g").withColumnRenamed(time_col, "y")
-    cnt = store(long.groupBy("column_name", "g", "y").agg(F.count(F.lit(1)).alias("d")), "ksample-counts")
+    cnt = store(long.groupBy("column_name", "g", "y").agg(F.sum("_w").alias("d")), "ksample-counts")
     rows = cnt.groupBy("column_name", "g").agg(F.sum("d").alias("size"))
     deaths = cnt.filter(F.col("y").isNotNull())
     # one row per column: its failure years

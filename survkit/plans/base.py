@@ -110,6 +110,12 @@ class Data:
             self._all_c_stored = store(self.all_c, "all-c")
         return self._all_c_stored
 
+    def once(self) -> Data:
+        """Let ``all_c`` and ``events_c`` read the stored table: the master join then runs once per query."""
+        self._all_c = self.all_c_stored
+        self._events_c = self._all_c.filter(F.col(S.FAILED_AT).isNotNull())
+        return self
+
     @property
     def obs(self) -> DataFrame:
         """Per-region observation window, written once per query to the shared folder."""

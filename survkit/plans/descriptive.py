@@ -13,6 +13,7 @@ from ..operators import bins as B
 from ..operators import clean as C
 from ..operators import counts as K
 from ..operators.quantiles import grouped_quantiles_discrete
+from ..session import store
 from .base import REGIONS, Data, query, sql
 
 # Fixture parameters (FIXTURES.md): install years of the fixture start in
@@ -134,8 +135,8 @@ def category_code_q(spark, sf_dir):
     ),
 )
 def distinct_values(spark, sf_dir):
-    a = Data(spark, sf_dir).all_c
     cols = [S.MATERIAL, S.MATERIAL_AGE, S.REGION]
+    a = Data(spark, sf_dir).all_c.select(*cols).distinct()
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in cols]))
     return a.select(pairs.alias("p")).select("p.*").filter(F.col("value").isNotNull()).distinct()
 
@@ -245,6 +246,11 @@ def failures_sizebin_yearbin(spark, sf_dir):
 XT_COLS = ["year_bin", "size_bin", S.MATERIAL, S.MATERIAL_AGE, S.REGION]
 
 
+def _failed():
+    """A failure row of a known asset (events have one by definition)."""
+    return F.col(S.FAILED_AT).isNotNull() & F.col(S.ID).isNotNull()
+
+
 def _binned_all(d: Data):
     """all_c with clamped install-year bins (cut 5) and size quintiles (qcut 5)."""
     a = d.all_c_stored.withColumn("year_c", clamp_low(S.INSTALL_YEAR, CLAMP_YEAR))
@@ -435,7 +441,8 @@ _LONG_SQL = " UNION ALL ".join(
 )
 def median_lifetime(spark, sf_dir):
     d = Data(spark, sf_dir)
-    lt = d.events_c.join(_size_lookup(d), S.ID).withColumn(
+    # a row's bin is an expression of its own size: no join by id
+    lt = B.qcut(d.all_c_stored, S.SIZE, 5, "size").filter(_failed()).withColumn(
         "lifetime", F.col(S.FAILURE_YEAR) - F.col(S.INSTALL_YEAR)
     )
     long = _long(lt, ["lifetime"])
@@ -461,10 +468,12 @@ _MARGINAL_SQL = (
 
 
 def _marginal(d: Data):
-    lk = _size_lookup(d)
-    ev = _long(d.events_c.join(lk, S.ID), [])
-    al = _long(d.all_c.join(lk, S.ID, "left"), [])
-    return K.rate(ev, al, ["dimension", "category"], 1.0, how="left")
+    # rows and failures per combination in one pass, then per category of each dimension
+    a = B.qcut(d.all_c_stored, S.SIZE, 5, "size")
+    t = a.groupBy(*DIMS).agg(F.count(F.lit(1)).alias("r"), F.sum(_failed().cast("long")).alias("f"))
+    c = _long(t, ["r", "f"]).groupBy("dimension", "category").agg(F.sum("r").alias("n_rows"), F.sum("f").alias("n_failures"))
+    c = c.withColumn("n_failures", F.when(F.col("n_failures") > 0, F.col("n_failures")))
+    return c.withColumn("rate", safe_ratio("n_failures", "n_rows", 1.0))
 
 
 @query("marginal_rate", sql("SELECT dimension, category, n_rows, n_failures, rate FROM mr", _MARGINAL_SQL))
@@ -495,8 +504,8 @@ def marginal_rate_scaled(spark, sf_dir):
 PAIR_COLS = XT_COLS
 
 
-def _pair_long(df, cols):
-    """One row per (input row, column pair): the pair's names and values as text."""
+def _pair_long(df, cols, keep):
+    """One row per (input row, column pair): the pair's names and values as text; ``keep`` columns stay."""
     st = [
         F.struct(
             F.lit(x).alias("x_name"), F.lit(y).alias("y_name"),
@@ -504,17 +513,18 @@ def _pair_long(df, cols):
         )
         for x, y in combinations(cols, 2)
     ]
-    return df.select(F.explode(F.array(*st)).alias("_p")).select("_p.*")
+    return df.select(*keep, F.explode(F.array(*st)).alias("_p")).select(*keep, "_p.*")
 
 
-def _pair_counts(df, cols, name):
-    p = _pair_long(df, cols).filter(F.col("x_value").isNotNull() & F.col("y_value").isNotNull())
-    return p.groupBy("x_name", "y_name", "x_value", "y_value").agg(F.count(F.lit(1)).alias(name))
+def _pair_sums(t, cols, names):
+    """Sums of count columns of column combinations, per cell of every column pair."""
+    p = _pair_long(t, cols, names).filter(F.col("x_value").isNotNull() & F.col("y_value").isNotNull())
+    return p.groupBy("x_name", "y_name", "x_value", "y_value").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def _pair_grid(df, cols):
     """Per pair: distinct x values x distinct y values (category lists only)."""
-    vals = df.select(
+    vals = df.select(*cols).distinct().select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in cols]))
         .alias("_v")
     ).select("_v.*").filter(F.col("value").isNotNull()).distinct()
@@ -525,9 +535,8 @@ def _pair_grid(df, cols):
 
 
 def _binned_events(d: Data):
-    """Events carrying the installed-table bins (deduplicated lookup on id)."""
-    ab = _binned_all(d).select(S.ID, "year_bin", "size_bin").dropDuplicates([S.ID])
-    return d.events_c.join(ab, S.ID)
+    """Events in the installed table's bins: a bin is an expression of the row's own size and year, no join by id."""
+    return _binned_all(d).filter(_failed())
 
 
 def _sql_pair_long(src, cols):
@@ -569,9 +578,9 @@ _GRID_SQL = (
 )
 def crosstab_grid(spark, sf_dir):
     """Installed counts on the full grid of every column pair, 0 where empty."""
-    ab = _binned_all(Data(spark, sf_dir))
-    grid = _pair_grid(ab, PAIR_COLS)
-    cnt = _pair_counts(ab, PAIR_COLS, "n_rows")
+    t = store(K.tuples(_binned_all(Data(spark, sf_dir)), PAIR_COLS, "n_rows"), "tuples")
+    grid = _pair_grid(t, PAIR_COLS)
+    cnt = _pair_sums(t, PAIR_COLS, ["n_rows"])
     keys = ["x_name", "y_name", "x_value", "y_value"]
     return grid.join(cnt, keys, "left").select(*keys, F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
@@ -591,14 +600,12 @@ def crosstab_grid(spark, sf_dir):
 def crosstab_rate(spark, sf_dir):
     """Per-mille failure rate of every cell of every column pair, 0 where missing."""
     d = Data(spark, sf_dir)
-    ab = _binned_all(d)
-    evb = _binned_events(d)
     keys = ["x_name", "y_name", "x_value", "y_value"]
-    grid = _pair_grid(ab, PAIR_COLS)
-    al = _pair_counts(ab, PAIR_COLS, "n_rows")
-    ev = _pair_counts(evb, PAIR_COLS, "n_failures")
-    out = grid.join(al, keys, "left").join(ev, keys, "left")
-    both = F.col("n_failures").isNotNull() & F.col("n_rows").isNotNull()
+    # rows and failures per combination in one pass
+    t = _binned_all(d).groupBy(*PAIR_COLS).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(_failed().cast("long")).alias("n_failures"))
+    t = store(t, "tuples")
+    out = _pair_grid(t, PAIR_COLS).join(_pair_sums(t, PAIR_COLS, ["n_rows", "n_failures"]), keys, "left")
+    both = (F.col("n_failures") > 0) & (F.col("n_rows") > 0)
     return out.select(
         *keys,
         F.coalesce("n_failures", F.lit(0)).alias("n_failures"),
@@ -634,10 +641,10 @@ _EVGRID_SQL = (
 )
 def crosstab_logsize(spark, sf_dir):
     """Failure cross-tab marker size ln(n / min n) * 7 per pair, 0 for empty cells."""
-    evb = _binned_events(Data(spark, sf_dir))
+    evb = store(K.tuples(_binned_events(Data(spark, sf_dir)), PAIR_COLS), "tuples")
     keys = ["x_name", "y_name", "x_value", "y_value"]
     grid = _pair_grid(evb, PAIR_COLS)
-    ev = _pair_counts(evb, PAIR_COLS, "n")
+    ev = _pair_sums(evb, PAIR_COLS, ["n"])
     mins = ev.groupBy("x_name", "y_name").agg(F.min("n").alias("_mn"))
     out = grid.join(ev, keys, "left").join(mins, ["x_name", "y_name"], "left")
     return out.select(
@@ -682,10 +689,10 @@ def crosstab_logsize_installed_grid(spark, sf_dir):
     """Failure cross-tab marker sizes (k = 10) over the grid of installed values."""
     d = Data(spark, sf_dir)
     ab = B.qcut(B.cut(d.all_c_stored, S.INSTALL_YEAR, 10, "year"), S.SIZE, 5, "size")
-    evb = d.events_c.join(ab.select(S.ID, "year_bin", "size_bin").dropDuplicates([S.ID]), S.ID)
+    t = store(ab.groupBy(*PAIR_COLS).agg(F.sum(_failed().cast("long")).alias("n")), "tuples")
     keys = ["x_name", "y_name", "x_value", "y_value"]
-    grid = _pair_grid(ab, PAIR_COLS)
-    ev = _pair_counts(evb, PAIR_COLS, "n")
+    grid = _pair_grid(t, PAIR_COLS)
+    ev = _pair_sums(t.filter("n > 0"), PAIR_COLS, ["n"])
     mins = ev.groupBy("x_name", "y_name").agg(F.min("n").alias("_mn"))
     out = grid.join(ev, keys, "left").join(mins, ["x_name", "y_name"], "left")
     return out.select(

@@ -27,6 +27,7 @@ def baseline_score(df):
 
 def scored(d: Data):
     """(id, region, last_failure_year, proba, event, duration) of the test population."""
+    d.once()
     t = test_rows(prep(d)).select(S.ID, S.REGION, S.START, S.SIZE)
     t = t.withColumn("proba", baseline_score(t)).drop(S.SIZE)
     tr = truth_first(d).select(S.ID, S.START, S.EVENT, S.DURATION)

@@ -9,6 +9,7 @@ from ..functions.scalar import chi2_1df_pvalue_sql
 from ..operators import bins as B
 from ..operators import km as KM
 from ..operators import logrank as LR
+from ..operators.counts import tuples
 from .base import MATERIAL_AGES, Data, query, sql
 from .descriptive import _bin_sql, _q_edges_sql
 
@@ -278,8 +279,8 @@ _LR_ALL = (
 def logrank_all_columns(spark, sf_dir):
     """Pairwise tests inside every text column at once (unpivot, partition by column)."""
     a = _all6(Data(spark, sf_dir))
-    long = LR.unpivot_columns(a, _ALLCOLS, [S.FAILURE_YEAR])
-    return LR.pairwise(long, "value", part=["column_name"])
+    long = LR.unpivot_columns(tuples(a, [*_ALLCOLS, S.FAILURE_YEAR]), _ALLCOLS, [S.FAILURE_YEAR, "n"])
+    return LR.pairwise(long, "value", part=["column_name"], weight="n")
 
 
 _REGION_COLS = [S.MATERIAL, S.MATERIAL_AGE, "size_bin"]
@@ -298,11 +299,11 @@ _LR_REGION = (
 def logrank_region_columns(spark, sf_dir):
     """Pairwise tests of every text column inside each region."""
     a = _all6(Data(spark, sf_dir)).filter(F.col(S.REGION).isNotNull())
-    long = LR.unpivot_columns(a, _REGION_COLS, [S.REGION, S.FAILURE_YEAR])
-    return LR.pairwise(long, "value", part=[S.REGION, "column_name"])
+    long = LR.unpivot_columns(tuples(a, [*_REGION_COLS, S.REGION, S.FAILURE_YEAR]), _REGION_COLS, [S.REGION, S.FAILURE_YEAR, "n"])
+    return LR.pairwise(long, "value", part=[S.REGION, "column_name"], weight="n")
 
 
 @query("logrank_ksample")
 def logrank_ksample(spark, sf_dir):
-    """k-group test per text column (small matrix solve per column in pandas)."""
+    """k-group test per text column (one system of the size of the failure years per column)."""
     return LR.ksample(_all6(Data(spark, sf_dir)), _ALLCOLS)
