@@ -209,7 +209,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
 
     def run(part: pa.Table) -> pa.Table:
         # rows in an order of their own, so that a repeated task packs alike
-        part = part.sort_by([("doc_id", "ascending"), ("n", "ascending")])
+        part = part.sort_by([("doc_id", "ascending"), ("n", "ascending"), ("ids", "ascending")])
         ids = [np.frombuffer(x, "<u2") for x in part.column("ids").to_pylist()]
         own, no = part.column("doc_id").to_pylist(), part.column("shard")[0].as_py()
         rows = [
