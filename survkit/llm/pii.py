@@ -4,8 +4,9 @@ DataFrame functions only. Entities (e-mail and IP addresses, phone, card and soc
 after a key word, personal names after a title or with a listed given name) are found by one pattern. Each
 distinct entity of the corpus gets one surrogate derived from a keyed hash of its canonical form (digits of a
 number, lower-cased address, surname), so all mentions of it change alike, whatever their formatting. Rounds of
-collision checks derive a surrogate anew while it equals another entity's surrogate or any real entity. Formats
-stay: separators, lengths, a number's first digit, a card's check digit, a name's title, gender, script and case.
+collision checks derive a surrogate anew while it equals another entity's surrogate or any real entity; where a
+short entity's space has no free one, it gets longer from attempt to attempt. Formats stay: separators, lengths
+(but for those), a number's first digit, a card's check digit, a name's title, gender, script and case.
 
 Defined results: a null text stays null, an empty one empty; texts without entities are unchanged; repeated rows
 and rows with a null id are treated like any other row; equal texts get equal replacements; all columns of the
@@ -43,7 +44,7 @@ _GIVENS = "|".join(" ".join(GIVEN.values()).split())
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: One alternative per kind; a look at the next character spares most places of a text the rest of it.
 PATTERNS = {
-    "secret": rf"(?<![A-Za-z_])(?=[tpsaTPSA])(?i:{SECRET_WORDS})\s{{0,3}}[=:]\s{{0,3}}[\"']?[A-Za-z0-9+/_\-]{{8,}}",
+    "secret": rf"(?<![A-Za-z_])(?=[tpsaTPSA])(?i:{SECRET_WORDS})\s{{0,3}}[=:]\s{{0,3}}[\"']?(?=[+/_\-]*[A-Za-z0-9])[A-Za-z0-9+/_\-]{{8,}}",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "ip": rf"(?=\d)(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "phone": r"\+\d{1,3}[ .\-]?\(\d{1,4}\)[ .\-]?\d{2,4}(?:[ .\-]?\d{2,4}){1,2}(?!\d)|\+\d{1,3}(?:[ .\-]\d{2,4}){2,4}(?!\d)|(?=\()(?<!\d)\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)",
@@ -95,14 +96,17 @@ def canonical(k: Column, e: Column) -> Column:
 #: SQL over (kind, canon, h): h has 64 hex digits of the keyed hash; byte i of it is a number below 256.
 _BYTE = "CAST(conv(substr(h, CAST(({i} - 1) % 31 AS INT) * 2 + 1 + CAST(({i} - 1) / 31 AS INT) % 2, 2), 16, 10) AS INT)"
 _B = _BYTE.format(i="i")
+#: Attempts at an entity's own length; each later one adds a character, so that the rounds end.
+OWN_LENGTH = 8
+_MORE = f"greatest(0, attempt - {OWN_LENGTH - 1})"
 
 
 def _chars(canon: str, keep: str = "false") -> str:
     """Each character by another of its class: digit, lower-case or upper-case letter; hexadecimal strings stay so."""
-    return f"""array_join(transform(sequence(1, length({canon})), i -> CASE
+    return f"""array_join(transform(sequence(1, length({canon}) + {_MORE}), i -> CASE
         WHEN {keep} THEN substr({canon}, i, 1)
         WHEN {canon} rlike '^[0-9a-f]+$' THEN substr('0123456789abcdef', {_B} % 16 + 1, 1)
-        WHEN substr({canon}, i, 1) rlike '[0-9]' THEN CAST({_B} % 10 AS STRING)
+        WHEN i > length({canon}) OR substr({canon}, i, 1) rlike '[0-9]' THEN CAST({_B} % 10 AS STRING)
         WHEN substr({canon}, i, 1) rlike '[a-z]' THEN substr('abcdefghijklmnopqrstuvwxyz', {_B} % 26 + 1, 1)
         WHEN substr({canon}, i, 1) rlike '[A-Z]' THEN substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', {_B} % 26 + 1, 1)
         ELSE substr({canon}, i, 1) END), '')"""
@@ -110,7 +114,7 @@ def _chars(canon: str, keep: str = "false") -> str:
 
 def _digits(canon: str) -> str:
     """Each digit but the first by another."""
-    return f"array_join(transform(sequence(1, length({canon})), i -> IF(i = 1, substr({canon}, 1, 1), CAST({_B} % 10 AS STRING))), '')"
+    return f"array_join(transform(sequence(1, length({canon}) + {_MORE}), i -> IF(i = 1, substr({canon}, 1, 1), CAST({_B} % 10 AS STRING))), '')"
 
 
 def _luhn(body: str) -> str:
@@ -149,7 +153,7 @@ def surrogate() -> Column:
 
 def formatted(key: str) -> Column:
     """The replacement of a matched string ``e`` of ``kind`` with surrogate ``sur``, in the format of ``e``."""
-    fill = "array_join(transform(sequence(1, length(e)), i -> IF(substr(e, i, 1) rlike '[0-9]', substr(sur, length(regexp_replace(substr(e, 1, i), '[^0-9]', '')), 1), substr(e, i, 1))), '')"
+    fill = "concat(array_join(transform(sequence(1, length(e)), i -> IF(substr(e, i, 1) rlike '[0-9]', substr(sur, length(regexp_replace(substr(e, 1, i), '[^0-9]', '')), 1), substr(e, i, 1))), ''), substr(sur, length(regexp_replace(e, '[^0-9]', '')) + 1))"
     head = F.regexp_extract("e", SECRET_HEAD, 1)
     front = F.regexp_replace("e", SURNAME, "")
     given = F.regexp_extract(front, rf"({_NAME}) $", 1)

@@ -244,6 +244,19 @@ def test_surrogate_collisions(spark):
     assert len(got) == 3000 and len({r["sur"] for r in got}) == 3000
 
 
+def test_surrogates_of_exhausted_spaces(spark):
+    # all numbers of three digits that start with 7, all secrets of one letter and seven dashes: no free one of that length
+    real = [("phone", f"7{i:02d}") for i in range(100)] + [("secret", c + "-------") for c in "abcdefghijklmnopqrstuvwxyz"]
+    got = pii.surrogates(spark.createDataFrame(real, "kind string, canon string")).collect()
+    assert len(got) == len(real) == len({(r["kind"], r["sur"]) for r in got}) and not {(r["kind"], r["sur"]) for r in got} & set(real)
+    assert all(r["sur"][0] == "7" for r in got if r["kind"] == "phone")
+    rows = [(1, "Password: ________"), (2, "token: --------"), (3, "token: a-------"), *[(100 + i, f"+7 {i // 100:02d} {i % 100:02d}") for i in range(10_000)]]
+    out = {r["doc_id"]: r["text"] for r in pii.replace(frame(spark, rows)).collect()}
+    assert out[1] == rows[0][1] and out[2] == rows[1][1] and out[3] != rows[2][1]
+    new = [out[100 + i] for i in range(10_000)]
+    assert len(set(new)) == 10_000 and not set(new) & {x for _, x in rows} and all(re.fullmatch(r"\+7 \d\d \d{3,}", x) for x in new)
+
+
 # op8
 
 
