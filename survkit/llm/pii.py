@@ -3,7 +3,7 @@
 DataFrame functions only. Entities (e-mail and IP addresses, phone, card and social security numbers, secrets
 after a key word, personal names after a title or with a listed given name) are found by one pattern. Each
 distinct entity of the corpus gets one surrogate derived from a keyed hash of its canonical form (digits of a
-number, lower-cased address, surname), so all mentions of it change alike, whatever their formatting. Rounds of
+number, lower-cased address, all groups of an IPv6 address, surname), so all mentions of it change alike, whatever their formatting. Rounds of
 collision checks derive a surrogate anew while it equals another entity's surrogate or any real entity; where a
 short entity's space has no free one, it gets longer from attempt to attempt. Formats stay: separators, lengths
 (but for those), a number's first digit, a card's check digit, a name's title, gender, script and case.
@@ -42,14 +42,20 @@ _NAME = rf"[{CAP}][{LOW}]+(?:-[{CAP}][{LOW}]+)?"
 _TITLES = "|".join(" ".join(TITLES.values()).split())
 _GIVENS = "|".join(" ".join(GIVEN.values()).split())
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX = "[0-9A-Fa-f]{1,4}"
 #: One alternative per kind; a look at the next character spares most places of a text the rest of it.
 PATTERNS = {
     "secret": rf"(?<![A-Za-z_])(?=[tpsaTPSA])(?i:{SECRET_WORDS})\s{{0,3}}[=:]\s{{0,3}}[\"']?(?=[+/_\-]*[A-Za-z0-9])[A-Za-z0-9+/_\-]{{8,}}",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "ip": rf"(?=\d)(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "phone": r"\+\d{1,3}[ .\-]?\(\d{1,4}\)[ .\-]?\d{2,4}(?:[ .\-]?\d{2,4}){1,2}(?!\d)|\+\d{1,3}(?:[ .\-]\d{2,4}){2,4}(?!\d)|(?=\()(?<!\d)\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)",
+    "ip6": rf"(?=[0-9A-Fa-f]{{0,4}}:)(?<![0-9A-Za-z_:.])(?=[0-9A-Fa-f:]*\d)(?:{_HEX}(?::{_HEX}){{7}}|(?!:{{0,2}}{_HEX}(?::{{1,2}}{_HEX}){{7}})(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![0-9A-Za-z_:]|\.\d)",
     "card": r"(?=\d)(?<![\d.])\d{4}(?:[ \-]?\d{4}){3}(?!\d)|(?=3)(?<![\d.])3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5}(?!\d)",
     "ssn": r"(?=\d)(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
+    # international with brackets, with a plus or 00 and up to 15 digits in groups of any length, shorter ones in groups;
+    # national with an area code in brackets, as 3-3-4 digits, after a trunk 0 with one kind of separator
+    "phone": r"\+\d{1,3}[ .\-]?\(\d{1,4}\)(?:[ .\-]?\d){4,12}(?!\d)|(?:(?<!\d)\+|(?=0)(?<![\d.\-/])00)[1-9](?:[ .\-]?\d){6,14}(?!\d)|\+\d{1,3}(?:[ .\-]\d{2,4}){2,4}(?!\d)"
+    r"|(?=\()(?<!\d)\((?:\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|0\d{1,4}\)[ .\-]?\d{2,8}(?:[ .\-]\d{2,8}){0,3})(?!\d)|(?=\d)(?<![\d.\-])(?:1[ .\-])?\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![.\-]?\d)"
+    r"|(?=0)(?<![\d.\-/])(?=\d+(?<sep>[ .\-/]))(?=(?:\d\k<sep>?){8,12}\d(?!\d))0[1-9]\d{0,3}\k<sep>\d{2,8}(?:\k<sep>\d{2,8}){0,4}(?!\d)",
     "name": rf"(?=[{CAP}])(?<![{CAP}{LOW}])(?:(?:{_TITLES})\.? (?:{_NAME} )?{_NAME}|(?:{_GIVENS}) {_NAME})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -83,10 +89,18 @@ SURNAME = rf"({_NAME})$"
 SECRET_HEAD = rf"^((?i:{SECRET_WORDS})\s*[=:]\s*[\"']?)"
 
 
+def _groups(e: Column) -> Column:
+    """An IPv6 address as eight groups of four digits."""
+    side = lambda i: F.filter(F.split(F.coalesce(F.get(F.split(e, "::"), F.lit(i)), F.lit("")), ":"), lambda x: x != "")
+    zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(side(0)) - F.size(side(1)))
+    return F.array_join(F.transform(F.concat(side(0), zeros, side(1)), lambda x: F.lpad(x, 4, "0")), ":")
+
+
 def canonical(k: Column, e: Column) -> Column:
     return (
         F.when(k == "email", F.lower(e))
         .when(k == "ip", e)
+        .when(k == "ip6", _groups(F.lower(e)))
         .when(k == "secret", F.regexp_replace(e, SECRET_HEAD, ""))
         .when(k == "name", F.lower(F.regexp_extract(e, SURNAME, 1)))
         .otherwise(F.regexp_replace(e, "[^0-9]", ""))
@@ -145,6 +159,7 @@ def surrogate() -> Column:
     return F.expr(f"""CASE kind
         WHEN 'email' THEN concat({_chars(local)}, '@', {host}, '.example.', {top})
         WHEN 'ip' THEN concat_ws('.', {_BYTE.format(i="1")} % 223 + 1, {_BYTE.format(i="2")}, {_BYTE.format(i="3")}, {_BYTE.format(i="4")} % 254 + 1)
+        WHEN 'ip6' THEN array_join(transform(sequence(1, 8), i -> substr(h, 4 * i - 3, 4)), ':')
         WHEN 'secret' THEN {_chars("canon")}
         WHEN 'card' THEN concat({body}, {_luhn(body)})
         WHEN 'name' THEN CASE {_script("canon")} WHEN 'cyrillic' THEN concat({_surname("cyrillic")}, {fem}) WHEN 'greek' THEN concat({_surname("greek")}, 'ς') ELSE {_surname("latin")} END
@@ -163,7 +178,7 @@ def formatted(key: str) -> Column:
     other = F.coalesce(F.element_at(_map(_given(key)), given), F.concat(F.substring(given, 1, 1), F.lit(".")))
     name = F.when((given == "") | first, front).otherwise(F.concat(titled, other, F.lit(" ")))
     return (
-        F.when(F.col("kind").isin("email", "ip"), F.col("sur"))
+        F.when(F.col("kind").isin("email", "ip", "ip6"), F.col("sur"))
         .when(F.col("kind") == "secret", F.concat(head, "sur"))
         .when(F.col("kind") == "name", F.concat(name, F.initcap("sur")))
         .otherwise(F.expr(fill))

@@ -257,6 +257,26 @@ def test_surrogates_of_exhausted_spaces(spark):
     assert len(set(new)) == 10_000 and not set(new) & {x for _, x in rows} and all(re.fullmatch(r"\+7 \d\d \d{3,}", x) for x in new)
 
 
+PHONES = ["+14155552671", "415-555-2671", "415.555.2671", "1-415-555-2671", "+49 30 1234567", "+33 1 23 45 67 89", "0033 1 23 45 67 89", "+49 (0) 30 1234567", "030 1234567", "01 23 45 67 89", "020 7946 0958", "(020) 7946 0958", "+1 (212) 555-0101", "+1 23 45"]
+IP6 = ["2001:db8:0:0:0:0:0:1", "2001:0DB8::1", "fe80::1ff:fe23:4567:890a", "2001:db8:1:2:3:4:5:6", "::1"]
+PLAIN = ["2024-01-15", "01.02.2024 12:30:45", "01.02.2024 12", "978-3-16-148410-0", "std::dec", "x 1234567 y", "3.14159", "00:1b:44:11:3a:b7", "1+12345678"]
+
+
+def test_phone_and_address_formats(spark):
+    rows = list(enumerate(["call " + x + ", now" for x in PHONES] + ["from " + x + ". End" for x in IP6] + PLAIN))
+    out = {r["doc_id"]: r for r in pii.replace(frame(spark, rows), counts=True).collect()}
+    for i, x in enumerate(PHONES):
+        assert out[i]["kinds"] == ["phone"] and out[i]["n_entities"] == 1 and out[i]["text"] != rows[i][1], x
+        assert re.sub(r"\d", "0", out[i]["text"]) == re.sub(r"\d", "0", rows[i][1]), x
+    at = len(PHONES)
+    for i, x in enumerate(IP6, at):
+        assert out[i]["kinds"] == ["ip6"] and re.fullmatch(r"from [0-9a-f]{4}(:[0-9a-f]{4}){7}\. End", out[i]["text"]), x
+    assert out[at]["text"] == out[at + 1]["text"] and len({out[i]["text"] for i in range(at, at + 5)}) == 4  # one address, two formats
+    assert [out[i]["text"] for i in range(at + 5, len(rows))] == PLAIN
+    kept = pii.replace(frame(spark, [(1, "ssn 012-34-5678, card 0111 1111 1111 1111")]), counts=True).first()
+    assert kept["kinds"] == ["card", "ssn"]
+
+
 # op8
 
 
