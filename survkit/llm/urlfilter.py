@@ -21,8 +21,6 @@ from pyspark.sql.window import Window
 from .common import read
 
 BUCKET_DAYS = 32
-#: Last day of an entry that is never removed: bounds the buckets of an open interval.
-HORIZON = "2026-12-31"
 
 
 def intervals(changes: DataFrame) -> DataFrame:
@@ -41,7 +39,7 @@ def url_keys(url: str = "url") -> list[tuple[str, str]]:
     return [("host", host), ("path", path)]
 
 
-def judge(captures: DataFrame, changes: DataFrame, horizon: str = HORIZON) -> DataFrame:
+def judge(captures: DataFrame, changes: DataFrame) -> DataFrame:
     """Per capture: page_id, host, day, blocked, lists (sorted, comma-joined), n_entries."""
     c = captures.select("page_id", "url", "day")
     for name, sql in url_keys():
@@ -56,7 +54,9 @@ def judge(captures: DataFrame, changes: DataFrame, horizon: str = HORIZON) -> Da
     )
     need = need.withColumn("k", F.explode_outer(keys)).select("host", "prefix", "day", "k.kind", "k.value")
     number = lambda x: F.floor(F.datediff(x, F.lit("1970-01-01")) / BUCKET_DAYS)
-    e = intervals(changes).withColumn("bucket", F.explode_outer(F.sequence(number(F.col("from_day")), number(F.coalesce("to_day", F.greatest(F.lit(horizon).cast("date"), "from_day"))))))
+    # an open interval has buckets up to the last capture's day
+    e = intervals(changes).crossJoin(F.broadcast(captures.agg(F.max("day").alias("last"))))
+    e = e.withColumn("bucket", F.explode_outer(F.sequence(number(F.col("from_day")), number(F.coalesce("to_day", F.greatest("last", "from_day")))))).drop("last")
     hit = need.withColumn("bucket", number(F.col("day"))).join(e, ["kind", "value", "bucket"]).where("from_day <= day AND (to_day IS NULL OR day < to_day)")
     hit = hit.groupBy("host", "prefix", "day").agg(F.sort_array(F.collect_set("list")).alias("ls"), F.count("*").alias("n_entries"))
     out = c.join(hit, ["host", "prefix", "day"], "left")

@@ -175,6 +175,14 @@ def test_url_filter_as_of(spark):
     assert got == [(1, "l1"), (2, ""), (3, "l1"), (4, ""), (5, "l2"), (6, ""), (6, ""), (7, "")]
 
 
+def test_url_filter_open_entries_have_no_last_day(spark):
+    caps = spark.createDataFrame([(1, "http://a.com/x", "2027-01-14"), (2, "http://a.com/x", "2041-07-01"), (3, "http://b.com/x", "2041-07-01")], "page_id long, url string, day string").withColumn("day", F.to_date("day"))
+    log = [("l1", "host", "a.com", "add", "2024-01-05"), ("l1", "host", "b.com", "add", "2024-01-05"), ("l1", "host", "b.com", "remove", "2041-07-01"), ("l2", "host", "b.com", "add", "2050-01-01")]
+    ch = spark.createDataFrame(log, "list string, kind string, value string, action string, day string").withColumn("day", F.to_date("day"))
+    assert sorted((r["page_id"], r["lists"]) for r in urlfilter.judge(caps, ch).collect()) == [(1, "l1"), (2, "l1"), (3, "")]
+    assert urlfilter.judge(caps.limit(0), ch).count() == 0
+
+
 # op6
 
 
