@@ -2,14 +2,16 @@
 
 A list is a log of dated changes (list, kind, value, action, day): ``add`` puts an entry on the list, ``remove``
 takes it off. The log becomes validity intervals [from, to); an as-of join matches each capture's keys (its
-host, every parent domain, its path prefixes) with the interval that holds its day. Intervals are cut into
-buckets of days and the join is an equality on key and bucket, so an entry with a long history meets only the
-captures of the same days. Captures are reduced to distinct (keys, day) before the join: a host with a third of
-all captures is a few rows per day there.
+host, every parent domain, its path prefixes from the host alone to the whole path) with the interval that holds
+its day. Intervals are cut into buckets of days and the join is an equality on key and bucket, so an entry with a
+long history meets only the captures of the same days. Captures are reduced to distinct (host, day) and, for the
+prefixes, to distinct (host, path, day) before the joins: for its host and domains, a host with a third of all
+captures is one row per day.
 
 Defined results: a capture without a url or day matches nothing and is kept (blocked false); entries with a null
 in any of their columns take no part; of several changes to an entry on one day the last action in alphabetical
-order (remove) holds; repeated captures each give a row; extra columns are not used.
+order (remove) holds; repeated captures each give a row; extra columns are not used. A prefix entry may be a whole
+URL without query and fragment; its scheme, user and port don't count.
 """
 
 from __future__ import annotations
@@ -41,26 +43,30 @@ def url_keys(url: str = "url") -> list[tuple[str, str]]:
 
 def judge(captures: DataFrame, changes: DataFrame) -> DataFrame:
     """Per capture: page_id, host, day, blocked, lists (sorted, comma-joined), n_entries."""
-    c = captures.select("page_id", "url", "day")
-    for name, sql in url_keys():
-        c = c.withColumn(name, F.expr(sql))
-    # prefixes of at most the path's own depth; the first part is empty
-    c = c.withColumn("prefix", F.expr("concat(host, array_join(slice(path, 1, least(2, size(path))), '/'))"))
-    c = c.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("prefix", F.lit("")).alias("prefix"), "day")
-    need = c.where("host <> '' AND day IS NOT NULL").select("host", "prefix", "day").distinct()
-    labels = "split(host, '[.]')"
-    keys = F.expr(
-        f"concat(array(struct('host' AS kind, host AS value), struct('prefix' AS kind, prefix AS value)), transform(sequence(1, size({labels})), i -> struct('domain' AS kind, array_join(slice({labels}, i, size({labels})), '.') AS value)))"
-    )
-    need = need.withColumn("k", F.explode_outer(keys)).select("host", "prefix", "day", "k.kind", "k.value")
+    (_, host), (_, path) = url_keys()
+    c = captures.select("page_id", F.coalesce(F.expr(host), F.lit("")).alias("host"), F.coalesce(F.expr(f"array_join({path}, '/')"), F.lit("")).alias("path"), "day")
+    some = c.where("host <> '' AND day IS NOT NULL")
+    labels, parts = "split(host, '[.]')", "split(path, '/')"
+    names = f"concat(array(struct('host' AS kind, host AS value)), transform(sequence(1, size({labels})), i -> struct('domain' AS kind, array_join(slice({labels}, i, size({labels})), '.') AS value)))"
+    # the first part of a path is empty
+    prefixes = f"transform(sequence(1, size({parts})), i -> struct('prefix' AS kind, concat(host, array_join(slice({parts}, 1, i), '/')) AS value))"
     number = lambda x: F.floor(F.datediff(x, F.lit("1970-01-01")) / BUCKET_DAYS)
+    url_host, url_path = (sql for _, sql in url_keys("value"))
+    whole = F.expr(f"IF(kind = 'prefix' AND value rlike '^[A-Za-z][A-Za-z0-9+.-]*://[^?#]*$', concat({url_host}, array_join({url_path}, '/')), value)")
     # an open interval has buckets up to the last capture's day
-    e = intervals(changes).crossJoin(F.broadcast(captures.agg(F.max("day").alias("last"))))
+    e = intervals(changes.withColumn("value", whole)).crossJoin(F.broadcast(captures.agg(F.max("day").alias("last"))))
     e = e.withColumn("bucket", F.explode_outer(F.sequence(number(F.col("from_day")), number(F.coalesce("to_day", F.greatest("last", "from_day")))))).drop("last")
-    hit = need.withColumn("bucket", number(F.col("day"))).join(e, ["kind", "value", "bucket"]).where("from_day <= day AND (to_day IS NULL OR day < to_day)")
-    hit = hit.groupBy("host", "prefix", "day").agg(F.sort_array(F.collect_set("list")).alias("ls"), F.count("*").alias("n_entries"))
-    out = c.join(hit, ["host", "prefix", "day"], "left")
-    return out.select("page_id", "host", "day", F.col("ls").isNotNull().alias("blocked"), F.coalesce(F.array_join("ls", ","), F.lit("")).alias("lists"), F.coalesce("n_entries", F.lit(0)).cast("long").alias("n_entries"))
+
+    def hits(by: list[str], keys: str, ls: str, n: str) -> DataFrame:
+        need = some.select(*by).distinct().withColumn("k", F.explode(F.expr(keys))).select(*by, "k.kind", "k.value", number(F.col("day")).alias("bucket"))
+        hit = need.join(e, ["kind", "value", "bucket"]).where("from_day <= day AND (to_day IS NULL OR day < to_day)")
+        return hit.groupBy(*by).agg(F.collect_set("list").alias(ls), F.count("*").alias(n))
+
+    out = c.join(hits(["host", "day"], names, "ls", "n"), ["host", "day"], "left").join(hits(["host", "path", "day"], prefixes, "pls", "pn"), ["host", "path", "day"], "left")
+    none = F.expr("CAST(array() AS array<string>)")
+    lists = F.sort_array(F.array_union(F.coalesce("ls", none), F.coalesce("pls", none)))
+    n = (F.coalesce("n", F.lit(0)) + F.coalesce("pn", F.lit(0))).cast("long")
+    return out.select("page_id", "host", "day", (n > 0).alias("blocked"), F.array_join(lists, ",").alias("lists"), n.alias("n_entries"))
 
 
 def _captures(pages: DataFrame) -> DataFrame:

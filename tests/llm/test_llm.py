@@ -183,6 +183,16 @@ def test_url_filter_open_entries_have_no_last_day(spark):
     assert urlfilter.judge(caps.limit(0), ch).count() == 0
 
 
+def test_url_filter_path_depths(spark):
+    urls = ["http://h.com/a/b/c?q=1", "http://h.com/a/b", "http://h.com/a/bb/c", "http://h.com/x", "http://h.com", "http://h.com/", "http://g.com/s/t/u.html#f", "https://u:p@G.com:8/s/t/u.html"]
+    caps = spark.createDataFrame([(i, u, "2024-05-01") for i, u in enumerate(urls)], "page_id long, url string, day string").withColumn("day", F.to_date("day"))
+    log = [("deep", "prefix", "h.com/a/b"), ("whole", "prefix", "h.com/a/b/c"), ("top", "prefix", "h.com"), ("url", "prefix", "http://g.com/s/t/u.html"), ("host", "host", "h.com")]
+    ch = spark.createDataFrame([(*x, "add", "2024-01-01") for x in log], "list string, kind string, value string, action string, day string").withColumn("day", F.to_date("day"))
+    got = {r["page_id"]: (r["lists"], r["n_entries"]) for r in urlfilter.judge(caps, ch).collect()}
+    top = ("host,top", 2)
+    assert got == {0: ("deep,host,top,whole", 4), 1: ("deep,host,top", 3), 2: top, 3: top, 4: top, 5: top, 6: ("url", 1), 7: ("url", 1)}
+
+
 # op6
 
 
