@@ -71,12 +71,14 @@ class Features(dict):
 
 
 def _sample(docs: DataFrame, labels: DataFrame, learn, label: str, rows: int) -> DataFrame:
-    """(y, text) of at most ``rows`` labelled rows that ``learn`` allows."""
+    """(y, text) of at most ``rows`` labelled rows that ``learn`` allows; equal rows of one id count once."""
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("y"))
-    ids = docs.where(learn & F.col("text").isNotNull()).select(F.col("doc_id").alias("_id")).join(own, "_id")
-    ids = ids.groupBy("_id").agg(F.first("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    own_rows = docs.where(learn & F.col("text").isNotNull()).withColumn("_h", F.xxhash64("text"))
+    ids = own_rows.select(F.col("doc_id").alias("_id"), "_h").distinct().join(own, "_id").select("_id", F.col("_h").alias("_th"), "y")
+    ids = ids.orderBy(F.xxhash64("_id"), "_id", "_th").limit(rows)
     # bounded by ``rows``
-    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("y", "text")
+    got = own_rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("_h") == F.col("_th")))
+    return got.select("_id", "_th", "y", "text").dropDuplicates(["_id", "_th"]).select("y", "text")
 
 
 def _sample_features(sample: DataFrame) -> DataFrame:

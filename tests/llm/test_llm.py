@@ -101,6 +101,14 @@ def test_toxicity_edges_and_accuracy(spark):
     assert max(r["score"] for r in toxicity.score(frame(spark, EDGE), none).collect()) < 1e-9
 
 
+def test_sample_counts_rows(spark):
+    rows = [(1, "same text")] * 300 + [(2, f"text {i}") for i in range(300)] + [(3, "third"), (4, None)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 1)], "doc_id long, toxic int")
+    got = [tuple(r) for r in toxicity._sample(frame(spark, rows), labels, F.lit(True), "toxic", 1000).collect()]
+    assert len(got) == 302 and got.count((1, "same text")) == 1 and (1, "third") in got
+    assert toxicity._sample(frame(spark, rows), labels, F.lit(True), "toxic", 50).count() == 50
+
+
 # op3
 
 
