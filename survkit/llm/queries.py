@@ -13,13 +13,14 @@ from .lm import op8_lm_score
 from .packing import op3_packing
 from .pii import op7_pii
 from .quality import op6_quality
+from .secrets import op11_secrets
 from .topk import OP4_SQL, op4_topk
 from .toxicity import op2_toxicity
 from .urlfilter import OP5_SQL, op5_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_packing, op4_topk, op5_url_filter, op6_quality, op7_pii, op8_lm_score, op9_jaccard_join, op10_language)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_packing, op4_topk, op5_url_filter, op6_quality, op7_pii, op8_lm_score, op9_jaccard_join, op10_language, op11_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
