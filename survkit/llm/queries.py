@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .align import op13_align
 from .decontam import OP1_SQL, op1_decontaminate
 from .jaccard import op9_jaccard_join
 from .langid import op10_language
@@ -20,7 +21,7 @@ from .urlfilter import OP5_SQL, op5_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_packing, op4_topk, op5_url_filter, op6_quality, op7_pii, op8_lm_score, op9_jaccard_join, op10_language, op11_secrets)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_packing, op4_topk, op5_url_filter, op6_quality, op7_pii, op8_lm_score, op9_jaccard_join, op10_language, op11_secrets, op13_align)}
 
 
 def oracle_sql() -> dict[str, str]:
