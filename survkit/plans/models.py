@@ -1,7 +1,8 @@
 """L4 feature and model queries.
 
 Feature queries with a SQL meaning have DuckDB oracles; model queries are
-rows-only (the learners are Spark ML re-aims of the source's estimators).
+rows-only: the survival learners (``survkit/learners``) are tested against
+brute force, the others are Spark ML re-aims of the source's estimators.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from .. import schema as S
 from ..operators import evaluate as EV
 from ..operators import features as FE
 from ..operators import models as M
+from ..learners import coxboost, forest, ranksvm, table
 from ..operators.episodes import jitter_events
 from ..session import ensure_checkpoint_dir, store
 from .base import MATERIAL_AGES, REGIONS, Data, query, sql
@@ -30,10 +32,22 @@ FOREST_TREES = 500
 RFF_DIM = 64
 INTERVAL = 2
 SVC_C = [0.1, 1.0, 10.0, 30.0]
+# Weight of the pairs' mean loss in the ranking objective.
+RANK_ALPHA = 100.0
+
+
+# Columns of the prepared table that splits, features and learners use.
+MODEL_COLS = [*KEYS, S.EVENT, S.DURATION, S.REGION, S.MATERIAL_AGE, S.SIZE, S.INSTALL_YEAR, S.OBS_START, S.OBS_END, S.FAILED_AT]
+
+
+def _prepared(d: Data):
+    """The prepared table, standardised and written once: fits and scores read it instead of deriving the master again."""
+    ep = FE.standardize(prep(d.once()), STD_COLS)  # fitted on the whole prepared table, as in the source
+    return store(ep.select(*MODEL_COLS, *[f"{c}_std" for c in STD_COLS]), "prepared")
 
 
 def _learn_test(d: Data):
-    ep = FE.standardize(prep(d), STD_COLS)  # fitted on the whole prepared table, as in the source
+    ep = _prepared(d)
     return learning_rows(ep), test_rows(ep)
 
 
@@ -142,9 +156,11 @@ def _scores(d: Data, learn, test, estimator, numeric=None):
     return _with_truth(d, M.horizon_scores(model, test, P, KEYS))
 
 
-def _curves(spark, sf_dir, ahead: int = P):
+def _curves(spark, sf_dir, ahead: int = P, chosen=None):
+    """Curves of the test episodes, or of those whose keys ``chosen`` picks from them."""
     learn, test = _learn_test(Data(spark, sf_dir))
-    return M.survival_curves(M.fit_hazard(learn, M.boosting()), test, ahead, KEYS)
+    model = M.fit_hazard(learn, M.boosting())
+    return M.survival_curves(model, test if chosen is None else test.join(F.broadcast(chosen(test)), KEYS), ahead, KEYS)
 
 
 @query("model_hazard_forest")
@@ -199,6 +215,106 @@ def model_hazard_gbt_earlystop(spark, sf_dir):
     return _scores(d, learn, test, est)
 
 
+# ---------------------------------------------------------------- survival learners M1 M2 M3 M8
+
+def _encoded(d: Data):
+    """Encoder, encoded learning rows and test rows of the survival learners."""
+    learn, test = _learn_test(d)
+    enc = table.Encoder(FE.HAZARD_NUMERIC, FE.HAZARD_CATEGORICAL).fit(learn)
+    return enc, table.encode(learn, enc, KEYS), learn, test
+
+
+def _long_run(d: Data):
+    """Small steps until the mean out-of-bag improvement has stayed away for long enough."""
+    enc, rows, learn, test = _encoded(d)
+    model = coxboost.fit(rows, enc, coxboost.LONG_ROUNDS, coxboost.LONG_STEP, stop=coxboost.stop_after)
+    return model, learn, test
+
+
+@query("model_cox_boosting")
+def model_cox_boosting(spark, sf_dir):
+    """Stumps boosted on the partial likelihood (100 rounds, step 0.5, half of the rows each); proba = risk score."""
+    d = Data(spark, sf_dir)
+    enc, rows, _, test = _encoded(d)
+    model = coxboost.fit(rows, enc)
+    return _with_truth(d, test.select(*KEYS, model.score().alias("proba")))
+
+
+@query("model_cox_boosting_stop")
+def model_cox_boosting_stop(spark, sf_dir):
+    """Up to 1000 rounds at step 0.05, ended by the out-of-bag rule (mean of 25 rounds, patience 50)."""
+    d = Data(spark, sf_dir)
+    model, _, test = _long_run(d)
+    return _with_truth(d, test.select(*KEYS, model.score().alias("proba")))
+
+
+@query("cox_stop_trace")
+def cox_stop_trace(spark, sf_dir):
+    """The long run's rounds: out-of-bag improvement, mean of the last 25, whether the fit ends there."""
+    model, _, _ = _long_run(Data(spark, sf_dir))
+    x, w = model.improvements, coxboost.WINDOW
+    mean = [sum(x[k - w + 1 : k + 1]) / w if k >= w else None for k in range(len(x))]
+    rows = [(k + 1, x[k], mean[k], coxboost.stop_after(x[: k + 1]) is not None) for k in range(len(x))]
+    return spark.createDataFrame(rows, "round int, improvement double, mean_improvement double, stops boolean")
+
+
+@query("cox_curves")
+def cox_curves(spark, sf_dir):
+    """Survival curves of the boosted score on its own Breslow baseline, at each failure year of the learning rows."""
+    enc, rows, learn, test = _encoded(Data(spark, sf_dir))
+    score = coxboost.fit(rows, enc).score()
+    base = coxboost.breslow(learn.withColumn("score", score), "score", S.DURATION, S.EVENT)
+    return coxboost.curves(test.withColumn("score", score), "score", base, KEYS)
+
+
+# A transparent risk score on which baseline and curves have an oracle.
+PLAIN_SCORE = 0.5
+PLAIN_SQL = f"""{PREP_SQL},
+std AS (SELECT *, {PLAIN_SCORE} * (size_mm - avg(size_mm) OVER ()) / stddev_pop(size_mm) OVER () AS score FROM ep),
+per AS (SELECT duration AS year, sum(exp(score)) AS w, count(*) FILTER (event = 1) AS d FROM std WHERE {LEARN_COND_SQL} AND duration IS NOT NULL GROUP BY 1),
+risk AS (SELECT year, d, sum(w) OVER (ORDER BY year DESC) AS r FROM per),
+base AS (SELECT CAST(year AS INTEGER) AS year, sum(d / r) OVER (ORDER BY year) AS hazard, d FROM risk)"""
+
+
+def _plain(d: Data):
+    ep = _prepared(d).withColumn("score", F.lit(PLAIN_SCORE) * F.col("size_mm_std"))
+    return coxboost.breslow(learning_rows(ep), "score", S.DURATION, S.EVENT), test_rows(ep)
+
+
+@query("breslow_baseline", sql("SELECT year, hazard FROM base WHERE d > 0", PLAIN_SQL))
+def breslow_baseline(spark, sf_dir):
+    """Cumulative baseline hazard of a given risk score: a step at each failure year."""
+    return _plain(Data(spark, sf_dir))[0]
+
+
+@query(
+    "breslow_curves",
+    sql(f"SELECT s.id, s.last_failure_year, b.year, exp(-b.hazard * exp(s.score)) AS survival FROM (SELECT * FROM std WHERE {TEST_COND_SQL}) s, base b WHERE b.d > 0", PLAIN_SQL),
+)
+def breslow_curves(spark, sf_dir):
+    """Survival curves of a given risk score: baseline hazard times exp(score), at each failure year."""
+    base, test = _plain(Data(spark, sf_dir))
+    return coxboost.curves(test, "score", base, KEYS)
+
+
+def _forest(d: Data):
+    enc, rows, _, test = _encoded(d)
+    return forest.fit(rows, enc).hazards(test, KEYS)
+
+
+@query("model_survival_forest")
+def model_survival_forest(spark, sf_dir):
+    """Survival forest (500 log-rank trees, 15 rows a leaf, square root of the columns a node); proba = ensemble mortality."""
+    d = Data(spark, sf_dir)
+    return _with_truth(d, forest.mortality(_forest(d), KEYS))
+
+
+@query("forest_curves")
+def forest_curves(spark, sf_dir):
+    """Survival curves from the leaves' Nelson-Aalen hazards, averaged over the trees."""
+    return forest.curves(_forest(Data(spark, sf_dir)), KEYS)
+
+
 @query("survival_curves")
 def survival_curves(spark, sf_dir):
     """Per test episode: hazard and S(k) for k = 0 .. duration + horizon (boosted hazard model)."""
@@ -214,10 +330,12 @@ def score_interval(spark, sf_dir):
 @query("sample_curves")
 def sample_curves(spark, sf_dir):
     """k survival curves picked at random (seeded): the episodes with the smallest hash keys."""
-    curves = _curves(spark, sf_dir)
-    pick = curves.select(*KEYS).distinct().withColumn("_h", F.xxhash64(*KEYS, F.lit(0)))
-    chosen = pick.orderBy("_h").limit(5).drop("_h")  # the feature: a top-k sample of curves
-    return curves.join(F.broadcast(chosen), KEYS)
+
+    def chosen(test):
+        pick = test.select(*KEYS).distinct().withColumn("_h", F.xxhash64(*KEYS, F.lit(0)))
+        return pick.orderBy("_h").limit(5).drop("_h")  # the feature: a top-k sample, taken before any curve is made
+
+    return _curves(spark, sf_dir, chosen=chosen)
 
 
 # ---------------------------------------------------------------- kernel models M4 - M6
@@ -258,6 +376,15 @@ def _rff_frames(d: Data, shift_duration: bool, jitter: bool = False):
 
 @query("model_rank_svm")
 def model_rank_svm(spark, sf_dir):
+    """Survival SVM with the ranking objective (squared hinge over comparable pairs, rbf via random features)."""
+    d = Data(spark, sf_dir)
+    learn, test = _rff_frames(d, shift_duration=False)
+    w = ranksvm.fit(ranksvm.pairs(learn, "rff_scale"), RANK_ALPHA)
+    return _with_truth(d, test.select(*KEYS, ranksvm.risk(w, "rff_scale").alias("proba")))
+
+
+@query("model_regression_svm")
+def model_regression_svm(spark, sf_dir):
     """Survival SVM (regression objective, rbf via random features); risk = minus predicted time."""
     d = Data(spark, sf_dir)
     learn, test = _rff_frames(d, shift_duration=False)
