@@ -13,6 +13,7 @@ equal BM25 scores go by the row order in the shard; extra columns are not used.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -31,8 +32,8 @@ END_ID = 2
 SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 300_000
+#: Words whose ids a Python worker remembers; new words that one call of the tokenizer gets; characters split at a time.
+CACHE_WORDS, CALL_WORDS, SPLIT_CHARS = 300_000, 500, 2_000_000
 
 #: How the vocabulary file splits normalised text, for characters up to U+00FF.
 LETTER, NUMBER, SPACE = r"a-zªµºß-öø-ÿ", r"0-9²³¹¼½¾", r"\t-\r \x85\xa0"
@@ -46,7 +47,7 @@ def vocabulary_file() -> str:
 
 
 class WordIds(dict):
-    """word -> its ids as little-endian 16-bit bytes; starts anew when it holds CACHE_WORDS words."""
+    """word -> its ids as little-endian 16-bit bytes."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -54,28 +55,62 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        size = self.tokenizer.get_vocab_size()
+        if size > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = self[word] = self.whole(word)
-        return ids
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # the last id of a word is one with the word-end mark
+        mark = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        self.ends = np.array([bool(mark) and (self.tokenizer.id_to_token(i) or "").endswith(mark) for i in range(size)])
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of new words, many in a call: as words of one text, which the word-end marks part again."""
+        calls = [words[k : k + CALL_WORDS] for k in range(0, len(words), CALL_WORDS)]
+        for own, got in zip(calls, self.tokenizer.encode_batch_fast([" ".join(x) for x in calls], add_special_tokens=False)):
+            ids = np.array(got.ids, "<u2")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(own) and cuts[-1] == len(ids):
+                raw = ids.tobytes()
+                self.update(zip(own, (raw[2 * a : 2 * z] for a, z in zip([0, *cuts.tolist()], cuts.tolist()))))
+            else:
+                self.update((w, self.whole(w)) for w in own)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def text(self, text: str | None) -> bytes:
-        """Ids of a text: by words where the split above is the vocabulary's own, else by the library alone."""
-        if not text:
-            return b""
+    def by_words(self, text: str) -> bool:
+        """Whether the split above is the vocabulary's own for this text: no special token's string, nothing above U+00FF."""
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, SPLIT.findall(text.lower())))
+            return False
+        return not any(x in text for x in self.special)
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, as the library gives them without added special tokens."""
+        out: list[bytes] = []
+        for part in _parts(texts):
+            split = [SPLIT.findall(t.lower()) if t and self.by_words(t) else None for t in part]
+            new = {w for x in split if x for w in x} - self.keys()
+            if len(self) + len(new) > CACHE_WORDS:
+                self.clear()
+                new = {w for x in split if x for w in x}
+            self.learn(sorted(new))
+            out += [b"".join(map(self.__getitem__, x)) if x is not None else self.whole(t) if t else b"" for t, x in zip(part, split)]
+        return out
+
+
+def _parts(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Consecutive texts of about SPLIT_CHARS characters."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size >= SPLIT_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 _CACHES: dict[str, WordIds] = {}
@@ -97,7 +132,7 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         for b in batches:
             end = np.array([END_ID], "<u2").tobytes()
-            ids = [words.text(t) + end for t in b.column("text").to_pylist()]
+            ids = [x + end for x in words.texts(b.column("text").to_pylist())]
             for x in ids:
                 df[np.unique(np.frombuffer(x, "<u2"))] += 1
             n = [len(x) // 2 for x in ids]

@@ -116,7 +116,6 @@ def test_packing_is_exact(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.vocabulary_file())
-    t.encode_special_tokens = True
     rows = [*EDGE, *[(100 + i, f"piece {i} " * (i * 7 % 90)) for i in range(60)]]
     got = packing.pack_documents(frame(spark, rows), shard_tokens=20_000).toPandas()
     want = Counter()
