@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,8 +86,22 @@ def chi2_1df_pvalue_sql(chi2: str) -> str:
     return erfc_sql(f"sqrt(({chi2}) / 2.0)")
 
 
-def interval_label(lo, hi, digits: int = 3) -> Column:
-    """Text label of a right-closed interval ``(lo, hi]``."""
-    return F.format_string(
-        "(%s, %s]", F.round(_c(lo), digits).cast("string"), F.round(_c(hi), digits).cast("string")
-    )
+def _round_edge(x: float, digits: int) -> float:
+    """``digits`` decimals; below one, as many digits after the leading zeros."""
+    if x == 0 or not math.isfinite(x):
+        return x
+    if abs(x) < 1:
+        digits = -int(math.floor(math.log10(abs(x)))) - 1 + digits
+    return float(np.around(x, digits))
+
+
+def interval_labels(edges: list[float], lowest: bool = False, digits: int = 3, most: int = 20) -> list[str]:
+    """Texts ``(lo, hi]`` of right-closed intervals, rounded to the fewest decimals (``digits`` at least) that keep the edges apart.
+
+    ``lowest``: the first interval includes its left edge, which is shown lowered by one unit of the last decimal.
+    """
+    places = next((p for p in range(digits, most) if len({_round_edge(e, p) for e in edges}) == len(edges)), digits)
+    shown = [_round_edge(e, places) for e in edges]
+    if lowest and shown:
+        shown[0] = shown[0] - 10.0**-places
+    return [f"({a}, {b}]" for a, b in zip(shown, shown[1:])]

@@ -12,7 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import store
 from .cumulative import running_sums
 from .joins import join_lookup
 
@@ -185,23 +187,45 @@ def dynamic_auc_ipcw(df: DataFrame, times: DataFrame, train: DataFrame, score: s
     return s.select("t", val.alias("auc"))
 
 
+def _time_places(base: DataFrame) -> tuple[DataFrame, int]:
+    """``base`` with ``_r``, the place of each row's time in an order of times, and the number of places.
+
+    Whole numbers keep their distance to the least one; other times get their rank among the distinct ones.
+    """
+    if isinstance(base.schema[TIME].dataType, T.IntegralType):
+        low, high = base.agg(F.min(TIME), F.max(TIME)).first()
+        return base.withColumn("_r", F.col(TIME).cast("long") - F.lit(low or 0)), (high or 0) - (low or 0) + 1
+    times = base.select(TIME).distinct().withColumn("_one", F.lit(1).cast("long"))
+    ranked = store(running_sums(times, TIME, ["_one"]).select(TIME, (F.col("cum__one") - 1).alias("_r")), "time-places")
+    return join_lookup(base, ranked, [TIME], "inner", materialized=True), ranked.count()
+
+
 def concordance(df: DataFrame, score: str = SCORE) -> DataFrame:
     """Harrell's C: for an event at T, comparable rows have time > T, or time = T and no event.
 
-    Each row is expanded over the distinct event times it is comparable to
-    (a broadcast of those few times), then counts per (T, score) and a
-    running count of lower scores per T give concordant / tied pairs.
+    Times are the leaves of a dyadic tree.  An event counts as a case in every node above its time; a row counts
+    as a control in the nodes that make up the range of times before its own.  An event and a row comparable to it
+    meet in exactly one node, so counts per (node, score) and a running count of lower scores per node give the
+    concordant and tied pairs: 2 x log2(times) copies of each (score, time, event) count, no join of rows by time.
+    Rows without a time, event flag or score are left out.
     """
-    base = df.groupBy(score, LABEL, TIME).agg(F.count(F.lit(1)).alias("_w"))
-    ev_times = base.filter(F.col(LABEL) == 1).select(F.col(TIME).alias("T")).distinct()
-    comparable = (F.col(TIME) > F.col("T")) | ((F.col(TIME) == F.col("T")) & (F.col(LABEL) == 0))
-    ctrl = base.join(F.broadcast(ev_times), comparable).groupBy("T", score).agg(F.sum("_w").alias("ctrl"))
-    cases = base.filter(F.col(LABEL) == 1).select(F.col(TIME).alias("T"), score, F.col("_w").alias("cases"))
-    cases = cases.groupBy("T", score).agg(F.sum("cases").alias("cases"))
-    both = ctrl.join(cases, ["T", score], "full_outer").fillna(0, ["ctrl", "cases"])
-    cum = running_sums(both, score, ["ctrl"], ascending=True, group_cols=["T"])
+    known = F.col(score).isNotNull() & F.col(LABEL).isNotNull() & F.col(TIME).isNotNull()
+    base = store(df.where(known).groupBy(score, LABEL, TIME).agg(F.count(F.lit(1)).alias("_w")), "concordance")
+    base, places = _time_places(base)
+    levels = max(1, int(places).bit_length())
+    event = F.col(LABEL) == 1
+    # events at places before ``_before`` can be compared with the row
+    base = base.withColumn("_before", F.col("_r") + F.when(event, 0).otherwise(1))
+    level = lambda expr: F.expr(f"transform(sequence(0, {levels}), b -> {expr})")
+    as_case = level("struct(b AS level, shiftright(_r, b) AS node, _w AS cases, 0L AS ctrl)")
+    as_ctrl = F.expr(
+        f"transform(filter(sequence(0, {levels}), b -> shiftright(_before, b) % 2 = 1), b -> struct(b AS level, shiftright(_before, b) - 1 AS node, 0L AS cases, _w AS ctrl))"
+    )
+    both = base.select(score, F.explode(F.when(event, F.concat(as_case, as_ctrl)).otherwise(as_ctrl)).alias("_n")).select(score, "_n.*")
+    both = both.groupBy("level", "node", score).agg(F.sum("cases").alias("cases"), F.sum("ctrl").alias("ctrl"))
+    cum = running_sums(both, score, ["ctrl"], ascending=True, group_cols=["level", "node"])
     below = F.col("cum_ctrl") - F.col("ctrl")
-    per_t = cum.groupBy("T").agg(
+    per_t = cum.groupBy("level", "node").agg(
         F.sum(F.col("cases") * below).alias("conc"),
         F.sum(F.col("cases") * F.col("ctrl")).alias("tied"),
         F.sum("cases").alias("ncase"),

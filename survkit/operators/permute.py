@@ -1,53 +1,59 @@
-"""Seeded column permutations, JVM-side, without a global row number on one task.
-
-1. rows are materialised, tagged with ``monotonically_increasing_id`` (unique,
-   fixed by the materialised partitioning) and given a dense index 0..n-1 by a
-   distributed running count (``running_sums``);
-2. every (feature, repeat) draws a seeded hash key per row; a running count
-   grouped by (feature, repeat) in key order gives each row its position p;
-3. the row at position p lends its feature value to the row with index p.
+"""Seeded column permutations, JVM-side, without sorted draws or a global row number on one task.
+
+1. rows get a dense index 0..n-1 in the order of a hash of their keys, by a distributed running count: the index
+   depends on the rows alone, not on how they are partitioned;
+2. a permutation of 0..n-1 is a column expression, a keyed bijection: each of some rounds may swap the index with
+   its mirror image key - index (modulo n); whether it does depends on a hash of the greater of the two, so both
+   decide alike and every round is its own inverse, for any n;
+3. the row with index i borrows the feature value of the row whose index is the image of i.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, store
 from .cumulative import running_sums
 
 _RID = "_rid"
+#: Rounds of the bijection.
+ROUNDS = 48
 
 
-def with_dense_index(df: DataFrame, name: str = _RID) -> DataFrame:
+def permuted(index: Column, n: int, *key: Column | int, rounds: int = ROUNDS) -> Column:
+    """The image of ``index`` (0..n-1) under a permutation chosen by ``key``."""
+    key = [k if isinstance(k, Column) else F.lit(k) for k in key]
+
+    def swap(x: Column, r: Column) -> Column:
+        mirror = F.pmod(F.pmod(F.xxhash64(r, *key), F.lit(n)) - x, F.lit(n))
+        top = F.greatest(x, mirror)
+        return F.when(F.xxhash64(top, r, *key).bitwiseAND(F.lit(1)) == 1, mirror).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index.cast("long"), swap)
+
+
+def with_dense_index(df: DataFrame, keys: list[str], name: str = _RID) -> DataFrame:
+    """``df`` with an index 0..n-1 in the order of a hash of the keys (equal rows in any order)."""
     ensure_checkpoint_dir(df.sparkSession)
-    tagged = store(df.withColumn("_mid", F.monotonically_increasing_id()), "tagged")
-    idx = running_sums(tagged.withColumn("_one", F.lit(1).cast("long")), "_mid", ["_one"])
-    return store(idx.withColumn(name, F.col("cum__one") - 1).drop("_one", "cum__one", "_mid"), "indexed")
+    ties = [*keys, *[c for c in df.columns if c not in keys]]
+    tagged = df.withColumn("_order", F.xxhash64(*keys)).withColumn("_one", F.lit(1).cast("long"))
+    idx = running_sums(tagged, "_order", ["_one"], ties=ties)
+    return store(idx.withColumn(name, F.col("cum__one") - 1).drop("_one", "cum__one", "_order"), "indexed")
 
 
 def permuted_copies(df: DataFrame, features: list[str], repeats: int, keys: list[str], seed: int = 0) -> DataFrame:
     """Union of copies of ``df`` with one feature permuted: columns + feature (name) + repeat."""
-    indexed = with_dense_index(df)
-    spark = df.sparkSession
-    fr = spark.createDataFrame(
-        [(i, r) for i in range(len(features)) for r in range(repeats)], "f_idx int, repeat int"
-    )
-    draws = indexed.select(_RID).crossJoin(F.broadcast(fr)).select(
-        "f_idx", "repeat", _RID,
-        F.xxhash64(F.col(_RID), F.col("f_idx"), F.col("repeat"), F.lit(seed)).alias("_key"),
-        F.lit(1).cast("long").alias("_one"),
-    )
-    pos = running_sums(draws, "_key", ["_one"], group_cols=["f_idx", "repeat"], ties=[_RID]).select(
-        "f_idx", "repeat", (F.col("cum__one") - 1).alias("_target"), F.col(_RID).alias("_src")
-    )
+    indexed = with_dense_index(df, keys)
+    n = indexed.count()
+    repeat = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
+    copies = indexed.select("*", repeat)
     parts = []
     for i, f in enumerate(features):
-        p = pos.filter(F.col("f_idx") == i)
         src = indexed.select(F.col(_RID).alias("_src"), F.col(f).alias("_val"))
-        tgt = indexed.withColumnRenamed(_RID, "_target")
-        copy = p.join(tgt, "_target").join(src, "_src").withColumn(f, F.col("_val"))
+        to = copies.withColumn("_src", permuted(F.col(_RID), max(n, 1), F.lit(i), F.col("repeat"), seed))
+        copy = to.join(src, "_src").withColumn(f, F.col("_val"))
         parts.append(copy.select(F.lit(f).alias("feature"), "repeat", *df.columns))
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -3,9 +3,10 @@
 * ``grouped_quantiles_discrete`` -- for values with a small domain (years,
   lifetimes): a histogram per (group, value) is aggregated first, so a
   window only ever sees groups x distinct values rows, whatever the skew.
-* ``column_quantiles`` -- for a continuous column (sizes): counts per
-  distinct value, a distributed running count (``running_sums``) and a pick
-  of the rows holding the wanted ranks.  Output is one row per probability.
+* ``column_quantiles`` -- for a continuous column (sizes): a sketch brackets
+  each wanted rank, a second scan counts the rows below each bracket and the
+  values inside it, and the rank is selected there.  Only the values inside
+  the brackets are exchanged.  Output is one row per probability.
 
 Both use the linear rule of pandas / numpy / SQL ``quantile_cont``:
 position p*(n-1), interpolate between the values at floor and ceil.
@@ -13,10 +14,12 @@ position p*(n-1), interpolate between the values at floor and ceil.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cumulative import running_sums
+from ..session import store
 
 
 def _interpolate(picks: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,23 +53,63 @@ def grouped_quantiles_discrete(df: DataFrame, group_cols: list[str], value_col:
     return _interpolate(picks, group_cols)
 
 
-def column_quantiles(df: DataFrame, value_col: str, probs: list[float]) -> DataFrame:
-    """Exact quantiles of a whole column -> (p, q), one row per probability."""
-    v = F.col(value_col)
-    counts = df.filter(v.isNotNull()).groupBy(value_col).agg(F.count(F.lit(1)).alias("_c"))
-    cum = running_sums(counts, value_col, ["_c"], prefix="_cum")
-    n = cum.agg(F.max("_cum_c").alias("_n"))  # one row, from the materialised counts
+#: Rows of a bracket, about; rank errors of the sketch, at least and at most.
+BRACKET_ROWS, LEAST_ERROR, MOST_ERROR = 1_000_000, 1e-6, 1e-3
+
+
+def _brackets(df: DataFrame, value_col: str, n: int, ranks: list[int], error: float) -> list[tuple[float, float]]:
+    """Disjoint ranges of values that hold the ranks, by a sketch with that rank error."""
+    shares = [min(max((r + d * (2 * error * n + 1)) / max(n - 1, 1), 0.0), 1.0) for r in ranks for d in (-1, 1)]
+    q = df.approxQuantile(value_col, shares, error)
+    spans = sorted(zip(q[::2], q[1::2]))
+    out = [list(spans[0])]
+    for lo, hi in spans[1:]:
+        if lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return [tuple(x) for x in out]
+
+
+def column_quantiles(df: DataFrame, value_col: str, probs: list[float], error: float | None = None) -> DataFrame:
+    """Exact quantiles of a whole column -> (p, q), one row per probability; nulls and NaN don't count.
+
+    After a count, two scans (store an expensive ``df`` first): the sketch, then one aggregate that counts outside
+    rows per gap between brackets and inside rows per value.  A bracket holds about 4 x ``error`` of the rows; by default that is about BRACKET_ROWS.  If a rank
+    falls outside its bracket, which the sketch excludes, the brackets are widened.
+    """
     spark = df.sparkSession
-    targets = spark.createDataFrame([(float(p),) for p in probs], "p double").crossJoin(n)
-    targets = targets.withColumn("pos", F.col("p") * (F.col("_n") - 1))
-    # each probability needs the values at two ranks; the targets table has
-    # 2 x len(probs) rows, so the range condition runs as a broadcast loop join
-    ranks = targets.select("p", "pos", F.explode(F.array(F.floor("pos"), F.ceil("pos"))).alias("r"))
-    hit = cum.join(
-        F.broadcast(ranks), (F.col("_cum_c") - F.col("_c") <= F.col("r")) & (F.col("r") < F.col("_cum_c"))
-    )
-    picks = hit.groupBy("p", "pos").agg(
-        F.max(F.when(F.col("r") == F.floor("pos"), v)).cast("double").alias("lo_v"),
-        F.max(F.when(F.col("r") == F.ceil("pos"), v)).cast("double").alias("hi_v"),
-    )
-    return _interpolate(picks, [])
+    v = F.col(value_col).cast("double")
+    own = df.select(v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    n = own.count()
+    rank = {float(p): float(p) * (n - 1) for p in probs}
+    if not n:
+        return spark.createDataFrame([(p, None) for p in rank], "p double, q double")
+    ranks = sorted({r for pos in rank.values() for r in (math.floor(pos), math.ceil(pos))})
+    error = error or min(max(BRACKET_ROWS / 4 / n, LEAST_ERROR), MOST_ERROR)
+    spans = _brackets(own, "_v", n, ranks, error)
+    while True:
+        ends = [x for s in spans for x in s]
+        # 2k: below span k, 2k + 1: inside it
+        part = F.lit(0)
+        for lo, hi in spans:
+            part = part + (F.col("_v") >= F.lit(lo)).cast("int") + (F.col("_v") > F.lit(hi)).cast("int")
+        part = part.alias("_part")
+        counts = own.select(part, F.when(part % 2 == 1, F.col("_v")).alias("_v")).groupBy("_part", "_v").agg(F.count(F.lit(1)).alias("_c"))
+        counts = store(counts, "quantile-brackets")
+        below, total = {}, 0
+        for r in counts.groupBy("_part").agg(F.sum("_c").alias("c")).orderBy("_part").collect():  # a row per bracket and gap
+            below[r["_part"]], total = total, total + r["c"]
+        offset = F.create_map(*[F.lit(x) for kv in below.items() for x in kv])[F.col("_part")]
+        w = Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        inside = counts.where(F.col("_v").isNotNull()).withColumn("_to", offset + F.sum("_c").over(w))
+        wanted = F.explode(F.filter(F.array(*[F.lit(r).cast("long") for r in ranks]), lambda r: (r < F.col("_to")) & (r >= F.col("_to") - F.col("_c"))))
+        found = {r["r"]: r["_v"] for r in inside.select(wanted.alias("r"), "_v").collect()}
+        if len(found) == len(ranks):
+            break
+        spans = [(-math.inf, math.inf)] if ends[0] == -math.inf or error >= 0.25 else _brackets(own, "_v", n, ranks, error := error * 16)
+    rows = []
+    for p, pos in rank.items():
+        lo, hi = found[math.floor(pos)], found[math.ceil(pos)]
+        rows.append((p, lo + (hi - lo) * (pos - math.floor(pos))))
+    return spark.createDataFrame(rows, "p double, q double")

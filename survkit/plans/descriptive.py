@@ -27,10 +27,8 @@ def _bin_sql(x: str, edges_list: str, n: int) -> str:
     return B.sql_bin(x, [f"{edges_list}[{k + 1}]" for k in range(1, n)])
 
 
-def _label_sql(bin_col: str, edges_list: str) -> str:
-    lo = f"CAST(round({edges_list}[{bin_col}], 3) AS VARCHAR)"
-    hi = f"CAST(round({edges_list}[{bin_col} + 1], 3) AS VARCHAR)"
-    return f"CASE WHEN {bin_col} IS NULL THEN 'nan' ELSE '(' || {lo} || ', ' || {hi} || ']' END"
+def _label_sql(bin_col: str, edges_list: str, lowest: bool = False) -> str:
+    return f"CASE WHEN {bin_col} IS NULL THEN 'nan' ELSE ({B.sql_labels(edges_list, lowest)})[{bin_col}] END"
 
 
 def _ew_edges_sql(x: str, src: str, n: int, name: str) -> str:
@@ -164,7 +162,7 @@ def bin_equal_width(spark, sf_dir):
     sql(
         f"""SELECT region, asset_id, failed_at, size_mm,
                    {_bin_sql('size_mm', 'e', 5)} AS size_bin,
-                   {_label_sql(_bin_sql('size_mm', 'e', 5), 'e')} AS size_range
+                   {_label_sql(_bin_sql('size_mm', 'e', 5), 'e', True)} AS size_range
             FROM all_c CROSS JOIN qe""",
         _q_edges_sql("size_mm", "all_c", 5, "qe"),
     ),

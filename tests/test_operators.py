@@ -315,3 +315,73 @@ def test_roc_curve_by_group_has_origin_and_end(spark):
     df = spark.createDataFrame([("a", 0.9, 1), ("a", 0.5, 0), ("a", 0.5, 1), ("b", 0.4, 0)], "g string, proba double, event int")
     got = sorted(((r["g"], r["threshold"], r["fpr"], r["tpr"]) for r in EV.roc_curve(df, group_cols=["g"]).collect()), key=str)
     assert got == sorted([("a", None, 0.0, 0.0), ("a", 0.9, 0.0, 0.5), ("a", 0.5, 1.0, 1.0), ("b", None, 0.0, 0.0), ("b", 0.4, 1.0, None)], key=str)
+
+
+def test_interval_labels_equal_pandas():
+    import pandas as pd
+
+    from survkit.functions.scalar import interval_labels
+
+    r = np.random.default_rng(0)
+    sets = [
+        r.uniform(1995, 2003, 50), np.array([0.00012, 0.00031, 0.00047, 0.0009]), np.array([1e6, 1e6 + 1, 1e6 + 2.5]),
+        np.array([1.0001, 1.0002, 1.0003, 1.0004, 1.0005]), np.array([-5.0, 0.0, 5.0, 12.0]), np.arange(1900, 2011, 10), np.array([7.0, 7.0, 7.0]),
+    ]
+    for x in sets:
+        for n in (2, 4):
+            got, edges = pd.cut(x, n, retbins=True)
+            assert interval_labels(edges.tolist()) == [str(c) for c in got.categories]
+    for x in sets[:-1]:
+        got, edges = pd.qcut(x, 3, retbins=True, duplicates="drop")
+        assert interval_labels(edges.tolist(), lowest=True) == [str(c) for c in got.categories]
+
+
+def test_labels_of_sql_equal_python():
+    import duckdb
+
+    from survkit.functions.scalar import interval_labels
+
+    for edges in ([1994.994, 1995.6, 1996.2], [0.00012, 0.00031, 0.00047], [-0.001, 0.0, 5.0], [1.0001, 1.0002, 1.00025], [850.25, 14710.0, 20000.5]):
+        for lowest in (False, True):
+            got = duckdb.connect().execute(f"SELECT {B.sql_labels(f'{edges}::DOUBLE[]', lowest)}").fetchone()[0]
+            assert got == interval_labels(edges, lowest)
+
+
+@pytest.mark.parametrize("error", [None, 0.1, 0.001])
+def test_bracketed_quantiles_equal_numpy(spark, error):
+    from survkit.operators.quantiles import column_quantiles
+
+    r = np.random.default_rng(1)
+    probs = [0.0, 0.001, 0.05, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0]
+    for x in (r.normal(size=3000), np.concatenate((np.full(2500, 3.0), r.uniform(size=500))), np.array([5.0]), np.array([1.0, 2.0]), r.integers(0, 4, 999).astype(float)):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "v double")
+        got = {q["p"]: q["q"] for q in column_quantiles(df, "v", probs, error).collect()}
+        assert np.allclose([got[p] for p in probs], np.quantile(x, probs))
+    assert [q["q"] for q in column_quantiles(spark.createDataFrame([(None,)], "v double"), "v", [0.5]).collect()] == [None]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 100, 1001])
+def test_keyed_bijection(spark, n):
+    from survkit.operators.permute import permuted
+
+    rows = spark.range(n).select("id", *[permuted(F.col("id"), n, k, 5).alias(f"p{k}") for k in range(3)]).collect()
+    images = [[r[f"p{k}"] for r in rows] for k in range(3)]
+    assert all(sorted(x) == list(range(n)) for x in images)
+    if n > 50:
+        assert images[0] != images[1] != images[2] and abs(np.corrcoef(images[0], range(n))[0, 1]) < 0.3
+
+
+def test_permuted_copies_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([(f"k{i}", i, float(i * i)) for i in range(101)], "id string, a int, b double")
+    one, other = (sorted(map(tuple, permuted_copies(x, ["a", "b"], 2, ["id"], seed=4).collect())) for x in (df.coalesce(1), df.repartition(9)))
+    assert one == other and len(one) == 404
+
+
+def test_concordance_of_other_times(spark):
+    r = np.random.default_rng(2)
+    t, e, s = r.uniform(0, 5, 60).round(1), r.integers(0, 2, 60), r.integers(0, 9, 60)
+    rows = [(float(a), int(b), float(c)) for a, b, c in zip(t, e, s)]
+    df = spark.createDataFrame(rows + [(None, 1, 1.0), (1.0, None, 2.0), (1.0, 1, None)], "duration double, event int, proba double")
+    assert EV.concordance(df).first()["c_index"] == pytest.approx(_brute_cindex(t, e, s))
+    far = spark.createDataFrame([(1, 1, 5.0), (1 << 40, 0, 2.0), (1 << 40, 1, 7.0)], "duration long, event int, proba double")
+    assert EV.concordance(far).first()["comparable"] == 3
