@@ -19,10 +19,13 @@ from .survival import _LR_MAT as LR_MATERIAL_SQL
 
 @query("src_discovery", sql(f"SELECT {MC} FROM master_events"))
 def src_discovery(spark, sf_dir):
-    """Per-region ';' files written to the shared folder, discovered and integrated again."""
+    """Per-region ';' files written into a tree in the shared folder, discovered by tag, folder and file name, and integrated."""
     d = Data(spark, sf_dir)
-    base = FI.write_region_files(d.assets, d.failures(), SK.unique_path(spark, "region-files"))
-    assets, failures = FI.read_region_files(spark, base)
+    root = SK.unique_path(spark, "region-files")
+    FI.write_region_files(d.assets, d.failures(), f"{root}/study", "towns_clean")
+    # another version of the files, which the tag passes over
+    FI.write_region_files(d.assets.limit(5), d.failures().limit(5), f"{root}/study", "towns_raw")
+    assets, failures = FI.read_region_files(spark, root, "_clean")
     return I.master_events(failures, assets)
 
 
@@ -81,9 +84,10 @@ def category_pairs(spark, sf_dir):
 def stream_failures_by_region_year(spark, sf_dir):
     """Failure files consumed as a stream (available-now trigger) and counted per region and year."""
     d = Data(spark, sf_dir)
-    base = FI.write_region_files(d.assets, d.failures(), SK.unique_path(spark, "stream-in"))
-    assets, _ = FI.read_region_files(spark, base)
-    counts = ST.counts_by_region_year(ST.failure_stream(spark, f"{base}/events"), assets)
+    root = SK.unique_path(spark, "stream-in")
+    base = FI.write_region_files(d.assets, d.failures(), root)
+    assets, _ = FI.read_region_files(spark, root, "clean")
+    counts = ST.counts_by_region_year(ST.failure_stream(spark, base), assets)
     out = SK.unique_path(spark, "stream-out")
     ST.run_to_table(counts, out, SK.unique_path(spark, "stream-ckpt"))
     return spark.read.parquet(out)

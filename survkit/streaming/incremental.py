@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
-from ..sources.files import SEP, TS_FORMAT
+from ..sources.files import FAILURE_KIND, SEP, TS_FORMAT
 
 
 def failure_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Failure files that arrive in the region folders below ``folder``; other kinds are passed over."""
     sch = T.StructType(list(S.FAILURE_SCHEMA.fields) + [T.StructField("region", T.StringType())])
     return (
         spark.readStream.schema(sch).option("sep", SEP).option("header", True)
-        .option("timestampFormat", TS_FORMAT).option("timestampNTZFormat", TS_FORMAT).option("maxFilesPerTrigger", 64).csv(folder)
+        .option("timestampFormat", TS_FORMAT).option("timestampNTZFormat", TS_FORMAT).option("maxFilesPerTrigger", 64)
+        .option("pathGlobFilter", f"*{FAILURE_KIND}*").csv(folder)
     )
 
 
