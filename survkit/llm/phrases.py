@@ -48,7 +48,7 @@ SHARDS = 4
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 8 << 20
 #: Words of the corpus for a bin, about; at least LEAST_BINS bins. Both powers of two.
-BIN_WORDS, LEAST_BINS = 1 << 21, 64
+BIN_WORDS, LEAST_BINS = 1 << 22, 64
 #: Bytes of the broadcast table, at most; a slot for every 16 words of the corpus below that.
 SLOTS, LEAST_SLOTS = 1 << 26, 1 << 16
 #: Step of a slot that no phrase has reached.
@@ -300,6 +300,16 @@ FOUND = "bin long, k int, block long, keys binary, checks binary, kind string, c
 WANTED = "block long, k int, counts binary, ids binary"
 
 
+def _distinct(keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by hash, then second hash, and where each distinct pair of them starts in it; not of nothing."""
+    order = np.argsort(keys)
+    other = np.diff(keys[order]) != 0
+    if (~other & (np.diff(check[order]) != 0)).any():
+        order = np.lexsort((check, keys))
+        other = (np.diff(keys[order]) != 0) | (np.diff(check[order]) != 0)
+    return order, np.flatnonzero(np.concatenate(([True], other)))
+
+
 def _locate(bits: int, known):
     """Each block's reached phrases with a second hash, their counts there and their words."""
 
@@ -310,17 +320,22 @@ def _locate(bits: int, known):
                 ids, hashes, checks = (np.frombuffer(x.as_py(), t) for x, t in ((raw_ids, np.int32), (raw_hashes, np.uint64), (raw_checks, np.uint32)))
                 rows = []
                 if len(hashes):
-                    everywhere = np.flatnonzero(ids >= 0)
-                    for k, at, keys, _ in [(1, everywhere, hashes[ids[everywhere]], None), *grams(ids, hashes, reached)]:
+                    counts, place = np.bincount(ids[ids >= 0], minlength=len(hashes)), np.empty(len(hashes), np.int64)
+                    place[ids[ids >= 0]] = np.flatnonzero(ids >= 0)
+                    for k, at, keys, _ in [(1, place, hashes, None), *grams(ids, hashes, reached)]:
                         on = reached.of(keys) < NEVER
                         at, keys = at[on], keys[on]
+                        if not len(at):
+                            continue
                         check = np.zeros(len(at), np.uint64)
                         for j in range(k):
                             with np.errstate(over="ignore"):
                                 check = mix64(check * _B + checks[ids[at + j]] + np.uint64(j + 1))
-                        keys, first, n = np.unique(np.stack((keys, check >> np.uint64(32)), axis=1).view("u8,u8").ravel(), return_index=True, return_counts=True)
-                        keys, check = keys["f0"], keys["f1"].astype(np.uint32)
-                        words = np.stack([ids[at[first] + j] for j in range(k)], axis=1) if len(first) else np.empty((0, k), np.int32)
+                        check = (check >> np.uint64(32)).astype(np.uint32)
+                        order, first = _distinct(keys, check)
+                        n = np.add.reduceat(counts[on][order], first) if k == 1 else np.diff(np.append(first, len(order)))
+                        first = order[first]
+                        keys, check, words = keys[first], check[first], np.stack([ids[at[first] + j] for j in range(k)], axis=1)
                         rows += [(b, k, no.as_py(), keys[s].tobytes(), check[s].tobytes(), *_narrow(n[s]), words[s].tobytes()) for b, s in _by_bin(keys, bits)]
                 if rows:
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.binary(), pa.binary())
