@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -55,6 +56,30 @@ def with_fields(df: DataFrame, **types: str) -> StructType:
     return out
 
 
+def sealed(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with its columns ``own`` and one more, which holds all others; and the way back.
+
+    An operator then sees no name but those it knows, whatever the table's other columns are called. The function
+    returned gives a frame its columns back in their old order, followed by further columns named in the call.
+    """
+    rest = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in own}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    packed = F.struct(*[quoted(c).alias(n) for c, n in rest.items()], F.lit(None).cast("int").alias("none")).alias("sealed")
+
+    def opened(df: DataFrame, *more: str) -> DataFrame:
+        return df.select(*[F.col("sealed")[rest[c]].alias(c) if c in rest else F.col(c) for c in docs.columns if c not in more], *more)
+
+    return docs.select(*[c for c in docs.columns if c in own], packed), opened
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores in front until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def words_col(text: Column) -> Column:
     """Array of the lower-cased words of a text (null text: no words)."""
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD, read, words_col
+from .common import LOWER, UPPER, WORD, read, sealed, words_col
 
 WINDOW = 13
 #: Document share of hit words from which a document counts as contaminated: 20 * n_hit >= n_words.
@@ -96,10 +96,11 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", windo
     """
     bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
     bad = bad.dropDuplicates(["__id", "__th"])
-    d = docs.withColumn("__h", F.xxhash64("text"))
+    d, opened = sealed(docs, "doc_id", "text", "n_chars")
+    d = d.withColumn("__h", F.xxhash64("text"))
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th"))
     if mode == "documents":
-        return d.join(bad.drop("__spans"), on, "left_anti").drop("__h")
+        return opened(d.join(bad.drop("__spans"), on, "left_anti"))
     low = F.translate("text", UPPER, LOWER)
     # separators around the words: one more than words; original words by the same split on the unlowered text
     d = d.join(bad, on, "left")
@@ -110,7 +111,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", windo
     d = d.withColumn("__k", keep).withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(text))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return d.select(*docs.columns)
+    return opened(d)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

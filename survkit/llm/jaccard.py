@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_HASH, components, mix64, read, store, word_list
+from .common import WORD_HASH, components, mix64, read, sealed, store, word_list
 
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 5, 40
@@ -254,12 +254,13 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     key = [F.col("doc_id").alias("__id"), F.col("th").alias("__th")]
     drop = near.where("NOT (doc_id <=> class_id AND th = class_th)").select(*key).distinct()
     again = near.where("copies > 0 AND doc_id <=> class_id AND th = class_th").groupBy(*key).count().where("count > 1").drop("count")
-    d = docs.withColumn("__h", F.xxhash64("text"))
+    d, opened = sealed(docs, "doc_id", "text")
+    d = d.withColumn("__h", F.xxhash64("text"))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th"))
     kept = d.join(drop, on, "left_anti")
     if not again.isEmpty():
         kept = kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates(["doc_id", "__h"]))
-    return kept.drop("__h")
+    return opened(kept)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

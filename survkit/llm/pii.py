@@ -20,9 +20,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, store
-
-KEY = "survkit"
+from .common import read, sealed, store
 
 #: Titles and given names by script and gender; words that introduce a secret.
 TITLES = {"m": "Mr Herr Monsieur Señor Sir", "f": "Mrs Ms Miss Frau Madame Mme Señora Lady", "": "Dr Prof"}
@@ -39,6 +37,8 @@ SECRET_WORDS = "token|password|passwd|secret|api_key|apikey|access_key"
 
 CAP, LOW = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я", "a-zß-öø-ÿά-ώа-яё"
 _NAME = rf"[{CAP}][{LOW}]+(?:-[{CAP}][{LOW}]+)?"
+#: A word that may be a name, whole.
+WORD_NAME = rf"(?<![{CAP}{LOW}]){_NAME}(?![{LOW}])"
 _TITLES = "|".join(" ".join(TITLES.values()).split())
 _GIVENS = "|".join(" ".join(GIVEN.values()).split())
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -185,7 +185,7 @@ def formatted(key: str) -> Column:
     )
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, sur) of distinct entities (kind, canon); no two of a kind share one and none is a real entity."""
     pending, done = entities.withColumn("attempt", F.lit(0)), None
     while True:
@@ -207,11 +207,28 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
             return done
 
 
-def replace(docs: DataFrame, key: str = KEY, counts: bool = False) -> DataFrame:
-    """``docs`` with surrogates in ``text``; with ``counts`` also n_entities and kinds (sorted, distinct)."""
-    columns = docs.columns
-    pat = PATTERN.replace("\\", "\\\\").replace("'", "\\'")
-    d = docs.withColumn("__maybe", F.coalesce(F.col("text").rlike(HINT), F.lit(False)))
+def _named() -> Column:
+    """Words of a personal name ``e`` with their replacements in ``new``: the surname's, and a given name's if there is one."""
+    given = F.regexp_extract(F.regexp_replace("e", SURNAME, ""), rf"({_NAME}) $", 1)
+    fresh = F.regexp_extract("new", r"(\S+) \S+$", 1)
+    pairs = F.array(
+        F.struct(F.regexp_extract("e", SURNAME, 1).alias("key"), F.initcap("sur").alias("value")),
+        F.struct(F.when(~given.isin("", *_TITLES.split("|")), given).alias("key"), fresh.alias("value")),
+    )
+    return F.when(F.col("kind") == "name", F.filter(pairs, lambda p: p["key"].isNotNull()))
+
+
+def replace(docs: DataFrame, key: str, counts: bool = False) -> DataFrame:
+    """``docs`` with surrogates in ``text``; with ``counts`` also n_entities and kinds (sorted, distinct), in place of columns so named.
+
+    ``key`` is the caller's secret: who has it can work out the replacements. A surname or given name that is found
+    once in a document is replaced wherever the document has that word.
+    """
+    if not key:
+        raise ValueError("surrogates need a key")
+    pat, name_pat = (p.replace("\\", "\\\\").replace("'", "\\'") for p in (PATTERN, WORD_NAME))
+    d, opened = sealed(docs, "doc_id", "text", "n_chars")
+    d = d.withColumn("__maybe", F.coalesce(F.col("text").rlike(HINT), F.lit(False)))
     some = d.where("__maybe").drop("__maybe")
     hits = some.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("es"))
     # stored before the filter, which would otherwise be pushed below and match the pattern a second time
@@ -219,23 +236,36 @@ def replace(docs: DataFrame, key: str = KEY, counts: bool = False) -> DataFrame:
     each = hits.select("__id", "__th", F.posexplode_outer("es").alias("pos", "e")).withColumn("kind", kind(F.col("e"))).withColumn("canon", canonical(F.col("kind"), F.col("e")))
     each = store(each, "pii-mentions")
     found = surrogates(store(each.select("kind", "canon").distinct(), "pii-entities"), key)
-    new = each.join(found, ["kind", "canon"]).withColumn("new", formatted(key))
-    new = new.groupBy("__id", "__th").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("__new"), F.sort_array(F.collect_set("kind")).alias("__kinds"))
-    new = new.withColumn("__new", F.expr("transform(__new, x -> x.new)"))
+    new = each.join(found, ["kind", "canon"]).withColumn("new", formatted(key)).withColumn("named", _named())
+    new = new.groupBy("__id", "__th").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("__new"),
+        F.sort_array(F.collect_set("kind")).alias("__kinds"),
+        F.array_distinct(F.flatten(F.collect_set("named"))).alias("__pairs"),
+    )
+    # of a word with several replacements (a given name that is a surname elsewhere) the least counts
+    least = "aggregate(array_sort(__pairs), array(cast(null as struct<key:string,value:string>)), (s, x) -> IF(exists(s, y -> y.key = x.key), s, concat(s, array(x))), s -> map_from_entries(filter(s, y -> y.key IS NOT NULL)))"
+    new = new.withColumn("__new", F.expr("transform(__new, x -> x.new)")).withColumn("__named", F.expr(least)).drop("__pairs")
     some = some.withColumn("__h", F.xxhash64("text")).join(new, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
-    text = F.expr(f"array_join(transform(split(text, '{pat}', -1), (p, i) -> concat(p, coalesce(get(__new, i), ''))), '')")
+    # between the entities: other mentions of the names
+    words = f"array_join(transform(arrays_zip(split(p, '{name_pat}', -1), regexp_extract_all(p, '{name_pat}', 0)), z -> concat(z.`0`, coalesce(element_at(__named, z.`1`), z.`1`, ''))), '')"
+    between = f"IF(size(__named) > 0 AND p != '', {words}, p)"
+    text = F.expr(f"array_join(transform(split(text, '{pat}', -1), (p, i) -> concat({between}, coalesce(get(__new, i), ''))), '')")
     some = some.withColumn("text", F.when(F.col("__new").isNull(), F.col("text")).otherwise(text))
     rest = d.where("NOT __maybe").drop("__maybe")
     extra = []
-    if "n_chars" in columns:
+    if "n_chars" in docs.columns:
         some = some.withColumn("n_chars", F.when(F.col("__new").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     if counts:
         extra = ["n_entities", "kinds"]
         some = some.withColumn("n_entities", F.coalesce(F.size("__new"), F.lit(0)).cast("long")).withColumn("n_entities", F.greatest("n_entities", F.lit(0).cast("long")))
         some = some.withColumn("kinds", F.coalesce("__kinds", F.expr("CAST(array() AS array<string>)")))
         rest = rest.withColumn("n_entities", F.lit(0).cast("long")).withColumn("kinds", F.expr("CAST(array() AS array<string>)"))
-    return some.select(*columns, *extra).union(rest.select(*columns, *extra))
+    return opened(some, *extra).union(opened(rest, *extra))
+
+
+#: The key of the registered query and of the pipeline over the given tables, which hold invented data.
+TABLES_KEY = "invented data"
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace(read(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return replace(read(spark, sf_dir, "documents").select("doc_id", "text"), TABLES_KEY, counts=True)

@@ -73,7 +73,7 @@ class Features(dict):
 def _sample(docs: DataFrame, labels: DataFrame, learn, label: str, rows: int) -> DataFrame:
     """(y, text) of at most ``rows`` labelled rows that ``learn`` allows; equal rows of one id count once."""
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("y"))
-    own_rows = docs.where(learn & F.col("text").isNotNull()).withColumn("_h", F.xxhash64("text"))
+    own_rows = docs.where(learn & F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("_h"))
     ids = own_rows.select(F.col("doc_id").alias("_id"), "_h").distinct().join(own, "_id").select("_id", F.col("_h").alias("_th"), "y")
     ids = ids.orderBy(F.xxhash64("_id"), "_id", "_th").limit(rows)
     # bounded by ``rows``

@@ -240,7 +240,7 @@ def test_surrogates(spark):
         (3, "Mr. John Fairfax met Mary Fairfax"), (4, 'token = "0123456789abcdef0123"'), (5, None), (6, ""), (None, "ip 10.20.30.40"), (7, "plain text of 1234 words"), (7, "plain text of 1234 words"),
         *[(100 + i, f"u{i}@x.com {i % 200}.1.2.{i % 250}") for i in range(300)],
     ]
-    out = pii.replace(frame(spark, rows), counts=True).collect()
+    out = pii.replace(frame(spark, rows), "k", counts=True).collect()
     assert len(out) == len(rows)
     got = {r["doc_id"]: r["text"] for r in out}
     assert "bob" not in got[1].lower() and "4111 1111" not in got[1] and "555-0101" not in got[1]
@@ -257,26 +257,26 @@ def test_surrogates(spark):
     assert got[5] is None and got[6] == "" and got[7] == rows[7][1]
     mails = [got[100 + i].split()[0] for i in range(300)]
     assert len(set(mails)) == 300 and not set(mails) & {f"u{i}@x.com" for i in range(300)}
-    again = {r["doc_id"]: r["text"] for r in pii.replace(frame(spark, rows)).collect()}
+    again = {r["doc_id"]: r["text"] for r in pii.replace(frame(spark, rows), "k").collect()}
     assert again == got and {r["doc_id"]: r["text"] for r in pii.replace(frame(spark, rows), key="other").collect()} != got
-    assert pii.replace(frame(spark, [])).count() == 0
+    assert pii.replace(frame(spark, []), "k").count() == 0
 
 
 def test_surrogate_collisions(spark):
     # 100 of 100 three-digit numbers that start with 7: every surrogate would be a real entity, so widen by kind
     ents = spark.createDataFrame([("name", f"n{i}") for i in range(3000)], "kind string, canon string")
-    got = pii.surrogates(ents).collect()
+    got = pii.surrogates(ents, "k").collect()
     assert len(got) == 3000 and len({r["sur"] for r in got}) == 3000
 
 
 def test_surrogates_of_exhausted_spaces(spark):
     # all numbers of three digits that start with 7, all secrets of one letter and seven dashes: no free one of that length
     real = [("phone", f"7{i:02d}") for i in range(100)] + [("secret", c + "-------") for c in "abcdefghijklmnopqrstuvwxyz"]
-    got = pii.surrogates(spark.createDataFrame(real, "kind string, canon string")).collect()
+    got = pii.surrogates(spark.createDataFrame(real, "kind string, canon string"), "k").collect()
     assert len(got) == len(real) == len({(r["kind"], r["sur"]) for r in got}) and not {(r["kind"], r["sur"]) for r in got} & set(real)
     assert all(r["sur"][0] == "7" for r in got if r["kind"] == "phone")
     rows = [(1, "Password: ________"), (2, "token: --------"), (3, "token: a-------"), *[(100 + i, f"+7 {i // 100:02d} {i % 100:02d}") for i in range(10_000)]]
-    out = {r["doc_id"]: r["text"] for r in pii.replace(frame(spark, rows)).collect()}
+    out = {r["doc_id"]: r["text"] for r in pii.replace(frame(spark, rows), "k").collect()}
     assert out[1] == rows[0][1] and out[2] == rows[1][1] and out[3] != rows[2][1]
     new = [out[100 + i] for i in range(10_000)]
     assert len(set(new)) == 10_000 and not set(new) & {x for _, x in rows} and all(re.fullmatch(r"\+7 \d\d \d{3,}", x) for x in new)
@@ -289,7 +289,7 @@ PLAIN = ["2024-01-15", "01.02.2024 12:30:45", "01.02.2024 12", "978-3-16-148410-
 
 def test_phone_and_address_formats(spark):
     rows = list(enumerate(["call " + x + ", now" for x in PHONES] + ["from " + x + ". End" for x in IP6] + PLAIN))
-    out = {r["doc_id"]: r for r in pii.replace(frame(spark, rows), counts=True).collect()}
+    out = {r["doc_id"]: r for r in pii.replace(frame(spark, rows), "k", counts=True).collect()}
     for i, x in enumerate(PHONES):
         assert out[i]["kinds"] == ["phone"] and out[i]["n_entities"] == 1 and out[i]["text"] != rows[i][1], x
         assert re.sub(r"\d", "0", out[i]["text"]) == re.sub(r"\d", "0", rows[i][1]), x
@@ -298,7 +298,7 @@ def test_phone_and_address_formats(spark):
         assert out[i]["kinds"] == ["ip6"] and re.fullmatch(r"from [0-9a-f]{4}(:[0-9a-f]{4}){7}\. End", out[i]["text"]), x
     assert out[at]["text"] == out[at + 1]["text"] and len({out[i]["text"] for i in range(at, at + 5)}) == 4  # one address, two formats
     assert [out[i]["text"] for i in range(at + 5, len(rows))] == PLAIN
-    kept = pii.replace(frame(spark, [(1, "ssn 012-34-5678, card 0111 1111 1111 1111")]), counts=True).first()
+    kept = pii.replace(frame(spark, [(1, "ssn 012-34-5678, card 0111 1111 1111 1111")]), "k", counts=True).first()
     assert kept["kinds"] == ["card", "ssn"]
 
 
