@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from survkit.llm import decontam, jaccard, packing, pii, toxicity
-from survkit.llm.common import crc_mod, read, shared_dir
+from survkit.llm.common import crc_mod, free_name, read, shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,7 +24,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose toxicity score reaches the threshold; learnt from labels as in the operator's query."""
     learn = ~F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), learn)
-    return toxicity.score(docs, model, "__toxicity").where(F.col("__toxicity") < toxicity.THRESHOLD).drop("__toxicity")
+    name = free_name(docs.columns, "toxicity")
+    return toxicity.score(docs, model, name).where(F.col(name) < toxicity.THRESHOLD).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.replace(docs)
+    return pii.replace(docs, pii.TABLES_KEY)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
