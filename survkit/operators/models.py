@@ -7,9 +7,9 @@ boosting, kernel survival SVM, rbf SVC).  Here:
   (one row per episode-year, label = failed that year) and a distributed
   classifier (RandomForest / GBT); S(t) = prod(1 - h), risk over the
   horizon = 1 - S(d + P) / S(d);
-* kernel models: random Fourier features (rbf approximation, numpy on
-  Arrow batches) + a linear distributed learner (LinearSVC or least
-  squares on the survival-regression loss).
+* kernel models: Nyström features of an rbf kernel (``survkit/learners``)
+  + a linear distributed learner (LinearSVC or least squares on the
+  survival-regression loss).
 
 Scores do not reproduce the source's numbers (different estimators); the
 evaluation layer compares ranking quality.
@@ -17,16 +17,13 @@ evaluation layer compares ranking quality.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schema as S
 from .features import HAZARD_CATEGORICAL, HAZARD_NUMERIC, vector_pipeline_stages
@@ -109,29 +106,6 @@ def interval_score(curves: DataFrame, length: int, keys: list[str]) -> DataFrame
 
 # ---------------------------------------------------------------- kernel approximation
 
-def rff_weights(dim_in: int, dim_out: int, gamma: float, seed: int = 0):
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(dim_in, dim_out))
-    b = rng.uniform(0.0, 2.0 * np.pi, size=dim_out)
-    return w, b
-
-
-def add_rff(df: DataFrame, in_col: str, out_col: str, dim_in: int, dim_out: int, gamma: float, seed: int = 0):
-    """Random Fourier features of an rbf kernel: sqrt(2/D) cos(xW + b), numpy on Arrow batches."""
-    w, b = rff_weights(dim_in, dim_out, gamma, seed)
-    scale = np.sqrt(2.0 / dim_out)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def _rff(x: pd.Series) -> pd.Series:
-        if len(x) == 0:
-            return pd.Series([], dtype=object)
-        m = np.vstack(x.values)
-        z = scale * np.cos(m @ w + b)
-        return pd.Series(list(z))
-
-    return df.withColumn(out_col, array_to_vector(_rff(vector_to_array(in_col))))
-
-
 def feature_variance(df: DataFrame, vec_col: str) -> tuple[int, float]:
     """(dimension, variance of all feature values) -- for the 'scale' kernel width; one aggregate of the vectors."""
     s = df.agg(Summarizer.metrics("sum", "normL2", "count").summary(F.col(vec_col)).alias("s")).first()["s"]
@@ -145,7 +119,7 @@ def gamma_values(dim: int, var: float) -> dict[str, float]:
     return {"scale": 1.0 / (dim * var) if var > 0 else 1.0, "auto": 1.0 / dim}
 
 
-def linear_svc(reg: float = 0.01, max_iter: int = 50, features: str = "rff") -> LinearSVC:
+def linear_svc(reg: float = 0.01, max_iter: int = 50, features: str = "features") -> LinearSVC:
     return LinearSVC(featuresCol=features, labelCol="label", regParam=reg, maxIter=max_iter)
 
 

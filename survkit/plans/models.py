@@ -16,7 +16,7 @@ from .. import schema as S
 from ..operators import evaluate as EV
 from ..operators import features as FE
 from ..operators import models as M
-from ..learners import coxboost, forest, ranksvm, table
+from ..learners import aft, coxboost, forest, nystrom, ranksvm, table
 from ..operators.episodes import jitter_events
 from ..session import ensure_checkpoint_dir, store
 from .base import MATERIAL_AGES, REGIONS, Data, query, sql
@@ -28,8 +28,8 @@ STD_COLS = [S.SIZE, S.INSTALL_YEAR]
 
 # Model sizes (the source's forest has 500 trees, its boosting 100 stumps).
 FOREST_TREES = 500
-# Random features per kernel: the error of a kernel value falls with the square root of their number.
-RFF_DIM = 64
+# Rows on which the error of the kernel features is measured.
+ERROR_ROWS = 500
 INTERVAL = 2
 SVC_C = [0.1, 1.0, 10.0, 30.0]
 # Weight of the pairs' mean loss in the ranking objective.
@@ -340,8 +340,8 @@ def sample_curves(spark, sf_dir):
 
 # ---------------------------------------------------------------- kernel models M4 - M6
 
-def _rff_frames(d: Data, shift_duration: bool, jitter: bool = False):
-    """Learning / test tables with assembled features and rbf random features; ``jitter`` adds the shifted copies of long events."""
+def _kernel_frames(d: Data, shift_duration: bool, jitter: bool = False):
+    """Learning / test tables with assembled features and rbf kernel features; ``jitter`` adds the shifted copies of long events."""
     ep = prep(d)
     if jitter:
         ep = jitter_events(ep, JITTER_COPIES, JITTER_MIN_DURATION).filter(F.col(S.DURATION) >= 0)
@@ -365,30 +365,31 @@ def _rff_frames(d: Data, shift_duration: bool, jitter: bool = False):
     learn, test = sc.transform(learn), sc.transform(test)
     dim, var = M.feature_variance(learn, "features")
     gam = M.gamma_values(dim, var)
+    learn = store(learn, "kernel-in")
     for name, g in gam.items():
-        learn = M.add_rff(learn, "features", f"rff_{name}", dim, RFF_DIM, g)
-        test = M.add_rff(test, "features", f"rff_{name}", dim, RFF_DIM, g)
+        kernel = nystrom.fit(learn, "features", g)
+        learn, test = (kernel.transform(x, "features", f"kernel_{name}") for x in (learn, test))
     # iterative learners and cross-validation re-read the features many times:
     # compute them once into the shared checkpoint folder
     ensure_checkpoint_dir(learn.sparkSession)
-    return store(learn, "rff-learn"), store(test, "rff-test")
+    return store(learn, "kernel-learn"), store(test, "kernel-test")
 
 
 @query("model_rank_svm")
 def model_rank_svm(spark, sf_dir):
-    """Survival SVM with the ranking objective (squared hinge over comparable pairs, rbf via random features)."""
+    """Survival SVM with the ranking objective (squared hinge over comparable pairs, rbf by Nyström features)."""
     d = Data(spark, sf_dir)
-    learn, test = _rff_frames(d, shift_duration=False)
-    w = ranksvm.fit(ranksvm.pairs(learn, "rff_scale"), RANK_ALPHA)
-    return _with_truth(d, test.select(*KEYS, ranksvm.risk(w, "rff_scale").alias("proba")))
+    learn, test = _kernel_frames(d, shift_duration=False)
+    w = ranksvm.fit(ranksvm.pairs(learn, "kernel_scale"), RANK_ALPHA)
+    return _with_truth(d, test.select(*KEYS, ranksvm.risk(w, "kernel_scale").alias("proba")))
 
 
 @query("model_regression_svm")
 def model_regression_svm(spark, sf_dir):
-    """Survival SVM (regression objective, rbf via random features); risk = minus predicted time."""
+    """Survival SVM (regression objective, rbf by Nyström features); risk = minus predicted time."""
     d = Data(spark, sf_dir)
-    learn, test = _rff_frames(d, shift_duration=False)
-    model = M.survival_regression_svm(learn, "rff_scale")
+    learn, test = _kernel_frames(d, shift_duration=False)
+    model = M.survival_regression_svm(learn, "kernel_scale")
     pred = model.transform(test).select(*KEYS, (-F.col("prediction")).alias("proba"))
     return _with_truth(d, pred)
 
@@ -403,12 +404,12 @@ def _svc_scores(model, test):
 
 @query("model_classifier")
 def model_classifier(spark, sf_dir):
-    """Linear SVM on rbf random features, label = event; proba = minus decision value (source sign)."""
+    """Linear SVM on rbf Nyström features, label = event; proba = minus decision value (source sign)."""
     d = Data(spark, sf_dir)
-    learn, test = _rff_frames(d, shift_duration=True)
+    learn, test = _kernel_frames(d, shift_duration=True)
     learn = learn.withColumn("label", F.col(S.EVENT).cast("double"))
     n = learn.count()
-    model = M.linear_svc(reg=1.0 / (0.1 * n), features="rff_scale").fit(learn)
+    model = M.linear_svc(reg=1.0 / (0.1 * n), features="kernel_scale").fit(learn)
     return _with_truth(d, _svc_scores(model, test))
 
 
@@ -416,18 +417,45 @@ def model_classifier(spark, sf_dir):
 def model_grid_search(spark, sf_dir):
     """C x gamma grid (8 combinations) on jittered rows by 3-fold cross-validation, evaluated in parallel."""
     d = Data(spark, sf_dir)
-    learn, test = _rff_frames(d, shift_duration=True, jitter=True)
+    learn, test = _kernel_frames(d, shift_duration=True, jitter=True)
     learn = learn.withColumn("label", F.col(S.EVENT).cast("double"))
     n = learn.count()
-    svc = M.linear_svc(features="rff_scale")
+    svc = M.linear_svc(features="kernel_scale")
     grid = (ParamGridBuilder().addGrid(svc.regParam, [1.0 / (c * n) for c in SVC_C])
-            .addGrid(svc.featuresCol, ["rff_scale", "rff_auto"]).build())
+            .addGrid(svc.featuresCol, ["kernel_scale", "kernel_auto"]).build())
     cv = CrossValidator(estimator=svc, estimatorParamMaps=grid, numFolds=3, parallelism=4, seed=0,
                         evaluator=BinaryClassificationEvaluator(labelCol="label"))
     best = cv.fit(learn).bestModel
     return _with_truth(d, _svc_scores(best, test))
 
 
+@query("kernel_error")
+def kernel_error(spark, sf_dir):
+    """What the Nyström features leave of each kernel: mean and greatest error over pairs of 500 learning rows."""
+    learn, _ = _kernel_frames(Data(spark, sf_dir), shift_duration=False)
+    dim, var = M.feature_variance(learn, "features")
+    rows = []
+    for name, g in M.gamma_values(dim, var).items():
+        kernel = nystrom.fit(learn, "features", g)
+        mean, most = kernel.error(nystrom.drawn(learn, "features", ERROR_ROWS, seed=1))
+        rows.append((name, g, len(kernel.landmarks), mean, most))
+    return spark.createDataFrame(rows, "kernel string, gamma double, landmarks int, mean_error double, max_error double")
+
+
+# ---------------------------------------------------------------- M11 parametric baseline
+
+@query("model_aft")
+def model_aft(spark, sf_dir):
+    """Accelerated failure time (Weibull) on the assembled vectors; proba = minus log of the predicted time."""
+    from pyspark.ml import Pipeline
+
+    d = Data(spark, sf_dir)
+    learn, test = _learn_test(d)
+    prepm = Pipeline(stages=FE.vector_pipeline_stages(FE.HAZARD_NUMERIC, FE.HAZARD_CATEGORICAL)).fit(learn)
+    model = aft.fit(prepm.transform(learn))
+    return _with_truth(d, aft.scores(model, prepm.transform(test), KEYS))
+
+
 # ---------------------------------------------------------------- M7 one-vs-rest demo
 
 @query("model_one_vs_rest")

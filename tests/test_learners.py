@@ -280,3 +280,37 @@ def test_learners_on_empty_tables(spark):
     assert [x.column for x in none.trees] == [[-1], [-1]] and none.hazards(df, [S.ID]).count() == 0
     empty = spark.createDataFrame([], f"{S.DURATION} int, {S.EVENT} int, a array<double>").withColumn("features", array_to_vector("a"))
     assert ranksvm.fit(ranksvm.pairs(empty, "features")).tolist() == []
+
+
+def test_nystrom_features(spark):
+    from survkit.learners import nystrom
+
+    r = np.random.default_rng(3)
+    x = np.concatenate((r.normal(size=(500, 6)), np.repeat(r.normal(size=(1, 6)), 400, axis=0)))  # one row many times
+    df = spark.createDataFrame([([float(v) for v in row],) for row in x], "a array<double>").withColumn("f", array_to_vector("a"))
+    few, many, whole = (nystrom.fit(df, "f", 0.05, m) for m in (20, 150, 1000))
+    assert len(few.landmarks) == 20 and len(whole.landmarks) == 501 == len(np.unique(whole.landmarks, axis=0))
+    sample = nystrom.drawn(df, "f", 500, seed=1)
+    errors = [k.error(sample) for k in (few, many, whole)]
+    assert errors[0][0] > errors[1][0] > errors[2][0] and errors[1][0] < 0.005 and errors[1][1] < 0.2 and errors[2][1] < 1e-4
+    z = many.of(many.landmarks)
+    assert np.abs(z @ z.T - nystrom.rbf(many.landmarks, many.landmarks, 0.05)).max() < 1e-6
+    got = many.transform(df.limit(5), "f", "z").collect()
+    assert np.allclose([g["z"].toArray() for g in got], many.of(np.array([g["a"] for g in got])))
+    again = nystrom.fit(df.repartition(7), "f", 0.05, 20)
+    assert np.array_equal(again.landmarks, few.landmarks)
+
+
+def test_accelerated_failure_time_recovers_parameters(spark):
+    from survkit.learners import aft
+
+    r = np.random.default_rng(6)
+    x = r.normal(size=(4000, 2))
+    # log time = 3 + 0.8 x0 - 0.5 x1 + 0.4 * (standard extreme value), censored at random
+    life = np.exp(3 + x @ [0.8, -0.5] + 0.4 * np.log(r.exponential(size=4000)))
+    cens = r.uniform(5, 120, 4000)
+    rows = [(int(min(a, b)), int(a <= b), [float(v) for v in c]) for a, b, c in zip(life, cens, x)]
+    df = spark.createDataFrame(rows, f"{S.DURATION} int, {S.EVENT} int, a array<double>").withColumn("features", array_to_vector("a"))
+    model = aft.fit(df)
+    assert np.allclose(model.coefficients.toArray(), [0.8, -0.5], atol=0.05) and abs(model.intercept - 3) < 0.05 and abs(model.scale - 0.4) < 0.05
+    assert c_index(aft.scores(model, df, [S.DURATION, S.EVENT])) > 0.8
