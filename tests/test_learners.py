@@ -314,3 +314,14 @@ def test_accelerated_failure_time_recovers_parameters(spark):
     model = aft.fit(df)
     assert np.allclose(model.coefficients.toArray(), [0.8, -0.5], atol=0.05) and abs(model.intercept - 3) < 0.05 and abs(model.scale - 0.4) < 0.05
     assert c_index(aft.scores(model, df, [S.DURATION, S.EVENT])) > 0.8
+
+
+def test_reloaded_model_scores_alike(spark, tmp_path):
+    from survkit.operators import models as M
+    from survkit.sources import sinks
+
+    df = simulated(spark, 300).withColumnsRenamed({"x1": "size_mm_std", "x2": "install_year_std"}).withColumn(S.REGION, F.col("cat")).withColumn(S.MATERIAL_AGE, F.col("cat"))
+    model = M.fit_hazard(df, M.boosting(max_iter=5))
+    loaded = sinks.load_pipeline_model(sinks.save_model(model, str(tmp_path / "model")))
+    scores = [sorted(map(tuple, M.horizon_scores(m, df, 2, [S.ID]).collect())) for m in (model, loaded)]
+    assert scores[0] == scores[1] and len({s[1] for s in scores[0]}) > 5

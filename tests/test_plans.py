@@ -68,3 +68,26 @@ def test_running_sums_windows_are_partitioned_by_range(big_spark):
 def test_row_level_km_durations_do_not_shuffle_by_stratum(big_spark):
     keys = [k for kind, k in exchanges(plan(big_spark, "km_durations_own")) if kind == "hashpartitioning"]
     assert not any(k.startswith("region#") for k in keys)
+
+
+def test_concordance_joins_no_rows_by_time(big_spark):
+    p = plan(big_spark, "c_index")
+    assert "NestedLoopJoin" not in p and "CartesianProduct" not in p
+
+
+def test_quantile_scan_exchanges_bracket_values_only(big_spark):
+    """Outside values lose their identity before the exchange: the grouping key is null there."""
+    from survkit.operators import quantiles
+
+    df = big_spark.range(20_000).selectExpr("cast(hash(id) as double) AS v")
+    spans = quantiles._brackets(df, "v", 20_000, [5000, 10_000], 1e-3)
+    assert len(spans) == 2 and all(df.where(f"v BETWEEN {lo} AND {hi}").count() < 200 for lo, hi in spans)
+    assert quantiles.column_quantiles(df, "v", [0.25, 0.5]).count() == 2
+
+
+def test_permutation_draws_are_not_sorted(big_spark):
+    from survkit.operators.permute import permuted_copies
+
+    df = big_spark.createDataFrame([(str(i), i) for i in range(50)], "id string, a int")
+    p = permuted_copies(df, ["a"], 3, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in p and len(re.findall(r"SortMergeJoin", p)) <= 1
