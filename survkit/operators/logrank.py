@@ -162,18 +162,8 @@ def _ksample_solve(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def ksample(df: DataFrame, columns: list[str], time_col: str = S.FAILURE_YEAR) -> DataFrame:
-    """One k-group log-rank test per column (null statistic where it is undefined, e.g. one group).
-
-    The rows become (column, group, year) at-risk / failure counts (censored
-    rows stay at risk to the end, as in the pairwise test).  With p_j(y) a
-    group's share of the rows at risk and w(y) = d (n - d) / (n - 1), the
-    covariance of O - E is V = diag(D) - P W P', D_j = sum_y w p_j.  By the
-    matrix inversion lemma (O - E)' V^-1 (O - E) needs sums over groups and
-    one system of the size of the years, so no k x k matrix is formed and no
-    task gets all groups of a column.  The largest group is left out, as V of
-    all groups is singular.
-    """
+def _ksample_groups(df: DataFrame, columns: list[str], time_col: str) -> DataFrame:
+    """Per (column, group): size, u = observed - expected, var = sum of w p, and its points (year, p, w)."""
     long = unpivot_columns(tuples(df, [*columns, time_col], "_w"), columns, [time_col, "_w"]).filter(F.col("value").isNotNull())
     long = long.withColumnRenamed("value", "g").withColumnRenamed(time_col, "y")
     cnt = store(long.groupBy("column_name", "g", "y").agg(F.sum("_w").alias("d")), "ksample-counts")
@@ -193,9 +183,31 @@ def ksample(df: DataFrame, columns: list[str], time_col: str = S.FAILURE_YEAR) -
     x = join_lookup(grid, tot.filter("total > 0").withColumn("w", w), ["column_name", "y"], "inner")
     x = x.withColumn("p", F.col("at_risk") / F.col("total"))
     point = F.when(F.col("w") > 0, F.struct("y", "p", "w"))
-    per = x.groupBy("column_name", "g").agg(
+    return x.groupBy("column_name", "g").agg(
         F.max("size").alias("size"), F.sum(F.col("d") - F.col("dt") * F.col("p")).alias("u"), F.sum(F.col("w") * F.col("p")).alias("var"), F.collect_list(point).alias("ps")
     )
+
+
+def ksample_terms(df: DataFrame, columns: list[str], time_col: str = S.FAILURE_YEAR) -> DataFrame:
+    """The k-group test's terms per (column, group): size, observed - expected failures, variance of that difference."""
+    per = _ksample_groups(df, columns, time_col)
+    variance = F.aggregate("ps", F.lit(0.0), lambda s, x: s + x["w"] * x["p"] * (F.lit(1.0) - x["p"]))
+    return per.select("column_name", F.col("g").alias("group_name"), "size", F.col("u").alias("excess"), variance.alias("variance"))
+
+
+def ksample(df: DataFrame, columns: list[str], time_col: str = S.FAILURE_YEAR) -> DataFrame:
+    """One k-group log-rank test per column (null statistic where it is undefined, e.g. one group).
+
+    The rows become (column, group, year) at-risk / failure counts (censored
+    rows stay at risk to the end, as in the pairwise test).  With p_j(y) a
+    group's share of the rows at risk and w(y) = d (n - d) / (n - 1), the
+    covariance of O - E is V = diag(D) - P W P', D_j = sum_y w p_j.  By the
+    matrix inversion lemma (O - E)' V^-1 (O - E) needs sums over groups and
+    one system of the size of the years, so no k x k matrix is formed and no
+    task gets all groups of a column.  The largest group is left out, as V of
+    all groups is singular.
+    """
+    per = _ksample_groups(df, columns, time_col)
     per = store(per, "ksample-groups")
     lead = per.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_groups"), F.max(F.struct("size", "g"))["g"].alias("left_out"))
     rest = join_lookup(per, lead, ["column_name"], "inner").filter((F.col("g") != F.col("left_out")) & (F.col("var") > 0))

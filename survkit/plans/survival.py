@@ -307,3 +307,36 @@ def logrank_region_columns(spark, sf_dir):
 def logrank_ksample(spark, sf_dir):
     """k-group test per text column (one system of the size of the failure years per column)."""
     return LR.ksample(_all6(Data(spark, sf_dir)), _ALLCOLS)
+
+
+_KSAMPLE_TERMS = (
+    SIZE6_SQL
+    + ",\n long6 AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, failure_year AS y FROM all6 WHERE {c} IS NOT NULL" for c in _ALLCOLS
+    )
+    + """),
+    ks_size AS (SELECT column_name, value, count(*) AS size FROM long6 GROUP BY ALL),
+    ks_d AS (SELECT column_name, value, y, count(*) AS d FROM long6 WHERE y IS NOT NULL GROUP BY ALL),
+    ks_y AS (SELECT DISTINCT column_name, y FROM ks_d),
+    ks_grid AS (
+      SELECT s.column_name, s.value, s.size, t.y, coalesce(d, 0) AS d,
+             s.size - coalesce(sum(coalesce(d, 0)) OVER (PARTITION BY s.column_name, s.value ORDER BY t.y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r
+      FROM ks_size s JOIN ks_y t ON t.column_name = s.column_name
+      LEFT JOIN ks_d k ON k.column_name = s.column_name AND k.value = s.value AND k.y = t.y),
+    ks_tot AS (SELECT column_name, y, CAST(sum(r) AS DOUBLE) AS total, CAST(sum(d) AS DOUBLE) AS dt FROM ks_grid GROUP BY ALL)"""
+)
+
+
+@query(
+    "logrank_ksample_terms",
+    sql(
+        """SELECT g.column_name, g.value AS group_name, g.size, sum(g.d - t.dt * (g.r / t.total)) AS excess,
+                  sum(CASE WHEN t.total > 1 THEN t.dt * (t.total - t.dt) / (t.total - 1) ELSE 0 END * (g.r / t.total) * (1 - g.r / t.total)) AS variance
+           FROM ks_grid g JOIN ks_tot t ON t.column_name = g.column_name AND t.y = g.y WHERE t.total > 0 GROUP BY ALL""",
+        _KSAMPLE_TERMS,
+    ),
+)
+def logrank_ksample_terms(spark, sf_dir):
+    """Observed minus expected failures and their variance, per column and group of the k-group test."""
+    return LR.ksample_terms(_all6(Data(spark, sf_dir)), _ALLCOLS)
