@@ -18,6 +18,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
 #: Words whose ids a Python worker remembers; new words that one call of the tokenizer gets; characters split at a time.
-CACHE_WORDS, CALL_WORDS, SPLIT_CHARS = 300_000, 500, 2_000_000
+CACHE_WORDS, CALL_WORDS, SPLIT_CHARS = 250_000, 500, 1_000_000
 
 #: How the vocabulary file splits normalised text, for characters up to U+00FF.
 LETTER, NUMBER, SPACE = r"a-zªµºß-öø-ÿ", r"0-9²³¹¼½¾", r"\t-\r \x85\xa0"
@@ -91,11 +92,12 @@ class WordIds(dict):
         out: list[bytes] = []
         for part in _parts(texts):
             split = [SPLIT.findall(t.lower()) if t and self.by_words(t) else None for t in part]
-            new = {w for x in split if x for w in x} - self.keys()
+            words = set(chain.from_iterable(filter(None, split)))
+            new = words.difference(self)
             if len(self) + len(new) > CACHE_WORDS:
                 self.clear()
-                new = {w for x in split if x for w in x}
-            self.learn(sorted(new))
+                new = words
+            self.learn(list(new))
             out += [b"".join(map(self.__getitem__, x)) if x is not None else self.whole(t) if t else b"" for t, x in zip(part, split)]
         return out
 
