@@ -126,22 +126,33 @@ def block_id(n: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:
+def _with_least(e: DataFrame, salts: int) -> DataFrame:
+    """(u, v, m): every edge with the least of u and all of u's neighbours.
+
+    A hub's edges are dealt by a hash of v: least ones per (u, salt), then per u, which goes back to the (u, salt)
+    groups, at most ``salts`` rows of a node; the edges meet it there, not all of a hub's in one task.
+    """
+    e = e.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+    part = e.groupBy("u", "s").agg(F.min("v").alias("low"))
+    low = part.groupBy("u").agg(F.least(F.min("low"), F.col("u")).alias("m"))
+    return e.join(part.select("u", "s").join(low, "u"), ["u", "s"]).select("u", "v", "m")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc", salt_edges: int = 1 << 18) -> DataFrame:
     """Connected components of an edge list: (node, root), root the least node; nodes without an edge are absent.
 
     Alternating large-star and small-star steps on a table in the shared folder: a logarithmic number of
-    rounds, each an aggregation and a join on the node. A hub's edges are not gathered: only its minimum is,
-    and the join with one minimum per node is split by AQE when a node is hot.
+    rounds, each an aggregation and a join on the node. A hub's edges are dealt over salts, whose number grows
+    with the edges (one more for every ``salt_edges``), in the aggregation and in the join.
     """
     e = store(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), name)
+    salts = 16 + e.count() // salt_edges
     sums = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u")
-        down = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low2 = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low2, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        down = _with_least(both, salts).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # here every v is less than its u, so m is the least neighbour
+        small = _with_least(down, salts).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = store(small.where("u <> v").distinct(), name)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == sums:

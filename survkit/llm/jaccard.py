@@ -144,9 +144,10 @@ def compare(sig: np.ndarray, mass: np.ndarray, left: np.ndarray, right: np.ndarr
     # inverted lists over the right side's shingles for exact counts of common members
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate([sets[j] for j in right])
-    owner = np.repeat(np.arange(len(right)), sizes[right])
+    owner = np.repeat(np.arange(len(right), dtype=np.int32), sizes[right])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
+    del order
     parent = list(range(len(sig)))
 
     def find(x: int) -> int:

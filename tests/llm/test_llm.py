@@ -332,6 +332,15 @@ def test_lm_brute_force(spark):
 # op9
 
 
+def test_components_with_hubs(spark):
+    # a hub, a chain, a ring and a pair; more salts than one hub's edges fill, and one salt step for every edge
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000 + i, 2000 + (i + 1) % 9) for i in range(9)] + [(5000, 299), (7, 7)]
+    want = {n: 0 for n in [*range(300), 5000]} | {n: 1000 for n in range(1000, 1101)} | {n: 2000 for n in range(2000, 2009)}
+    for step in (1, 1 << 18):
+        got = common.components(spark.createDataFrame(edges, "a long, b long"), salt_edges=step).collect()
+        assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
+
+
 def test_jaccard_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = list(EDGE)
