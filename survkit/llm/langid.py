@@ -44,10 +44,11 @@ def _place(gram: str) -> int:
 def profiles(docs: DataFrame, learn, rows: int = SAMPLE_ROWS, size: int = PROFILE) -> dict[str, dict[str, int]]:
     """language -> n-gram -> rank (from 0), learnt from documents that ``learn`` (boolean column) allows."""
     d = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id", "text")
-    # rows whose hash falls in the share that gives about ``rows`` of each language: no language is gathered in a task
+    # rows whose hash (id and text: null or repeated ids are dealt by their texts) falls in the share that gives about ``rows`` of each language: no language is gathered in a task
     n = d.groupBy(F.col("lang").alias("_l")).agg(F.count("*").alias("_n"))
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("_n") < rows << 20
-    sample = d.join(F.broadcast(n), F.col("lang") == F.col("_l")).where(share)
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) * F.col("_n") < rows << 20
+    # equal rows count once, so that one text or id repeated very often can't fill the sample
+    sample = d.join(F.broadcast(n), F.col("lang") == F.col("_l")).where(share).withColumn("_h", F.xxhash64("text")).dropDuplicates(["lang", "doc_id", "_h"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
