@@ -7,8 +7,9 @@ per tree, and only the cuts reach the driver.  A node without a cut that leaves
 leaf with the Nelson-Aalen cumulative hazard of its rows.  Trees are taken in groups whose counts fit a task.
 
 A column is a numeric feature's bins, or whether a category has one of its levels; each node looks at a seeded
-sample of the square root of their number.  Bootstrap weights are Poisson counts drawn by a seeded hash of the row,
-so any task that reads a row again gives it the same weight.
+sample of the square root of their number.  Bootstrap weights are Poisson counts drawn by a seeded hash of the row;
+they are drawn once, and rows of the same bins, duration and flag are merged with the sums of their weights: a level
+costs as much as there are different cells.  Scores are likewise worked out once for equal rows of a batch.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .table import BINS, FLAG, ROW, YEAR, Encoder, Table, matrix, uniform
+from .table import BINS, DRAWS, FLAG, YEAR, Encoder, Table, drawn, matrix, merged, run_starts, sorted_alike, uniform
 
 #: Trees, rows that a node needs to be split, rows of a leaf.
 TREES, MIN_SPLIT, MIN_LEAF = 500, 10, 15
@@ -58,23 +59,24 @@ class Columns:
         self.width = np.array([2 if v >= 0 else encoder.widths[f] for f, v in pairs])
         self.sampled = max(1, int(np.sqrt(len(pairs))))
 
-    def bins(self, x: np.ndarray, column: np.ndarray) -> np.ndarray:
-        """Bin of each row in its own column."""
-        b = x[np.arange(len(x)), self.feature[column]]
+    def bins(self, x: np.ndarray, column: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """Bin of each row, or of those named, in its own column."""
+        b = x[np.arange(len(x)) if rows is None else rows, self.feature[column]]
         v = self.level[column]
         return np.where(v >= 0, b == v, b).astype(np.int64)
 
     def sample(self, seed: int, tree: int, node: int) -> np.ndarray:
         return np.random.default_rng([seed, tree, node]).choice(len(self.width), self.sampled, replace=False)
 
-    def descend(self, x: np.ndarray, arrays: tuple[np.ndarray, ...]) -> np.ndarray:
-        """The node that each row ends in."""
+    def descend(self, x: np.ndarray, arrays: tuple[np.ndarray, ...], rows: np.ndarray | None = None) -> np.ndarray:
+        """The node that each row, or each of those named, ends in."""
         column, cut, left = arrays
-        at = np.zeros(len(x), np.int64)
+        rows = np.arange(len(x)) if rows is None else rows
+        at = np.zeros(len(rows), np.int64)
         on = np.flatnonzero(column[at] >= 0)
         while len(on):
             node = at[on]
-            at[on] = left[node] + (self.bins(x[on], column[node]) > cut[node])
+            at[on] = left[node] + (self.bins(x, column[node], rows[on]) > cut[node])
             on = on[column[at[on]] >= 0]
         return at
 
@@ -84,6 +86,16 @@ def weights(row: np.ndarray, seed: int, tree: int) -> np.ndarray:
     return np.searchsorted(_POISSON, uniform(row, seed, tree), side="right")
 
 
+def bootstrapped(table: Table, seed: int, trees: int) -> Table:
+    """Merged rows with, for each tree, their weight in its bootstrap sample and how many of them are in it."""
+
+    def draw(row: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
+        w = weights(row, seed, tree)
+        return w, (w > 0).astype(np.int64)
+
+    return merged(table, range(trees), ["w", "c"], draw)
+
+
 def logrank(n_left: np.ndarray, d_left: np.ndarray, n: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Log-rank statistics of cuts (rows) from rows and events by duration, left of the cut and in all."""
     risk = np.cumsum(n[::-1])[::-1]
@@ -109,8 +121,10 @@ class Level:
     cells: int
 
     @classmethod
-    def of(cls, tree: Tree, nodes: list[int], columns: Columns, seed: int, no: int) -> Level:
+    def of(cls, tree: Tree, nodes: list[int], columns: Columns, seed: int, no: int, last: bool = False) -> Level:
         own = np.array([columns.sample(seed, no, k) for k in nodes])
+        if last:  # leaves need the sums over all bins of a column, whichever it is
+            own = own[:, :1]
         width = columns.width[own].ravel()
         base = (np.cumsum(width) - width).reshape(own.shape)
         return cls(tree.arrays(), np.array(nodes), own, base, int(width.sum()))
@@ -120,7 +134,7 @@ CELLS = "tree int, cell binary, n binary, d binary, rows binary"
 CUTS = "tree int, node int, column int, cut int, hazard binary"
 
 
-def _count(levels: dict[int, Level], columns: Columns, years: int, seed: int):
+def _count(levels: dict[int, Level], columns: Columns, years: int):
     """Rows and events of a task's part, by tree: the cells that are not zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,18 +143,18 @@ def _count(levels: dict[int, Level], columns: Columns, years: int, seed: int):
             if not b.num_rows:
                 continue
             x = matrix(b.column(BINS))
-            row, y, e = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (ROW, YEAR, FLAG))
+            y, e = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (YEAR, FLAG))
             for t, v in levels.items():
-                w = weights(row, seed, t)
+                w = drawn(b, "w", t)
                 on = np.flatnonzero(w)
-                at = columns.descend(x[on], v.arrays)
+                at = columns.descend(x, v.arrays, on)
                 place = np.searchsorted(v.nodes, at)
                 is_open = v.nodes[np.minimum(place, len(v.nodes) - 1)] == at
                 on, place = on[is_open], place[is_open]
-                for k in range(v.columns.shape[1]):
-                    cell = (v.base[place, k] + columns.bins(x[on], v.columns[place, k])) * years + y[on]
-                    for out, value in zip(sums[t], (w[on], w[on] * e[on], None)):
-                        out += np.bincount(cell, value, len(out))
+                own = v.columns[place]
+                cell = (v.base[place] + columns.bins(x, own, on[:, None])) * years + y[on, None]
+                for out, value in zip(sums[t], (w[on], w[on] * e[on], drawn(b, "c", t)[on])):
+                    out += np.bincount(cell.ravel(), np.repeat(value, own.shape[1]), len(out))
         rows = []
         for t, (n, d, c) in sums.items():
             at = np.flatnonzero(n)
@@ -200,19 +214,28 @@ class Forest:
             tables.append((t.arrays(), leaf))
         known = df.sparkSession.sparkContext.broadcast(tables)  # trees x 2^levels x years numbers at most
         plain = df.select(*keys, self.encoder.bins().alias(BINS))
+        rows = sorted_alike(plain, [BINS], F.xxhash64(*keys), df.count())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 x = matrix(b.column(BINS))
-                total = np.zeros((b.num_rows, years))
-                for arrays, leaf in known.value if b.num_rows else []:
+                new = run_starts(x)
+                x, size = x[new], np.diff(new, append=b.num_rows)
+                total = np.zeros((len(x), years))
+                for arrays, leaf in known.value if len(x) else []:
                     total += leaf[columns.descend(x, arrays)]
+                total = np.repeat(total, size, axis=0)
                 flat = pa.array((total / max(len(known.value), 1)).ravel())
                 hazard = pa.ListArray.from_arrays(pa.array(np.arange(0, total.size + 1, years, dtype=np.int32)), flat)
                 yield pa.record_batch([*(b.column(k) for k in keys), hazard], [*keys, "hazard"])
 
         types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields if f.name in keys)
-        return plain.mapInArrow(run, f"{types}, hazard array<double>")
+        return rows.mapInArrow(run, f"{types}, hazard array<double>")
+
+
+def _part(cells: DataFrame, trees: dict[int, Level]) -> DataFrame:
+    """The columns that counts of these trees need."""
+    return cells.select(YEAR, FLAG, BINS, *[f"{n}{k}" for k in sorted({t // DRAWS for t in trees}) for n in ("w", "c")])
 
 
 def fit(table: Table, encoder: Encoder, trees: int = TREES, levels: int = LEVELS, min_split: int = MIN_SPLIT, min_leaf: int = MIN_LEAF, seed: int = 0, counts: int = COUNTS) -> Forest:
@@ -220,8 +243,9 @@ def fit(table: Table, encoder: Encoder, trees: int = TREES, levels: int = LEVELS
     columns = Columns(encoder)
     model = Forest(encoder, columns, [Tree() for _ in range(trees)], table.years)
     open_nodes = {t: [0] for t in range(trees)}
+    cells = bootstrapped(table, seed, trees)
     for depth in range(levels + 1):
-        plans = {t: Level.of(model.trees[t], nodes, columns, seed, t) for t, nodes in open_nodes.items() if nodes}
+        plans = {t: Level.of(model.trees[t], nodes, columns, seed, t, depth == levels) for t, nodes in open_nodes.items() if nodes}
         todo, open_nodes = list(plans), {}
         while todo:
             group, size = {}, 0
@@ -230,10 +254,11 @@ def fit(table: Table, encoder: Encoder, trees: int = TREES, levels: int = LEVELS
                 group[t] = plans[t]
                 size += 3 * plans[t].cells * table.years
             # fewer scan tasks than cores: tasks for parts of the group read the table side by side
-            shares = min(len(group), max(1, table.df.sparkSession.sparkContext.defaultParallelism // max(table.tasks, 1)))
-            parts = [dict(list(group.items())[k::shares]) for k in range(shares)]
-            cells = reduce(DataFrame.union, [table.df.mapInArrow(_count(p, columns, table.years, seed), CELLS) for p in parts])
-            cuts = cells.groupBy("tree").applyInPandas(_split(group, columns, table.years, depth == levels, min_split, min_leaf), CUTS)
+            shares = min(len(group), max(1, table.df.sparkSession.sparkContext.defaultParallelism // max(cells.tasks, 1)))
+            size = -(-len(group) // shares)  # neighbouring trees: a part reads only its own columns of weights
+            parts = [dict(list(group.items())[k : k + size]) for k in range(0, len(group), size)]
+            found = reduce(DataFrame.union, [_part(cells.df, p).mapInArrow(_count(p, columns, table.years), CELLS) for p in parts])
+            cuts = found.groupBy("tree").applyInPandas(_split(group, columns, table.years, depth == levels, min_split, min_leaf), CUTS)
             for r in sorted(cuts.collect(), key=lambda r: (r["tree"], r["node"])):
                 tree = model.trees[r["tree"]]
                 if r["column"] < 0:

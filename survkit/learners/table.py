@@ -4,6 +4,10 @@ A row holds a number of its own (for seeded samples), its duration in whole year
 feature, the bin it falls into.  Numeric features are cut at quantiles, categories are numbered by frequency; both
 tables are bounded by parameters.  The table is written once to the shared folder and scanned in every pass.
 
+``merged`` puts neighbouring rows of the same bins, duration and flag together, with the sums of their own seeded
+draws: what a learner does with a row depends on nothing else, so sums over merged rows equal sums over rows, and a
+pass costs as much as there are different cells, not rows.
+
 ``vector_sums`` is the only way a learner looks at the data: each task adds its rows to a vector whose length
 depends on features, bins and years, never on rows; the vectors are added up in groups of the square root of
 their number before the driver adds the rest.
@@ -31,7 +35,13 @@ MAX_YEARS = 2000
 #: Tasks whose vectors the driver adds up alone.
 DIRECT = 64
 
+#: Draws whose counts lie side by side in one column of a merged table; rows that one task merges, about.
+DRAWS = 25
+MERGE_ROWS = 500_000
+
 ROW, YEAR, FLAG, BINS = "row", "year", "flag", "bins"
+#: Rows of a merged row.
+COUNT = "rows"
 
 
 @dataclass
@@ -99,6 +109,67 @@ def matrix(column: pa.Array, kind=np.int64) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def sorted_alike(df: DataFrame, alike: list[str], tie: Column, rows: int) -> DataFrame:
+    """Rows with equal ``alike`` columns next to each other; many equal ones are dealt over tasks by ``tie``."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // MERGE_ROWS))
+    keyed = df.withColumn("_alike", F.xxhash64(*alike)).withColumn("_tie", tie)
+    return keyed.repartitionByRange(n, "_alike", "_tie").sortWithinPartitions("_alike", "_tie").drop("_alike", "_tie")
+
+
+def run_starts(*values: np.ndarray) -> np.ndarray:
+    """Where rows differ from the row before, the first row included."""
+    new = np.zeros(len(values[0]), bool)
+    new[:1] = True
+    for v in values:
+        other = v[1:] != v[:-1]
+        new[1:] |= other.any(axis=1) if other.ndim > 1 else other
+    return np.flatnonzero(new)
+
+
+def merged(table: Table, draws: range, names: list[str], draw: Callable[[np.ndarray, int], tuple[np.ndarray, ...]]) -> Table:
+    """The table with runs of equal bins, duration and flag as one row each, and for each draw the sums of its values.
+
+    ``draw`` gets the rows' own numbers and a draw's number and returns an array of small counts per name.  The sums
+    lie in binary columns of ``DRAWS`` draws each (``drawn``); ``draws`` begins at a multiple of that.  A run may be
+    cut at the end of a batch: its parts are then rows of their own, the sums over the table stay the same.
+    """
+    blocks = [range(k, min(k + DRAWS, draws.stop)) for k in range(draws.start, draws.stop, DRAWS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            row, y, e = (b.column(c).to_numpy(zero_copy_only=False) for c in (ROW, YEAR, FLAG))
+            new = run_starts(matrix(b.column(BINS)), y, e)
+            out = [b.column(c).take(pa.array(new)) for c in (YEAR, FLAG, BINS)]
+            out.append(pa.array(np.diff(new, append=b.num_rows).astype(np.int64)))
+            for block in blocks:
+                sums = [np.empty((len(new), len(block)), "<u4") for _ in names]
+                for j, k in enumerate(block):
+                    for s, value in zip(sums, draw(row, k)):
+                        s[:, j] = np.add.reduceat(value, new)
+                width = 4 * len(block)
+                offsets = pa.py_buffer(np.arange(0, width * len(new) + 1, width, dtype=np.int32))
+                out += [pa.Array.from_buffers(pa.binary(), len(new), [None, offsets, pa.py_buffer(s)]) for s in sums]
+            yield pa.record_batch(out, columns)
+
+    sums = [f"{n}{block.start // DRAWS}" for block in blocks for n in names]
+    columns = [YEAR, FLAG, BINS, COUNT, *sums]
+    kinds = {f.name: f.dataType.simpleString() for f in table.df.schema.fields}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in (YEAR, FLAG, BINS)), f"{COUNT} bigint", *(f"{c} binary" for c in sums)])
+    rows = sorted_alike(table.df, [BINS, YEAR, FLAG], F.col(ROW), table.rows)
+    t = store(rows.mapInArrow(run, schema), "learner-cells")
+    return Table(t, table.rows, table.years, t.rdd.getNumPartitions())
+
+
+def drawn(b: pa.RecordBatch, name: str, draw: int) -> np.ndarray:
+    """A draw's sums of a merged table's batch."""
+    column = b.column(f"{name}{draw // DRAWS}").cast(pa.binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view("<u4").reshape(len(column), -1)[:, draw % DRAWS].astype(np.int64)
+
+
 def vector_sums(df: DataFrame, size: int, add: Callable[[pa.RecordBatch, np.ndarray], None], tasks: int) -> np.ndarray:
     """Sum over all rows of a vector of ``size`` numbers; ``add`` adds a batch's rows to the vector it is given."""
 

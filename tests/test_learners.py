@@ -325,3 +325,34 @@ def test_reloaded_model_scores_alike(spark, tmp_path):
     loaded = sinks.load_pipeline_model(sinks.save_model(model, str(tmp_path / "model")))
     scores = [sorted(map(tuple, M.horizon_scores(m, df, 2, [S.ID]).collect())) for m in (model, loaded)]
     assert scores[0] == scores[1] and len({s[1] for s in scores[0]}) > 5
+
+
+def coarse(spark, n):
+    """Rows with few different cells."""
+    df = simulated(spark, n, 7).withColumn("x1", F.round("x1")).withColumn("x2", F.col("x2") % 2)
+    enc = table.Encoder(["x1", "x2"], ["cat"]).fit(df, max_bins=8)
+    return df, enc, table.encode(df, enc, [S.ID, S.START])
+
+
+def test_forest_passes_over_cells_not_rows(spark):
+    _, _, t = coarse(spark, 4000)
+    m = forest.bootstrapped(t, 1, 30)
+    row, y, e, x = local(t)
+    got = m.df.toPandas()
+    kinds = len(np.unique(np.column_stack((x, y, e)), axis=0))
+    assert kinds <= len(got) <= 2 * kinds < 1500 and got["rows"].sum() == 4000
+    for tree in (0, 24, 25, 29):
+        k, j = divmod(tree, table.DRAWS)
+        parts = [np.array([np.frombuffer(v, "<u4")[j] for v in got[f"{c}{k}"]]) for c in ("w", "c")]
+        w = forest.weights(row, 1, tree)
+        for value, part in zip((w, w > 0), parts):
+            assert part[got["flag"] == 1].sum() == value[e == 1].sum() and part[got["year"] == 3].sum() == value[y == 3].sum()
+
+
+def test_trees_of_merged_rows_equal_brute_force(spark):
+    _, enc, t = coarse(spark, 600)
+    model = forest.fit(t, enc, trees=2, levels=2, seed=1)
+    for no, tree in enumerate(model.trees):
+        cuts, leaves = brute_tree(*local(t), model.columns, t.years, 1, no, 2, forest.MIN_LEAF)
+        got_cuts, got_leaves = paths(tree)
+        assert got_cuts == cuts and set(got_leaves) == set(leaves) and all(np.allclose(got_leaves[k], leaves[k]) for k in leaves)
