@@ -10,7 +10,9 @@ and one pass adds up, per (bin, year), what every stump, the hazard and the out-
 need: one scan a round.  A sum of stumps depends on one feature at a time, so the model is a table of one number
 per (feature, bin), whatever the number of rounds.
 
-Ties of events within a year take Breslow's form.  A round's in-bag rows are drawn by a seeded hash of the row.
+Ties of events within a year take Breslow's form.  A round's in-bag rows are drawn by a seeded hash of the row. The
+draws of ``AHEAD`` rounds at a time are made in one pass over the rows, which merges those of the same bins, duration
+and flag with the number in each round's bag; the rounds then scan these merged rows.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .table import BINS, FLAG, ROW, YEAR, Encoder, Table, matrix, uniform, vector_sums
+from .table import BINS, COUNT, DRAWS, FLAG, YEAR, Encoder, Table, drawn, matrix, merged, uniform, vector_sums
 
 #: Rounds, step and in-bag share of the short run; rounds and step of the long one.
 ROUNDS, STEP, SUBSAMPLE = 100, 0.5, 0.5
 LONG_ROUNDS, LONG_STEP = 1000, 0.05
 #: Rounds of the mean improvement, its least value, rounds without one until the fit stops.
 WINDOW, LEAST, PATIENCE = 25, 1e-6, 50
+#: Rounds whose bags are drawn in one pass.
+AHEAD = 5 * DRAWS
 
 
 @dataclass
@@ -115,6 +119,11 @@ def best_stump(encoder: Encoder, gradient: np.ndarray, n: np.ndarray) -> Stump |
     return found
 
 
+def bags(table: Table, rounds: range, seed: int, subsample: float) -> Table:
+    """Merged rows with their number in the bag of each of these rounds."""
+    return merged(table, rounds, ["bag"], lambda row, no: ((uniform(row, seed, no) < subsample).astype(np.int64),))
+
+
 def fit(table: Table, encoder: Encoder, rounds: int = ROUNDS, step: float = STEP, subsample: float = SUBSAMPLE, seed: int = 0, stop: Callable[[list[float]], int | None] | None = None) -> CoxBoost:
     """Boosted stumps; ``stop`` gets the improvements so far and says after how many rounds to end."""
     model = CoxBoost(encoder, step)
@@ -126,34 +135,39 @@ def fit(table: Table, encoder: Encoder, rounds: int = ROUNDS, step: float = STEP
     cuts = np.cumsum(sizes)[:-1]
     before = model.tables()
 
-    def passed(now: list[np.ndarray], old: list[np.ndarray], no: int) -> list[np.ndarray]:
+    def passed(cells: Table, now: list[np.ndarray], old: list[np.ndarray], no: int) -> list[np.ndarray]:
         def add(b: pa.RecordBatch, total: np.ndarray) -> None:
             out = np.split(total, cuts)  # views
             x = matrix(b.column(BINS))
-            row, y, e = (b.column(c).to_numpy(zero_copy_only=False) for c in (ROW, YEAR, FLAG))
+            y, e, n = (b.column(c).to_numpy(zero_copy_only=False) for c in (YEAR, FLAG, COUNT))
             s, t = (sum(tab[x[:, k]] for k, tab in enumerate(tabs)) for tabs in (now, old))
-            w, bag = np.exp(s), uniform(row, seed, no) < subsample
+            w, bag = np.exp(s), drawn(b, "bag", no)
             for k, off in enumerate(offsets):
-                cell = off + x[bag, k]
-                out[0] += np.bincount(cell * years + y[bag], w[bag], cells * years)
-                out[1] += np.bincount(cell, e[bag], cells)
-                out[2] += np.bincount(cell, minlength=cells)
-            out[3] += np.bincount(y, w, years)
-            out[4] += np.bincount(y, e, years)
+                cell = off + x[:, k]
+                out[0] += np.bincount(cell * years + y, bag * w, out[0].size)
+                out[1] += np.bincount(cell, bag * e, out[1].size)
+                out[2] += np.bincount(cell, bag, out[2].size)
+            out[3] += np.bincount(y, n * w, years)
+            out[4] += np.bincount(y, n * e, years)
             if no:
-                o = uniform(row, seed, no - 1) >= subsample
-                out[5] += np.bincount(y[o], w[o], years)
-                out[6] += np.bincount(y[o], np.exp(t[o]), years)
-                out[7] += np.bincount(y[o], e[o], years)
-                out[8] += ((e * s)[o].sum(), (e * t)[o].sum(), o.sum())
+                o = n - drawn(b, "bag", no - 1)
+                out[5] += np.bincount(y, o * w, years)
+                out[6] += np.bincount(y, o * np.exp(t), years)
+                out[7] += np.bincount(y, o * e, years)
+                out[8] += ((o * e * s).sum(), (o * e * t).sum(), o.sum())
 
-        return np.split(vector_sums(table.df, int(sum(sizes)), add, table.tasks), cuts)
+        need = [f"bag{k}" for k in sorted({max(no - 1, 0) // DRAWS, no // DRAWS})]
+        return np.split(vector_sums(cells.df.select(YEAR, FLAG, BINS, COUNT, *need), int(sum(sizes)), add, cells.tasks), cuts)
 
+    cells_of, upto = None, 0
     for no in range(rounds + 1):
         now = model.tables()
         if no == rounds and stop is None:
             break
-        w_in, e_in, n_in, w, e, w_new, w_old, e_out, (s_new, s_old, n_out) = passed(now, before, no)
+        if no >= upto:  # the last bag before is needed once more
+            ahead = range(max(no - DRAWS, 0), min(no + AHEAD, rounds + 1))
+            cells_of, upto = bags(table, ahead, seed, subsample), ahead.stop
+        w_in, e_in, n_in, w, e, w_new, w_old, e_out, (s_new, s_old, n_out) = passed(cells_of, now, before, no)
         if no:
             model.improvements.append(float(loss(s_old, w_old, e_out, n_out) - loss(s_new, w_new, e_out, n_out)))
             if stop is not None and (last := stop(model.improvements)) is not None:

@@ -32,8 +32,8 @@ MAX_BINS = 32
 MAX_LEVELS = 255
 #: A vector for each year of a duration: durations beyond are an error, not a longer vector.
 MAX_YEARS = 2000
-#: Tasks whose vectors the driver adds up alone.
-DIRECT = 64
+#: Tasks whose vectors the driver adds up alone, and bytes of all their vectors, at most.
+DIRECT, DIRECT_BYTES = 64, 64 << 20
 
 #: Draws whose counts lie side by side in one column of a merged table; rows that one task merges, about.
 DRAWS = 25
@@ -188,8 +188,11 @@ def vector_sums(df: DataFrame, size: int, add: Callable[[pa.RecordBatch, np.ndar
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["v"])
 
     parts = df.mapInArrow(part, "v binary")
-    if tasks > DIRECT:
-        parts = parts.repartition(math.isqrt(tasks)).mapInArrow(join, "v binary")
+    if tasks <= DIRECT and 8 * size * tasks <= DIRECT_BYTES:
+        # one job: an iterator over partitions would run a job each, one after the other
+        return sum((np.frombuffer(r["v"]) for r in parts.collect()), np.zeros(size))
+    # the shuffle's tasks run side by side in the first of the iterator's jobs, the others only read it
+    parts = parts.repartition(math.isqrt(max(tasks, 1))).mapInArrow(join, "v binary")
     return sum((np.frombuffer(r["v"]) for r in parts.toLocalIterator()), np.zeros(size))
 
 

@@ -356,3 +356,39 @@ def test_trees_of_merged_rows_equal_brute_force(spark):
         cuts, leaves = brute_tree(*local(t), model.columns, t.years, 1, no, 2, forest.MIN_LEAF)
         got_cuts, got_leaves = paths(tree)
         assert got_cuts == cuts and set(got_leaves) == set(leaves) and all(np.allclose(got_leaves[k], leaves[k]) for k in leaves)
+
+
+def test_boosting_rounds_pass_over_cells_not_rows(spark, monkeypatch):
+    _, enc, t = coarse(spark, 600)
+    m = coxboost.bags(t, range(25, 60), 3, 0.5)
+    row, y, _, _ = local(t)
+    got = m.df.toPandas()
+    assert len(got) < 400 and got["rows"].sum() == 600
+    for no in (25, 49, 50, 59):
+        k, j = divmod(no, table.DRAWS)
+        bag = np.array([np.frombuffer(v, "<u4")[j] for v in got[f"bag{k}"]])
+        for year in (0, 3):
+            assert bag[got["year"] == year].sum() == (table.uniform(row, 3, no)[y == year] < 0.5).sum()
+    monkeypatch.setattr(coxboost, "AHEAD", table.DRAWS)  # bags of the 27 rounds and the last loss in two passes
+    model = coxboost.fit(t, enc, rounds=27, step=0.05, seed=3, stop=lambda x: None)
+    want, gains, _ = brute_stumps(*local(t), enc, 3, 0.05, 3)
+    assert [(s.feature, s.cut) for s in model.stumps[:3]] == [w[:2] for w in want] and np.allclose(model.improvements[:3], gains)
+    monkeypatch.setattr(coxboost, "AHEAD", 5 * table.DRAWS)
+    whole = coxboost.fit(t, enc, rounds=27, step=0.05, seed=3, stop=lambda x: None)
+    assert np.allclose(model.improvements, whole.improvements) and len(whole.stumps) == 27
+
+
+def test_vectors_of_all_tasks_come_in_one_job(spark, monkeypatch):
+    df = spark.range(100).repartition(8)
+    tracker = spark.sparkContext.statusTracker()
+
+    def sums(group):
+        spark.sparkContext.setJobGroup(group, group)
+        got = table.vector_sums(df, 1, lambda b, out: out.__iadd__(b.num_rows), 8).tolist()
+        return got, len(tracker.getJobIdsForGroup(group))
+
+    got, jobs = sums("small-vectors")
+    assert got == [100] and jobs <= 2
+    monkeypatch.setattr(table, "DIRECT_BYTES", 0)
+    assert sums("large-vectors")[0] == [100]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
