@@ -178,8 +178,9 @@ def model_hazard_gbt(spark, sf_dir):
 
 
 def _learn_test_repairs(d: Data):
-    """Episodes of the initial-window variant with the repair count so far."""
-    ep = FE.standardize(prep(d, "init", repairs=True), STD_COLS)
+    """Episodes of the initial-window variant with the repair count so far, written once like the others."""
+    ep = FE.standardize(prep(d.once(), "init", repairs=True), STD_COLS)
+    ep = store(ep.select(*MODEL_COLS, S.REPAIRS, *[f"{c}_std" for c in STD_COLS]), "prepared")
     return learning_rows(ep), test_rows(ep)
 
 
