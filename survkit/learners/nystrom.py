@@ -10,11 +10,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .table import matrix
 
 LANDMARKS = 128
 #: Eigenvalues below this share of the greatest are left out.
@@ -38,8 +40,12 @@ def drawn(df: DataFrame, features: str, m: int, seed: int = 0) -> np.ndarray:
 
 
 def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
-    square = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * a @ b.T
-    return np.exp(-gamma * np.maximum(square, 0))
+    out = a @ (-2 * b.T)
+    out += (a * a).sum(axis=1)[:, None]
+    out += (b * b).sum(axis=1)
+    np.maximum(out, 0, out=out)
+    out *= -gamma
+    return np.exp(out, out=out)
 
 
 @dataclass
@@ -48,16 +54,21 @@ class Nystrom:
     weights: np.ndarray
     gamma: float
 
+    def values(self, x: np.ndarray) -> np.ndarray:
+        """Kernel values of the rows of x against the landmarks."""
+        return rbf(x, self.landmarks, self.gamma)
+
     def of(self, x: np.ndarray) -> np.ndarray:
         """Features of the rows of x."""
-        return rbf(x, self.landmarks, self.gamma) @ self.weights
+        return self.values(x) @ self.weights
 
     def transform(self, df: DataFrame, features: str, out: str) -> DataFrame:
         own = self
 
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def project(x: pd.Series) -> pd.Series:
-            return pd.Series(list(own.of(np.vstack(x.values)))) if len(x) else pd.Series([], dtype=object)
+        @F.arrow_udf("array<double>")
+        def project(x: pa.Array) -> pa.Array:
+            z = own.of(matrix(x, np.float64)) if len(x) else np.zeros((0, 1))
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * z.shape[1], pa.int32()), pa.array(z.ravel()))
 
         return df.withColumn(out, array_to_vector(project(vector_to_array(features))))
 
@@ -68,8 +79,24 @@ class Nystrom:
         return (float(gap.mean()), float(gap.max())) if gap.size else (0.0, 0.0)
 
 
+class Kernels(Transformer):
+    """Pipeline stage: the features of each kernel as a column ``kernel_<name>``, made where a scan needs them."""
+
+    def __init__(self, kernels: dict[str, Nystrom], features: str):
+        super().__init__()
+        self.kernels, self.features = kernels, features
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        for name, kernel in self.kernels.items():
+            df = kernel.transform(df, self.features, f"kernel_{name}")
+        return df
+
+
 def fit(df: DataFrame, features: str, gamma: float, m: int = LANDMARKS, seed: int = 0) -> Nystrom:
-    x = drawn(df, features, m, seed)
+    return of_landmarks(drawn(df, features, m, seed), gamma)
+
+
+def of_landmarks(x: np.ndarray, gamma: float) -> Nystrom:
     if not len(x):
         return Nystrom(np.zeros((1, 0)), np.ones((1, 1)), gamma)
     value, vector = np.linalg.eigh(rbf(x, x, gamma))

@@ -5,7 +5,8 @@ comparable if j failed and i lived longer.  Value, gradient and Hessian products
 number and the score sum of its partners inside the margin.  Those are order statistics: scores are counted on a
 grid whose unit is a whole number of cells, by year of the duration, and running sums over years and cells give
 every row its partners' sums by looking up one cell.  The tables have years x cells entries whatever the number
-of rows; a step is one scan for the counts and one for the products with the features.
+of rows; a step is one scan for the counts and one for the products with the features.  Kernel features are never
+stored: a scan works out a row's kernel values, and their projection is applied to weights and sums.
 
 The grid decides only which pairs are inside the margin; their losses use exact sums.  A pair within a cell of
 the margin's edge has a loss below the square of the cell's width, which bounds the difference.
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..session import store
+from .nystrom import Nystrom
 from .table import FLAG, MAX_YEARS, YEAR, matrix, vector_sums
 
 #: Cells of the score grid, at most; cells of one margin, at most (a power of two, halved until the grid fits).
@@ -35,21 +37,39 @@ STEPS, PRODUCTS, TOLERANCE = 20, 30, 1e-5
 
 @dataclass
 class Pairs:
-    """Rows with features (a column ``x`` of arrays), duration and event flag."""
+    """Rows with features (a column ``x`` of arrays, mapped by the kernel if there is one), duration and event flag."""
 
     df: DataFrame
     dim: int
     years: int
     tasks: int
+    kernel: Nystrom | None = None
 
+    def weights(self, w: np.ndarray) -> np.ndarray:
+        """Weights of what ``values`` returns, from weights of the features."""
+        return w if self.kernel is None else self.kernel.weights @ w
 
-def pairs(train: DataFrame, features: str) -> Pairs:
+    def summed(self, add) -> np.ndarray:
+        """Sum of feature vectors, from a sum of what ``values`` returns."""
+        if self.kernel is None:
+            return vector_sums(self.df, self.dim, add, self.tasks)
+        return vector_sums(self.df, len(self.kernel.landmarks), add, self.tasks) @ self.kernel.weights
+
+
+def values(x: np.ndarray, kernel: Nystrom | None) -> np.ndarray:
+    """The features, or the kernel's values before their projection."""
+    return x if kernel is None else kernel.values(x)
+
+
+def pairs(train: DataFrame, features: str, kernel: Nystrom | None = None) -> Pairs:
+    """Rows of ``train``; with a kernel, ``features`` are its inputs."""
     rows = train.where(F.col(S.DURATION).isNotNull() & F.col(S.EVENT).isNotNull() & (F.col(S.DURATION) >= 0))
     t = store(rows.select(F.col(S.DURATION).cast("int").alias(YEAR), F.col(S.EVENT).cast("int").alias(FLAG), vector_to_array(features).alias("x")), "rank-rows")
     last, dim = t.agg(F.max(YEAR), F.max(F.size("x"))).first()
     if (last or 0) >= MAX_YEARS:
         raise ValueError(f"durations reach {last} years, at most {MAX_YEARS - 1} are allowed")
-    return Pairs(t, dim or 0, (last or 0) + 1, t.rdd.getNumPartitions())
+    dim = dim if kernel is None else kernel.weights.shape[1]
+    return Pairs(t, dim or 0, (last or 0) + 1, t.rdd.getNumPartitions(), kernel)
 
 
 class Grid:
@@ -99,14 +119,14 @@ class Objective:
         self.value = float(w @ w) / 2 + alpha / 2 * self.loss
 
     def _range(self) -> tuple[float, float]:
-        w = self.w
+        w, kernel = self.data.weights(self.w), self.data.kernel
 
         def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Least and greatest score of a task's rows."""
             lo, hi = np.inf, -np.inf
             for b in batches:
                 if b.num_rows:
-                    f = matrix(b.column(0), np.float64) @ w
+                    f = values(matrix(b.column(0), np.float64), kernel) @ w
                     lo, hi = min(lo, f.min()), max(hi, f.max())
             yield pa.record_batch([pa.array([lo], pa.float64()), pa.array([hi], pa.float64())], ["lo", "hi"])
 
@@ -117,6 +137,7 @@ class Objective:
         """By (year, cell): sums of 1, f, f^2 (or of x.v alone) over all rows, then over events."""
         cells = self.shape[0] * self.shape[1]
         own = Snapshot(self)
+        v = None if v is None else self.data.weights(v)
 
         def add(b: pa.RecordBatch, total: np.ndarray) -> None:
             x, f, e, cell = own.each(b)
@@ -130,7 +151,7 @@ class Objective:
 
     def gradient(self) -> np.ndarray:
         """w - alpha * sum over pairs of (1 - f_i + f_j) (x_i - x_j)."""
-        own, dim = Snapshot(self), self.data.dim
+        own = Snapshot(self)
         long_n, long_f, soon_n, soon_f = (t.ravel() for t in (self.long_n, self.long_f, self.soon_n, self.soon_f))
 
         def add(b: pa.RecordBatch, total: np.ndarray) -> None:
@@ -138,31 +159,31 @@ class Objective:
             g = -((1 - f) * soon_n[cell] + soon_f[cell]) + np.where(e, (1 + f) * long_n[cell] - long_f[cell], 0)
             total += g @ x
 
-        return self.w + self.alpha * vector_sums(self.data.df, dim, add, self.data.tasks)
+        return self.w + self.alpha * self.data.summed(add)
 
     def product(self, v: np.ndarray) -> np.ndarray:
         """Hessian times v: v + alpha * sum over pairs of (x_i - x_j) (x_i - x_j).v"""
         u, eu = self._tables(1, v)
-        own, m = Snapshot(self), self.grid.margin
+        own, m, inner = Snapshot(self), self.grid.margin, self.data.weights(v)
         long_n, soon_n, long_u, soon_u = (t.ravel() for t in (self.long_n, self.soon_n, _longer(u, m), _sooner(eu, m)))
 
         def add(b: pa.RecordBatch, total: np.ndarray) -> None:
             x, _, e, cell = own.each(b)
-            z = x @ v
+            z = x @ inner
             total += (soon_n[cell] * z - soon_u[cell] + np.where(e, long_n[cell] * z - long_u[cell], 0)) @ x
 
-        return v + self.alpha * vector_sums(self.data.df, self.data.dim, add, self.data.tasks)
+        return v + self.alpha * self.data.summed(add)
 
 
 class Snapshot:
     """What a task needs of an objective: scores and cells of a batch."""
 
     def __init__(self, o: Objective):
-        self.w, self.grid = o.w, o.grid
+        self.w, self.grid, self.kernel = o.data.weights(o.w), o.grid, o.data.kernel
 
     def each(self, b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         """Features, scores, event flags and table cells of a batch."""
-        x = matrix(b.column("x"), np.float64)
+        x = values(matrix(b.column("x"), np.float64), self.kernel)
         y, e = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (YEAR, FLAG))
         f = x @ self.w
         return x, f, e == 1, y * self.grid.cells + self.grid.of(f)

@@ -341,12 +341,19 @@ def sample_curves(spark, sf_dir):
 
 # ---------------------------------------------------------------- kernel models M4 - M6
 
+# Columns that the kernel models' frames use.
+KERNEL_COLS = [*MODEL_COLS, S.FAILURE_YEAR]
+
+
 def _kernel_frames(d: Data, shift_duration: bool, jitter: bool = False):
-    """Learning / test tables with assembled features and rbf kernel features; ``jitter`` adds the shifted copies of long events."""
-    ep = prep(d)
+    """Learning / test tables with assembled features, and the rbf kernels by name; ``jitter`` adds the shifted copies of long events.
+
+    Only the kernels' inputs are stored: their features, many times as wide, are made in the scan that uses them.
+    """
+    ep = store(prep(d.once()).select(*KERNEL_COLS), "prepared")
     if jitter:
         ep = jitter_events(ep, JITTER_COPIES, JITTER_MIN_DURATION).filter(F.col(S.DURATION) >= 0)
-    stats = FE.scaler_stats(ep, [S.SIZE, S.DURATION])
+    stats = store(FE.scaler_stats(ep, [S.SIZE, S.DURATION]), "scaler")
     ep = FE.apply_scaler(ep, stats, [S.SIZE, S.DURATION])
     learn = ep.filter((F.col(S.INSTALL_YEAR) < A) & (F.col(S.OBS_START) < A))
     test = test_rows(ep)
@@ -363,25 +370,21 @@ def _kernel_frames(d: Data, shift_duration: bool, jitter: bool = False):
     from pyspark.ml.feature import StandardScaler
 
     sc = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(learn)
-    learn, test = sc.transform(learn), sc.transform(test)
-    dim, var = M.feature_variance(learn, "features")
-    gam = M.gamma_values(dim, var)
-    learn = store(learn, "kernel-in")
-    for name, g in gam.items():
-        kernel = nystrom.fit(learn, "features", g)
-        learn, test = (kernel.transform(x, "features", f"kernel_{name}") for x in (learn, test))
-    # iterative learners and cross-validation re-read the features many times:
-    # compute them once into the shared checkpoint folder
+    learn, test = (sc.transform(x).select(*KEYS, S.EVENT, S.DURATION, "features") for x in (learn, test))
     ensure_checkpoint_dir(learn.sparkSession)
-    return store(learn, "kernel-learn"), store(test, "kernel-test")
+    learn = store(learn, "kernel-in")
+    dim, var = M.feature_variance(learn, "features")
+    landmarks = nystrom.drawn(learn, "features", nystrom.LANDMARKS)
+    return learn, test, {name: nystrom.of_landmarks(landmarks, g) for name, g in M.gamma_values(dim, var).items()}
 
 
 @query("model_rank_svm")
 def model_rank_svm(spark, sf_dir):
     """Survival SVM with the ranking objective (squared hinge over comparable pairs, rbf by Nyström features)."""
     d = Data(spark, sf_dir)
-    learn, test = _kernel_frames(d, shift_duration=False)
-    w = ranksvm.fit(ranksvm.pairs(learn, "kernel_scale"), RANK_ALPHA)
+    learn, test, kernels = _kernel_frames(d, shift_duration=False)
+    w = ranksvm.fit(ranksvm.pairs(learn, "features", kernels["scale"]), RANK_ALPHA)
+    test = kernels["scale"].transform(test, "features", "kernel_scale")
     return _with_truth(d, test.select(*KEYS, ranksvm.risk(w, "kernel_scale").alias("proba")))
 
 
@@ -389,8 +392,8 @@ def model_rank_svm(spark, sf_dir):
 def model_regression_svm(spark, sf_dir):
     """Survival SVM (regression objective, rbf by Nyström features); risk = minus predicted time."""
     d = Data(spark, sf_dir)
-    learn, test = _kernel_frames(d, shift_duration=False)
-    model = M.survival_regression_svm(learn, "kernel_scale")
+    learn, test, kernels = _kernel_frames(d, shift_duration=False)
+    model = M.survival_regression_svm(learn, "features", kernel=kernels["scale"])
     pred = model.transform(test).select(*KEYS, (-F.col("prediction")).alias("proba"))
     return _with_truth(d, pred)
 
@@ -407,7 +410,8 @@ def _svc_scores(model, test):
 def model_classifier(spark, sf_dir):
     """Linear SVM on rbf Nyström features, label = event; proba = minus decision value (source sign)."""
     d = Data(spark, sf_dir)
-    learn, test = _kernel_frames(d, shift_duration=True)
+    learn, test, kernels = _kernel_frames(d, shift_duration=True)
+    learn, test = (kernels["scale"].transform(x, "features", "kernel_scale") for x in (learn, test))
     learn = learn.withColumn("label", F.col(S.EVENT).cast("double"))
     n = learn.count()
     model = M.linear_svc(reg=1.0 / (0.1 * n), features="kernel_scale").fit(learn)
@@ -418,13 +422,17 @@ def model_classifier(spark, sf_dir):
 def model_grid_search(spark, sf_dir):
     """C x gamma grid (8 combinations) on jittered rows by 3-fold cross-validation, evaluated in parallel."""
     d = Data(spark, sf_dir)
-    learn, test = _kernel_frames(d, shift_duration=True, jitter=True)
+    learn, test, kernels = _kernel_frames(d, shift_duration=True, jitter=True)
+    from pyspark.ml import Pipeline
+
     learn = learn.withColumn("label", F.col(S.EVENT).cast("double"))
     n = learn.count()
     svc = M.linear_svc(features="kernel_scale")
     grid = (ParamGridBuilder().addGrid(svc.regParam, [1.0 / (c * n) for c in SVC_C])
             .addGrid(svc.featuresCol, ["kernel_scale", "kernel_auto"]).build())
-    cv = CrossValidator(estimator=svc, estimatorParamMaps=grid, numFolds=3, parallelism=4, seed=0,
+    # the folds keep the kernels' inputs, not their features
+    steps = Pipeline(stages=[nystrom.Kernels(kernels, "features"), svc])
+    cv = CrossValidator(estimator=steps, estimatorParamMaps=grid, numFolds=3, parallelism=4, seed=0,
                         evaluator=BinaryClassificationEvaluator(labelCol="label"))
     best = cv.fit(learn).bestModel
     return _with_truth(d, _svc_scores(best, test))
@@ -433,13 +441,9 @@ def model_grid_search(spark, sf_dir):
 @query("kernel_error")
 def kernel_error(spark, sf_dir):
     """What the Nyström features leave of each kernel: mean and greatest error over pairs of 500 learning rows."""
-    learn, _ = _kernel_frames(Data(spark, sf_dir), shift_duration=False)
-    dim, var = M.feature_variance(learn, "features")
-    rows = []
-    for name, g in M.gamma_values(dim, var).items():
-        kernel = nystrom.fit(learn, "features", g)
-        mean, most = kernel.error(nystrom.drawn(learn, "features", ERROR_ROWS, seed=1))
-        rows.append((name, g, len(kernel.landmarks), mean, most))
+    learn, _, kernels = _kernel_frames(Data(spark, sf_dir), shift_duration=False)
+    sample = nystrom.drawn(learn, "features", ERROR_ROWS, seed=1)
+    rows = [(name, kernel.gamma, len(kernel.landmarks), *kernel.error(sample)) for name, kernel in kernels.items()]
     return spark.createDataFrame(rows, "kernel string, gamma double, landmarks int, mean_error double, max_error double")
 
 

@@ -402,3 +402,85 @@ def test_person_years_of_a_task_are_bounded(spark):
     many = M.person_period(M.dealt(ep, 400))
     per = [r["count"] for r in many.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(per) == M.person_period(ep).count() and len(per) == 10 and max(per) < 800
+
+
+def vectors(spark, n, seed):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, 4))
+    life, cens = np.exp(0.6 * x[:, 0] + 0.3 * r.normal(size=n) + 2), r.uniform(1, 20, n)
+    rows = [(int(min(a, b)), int(a <= b), [float(v) for v in c]) for a, b, c in zip(life, cens, x)]
+    return spark.createDataFrame(rows, f"{S.DURATION} int, {S.EVENT} int, a array<double>").withColumn("f", array_to_vector("a")).repartition(3).cache()
+
+
+def test_regression_rounds_equal_repeated_least_squares(spark):
+    """With the kernel made in the scans, each round is the least-squares fit of the rows that carry loss."""
+    from pyspark.ml.regression import LinearRegression
+
+    from survkit.learners import nystrom
+    from survkit.operators import models as M
+
+    df = vectors(spark, 400, 2)
+    kernel = nystrom.fit(df, "f", 0.1, 12)
+    base = kernel.transform(df, "f", "z").withColumn("y", F.col(S.DURATION).cast("double"))
+    active, lowest = base, float("inf")
+    for rounds in range(1, 50):
+        want = LinearRegression(featuresCol="z", labelCol="y", regParam=0.01).fit(active)
+        active = want.transform(base).where((F.col(S.EVENT) == 1) | (F.col("prediction") < F.col("y")))
+        loss = active.agg(F.sum((F.col("prediction") - F.col("y")) ** 2)).first()[0]
+        active = active.drop("prediction")
+        if loss >= lowest * (1 - 1e-6):
+            break
+        lowest = loss
+    got = M.survival_regression_svm(df, "f", kernel=kernel)
+    assert rounds > 2 and np.allclose(got.weights, want.coefficients.toArray(), rtol=1e-4, atol=1e-4)
+    pairs = zip(got.transform(df).orderBy("a").collect(), want.transform(base).orderBy("a").collect())
+    assert all(abs(a["prediction"] - b["prediction"]) < 1e-4 for a, b in pairs)
+
+
+def test_ranking_with_the_kernel_in_the_scan_equals_ready_features(spark):
+    from survkit.learners import nystrom
+
+    df = vectors(spark, 300, 3)
+    kernel = nystrom.fit(df, "f", 0.1, 12)
+    lazy, ready = ranksvm.pairs(df, "f", kernel), ranksvm.pairs(kernel.transform(df, "f", "z"), "z")
+    assert lazy.df.agg(F.max(F.size("x"))).first()[0] == 4 and lazy.dim == ready.dim == 12
+    w, v = np.linspace(-0.2, 0.3, 12), np.linspace(1, -1, 12)
+    a, b = (ranksvm.Objective(p, w, 0.01) for p in (lazy, ready))
+    assert abs(a.value - b.value) < 1e-9 * b.value and np.allclose(a.gradient(), b.gradient()) and np.allclose(a.product(v), b.product(v))
+
+
+def test_kernel_features_are_never_stored(spark, monkeypatch):
+    """Frames, regression and grid search write the kernels' inputs alone."""
+    from survkit.plans import models as PM
+    from survkit.plans.base import Data
+
+    kept = []
+    keep = PM.store
+    monkeypatch.setattr(PM, "store", lambda df, name: (kept.append(df.columns), keep(df, name))[1])
+    learn, test, kernels = PM._kernel_frames(Data(spark, "/root/testdata/sf0.001"), shift_duration=False)
+    assert kept and not any(c.startswith("kernel") for cols in kept for c in cols) and "features" in test.columns
+    both = PM.nystrom.Kernels(kernels, "features").transform(learn)
+    row = both.select("features", "kernel_scale", "kernel_auto").first()
+    x = row["features"].toArray()[None]
+    assert np.allclose(row["kernel_scale"].toArray(), kernels["scale"].of(x)[0]) and np.allclose(row["kernel_auto"].toArray(), kernels["auto"].of(x)[0])
+
+
+def test_cross_validation_makes_the_kernel_features_in_its_folds(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    from survkit.learners import nystrom
+    from survkit.operators import models as M
+
+    df = vectors(spark, 200, 5).withColumn("label", (F.col("a")[0] > 0).cast("double"))
+    landmarks = nystrom.drawn(df, "f", 12)
+    kernels = {name: nystrom.of_landmarks(landmarks, g) for name, g in (("scale", 0.2), ("auto", 1e-6))}
+    svc = M.linear_svc(features="kernel_scale", max_iter=5)
+    grid = ParamGridBuilder().addGrid(svc.featuresCol, ["kernel_auto", "kernel_scale"]).build()
+    steps = Pipeline(stages=[nystrom.Kernels(kernels, "f"), svc])
+    cv = CrossValidator(estimator=steps, estimatorParamMaps=grid, numFolds=2, parallelism=2, seed=0, evaluator=BinaryClassificationEvaluator())
+    model = cv.fit(df)
+    best = ["kernel_auto", "kernel_scale"][int(np.argmax(model.avgMetrics))]
+    assert min(model.avgMetrics) > 0.9 and model.bestModel.stages[-1].getFeaturesCol() == best
+    assert model.bestModel.transform(df).where("prediction = label").count() > 170
