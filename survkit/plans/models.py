@@ -501,13 +501,13 @@ def perm_importance(spark, sf_dir):
     d = Data(spark, sf_dir)
     learn, test = _learn_test(d)
     model = M.fit_hazard(learn, M.boosting())
-    tr = truth_first(d).select(S.ID, S.START, F.col(S.EVENT).alias("true_event"), F.col(S.DURATION).alias("true_duration"))
-    test = test.join(tr, KEYS, "inner")
-    base = M.horizon_scores(model, test, P, KEYS).join(tr, KEYS)
+    tr = truth_first(d).select(S.ID, S.START, F.col(S.EVENT).alias("true_event"))
+    # the truth goes with its row: the start year is a key and a permuted feature, a second join would lose rows
+    test = store(test.join(tr, KEYS, "inner").select(*KEYS, *[c for c in PERM_FEATURES if c not in KEYS], S.DURATION, "true_event"), "perm-test")
+    base = M.horizon_scores(model, test, P, ["true_event"])
     base_auc = EV.auc(base.select("proba", F.col("true_event").alias("event")))
     copies = permuted_copies(test, PERM_FEATURES, PERM_REPEATS, keys=KEYS)
-    pkeys = ["feature", "repeat", *KEYS]
-    risk = M.horizon_scores(model, copies, P, pkeys).join(tr, KEYS)
+    risk = M.horizon_scores(model, copies, P, ["feature", "repeat", "true_event"])
     aucs = EV.auc(risk.select("feature", "repeat", "proba", F.col("true_event").alias("event")),
                   group_cols=["feature", "repeat"])
     b = base_auc.select(F.col("auc").alias("base_auc"))

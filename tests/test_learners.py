@@ -484,3 +484,17 @@ def test_cross_validation_makes_the_kernel_features_in_its_folds(spark):
     best = ["kernel_auto", "kernel_scale"][int(np.argmax(model.avgMetrics))]
     assert min(model.avgMetrics) > 0.9 and model.bestModel.stages[-1].getFeaturesCol() == best
     assert model.bestModel.transform(df).where("prediction = label").count() > 170
+
+
+def test_every_permuted_copy_is_judged_on_all_rows(spark, monkeypatch):
+    """The start year is a key and a feature: its permuted copies keep their rows' truth."""
+    from survkit.plans import models as PM
+
+    seen, auc, boosting = [], PM.EV.auc, PM.M.boosting
+    monkeypatch.setattr(PM.EV, "auc", lambda rows, *a, **k: (seen.append(rows), auc(rows, *a, **k))[1])
+    monkeypatch.setattr(PM.M, "boosting", lambda: boosting(max_iter=2))
+    monkeypatch.setattr(PM, "PERM_REPEATS", 2)
+    PM.perm_importance(spark, "/root/testdata/sf0.001")
+    base, copies = seen
+    per = {(r["feature"], r["repeat"]): (r["n"], r["e"]) for r in copies.groupBy("feature", "repeat").agg(F.count("proba").alias("n"), F.sum("event").alias("e")).collect()}
+    assert len(per) == 10 and set(per.values()) == {(base.count(), base.agg(F.sum("event")).first()[0])}
