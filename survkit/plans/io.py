@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import integrate as I
+from ..session import store
 from ..operators.joins import ordered_pairs
 from ..sources import files as FI
 from ..sources import sinks as SK
@@ -87,6 +88,8 @@ def stream_failures_by_region_year(spark, sf_dir):
     root = SK.unique_path(spark, "stream-in")
     base = FI.write_region_files(d.assets, d.failures(), root)
     assets, _ = FI.read_region_files(spark, root, "clean")
+    # every micro-batch reads the assets' keys: not by parsing their text files again
+    assets = store(assets.select(S.REGION, S.ASSET_ID), "asset-keys")
     counts = ST.counts_by_region_year(ST.failure_stream(spark, base), assets)
     out = SK.unique_path(spark, "stream-out")
     ST.run_to_table(counts, out, SK.unique_path(spark, "stream-ckpt"))

@@ -5,6 +5,9 @@ Streaming: failure files dropped into a folder are read as a stream, joined
 to the (static) asset table, and counted per (region, failure year).  The
 state is one counter per (region, year); the checkpoint lives in the shared
 folder, so a restarted query resumes without double counting.
+
+A micro-batch takes files up to a number of bytes, not of files: each batch
+joins the whole asset table, so many small files must not mean many batches.
 """
 
 from __future__ import annotations
@@ -16,13 +19,16 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..sources.files import FAILURE_KIND, SEP, TS_FORMAT
 
+#: Bytes of new files in one micro-batch, about.
+BATCH_BYTES = 8 << 30
+
 
 def failure_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Failure files that arrive in the region folders below ``folder``; other kinds are passed over."""
     sch = T.StructType(list(S.FAILURE_SCHEMA.fields) + [T.StructField("region", T.StringType())])
     return (
         spark.readStream.schema(sch).option("sep", SEP).option("header", True)
-        .option("timestampFormat", TS_FORMAT).option("timestampNTZFormat", TS_FORMAT).option("maxFilesPerTrigger", 64)
+        .option("timestampFormat", TS_FORMAT).option("timestampNTZFormat", TS_FORMAT).option("maxBytesPerTrigger", BATCH_BYTES)
         .option("pathGlobFilter", f"*{FAILURE_KIND}*").csv(folder)
     )
 

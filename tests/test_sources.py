@@ -51,3 +51,19 @@ def test_broken_trees_are_errors(spark, tmp_path):
     assets, _ = FI.read_region_files(spark, str(tmp_path / "y"), "_clean")
     with pytest.raises(Exception, match="(?i)header"):
         assets.collect()
+
+
+def test_many_small_files_are_one_micro_batch(spark, tmp_path):
+    """Each batch joins all assets, so their number must not follow the number of files."""
+    from survkit.streaming import incremental as ST
+
+    for k in range(150):
+        folder = tmp_path / "in" / f"region=R{k % 3}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"events-{k}.csv").write_text(f"IDTC;DDCC\n{k % 5};2001-03-0{1 + k % 9} 00:00:00\n")
+    assets = spark.createDataFrame([(f"R{r}", a) for r in range(3) for a in range(4)], "region string, asset_id bigint")
+    counts = ST.counts_by_region_year(ST.failure_stream(spark, str(tmp_path / "in")), assets)
+    ST.run_to_table(counts, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(f"R{r}", 2001, 40) for r in range(3)}
+    assert len([f for f in (tmp_path / "ckpt" / "commits").iterdir() if f.name.isdigit()]) == 1
