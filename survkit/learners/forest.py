@@ -7,14 +7,15 @@ per tree, and only the cuts reach the driver.  A node without a cut that leaves
 leaf with the Nelson-Aalen cumulative hazard of its rows.  Trees are taken in groups whose counts fit a task.
 
 A column is a numeric feature's bins, or whether a category has one of its levels; each node looks at a seeded
-sample of the square root of their number.  Bootstrap weights are Poisson counts drawn by a seeded hash of the row;
+sample of the square root of their number.  ``grow`` takes the rule of cuts and leaves: ``learners/hazard`` grows its
+trees by it, too.  Bootstrap weights are Poisson counts drawn by a seeded hash of the row;
 they are drawn once, and rows of the same bins, duration and flag are merged with the sums of their weights: a level
 costs as much as there are different cells.  Scores are likewise worked out once for equal rows of a batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -134,7 +135,7 @@ CELLS = "tree int, cell binary, n binary, d binary, rows binary"
 CUTS = "tree int, node int, column int, cut int, hazard binary"
 
 
-def _count(levels: dict[int, Level], columns: Columns, years: int):
+def _count(levels: dict[int, Level], columns: Columns, years: int, rows_of: str):
     """Rows and events of a task's part, by tree: the cells that are not zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +154,7 @@ def _count(levels: dict[int, Level], columns: Columns, years: int):
                 on, place = on[is_open], place[is_open]
                 own = v.columns[place]
                 cell = (v.base[place] + columns.bins(x, own, on[:, None])) * years + y[on, None]
-                for out, value in zip(sums[t], (w[on], w[on] * e[on], drawn(b, "c", t)[on])):
+                for out, value in zip(sums[t], (w[on], w[on] * e[on], drawn(b, rows_of, t)[on])):
                     out += np.bincount(cell.ravel(), np.repeat(value, own.shape[1]), len(out))
         rows = []
         for t, (n, d, c) in sums.items():
@@ -165,7 +166,7 @@ def _count(levels: dict[int, Level], columns: Columns, years: int):
     return run
 
 
-def _split(levels: dict[int, Level], columns: Columns, years: int, last: bool, min_split: int, min_leaf: int):
+def _split(levels: dict[int, Level], columns: Columns, years: int, last: bool, min_split: int, min_leaf: int, gain: Callable, kept: Callable):
     """Best cut, or the hazard of a leaf, for each open node of a tree."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -186,13 +187,13 @@ def _split(levels: dict[int, Level], columns: Columns, years: int, last: bool, m
                 if last or count.sum() < min_split or len(count) < 2:
                     continue
                 left = np.cumsum(count)[:-1]
-                stat = logrank(np.cumsum(n[s], axis=0)[:-1], np.cumsum(d[s], axis=0)[:-1], all_n, all_d)
+                stat = gain(np.cumsum(n[s], axis=0)[:-1], np.cumsum(d[s], axis=0)[:-1], all_n, all_d)
                 stat[(left < min_leaf) | (count.sum() - left < min_leaf)] = 0
                 k = int(np.argmax(stat))
                 if stat[k] > best * (1 + 1e-9):
                     best, found = float(stat[k]), (c, k)
             s = slice(base[0], base[0] + columns.width[own[0]])
-            out.append((t, node, *found, None) if found else (t, node, -1, 0, nelson_aalen(n[s].sum(axis=0), d[s].sum(axis=0)).tobytes()))
+            out.append((t, node, *found, None) if found else (t, node, -1, 0, kept(n[s].sum(axis=0), d[s].sum(axis=0)).tobytes()))
         return pd.DataFrame(out, columns=[x.split()[0] for x in CUTS.split(", ")])
 
     return run
@@ -233,32 +234,40 @@ class Forest:
         return rows.mapInArrow(run, f"{types}, hazard array<double>")
 
 
-def _part(cells: DataFrame, trees: dict[int, Level]) -> DataFrame:
+def _part(cells: DataFrame, trees: dict[int, Level], rows_of: str) -> DataFrame:
     """The columns that counts of these trees need."""
-    return cells.select(YEAR, FLAG, BINS, *[f"{n}{k}" for k in sorted({t // DRAWS for t in trees}) for n in ("w", "c")])
+    return cells.select(YEAR, FLAG, BINS, *[f"{n}{k}" for k in sorted({t // DRAWS for t in trees}) for n in sorted({"w", rows_of})])
 
 
 def fit(table: Table, encoder: Encoder, trees: int = TREES, levels: int = LEVELS, min_split: int = MIN_SPLIT, min_leaf: int = MIN_LEAF, seed: int = 0, counts: int = COUNTS) -> Forest:
-    """A forest; a level of a group of trees is one job."""
-    columns = Columns(encoder)
-    model = Forest(encoder, columns, [Tree() for _ in range(trees)], table.years)
+    """A forest of log-rank trees."""
+    return grow(bootstrapped(table, seed, trees), encoder, trees, levels, min_split, min_leaf, seed, counts, logrank, nelson_aalen, "c")
+
+
+def grow(cells: Table, encoder: Encoder, trees: int, levels: int, min_split: int, min_leaf: int, seed: int, counts: int, gain: Callable, kept: Callable, rows_of: str) -> Forest:
+    """A forest on merged rows; a level of a group of trees is one job.
+
+    ``gain`` rates cuts, ``kept`` is what a leaf keeps, both from weights and weights of events by year; ``rows_of`` is
+    the draw that says how many rows of a merged row count towards ``min_split`` and ``min_leaf``.
+    """
+    columns, years = Columns(encoder), cells.years
+    model = Forest(encoder, columns, [Tree() for _ in range(trees)], years)
     open_nodes = {t: [0] for t in range(trees)}
-    cells = bootstrapped(table, seed, trees)
     for depth in range(levels + 1):
         plans = {t: Level.of(model.trees[t], nodes, columns, seed, t, depth == levels) for t, nodes in open_nodes.items() if nodes}
         todo, open_nodes = list(plans), {}
         while todo:
             group, size = {}, 0
-            while todo and (not group or size + 3 * plans[todo[0]].cells * table.years <= counts):
+            while todo and (not group or size + 3 * plans[todo[0]].cells * years <= counts):
                 t = todo.pop(0)
                 group[t] = plans[t]
-                size += 3 * plans[t].cells * table.years
+                size += 3 * plans[t].cells * years
             # fewer scan tasks than cores: tasks for parts of the group read the table side by side
-            shares = min(len(group), max(1, table.df.sparkSession.sparkContext.defaultParallelism // max(cells.tasks, 1)))
+            shares = min(len(group), max(1, cells.df.sparkSession.sparkContext.defaultParallelism // max(cells.tasks, 1)))
             size = -(-len(group) // shares)  # neighbouring trees: a part reads only its own columns of weights
             parts = [dict(list(group.items())[k : k + size]) for k in range(0, len(group), size)]
-            found = reduce(DataFrame.union, [_part(cells.df, p).mapInArrow(_count(p, columns, table.years), CELLS) for p in parts])
-            cuts = found.groupBy("tree").applyInPandas(_split(group, columns, table.years, depth == levels, min_split, min_leaf), CUTS)
+            found = reduce(DataFrame.union, [_part(cells.df, p, rows_of).mapInArrow(_count(p, columns, years, rows_of), CELLS) for p in parts])
+            cuts = found.groupBy("tree").applyInPandas(_split(group, columns, years, depth == levels, min_split, min_leaf, gain, kept), CUTS)
             for r in sorted(cuts.collect(), key=lambda r: (r["tree"], r["node"])):
                 tree = model.trees[r["tree"]]
                 if r["column"] < 0:

@@ -61,18 +61,28 @@ class Encoder:
     def is_level(self) -> list[bool]:
         return [False] * len(self.numeric) + [True] * len(self.categorical)
 
-    def fit(self, df: DataFrame, max_bins: int = MAX_BINS, max_levels: int = MAX_LEVELS) -> Encoder:
+    def fit(self, df: DataFrame, max_bins: int = MAX_BINS, max_levels: int = MAX_LEVELS, own_bins: bool = False) -> Encoder:
+        """``own_bins``: each value of a number with few values has its bin, however rare; quantiles may join rare ones."""
         probs = [k / max_bins for k in range(1, max_bins)]
         got = df.approxQuantile(self.numeric, probs, 0.2 / max_bins) if self.numeric else []
         top = df.agg(*[F.max(c).alias(c) for c in self.numeric]).first() if self.numeric else []
         # an edge at the greatest value would leave its bin's other side empty
         self.edges = [sorted({x for x in q if m is not None and x < m}) for q, m in zip(got, top)]
+        if own_bins and self.numeric:
+            self.edges = [e if v is None else v for e, v in zip(self.edges, self._few_values(df, max_bins))]
         self.levels = []
         for c in self.categorical:
             v = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count()
             self.levels.append([r["v"] for r in v.orderBy(F.desc("count"), "v").limit(max_levels).collect()])
         return self
 
+    def _few_values(self, df: DataFrame, max_bins: int) -> list[list[float] | None]:
+        """For each number, all its values but the greatest if they are at most ``max_bins``, else none."""
+        about = df.agg(*[F.approx_count_distinct(c).alias(c) for c in self.numeric]).first()
+        few = [c for c in self.numeric if about[c] <= 2 * max_bins]
+        got = df.agg(*[F.sort_array(F.collect_set(F.col(c).cast("double"))).alias(c) for c in few]).first() if few else {}
+        return [got[c][:-1] if c in few and len(got[c]) <= max_bins else None for c in self.numeric]
+
     def bins(self) -> Column:
         """Array with the bin of each feature; a null number falls into the first bin."""
         cols = [_range_id(F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))), e) for c, e in zip(self.numeric, self.edges)]

@@ -498,3 +498,97 @@ def test_every_permuted_copy_is_judged_on_all_rows(spark, monkeypatch):
     base, copies = seen
     per = {(r["feature"], r["repeat"]): (r["n"], r["e"]) for r in copies.groupBy("feature", "repeat").agg(F.count("proba").alias("n"), F.sum("event").alias("e")).collect()}
     assert len(per) == 10 and set(per.values()) == {(base.count(), base.agg(F.sum("event")).first()[0])}
+
+
+def years_of(spark, n):
+    """Person-years of rows with few different cells, as the hazard models get them."""
+    from survkit.operators import models as M
+
+    return M.person_period(coarse(spark, n)[0])
+
+
+def brute_gini(x, n, d, columns, seed, no, levels, min_leaf):
+    """Recursion over cells with weights n and failures d: cuts and leaf shares by depth-first path."""
+    impure = lambda n, d: 1 - (d / n) ** 2 - (1 - d / n) ** 2
+    cuts, leaves, queue, made = {}, {}, [("", np.flatnonzero(n), 0)], 1
+    while queue:
+        path, on, node = queue.pop(0)
+        best, all_n, all_d = None, n[on].sum(), d[on].sum()
+        for c in columns.sample(seed, no, node).tolist() if len(path) < levels else []:
+            b = columns.bins(x[on], np.full(len(on), c))
+            for cut in range(columns.width[c] - 1):
+                left = b <= cut
+                nl, dl = n[on][left].sum(), d[on][left].sum()
+                if nl >= min_leaf and all_n - nl >= min_leaf:
+                    gain = impure(all_n, all_d) - nl / all_n * impure(nl, dl) - (1 - nl / all_n) * impure(all_n - nl, all_d - dl)
+                    if gain > 1e-12 and (best is None or gain > best[0] * (1 + 1e-9)):
+                        best = gain, c, cut, left
+        if best:
+            cuts[path] = best[1:3]
+            queue += [(path + "l", on[best[3]], made), (path + "r", on[~best[3]], made + 1)]
+            made += 2
+        else:
+            leaves[path] = all_d / all_n
+    return cuts, leaves
+
+
+def test_hazard_trees_equal_brute_force_and_score_by_their_leaves(spark):
+    from survkit.learners import hazard
+
+    rows = years_of(spark, 500)
+    enc = table.Encoder(["x1", "x2", "k"], ["cat"]).fit(rows, own_bins=True)
+    plain = rows.select(enc.bins().alias("b"), F.col("label").cast("int").alias("l"))
+    kinds = plain.groupBy("b", "l").agg(F.count("*").alias("n")).select("b", "l", "n", F.xxhash64("b", "l").alias("h")).collect()
+    x, label = np.array([r["b"] for r in kinds]), np.array([r["l"] for r in kinds])
+    w = np.array([hazard.weights(r["h"], r["n"], 3, 30) for r in kinds])
+    model = hazard.HazardForest(30, seed=3, levels=3).fit(rows, enc.numeric, enc.categorical)
+    forest_of, cut = model.trees, 0
+    for no in (0, 24, 25, 29):
+        cuts, leaves = brute_gini(x, w[:, no], w[:, no] * label, forest_of.columns, 3, no, 3, hazard.MIN_LEAF)
+        got_cuts, got_leaves = paths(forest_of.trees[no])
+        assert got_cuts == cuts and set(got_leaves) == set(leaves) and all(np.allclose(got_leaves[p], leaves[p]) for p in leaves)
+        cut += len(cuts)
+    assert cut >= 8
+    want = np.mean([np.array([h[0] if h is not None else 0 for h in t.hazard])[forest_of.columns.descend(x, t.arrays())] for t in forest_of.trees], axis=0)
+    assert np.allclose(hazard.Scorer(forest_of, 3).of(x), want)
+
+
+def test_hazard_forest_keeps_cells_not_person_years(spark):
+    from survkit.learners import hazard
+
+    rows = years_of(spark, 300)
+    enc = table.Encoder(["x1", "x2", "k"], ["cat"]).fit(rows, own_bins=True)
+    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(40))))
+    one, many = (hazard.bootstrapped(r, enc, "label", 0, 60) for r in (rows, copies))
+    a, b = one.df.count(), many.df.toPandas()
+    assert a == len(b) < rows.count() / 2 and many.rows == 40 * one.rows == b["rows"].sum()
+    # the bootstrap is that of single person-years: a sum of n Poisson(1) numbers
+    w = np.hstack([np.array([np.frombuffer(v, "<u4") for v in b[c]]) for c in ("w0", "w1", "w2")]).astype(float)
+    z = (w - b["rows"].to_numpy()[:, None]) / np.sqrt(b["rows"].to_numpy())[:, None]
+    assert w.shape[1] == 60 and abs(z.mean()) < 0.05 and abs(z.var() - 1) < 0.1
+    assert (np.diff(w, axis=1) != 0).any(axis=1).all()
+
+
+def test_hazard_forest_tells_rare_failures_apart(spark):
+    """No leaf has a failure share above one half: the scores still differ and rank held-out rows."""
+    from survkit.operators import models as M
+
+    def named(df):
+        df = df.withColumnsRenamed({"x1": "size_mm_std", "x2": "install_year_std"})
+        return df.withColumn(S.REGION, F.col("cat")).withColumn(S.MATERIAL_AGE, F.col("cat"))
+
+    model = M.fit_hazard(named(simulated(spark, 2000)), M.forest(40))
+    test = named(simulated(spark, 500, 9))
+    proba = M.horizon_scores(model, test, 2, [S.ID])
+    rows = proba.join(test, S.ID)
+    assert rows.count() == 500 and rows.select("proba").distinct().count() > 50
+    # a risk high early is a life cut short
+    assert c_index(rows.withColumn(S.START, F.lit(2000))) > 0.7
+    curve = M.horizon_risk(M.survival_curves(model, test, 2, [S.ID]), 2, [S.ID]).withColumnRenamed("proba", "other")
+    assert proba.join(curve, S.ID).where(F.abs(F.col("proba") - F.col("other")) > 1e-9).count() == 0
+
+
+def test_few_values_have_their_own_bins_however_rare(spark):
+    df = spark.range(20000).select(F.when(F.col("id") < 5, F.col("id") + 2).otherwise(1).cast("int").alias("a"), F.col("id").cast("double").alias("b"))
+    enc = table.Encoder(["a", "b"], []).fit(df, max_bins=8, own_bins=True)
+    assert enc.edges[0] == [1, 2, 3, 4, 5] and enc.widths[1] == 8
