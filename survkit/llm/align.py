@@ -34,8 +34,8 @@ from pyspark.taskcontext import TaskContext
 
 from .common import read, store
 
-#: Characters of text in a block, about.
-BLOCK_CHARS = 4_000_000
+#: Characters of text in a block, and of those that are aligned at once, about.
+BLOCK_CHARS, AT_ONCE_CHARS = 4_000_000, 500_000
 #: Distinct pairs of blocks that a bin adds up, about; at least LEAST_BINS bins.
 BIN_PAIRS = 1_000_000
 LEAST_BINS = 64
@@ -253,14 +253,21 @@ def _blocks(docs: DataFrame, a_file: str, b_file: str, most: int) -> DataFrame:
         for batch in batches:
             own, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in _split(texts, most):
-                x = Aligned(texts[part], first, second)
-                pairs, link, count = np.unique(x.a[x.link_a] * wide + x.b[x.link_b], return_inverse=True, return_counts=True)
+                numbers, digest, codes = [[], [], []], [], []
+                # the lists of tokens and their offsets exist for a part of the block at a time
+                for some in _split(texts[part], AT_ONCE_CHARS):
+                    x = Aligned(texts[part][some], first, second)
+                    for n, y in zip(numbers, (x.to_a, x.to_b, x.to_group)):
+                        n += np.diff(y, prepend=0).tolist()
+                    digest += x.digests(digits)
+                    codes.append(x.a[x.link_a] * wide + x.b[x.link_b])
+                    del x
+                pairs, link, count = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
                 # frequent pairs first: small numbers, which compress well
                 order = np.argsort(-count, kind="stable")
                 place = np.empty(len(order), np.int64)
                 place[order] = np.arange(len(order))
-                numbers = [np.diff(y, prepend=0).tolist() for y in (x.to_a, x.to_b, x.to_group)]
-                row = [no, own[part], *numbers, x.digests(digits), len(pairs), pairs[order].astype("<u8").tobytes(), *_narrow(count[order]), *_narrow(place[link])]
+                row = [no, own[part], *numbers, digest, len(pairs), pairs[order].astype("<u8").tobytes(), *_narrow(count[order]), *_narrow(place[link])]
                 yield pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds)], names)
                 no += 1
 
@@ -275,7 +282,7 @@ def _bins(pairs: np.ndarray, bins: int) -> np.ndarray:
 def _ask(bins: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 pairs, counts = np.frombuffer(r["pairs"], "<u8"), np.frombuffer(r["counts"], r["kind"])
                 bin_ = _bins(pairs, bins)
                 order = np.argsort(bin_, kind="stable")
@@ -314,7 +321,7 @@ LINKED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 def linked(docs: DataFrame, a_file: str | None = None, b_file: str | None = None, block_chars: int = BLOCK_CHARS, bin_pairs: int = BIN_PAIRS) -> DataFrame:
     """Per document: token, group and link numbers, links whose pair is the most frequent of its B id, sum of pair counts, digest."""
     a_file, b_file = a_file or byte_bpe_file(), b_file or piece_file()
-    t = store(_blocks(docs, a_file, b_file, block_chars), "align-blocks")
+    t = store(_blocks(docs, a_file, b_file, block_chars), "align-blocks", large_rows=True)
     asked = t.agg(F.sum("n_pairs")).first()[0] or 0
     bins, wide = max(LEAST_BINS, -(-asked // bin_pairs)), len(loaded(Pieces, b_file).bytes)
     messages = t.where("n_pairs > 0").select("block", "pairs", "kind", "counts").mapInArrow(_ask(bins), "bin int, block long, pairs binary, kind string, counts binary")

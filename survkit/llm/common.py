@@ -40,11 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+#: Write options for rows of some megabytes: by default a file's buffered bytes are looked at every 100 rows only, and
+#: a reader takes up to 4,096 rows of a row group at once. With these a row group has few such rows.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
+
+def store(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: computed once, lineage cut, safe to lose executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(LARGE_ROWS if large_rows else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -126,3 +126,28 @@ def test_groups_are_whole(spark):
         for x, y in zip(r["a_to"], r["b_to"]):
             assert b"".join(first.bytes[i] for i in r["a_ids"][p:x]) == b"".join(second.bytes[i] for i in r["b_ids"][q:y])
             p, q = x, y
+
+
+def test_a_row_group_holds_few_blocks(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(0)
+    words = np.array([f"w{k:x}" for k in range(1 << 16)])
+    docs = frame(spark, [(k, " ".join(words[rng.integers(0, len(words), 100_000)])) for k in range(12)]).coalesce(1)
+    seen, store = [], align.store
+
+    def kept(df, name, **kw):
+        seen.append((name, store(df, name, **kw)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(align, "store", kept)
+    monkeypatch.setitem(common.LARGE_ROWS, "parquet.block.size", str(2 << 20))
+    monkeypatch.setattr(align, "AT_ONCE_CHARS", 100_000)
+    got = rows(align.linked(docs, block_chars=500_000))
+    blocks = dict(seen)["align-blocks"]
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+    groups = [f.row_group(k) for f in files for k in range(f.num_row_groups)]
+    # a reader holds a row group's rows: their bytes are bounded, not their number times a block
+    assert sum(g.num_rows for g in groups) == 12 and max(g.total_byte_size for g in groups) <= 4 << 20 < sum(g.total_byte_size for g in groups)
+    monkeypatch.setattr(align, "AT_ONCE_CHARS", 1 << 30)
+    assert got == rows(align.linked(docs, block_chars=500_000))
