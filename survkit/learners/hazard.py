@@ -8,7 +8,7 @@ failures, a forest's hazard is the mean over its trees.  The trees grow by ``for
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,8 +54,13 @@ def bootstrapped(rows: DataFrame, encoder: Encoder, label: str, seed: int, trees
     flagged = rows.select(encoder.bins().alias(BINS), F.col(label).cast("int").alias(FLAG)).where(F.col(FLAG).isNotNull())
     counted = flagged.groupBy(BINS, FLAG).agg(F.count(F.lit(1)).alias(COUNT))
     counted = store(counted.select(F.xxhash64(BINS, FLAG).alias(ROW), F.lit(0).alias(YEAR), FLAG, BINS, COUNT), "hazard-cells")
+    return drawn_cells(counted, trees, lambda cell, n: weights(cell, n, seed, trees))
+
+
+def drawn_cells(counted: DataFrame, draws: int, draw: Callable[[int, int], np.ndarray]) -> Table:
+    """A stored table of cells with ``draws`` numbers each, which ``draw`` makes from a cell's own number and its rows."""
     cells, total = counted.agg(F.count(F.lit(1)), F.sum(COUNT)).first()
-    blocks = [range(k, min(k + DRAWS, trees)) for k in range(0, trees, DRAWS)]
+    blocks = [range(k, min(k + DRAWS, draws)) for k in range(0, draws, DRAWS)]
     names = [YEAR, FLAG, BINS, COUNT, *[f"w{k}" for k in range(len(blocks))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,13 +68,13 @@ def bootstrapped(rows: DataFrame, encoder: Encoder, label: str, seed: int, trees
             if not b.num_rows:
                 continue
             numbers = zip(b.column(ROW).to_pylist(), b.column(COUNT).to_pylist())
-            w = np.array([weights(cell, n, seed, trees) for cell, n in numbers], "<u4")
+            w = np.array([draw(cell, n) for cell, n in numbers], "<u4")
             own = [pa.array([r.tobytes() for r in w[:, block.start : block.stop]], pa.binary()) for block in blocks]
             yield pa.record_batch([*(b.column(c) for c in names[:4]), *own], names)
 
     kinds = {f.name: f.dataType.simpleString() for f in counted.schema.fields}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in names[:4]), *(f"{c} binary" for c in names[4:])])
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-cells // TASK_CELLS))
+    tasks = max(counted.sparkSession.sparkContext.defaultParallelism, -(-cells // TASK_CELLS))
     t = store(counted.repartition(tasks, ROW).mapInArrow(run, schema), "learner-cells")
     return Table(t, total or 0, 1, t.rdd.getNumPartitions())
 

@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from survkit import schema as S
@@ -601,3 +601,69 @@ def test_person_years_of_a_task_are_bounded_beside_empty_tasks(spark):
     ep = full.union(full.where("false").repartition(20))  # many tasks, one of which holds all rows
     per = [r["count"] for r in M.person_period(M.dealt(ep, 400)).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(per) == 4000 and max(per) < 800
+
+
+def named_cells(spark, n):
+    """Episodes with few different cells and the hazard models' columns."""
+    df = coarse(spark, n)[0].withColumnsRenamed({"x1": "size_mm_std", "x2": "install_year_std"})
+    return df.withColumn(S.REGION, F.col("cat")).withColumn(S.MATERIAL_AGE, F.concat("cat", F.pmod(F.xxhash64(S.ID), F.lit(2)).cast("string")))
+
+
+def test_boosted_stumps_equal_brute_force(spark, monkeypatch):
+    from survkit.learners import boost
+    from survkit.operators import models as M
+
+    ep = named_cells(spark, 400).where(F.col(S.DURATION) < 40)
+    found, rounds = [], boost.rounds
+    monkeypatch.setattr(boost, "rounds", lambda *a: (found.append((a, rounds(*a))), found[-1][1])[1])
+    model = M.fit_hazard(ep, M.boosting(max_iter=30, seed=3))
+    (table_, shape, *_), tables = found[0]
+    cells = table_.df.toPandas()
+    assert cells["rows"].sum() == M.person_period(ep).count() and len(tables) == 6 and any(t.any() for t in tables)
+    x, y, n = np.array(cells["bins"].tolist()), 2.0 * cells["flag"].to_numpy() - 1, cells["rows"].to_numpy()
+    f = np.zeros(len(n))
+    for no in range(30):
+        w = np.array([np.frombuffer(v, "<u4")[no % 25] for v in cells[f"w{no // 25}"]]).astype(float)
+        assert (w <= n).all()
+        r = y if no == 0 else 4 * y / (1 + np.exp(2 * y * f))
+        best = None
+        for c, (width, level) in enumerate(zip(shape.widths, shape.is_level)):
+            for cut in range(width if level else width - 1):
+                left = x[:, c] == cut if level else x[:, c] <= cut
+                if w[left].sum() and w[~left].sum():
+                    means = [np.average(r[s], weights=w[s]) for s in (left, ~left)]
+                    fit = np.where(left, *means)
+                    loss = (w * (r - fit) ** 2).sum()
+                    if best is None or loss < best[0] - 1e-9 * abs(best[0]):
+                        best = loss, fit
+        f += best[1] * (1 if no == 0 else 0.5)
+    assert np.allclose(sum(t[x[:, k]] for k, t in enumerate(tables)), f)
+    # scanned by tasks: the same tables
+    monkeypatch.setattr(boost, "LOCAL_BYTES", 0)
+    assert all(np.allclose(a, b) for a, b in zip(tables, rounds(table_, shape, 30, 0.5)))
+    # an episode's own curve and score are those of the rows scored a year at a time, copied episodes included
+    test = named_cells(spark, 60).limit(40).withColumn("size_mm_std", F.when(F.col("size_mm_std") > 0, F.col("size_mm_std"))).cache()
+    keys = [S.ID]
+    grid = model.transform(test.withColumn("k", F.explode(F.sequence(F.lit(0), F.col(S.DURATION) + 2))))
+    want = {(r[0], r[1]): r[2] for r in grid.select(S.ID, "k", vector_to_array("probability")[1]).collect()}
+    got = M.survival_curves(model, test, 2, keys)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r[S.ID], r["k"]): r["hazard"] for r in got.collect()} == pytest.approx(want) and len(want) == grid.count()
+    risk = {r[S.ID]: r["proba"] for r in M.horizon_risk(got, 2, keys).collect()}
+    assert {r[S.ID]: r["proba"] for r in M.horizon_scores(model, test, 2, keys).collect()} == pytest.approx(risk)
+    rows, coded = model.stages[0].coded(test)
+    assert dict(rows.dtypes)["size_mm_std"] == dict(rows.dtypes)[S.REGION] == "smallint"
+    assert sorted(r[1] for r in coded.transform(rows.withColumn("k", F.lit(1))).select(S.ID, vector_to_array("probability")[1]).collect()) == pytest.approx(
+        sorted(r[1] for r in model.transform(test.withColumn("k", F.lit(1))).select(S.ID, vector_to_array("probability")[1]).collect()))
+
+
+def test_boosting_passes_over_cells_not_person_years(spark):
+    from survkit.learners import boost
+
+    ep = named_cells(spark, 200)
+    enc = table.Encoder(["size_mm_std"], [S.REGION]).fit(ep, own_bins=True)
+    one = boost.cells(ep, enc, [1.0, 5.0])
+    many = boost.cells(ep.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(40)))), enc, [1.0, 5.0])
+    assert one.count() == many.count() < ep.count() and many.agg(F.sum("rows")).first()[0] == 40 * one.agg(F.sum("rows")).first()[0]
+    w = np.array([boost.bag(7, 50, 1, 4000, 0.5), boost.bag(8, 50, 1, 4000, 0.5)])
+    assert abs(w.mean() - 25) < 0.2 and abs(w.var() - 12.5) < 1 and (w[0] != w[1]).any()
