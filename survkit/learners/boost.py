@@ -51,6 +51,8 @@ class Stumps:
     levels: list[list[str]]
     year_edges: list[float]
     tables: list[list[float]]
+    #: Whether numeric columns hold bins already.
+    coded: bool = False
 
     @property
     def encoder(self) -> Encoder:
@@ -66,7 +68,8 @@ class Stumps:
         """Rows' sums over all features but the years."""
         out = np.zeros(len(features))
         for k, e in enumerate(self.edges):
-            out += np.asarray(self.tables[k])[np.searchsorted(e, features.field(k).to_numpy(zero_copy_only=False))]
+            v = features.field(k).to_numpy(zero_copy_only=False)
+            out += np.asarray(self.tables[k])[v.astype(np.int64) if self.coded else np.searchsorted(e, v)]
         for k, v in enumerate(self.levels, len(self.edges)):
             at = pc.fill_null(pc.index_in(features.field(k).cast(pa.string()), value_set=pa.array(v, pa.string())), -1)
             out += np.asarray(self.tables[k])[at.to_numpy(zero_copy_only=False) + 1]
@@ -145,7 +148,7 @@ class BoostedHazard(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         bins = df.withColumn("_bins", own.encoder.bins())
         out = bins.select(*[F.get("_bins", names.index(c)).cast("short").alias(c) if c in names else F.col(c) for c in df.columns])
         # bin k has k of the edges 0, 1, .. below it
-        return out, BoostedHazard(Stumps(names, [], [[float(k) for k in range(w - 1)] for w in widths], [], own.year_edges, own.tables), year)
+        return out, BoostedHazard(Stumps(names, [], [[float(k) for k in range(w - 1)] for w in widths], [], own.year_edges, own.tables, True), year)
 
 
 @dataclass

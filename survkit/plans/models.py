@@ -492,9 +492,9 @@ PERM_FEATURES = [S.START, "size_mm_std", "install_year_std", S.REGION, S.MATERIA
 def perm_importance(spark, sf_dir):
     """AUC drop when one feature column of the test table is permuted (15 seeded repeats).
 
-    All (feature, repeat) copies are scored in one job.  A permutation is
-    built by distributed running counts: each (feature, repeat) orders the
-    rows by a seeded hash and the values travel to the row of the same rank.
+    The model sees only the features' bins, so they are permuted in place of the
+    values: short numbers, dealt to the rows without a join.  All (feature,
+    repeat) copies are scored in one job.
     """
     from ..operators.permute import permuted_copies
 
@@ -503,10 +503,12 @@ def perm_importance(spark, sf_dir):
     model = M.fit_hazard(learn, M.boosting())
     tr = truth_first(d).select(S.ID, S.START, F.col(S.EVENT).alias("true_event"))
     # the truth goes with its row: the start year is a key and a permuted feature, a second join would lose rows
-    test = store(test.join(tr, KEYS, "inner").select(*KEYS, *[c for c in PERM_FEATURES if c not in KEYS], S.DURATION, "true_event"), "perm-test")
+    test = test.join(tr, KEYS, "inner").select(F.xxhash64(*KEYS).alias("row"), *PERM_FEATURES, S.DURATION, "true_event")
+    test, model = M.boosted(model).coded(test)
+    test = store(test, "perm-test")
     base = M.horizon_scores(model, test, P, ["true_event"])
     base_auc = EV.auc(base.select("proba", F.col("true_event").alias("event")))
-    copies = permuted_copies(test, PERM_FEATURES, PERM_REPEATS, keys=KEYS)
+    copies = permuted_copies(test, PERM_FEATURES, PERM_REPEATS, keys=["row"])
     risk = M.horizon_scores(model, copies, P, ["feature", "repeat", "true_event"])
     aucs = EV.auc(risk.select("feature", "repeat", "proba", F.col("true_event").alias("event")),
                   group_cols=["feature", "repeat"])

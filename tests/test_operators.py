@@ -385,3 +385,30 @@ def test_concordance_of_other_times(spark):
     assert EV.concordance(df).first()["c_index"] == pytest.approx(_brute_cindex(t, e, s))
     far = spark.createDataFrame([(1, 1, 5.0), (1 << 40, 0, 2.0), (1 << 40, 1, 7.0)], "duration long, event int, proba double")
     assert EV.concordance(far).first()["comparable"] == 3
+
+
+def test_short_numbers_are_dealt_without_a_join(spark, monkeypatch):
+    from survkit.operators import permute
+
+    monkeypatch.setattr(permute, "LEAST_BLOCK", 30)
+    rows = [(f"k{i}", i % 7, None if i % 5 == 0 else i % 3, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id string, a short, b byte, c int")
+    plan = permuted_copies(df, ["a", "b"], 3, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    one, other = (permuted_copies(x, ["a", "b"], 3, ["id"], seed=4) for x in (df.coalesce(1), df.repartition(9)))
+    assert one.dtypes == [("feature", "string"), ("repeat", "int"), *df.dtypes]
+    one, other = (sorted(map(tuple, x.collect()), key=str) for x in (one, other))
+    assert one == other and len(one) == 2 * 3 * 2000
+    by = {}
+    for f, r, i, a, b, c in one:
+        by.setdefault((f, r), {})[i] = a, b, c
+    images = set()
+    for (f, r), got in by.items():
+        assert all(got[i][2] == c and got[i][f == "a"] == (b if f == "a" else a) for i, a, b, c in rows)
+        at = 0 if f == "a" else 1
+        assert sorted(map(str, (v[at] for v in got.values()))) == sorted(str(x[1 + at]) for x in rows)
+        images.add(tuple(str(got[i][at]) for i, *_ in rows))
+        same = np.mean([got[x[0]][at] == x[1 + at] for x in rows])
+        assert abs(same - (1 / 7 if f == "a" else 0.253)) < 0.05
+    assert len(images) == 6
+    assert permuted_copies(df.where("false"), ["a"], 2, ["id"]).count() == 0
