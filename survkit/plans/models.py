@@ -7,16 +7,14 @@ brute force, the others are Spark ML re-aims of the source's estimators.
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.classification import OneVsRest
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import evaluate as EV
 from ..operators import features as FE
 from ..operators import models as M
-from ..learners import aft, coxboost, forest, nystrom, ranksvm, table
+from ..learners import aft, coxboost, forest, nystrom, ranksvm, svc, table
 from ..operators.episodes import jitter_events
 from ..session import ensure_checkpoint_dir, store
 from .base import MATERIAL_AGES, REGIONS, Data, query, sql
@@ -398,12 +396,16 @@ def model_regression_svm(spark, sf_dir):
     return _with_truth(d, pred)
 
 
-def _svc_scores(model, test):
-    from pyspark.ml.functions import vector_to_array
+GRID_FOLDS = 3
 
+
+def _svc_scores(rows, kernels, best, test):
+    """Decision values of the problem's model, fitted on all rows."""
+    weights, intercept = svc.solve(rows, kernels, [best])[0]
     # decision value of class 1; the source reports minus it as "proba" (sign kept explicit)
-    raw = vector_to_array("rawPrediction")[1]
-    return model.transform(test).select(*KEYS, raw.alias("decision"), (-raw).alias("proba"))
+    raw = F.col("prediction")
+    line = M.Line(weights, intercept, "features", kernels[best.kernel])
+    return line.transform(test).select(*KEYS, raw.alias("decision"), (-raw).alias("proba"))
 
 
 @query("model_classifier")
@@ -411,31 +413,21 @@ def model_classifier(spark, sf_dir):
     """Linear SVM on rbf Nyström features, label = event; proba = minus decision value (source sign)."""
     d = Data(spark, sf_dir)
     learn, test, kernels = _kernel_frames(d, shift_duration=True)
-    learn, test = (kernels["scale"].transform(x, "features", "kernel_scale") for x in (learn, test))
-    learn = learn.withColumn("label", F.col(S.EVENT).cast("double"))
-    n = learn.count()
-    model = M.linear_svc(reg=1.0 / (0.1 * n), features="kernel_scale").fit(learn)
-    return _with_truth(d, _svc_scores(model, test))
+    rows = svc.rows_of(learn, "features", S.EVENT)
+    n = rows.count()
+    return _with_truth(d, _svc_scores(rows, kernels, svc.Problem("scale", 1.0 / (0.1 * n)), test))
 
 
 @query("model_grid_search")
 def model_grid_search(spark, sf_dir):
-    """C x gamma grid (8 combinations) on jittered rows by 3-fold cross-validation, evaluated in parallel."""
+    """C x gamma grid (8 combinations) on jittered rows by 3-fold cross-validation, all fits in the same scans."""
     d = Data(spark, sf_dir)
     learn, test, kernels = _kernel_frames(d, shift_duration=True, jitter=True)
-    from pyspark.ml import Pipeline
-
-    learn = learn.withColumn("label", F.col(S.EVENT).cast("double"))
-    n = learn.count()
-    svc = M.linear_svc(features="kernel_scale")
-    grid = (ParamGridBuilder().addGrid(svc.regParam, [1.0 / (c * n) for c in SVC_C])
-            .addGrid(svc.featuresCol, ["kernel_scale", "kernel_auto"]).build())
-    # the folds keep the kernels' inputs, not their features
-    steps = Pipeline(stages=[nystrom.Kernels(kernels, "features"), svc])
-    cv = CrossValidator(estimator=steps, estimatorParamMaps=grid, numFolds=3, parallelism=4, seed=0,
-                        evaluator=BinaryClassificationEvaluator(labelCol="label"))
-    best = cv.fit(learn).bestModel
-    return _with_truth(d, _svc_scores(best, test))
+    rows = svc.rows_of(learn, "features", S.EVENT, GRID_FOLDS)
+    n = rows.count()
+    grid = [(kernel, 1.0 / (c * n)) for c in SVC_C for kernel in ("scale", "auto")]
+    best, _ = svc.cross_validated(rows, kernels, grid, GRID_FOLDS)
+    return _with_truth(d, _svc_scores(rows, kernels, best, test))
 
 
 @query("kernel_error")

@@ -667,3 +667,54 @@ def test_boosting_passes_over_cells_not_person_years(spark):
     assert one.count() == many.count() < ep.count() and many.agg(F.sum("rows")).first()[0] == 40 * one.agg(F.sum("rows")).first()[0]
     w = np.array([boost.bag(7, 50, 1, 4000, 0.5), boost.bag(8, 50, 1, 4000, 0.5)])
     assert abs(w.mean() - 25) < 0.2 and abs(w.var() - 12.5) < 1 and (w[0] != w[1]).any()
+
+
+def test_svms_fitted_side_by_side_reach_the_optimum_of_each(spark):
+    from survkit.learners import nystrom, svc
+    from survkit.operators import models as M
+
+    rng = np.random.default_rng(4)
+    df = vectors(spark, 600, 5).select("f", "a", (F.col("a")[0] + F.col("a")[1] * F.col("a")[1] / 2 + F.randn(3) > 0.4).cast("int").alias("label")).cache()
+    landmarks = nystrom.drawn(df, "f", 10)
+    kernels = {name: nystrom.of_landmarks(landmarks, g) for name, g in (("scale", 0.2), ("auto", 0.05))}
+    rows = svc.rows_of(df, "f", "label", 3)
+    problems = [svc.Problem(k, reg, fold) for k, reg, fold in (("scale", 1e-3, -1), ("scale", 1e-3, 0), ("auto", 1e-1, 2))]
+    models = svc.solve(rows, kernels, problems, steps=200)
+    t = rows.toPandas()
+    x, y, fold = np.array(t["x"].tolist()), 2 * t["label"].to_numpy() - 1, t["fold"].to_numpy()
+    assert len(x) == 600 and set(fold) == {0, 1, 2}
+
+    def value(p, w, b):
+        own = fold != p.fold
+        z = kernels[p.kernel].of(x[own])
+        return np.maximum(0, 1 - y[own] * (z @ w + b)).mean() + p.reg / 2 * ((w * z.std(axis=0, ddof=1)) ** 2).sum()
+
+    for p, (w, b) in zip(problems, models):
+        plain = kernels[p.kernel].transform(spark.createDataFrame([(int(l), v.tolist()) for l, v, o in zip(t["label"], x, fold) if o != p.fold], "label int, a array<double>").withColumn("f", array_to_vector("a")), "f", "z")
+        other = M.linear_svc(reg=p.reg, max_iter=200, features="z").fit(plain.withColumn("label", F.col("label").cast("double")))
+        best = value(p, other.coefficients.toArray(), other.intercept)
+        assert value(p, w, b) < best * 1.005 + 1e-9
+        assert all(value(p, w + 0.05 * rng.normal(size=len(w)), b + 0.05 * rng.normal()) > value(p, w, b) * 0.995 for _ in range(20))
+    alone = svc.solve(rows, kernels, problems[2:], steps=200)[0]
+    assert np.allclose(alone[0], models[2][0], rtol=1e-3, atol=1e-4)
+    held = [k for k, p in enumerate(problems) if p.fold != -1]
+    areas = svc.areas(rows, kernels, [problems[k] for k in held], [models[k] for k in held])
+    for a, k in zip(areas, held):
+        p, (w, b) = problems[k], models[k]
+        s, l = kernels[p.kernel].of(x[fold == p.fold]) @ w, y[fold == p.fold] > 0
+        gap = s[l][:, None] - s[~l][None, :]
+        assert abs(a - ((gap > 0) + (gap == 0) / 2).mean()) < 2e-3 and a > 0.6
+    best, mean = svc.cross_validated(rows, kernels, [("auto", 1e-1), ("scale", 1e-3)], 3, steps=5)
+    assert best.kernel == ["auto", "scale"][int(np.argmax(mean))] and best.fold == -1
+
+
+def test_grid_search_scans_do_not_grow_with_the_fits(spark, monkeypatch):
+    from survkit.learners import nystrom, svc
+
+    df = vectors(spark, 300, 6).withColumn("label", (F.col("a")[0] + F.randn(1) > 0).cast("int"))
+    kernels = {"scale": nystrom.fit(df, "f", 0.2, 8)}
+    rows = svc.rows_of(df, "f", "label", 3)
+    scans, plain = [], svc.vector_sums
+    monkeypatch.setattr(svc, "vector_sums", lambda *a: (scans.append(1), plain(*a))[1])
+    svc.solve(rows, kernels, [svc.Problem("scale", r, f) for r in (1e-3, 1e-2, 1e-1, 1) for f in (0, 1, 2)], steps=8)
+    assert len(scans) < 8 * 4
