@@ -39,11 +39,16 @@ def drawn(df: DataFrame, features: str, m: int, seed: int = 0) -> np.ndarray:
         share = min(1.0, share * 8)
 
 
-def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances between rows of a and b."""
     out = a @ (-2 * b.T)
     out += (a * a).sum(axis=1)[:, None]
     out += (b * b).sum(axis=1)
-    np.maximum(out, 0, out=out)
+    return np.maximum(out, 0, out=out)
+
+
+def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
+    out = distances(a, b)
     out *= -gamma
     return np.exp(out, out=out)
 

@@ -18,15 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import store
-from .nystrom import Nystrom
+from .nystrom import Nystrom, distances
 from .table import matrix, vector_sums
 
 #: Steps of a fit; it ends if the objective falls by less than this share in ``PATIENCE`` steps; differences it remembers.
 STEPS, TOLERANCE, PATIENCE, MEMORY = 50, 1e-6, 5, 10
 #: Lengths that are tried for a step.
 TRIALS = 12
-#: Rows whose kernel values are worked on at once.
-AT_ONCE = 1024
+#: Rows of a task, and those whose kernel values are worked on at once.
+TASK_ROWS = 100_000
+AT_ONCE = 256
 #: Cells of the score grid on which an area under the curve is counted; equal cells count one half.
 CELLS = 1 << 14
 
@@ -88,7 +89,9 @@ def minimised(x: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE) -
 def rows_of(df: DataFrame, features: str, label: str, folds: int = 0, seed: int = 0) -> DataFrame:
     """The stored input of the fits: label, a random fold per row, kernel inputs."""
     fold = F.floor(F.rand(seed) * folds).cast("int") if folds else F.lit(-1)
-    return store(df.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("label"), fold.alias("fold"), vector_to_array(features).alias("x")), "svc-rows")
+    rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("label"), fold.alias("fold"), vector_to_array(features).alias("x"))
+    # a few large files would leave each scan to as few tasks
+    return store(rows.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))), "svc-rows")
 
 
 def _scan(rows: DataFrame, size: int, add: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
@@ -102,6 +105,16 @@ def _scan(rows: DataFrame, size: int, add: Callable[[np.ndarray, np.ndarray, np.
     return vector_sums(rows, size, batch, rows.rdd.getNumPartitions())
 
 
+def _values(x: np.ndarray, kernels: dict[str, Nystrom]) -> dict[str, np.ndarray]:
+    """Each kernel's values of the rows of x; kernels on the same landmarks share the distances."""
+    out, known = {}, {}
+    for name, k in kernels.items():
+        if id(k.landmarks) not in known:
+            known[id(k.landmarks)] = distances(x, k.landmarks)
+        out[name] = np.exp(known[id(k.landmarks)] * -k.gamma)
+    return out
+
+
 def solve(rows: DataFrame, kernels: dict[str, Nystrom], problems: list[Problem], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[tuple[np.ndarray, float]]:
     """Weights of the kernel features and intercept of each problem."""
     used = {name: kernels[name] for name in dict.fromkeys(p.kernel for p in problems)}
@@ -143,8 +156,9 @@ def solve(rows: DataFrame, kernels: dict[str, Nystrom], problems: list[Problem],
         sizes = [len(own) * (len(inner) + 2) for own, inner, _, _ in groups.values()]
 
         def add(x: np.ndarray, y: np.ndarray, fold: np.ndarray, total: np.ndarray) -> None:
+            values = _values(x, {name: used[name] for name in groups})
             for part, (name, (own, inner, shift, left_out)) in zip(np.split(total, np.cumsum(sizes)[:-1]), groups.items()):
-                v, out = used[name].values(x), part.reshape(len(own), -1)
+                v, out = values[name], part.reshape(len(own), -1)
                 gap = 1 - y[:, None] * (v @ inner + shift)
                 on = (gap > 0) & ((left_out == -1) | (fold[:, None] != left_out))
                 r = np.where(on, -y[:, None], 0.0)
@@ -171,9 +185,9 @@ def areas(rows: DataFrame, kernels: dict[str, Nystrom], problems: list[Problem],
     inner = {name: np.column_stack([used[name].weights @ models[k][0] for k in own]) for name, own in by.items()}
 
     def scores(x: np.ndarray, fold: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        out = []
+        out, values = [], _values(x, used)
         for name, own in by.items():
-            f = used[name].values(x) @ inner[name]
+            f = values[name] @ inner[name]
             out += [(k, f[:, j], fold == problems[k].fold) for j, k in enumerate(own)]
         return out
 
